@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing
+from tessera.llm import chat, fingerprint, mixing, quality
 
 QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_mixing": mixing.op5_mixing,
+    "op8_fingerprint": fingerprint.op8_fingerprint,
+    "op9_quality": quality.op9_quality,
 }
 
 SQL = {
