@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import map_arrow, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
@@ -259,7 +259,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The counts and the digest are of the base spans; spans lists all. Null text: as empty, no spans, redacted null.
     Rows are independent, so repeated rows give repeated results and an empty table none; other columns are dropped.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_spans(True), "doc_id long, " + SCHEMA)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _spans(True), "doc_id long, " + SCHEMA)
 
 
 def _spans(keep: bool):
@@ -300,9 +300,9 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [new if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(_spans(False), "doc_id long, " + SCHEMA.removesuffix(", redacted string"))
+    return map_arrow(docs, _spans(False), "doc_id long, " + SCHEMA.removesuffix(", redacted string"))

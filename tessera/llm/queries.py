@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, fingerprint, mixing, quality
+from tessera.llm import bpe, chat, fingerprint, mixing, pii, quality, toxicity, urls, warc
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_pii": pii.op2_pii,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_chat": chat.op4_chat,
     "op5_mixing": mixing.op5_mixing,
+    "op7_url_filter": urls.op7_url_filter,
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_quality": quality.op9_quality,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op4_chat": chat.OP4_SQL,
+    "op7_url_filter": urls.OP7_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
