@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, fingerprint, mixing, pii, quality, toxicity, urls, warc
+from tessera.llm import bpe, chat, fingerprint, jaccard, mixing, pii, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_chat": chat.op4_chat,
     "op5_mixing": mixing.op5_mixing,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_url_filter": urls.op7_url_filter,
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_quality": quality.op9_quality,
