@@ -136,6 +136,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         c = codec(path, pattern)
@@ -147,7 +148,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 rows[1].append(hashlib.sha256(s.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(c.decode(s)).hexdigest())
                 if ids:
-                    rows[3].append([int(x) for x in s.split(" ")] if s else [])
+                    rows[3].append(np.array(s.split(" "), np.int32) if s else np.zeros(0, np.int32))
             columns = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
