@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow, table
 
 #: Most rows of each label that the fit uses.
-SAMPLE = 3000
+SAMPLE = 2000
 SIZES, BITS = (4, 5), 20
 #: A feature is kept if its share among toxic and other rows differs by so many standard errors; so many are kept at most.
 LEAST_Z, FEATURES = 3.0, 8192
