@@ -164,3 +164,40 @@ def natural_key(name: Column) -> Column:
     parts = F.filter(F.split(F.regexp_replace(F.lower(name), r"(\d+)", "\u0001$1\u0001"), "\u0001"), lambda p: p != "")
     digit = lambda p: p.rlike(r"^\d+$")
     return F.transform(parts, lambda p: F.struct(F.when(digit(p), 0).otherwise(1).alias("kind"), F.when(digit(p), p.cast("decimal(38,0)")).alias("number"), F.when(~digit(p), p).alias("text")))
+
+
+#: How lines begin that introduce a list rather than name an object.
+EXPLANATION_PREFIXES = (
+    "here are", "objects:", "object names:", "visible objects:", "visible ui elements:", "ui elements:", "elements:", "output:", "answer:", "explanation:", "note:",
+)
+
+
+def object_lines(text: Column) -> Column:
+    """Distinct object names of a plain list, in order: one a line, without bullets; headings, code, tables and sentences are left out."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]+|\d+[.)]|[A-Za-z][.)])\s*", "")))
+
+    def named(x: Column) -> Column:
+        low = F.lower(x)
+        heading = F.lit(False)
+        for p in (*EXPLANATION_PREFIXES, "json", "{", "[", "```"):
+            heading = heading | F.startswith(low, F.lit(p))
+        return (x != "") & ~heading & ~F.contains(x, F.lit("|")) & (F.size(F.split(x, r"\s+")) <= 12)
+
+    def first(a: Column) -> Column:
+        return let(F.transform(a, lambda x: F.lower(x)), lambda k: F.filter(a, lambda x, i: F.array_position(k, F.lower(x)) == i + 1))
+
+    return let(F.filter(lines, named), first)
+
+
+def draw_label(nth: Column, text: Column, kind: Column, focused: Column, most: int = 160) -> Column:
+    """``#n | text | type | FOCUSED``, cut with an ellipsis."""
+    full = F.concat_ws(" | ", F.concat(F.lit("#"), nth.cast("string")), F.nullif(text, F.lit("")), F.nullif(kind, F.lit("")), F.when(focused, "FOCUSED"))
+    return F.when(F.length(full) > most, F.concat(F.substring(full, 1, most - 1), F.lit("…"))).otherwise(full)
+
+
+def file_profile(path: Column) -> Column:
+    """struct(stem, resolution, quantisation) of a file name: tokens like 720p and 4bit."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)$", 1), r"\.[^.]+$", "")
+    tokens = F.split(F.lower(stem), r"[_\-]")
+    one = lambda pattern: F.get(F.filter(tokens, lambda t: t.rlike(pattern)), F.lit(0))
+    return F.struct(stem.alias("stem"), one(r"^\d{3,4}p$").alias("resolution"), one(r"^\d+bit$").alias("quantization"))

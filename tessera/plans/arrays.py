@@ -25,18 +25,18 @@ def rows(spark, sf_dir):
     return V.logit_rows(spark, sf_dir)
 
 
-S, REF = F.col("student"), F.col("reference")
+S, REF = "student", "reference"
 
 
 @query("topk", "O5 L1", f"WITH {ROWS_SQL} SELECT vec_id, ns AS rank, i AS idx, round(s, 6) AS val FROM k WHERE ns <= 8")
 def topk(spark, sf_dir):
-    t = rows(spark, sf_dir).select("vec_id", F.posexplode(L.top_k(S, 8)).alias("rank", "e"))
+    t = rows(spark, sf_dir).select("vec_id", F.posexplode(L.top_k(F.col(S), 8)).alias("rank", "e"))
     return t.select("vec_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("e.idx").cast("long").alias("idx"), F.round("e.val", R).alias("val"))
 
 
 @query("dense_logits", "L1 F44", f"WITH {ROWS_SQL} SELECT vec_id, i, CASE WHEN ns <= 8 THEN round(s, 6) ELSE -1e9 END AS val FROM k")
 def dense_logits(spark, sf_dir):
-    t = rows(spark, sf_dir).select("vec_id", F.posexplode(L.dense(L.top_k(S, 8), F.lit(64), -1e9)).alias("i", "val"))
+    t = rows(spark, sf_dir).select("vec_id", F.posexplode(L.dense(L.top_k(F.col(S), 8), F.lit(64), -1e9)).alias("i", "val"))
     return t.select("vec_id", F.col("i").cast("long").alias("i"), F.round("val", R).alias("val"))
 
 
@@ -47,37 +47,37 @@ KNEE = 32
 g AS (SELECT vec_id, ns, round((s - b) / (a - b) - (1.0 - (ns - 1) / {KNEE - 1}.0), 9) AS score FROM c)
 SELECT vec_id, least(greatest(arg_min(ns, ROW(-score, ns)), 4), 24) AS token_k FROM g GROUP BY 1""")
 def kneedle_k(spark, sf_dir):
-    return rows(spark, sf_dir).select("vec_id", L.knee_k(S, KNEE, 4, 24).cast("long").alias("token_k"))
+    return rows(spark, sf_dir).select("vec_id", L.knee_k(F.col(S), KNEE, 4, 24).cast("long").alias("token_k"))
 
 
 @query("softmax", "L2", f"WITH {ROWS_SQL} SELECT vec_id, i, round(exp(s / 2 - m) / sum(exp(s / 2 - m)) OVER (PARTITION BY vec_id), 6) AS p FROM (SELECT *, max(s / 2) OVER (PARTITION BY vec_id) AS m FROM e)")
 def softmax(spark, sf_dir):
-    return rows(spark, sf_dir).select("vec_id", F.posexplode(L.softmax(S, 2.0)).alias("i", "p")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("p", R).alias("p"))
+    return rows(spark, sf_dir).select("vec_id", F.posexplode(L.softmax(F.col(S), 2.0)).alias("i", "p")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("p", R).alias("p"))
 
 
 @query("entropy_k", "O7 L3", f"""WITH {ROWS_SQL}, p AS (SELECT vec_id, exp(10 * s - m) / sum(exp(10 * s - m)) OVER (PARTITION BY vec_id) AS p FROM (SELECT *, max(10 * s) OVER (PARTITION BY vec_id) AS m FROM e)),
 h AS (SELECT vec_id, -sum(p * ln(greatest(p, 1e-12))) AS h FROM p GROUP BY 1)
 SELECT vec_id, round(h, 6) AS entropy, round(1 / (1 + greatest(h, 0)), 6) AS weight, CASE WHEN h < 1 THEN 4 WHEN h < 2.5 THEN 16 ELSE 24 END AS k FROM h""")
 def entropy_k(spark, sf_dir):
-    t = rows(spark, sf_dir).select("vec_id", L.entropy(S, 0.1).alias("h"))
+    t = rows(spark, sf_dir).select("vec_id", L.entropy(F.col(S), 0.1).alias("h"))
     return t.select("vec_id", F.round("h", R).alias("entropy"), F.round(L.entropy_weight(F.col("h")), R).alias("weight"), L.entropy_k(F.col("h"), 16, 24).alias("k"))
 
 
 @query("kl_union", "L4 U4 A21", f"WITH {ROWS_SQL} SELECT vec_id, round(loss, 6) AS loss, round(forward, 6) AS forward FROM {kl_sql('SELECT vec_id, s, r FROM k WHERE ns <= 8 OR nr <= 8', 2.0)}")
 def kl_union(spark, sf_dir):
-    return rows(spark, sf_dir).select("vec_id", F.round(L.top_divergence(S, REF, 8, 2.0), R).alias("loss"), F.round(L.top_divergence(S, REF, 8, 2.0, "forward"), R).alias("forward"))
+    return rows(spark, sf_dir).select("vec_id", F.round(L.top_divergence(F.col(S), F.col(REF), 8, 2.0), R).alias("loss"), F.round(L.top_divergence(F.col(S), F.col(REF), 8, 2.0, "forward"), R).alias("forward"))
 
 
 @query("sparse_kl", "L5 J13", f"""WITH {ROWS_SQL}, f AS (SELECT vec_id, min(r) FILTER (WHERE nr <= 8) - 5.0 AS f FROM k GROUP BY 1)
 SELECT vec_id, round(loss, 6) AS loss FROM {kl_sql('SELECT k.vec_id, s, CASE WHEN nr <= 8 THEN r ELSE f END AS r FROM k JOIN f ON k.vec_id = f.vec_id WHERE ns <= 8 OR nr <= 8', 2.0)}""")
 def sparse_kl(spark, sf_dir):
-    return rows(spark, sf_dir).select("vec_id", F.round(L.sparse_divergence(S, L.top_k(REF, 8), 8, 5.0, 2.0), R).alias("loss"))
+    return rows(spark, sf_dir).select("vec_id", F.round(L.sparse_divergence(F.col(S), L.top_k(F.col(REF), 8), 8, 5.0, 2.0), R).alias("loss"))
 
 
 @query("informative_filter", "L6", f"""WITH {ROWS_SQL}, p AS (SELECT *, exp(s - ms) / sum(exp(s - ms)) OVER w AS ps, exp(r - mr) / sum(exp(r - mr)) OVER w AS pr FROM (SELECT *, max(s) OVER w AS ms, max(r) OVER w AS mr FROM k WINDOW w AS (PARTITION BY vec_id)) WINDOW w AS (PARTITION BY vec_id))
 SELECT vec_id, count(*) FILTER (WHERE ps > 0.0175 OR pr > 0.0175) AS kept, round(min(s) FILTER (WHERE ps > 0.0175 OR pr > 0.0175) - 5.0, 6) AS floor FROM p GROUP BY 1 HAVING count(*) FILTER (WHERE ps > 0.0175 OR pr > 0.0175) < 64""")
 def informative_filter(spark, sf_dir):
-    t = rows(spark, sf_dir).select("vec_id", "student", L.informative(S, REF, 0.0175, 5.0)["student"].alias("s"))
+    t = rows(spark, sf_dir).select("vec_id", "student", L.informative(F.col(S), F.col(REF), 0.0175, 5.0)["student"].alias("s"))
     kept = F.size(F.filter(F.zip_with("student", "s", lambda a, b: a == b), lambda x: x)).cast("long")
     return t.select("vec_id", kept.alias("kept"), F.round(F.array_min("s"), R).alias("floor")).filter("kept < 64")
 
@@ -87,13 +87,13 @@ a AS (SELECT x.vec_id, x.s - y.s AS s, x.r - y.r AS r FROM k x JOIN k y ON x.vec
 b AS (SELECT x.vec_id, x.s - y.s AS s, x.r - y.r AS r FROM k x JOIN k y ON x.vec_id = y.vec_id AND x.ns <= 6 AND y.ns <= 6 AND x.ns < y.ns)
 SELECT p.vec_id, round(p.forward + q.forward, 6) AS loss FROM {kl_sql('SELECT * FROM a', 2.0)} p JOIN {kl_sql('SELECT * FROM b', 2.0)} q ON p.vec_id = q.vec_id""")
 def pairwise_kl(spark, sf_dir):
-    return rows(spark, sf_dir).select("vec_id", F.round(L.pairwise_divergence(S, REF, 6, 2.0), R).alias("loss"))
+    return rows(spark, sf_dir).select("vec_id", F.round(L.pairwise_divergence(F.col(S), F.col(REF), 6, 2.0), R).alias("loss"))
 
 
 @query("cross_entropy", "L9 W6", f"WITH {ROWS_SQL} SELECT vec_id, CASE WHEN label > 0 THEN round(ln(sum(exp(s))) - max(s) FILTER (WHERE i = label), 6) END AS loss FROM e GROUP BY vec_id, label")
 def cross_entropy(spark, sf_dir):
     label = F.when(F.col("label") > 0, F.col("label")).otherwise(-100)
-    return rows(spark, sf_dir).select("vec_id", F.round(L.cross_entropy(S, label), R).alias("loss"))
+    return rows(spark, sf_dir).select("vec_id", F.round(L.cross_entropy(F.col(S), label), R).alias("loss"))
 
 
 @query("suffix_align", "L10 L13", f"WITH {ROWS_SQL} SELECT vec_id, i - 10 + (vec_id % 7) AS pos, round(s, 6) AS val FROM e WHERE i >= 10 AND i - 10 + (vec_id % 7) < 50")
@@ -105,7 +105,7 @@ def suffix_align(spark, sf_dir):
 
 @query("vocab_remap", "L11 J14", f"WITH {ROWS_SQL} SELECT vec_id, count(*) FILTER (WHERE i < 48) AS kept, CAST(coalesce(sum(i) FILTER (WHERE i < 48), 0) AS BIGINT) AS index_sum FROM k WHERE ns <= 8 GROUP BY 1")
 def vocab_remap(spark, sf_dir):
-    t = rows(spark, sf_dir).select("vec_id", L.remap(L.top_k(S, 8), 48).alias("m"))
+    t = rows(spark, sf_dir).select("vec_id", L.remap(L.top_k(F.col(S), 8), 48).alias("m"))
     return t.select("vec_id", F.size("m").cast("long").alias("kept"), F.aggregate("m", F.lit(0).cast("long"), lambda a, e: a + e["idx"]).alias("index_sum"))
 
 
