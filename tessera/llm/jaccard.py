@@ -5,10 +5,11 @@
 2. Routing. A set of n shingles sends its n - ceil(t n) + 1 rarest to the task of their hash. Two sets of similarity t
    or more share one of these (prefix filter), whatever the counts in the sketch say. The members of a shingle, cut
    where sizes leave a gap no link can cross, form a bucket; equal buckets are one.
-3. Star pass. In each bucket the member of the smallest hash is verified against the others. Its links join nearly
-   all large groups, at a cost linear in the members.
-4. Tree pass. For every bucket that still holds several components, a signature tree yields all pairs of different
+3. Star pass. In each bucket the member of the smallest hash is held against the others by their bitmaps, and verified
+   where they may link. Its links join nearly all large groups, at a cost linear in the members.
+4. Tree pass. For the buckets that still hold several components, signature trees yield all pairs of different
    components that may link, and those are verified. Pairs inside a component need no check, as they change nothing.
+   Only sets of pairs that passed their bitmaps are made for verification.
 5. Components by contraction: every node hooks onto its smallest neighbour until no edge is left. All tables stay
    distributed; the driver holds the sketch and counts only.
 
@@ -33,6 +34,8 @@ SLICES = 32
 #: Routed shingles to a task, about.
 TASK_TOKENS = 1_000_000
 BUFFER = 1 << 20
+#: Rows to a file of the narrow tables between the steps, about.
+FILE_ROWS = 250_000
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -222,20 +225,35 @@ def members(batches):
             yield _columns((np.full(len(nodes), batch.column(0)[k].as_py()), nodes, sizes.astype(np.int64)), MEMBERS)
 
 
-SETS = "node long, n long, tokens binary, bits binary"
+BITS = "node long, n long, rough binary, bits binary"
+SETS = "node long, tokens binary"
+
+
+def bits_of(batches):
+    from tessera.llm.shingles import shingles, signature
+    from tessera.llm.signature_tree import FINE, ROUGH, bitmap
+
+    for batch in batches:
+        sets = [shingles(text.as_py()) for text in batch.column(1)]
+        yield _columns(([signature(s)[0] for s in sets], [len(s) for s in sets], [bitmap(s, ROUGH) for s in sets], [bitmap(s, FINE) for s in sets]), BITS)
 
 
 def sets_of(batches):
     from tessera.llm.shingles import shingles, signature
-    from tessera.llm.signature_tree import bitmap
 
     for batch in batches:
-        rows = ([], [], [], [])
-        for text in batch.column(1):
-            s = shingles(text.as_py())
-            for column, value in zip(rows, (signature(s)[0], len(s), s.tobytes(), bitmap(s))):
-                column.append(value)
-        yield _columns(rows, SETS)
+        sets = [shingles(text.as_py()) for text in batch.column(1)]
+        yield _columns(([signature(s)[0] for s in sets], [s.tobytes() for s in sets]), SETS)
+
+
+def plausible(batches):
+    """The pairs (a, b, sizes, bitmaps) whose bitmaps do not rule a link out."""
+    from tessera.llm.signature_tree import pair_may_link
+
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        kept = [(a, b) for a, b, na, nb, x, y in zip(*columns) if pair_may_link(na, nb, x, y, NUM, DEN)]
+        yield _columns(([a for a, _ in kept], [b for _, b in kept]), LINKS)
 
 
 LINKS = "a long, b long"
@@ -255,42 +273,61 @@ def verify(batches):
         yield _columns(found, LINKS)
 
 
-def tree_pairs(group):
-    """Pairs of different components of a bucket that may link, from its signature tree."""
-    import pyarrow as pa
+def tree_pairs(batches):
+    """Pairs of different components among the nodes of a lead that may link, from their signature tree.
+
+    Rows come sorted by lead; the nodes of one lead are held at a time. Two nodes make a pair without a tree.
+    """
+    from tessera.llm.signature_tree import candidates, pair_may_link
+
+    def pairs(rows: list[tuple]):
+        if len(rows) == 2:
+            (i, n, c, x), (j, m, d, y) = rows
+            if c != d and pair_may_link(n, m, x, y, NUM, DEN):
+                yield np.array([min(i, j)]), np.array([max(i, j)])
+            return
+        ids, sizes, groups = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        _, groups = np.unique(groups, return_inverse=True)  # numbers from 0, as -1 stands for mixed
+        yield from candidates(ids, sizes, [r[3] for r in rows], groups.astype(np.int64), NUM, DEN)
+
+    at, held = None, []
+    for batch in batches:
+        for lead, *row in zip(*(batch.column(c).to_pylist() for c in ("lead", "node", "n", "component", "bits"))):
+            if lead != at:
+                for a, b in pairs(held) if held else ():
+                    yield _columns((a, b), LINKS)
+                at, held = lead, []
+            held.append(tuple(row))
+    for a, b in pairs(held) if held else ():
+        yield _columns((a, b), LINKS)
 
-    from tessera.llm.signature_tree import candidates
 
-    a, b = [], []
-    columns = [group.column(c).combine_chunks() for c in ("node", "n", "component")]
-    ids, sizes, groups = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
-    names, groups = np.unique(groups, return_inverse=True)  # numbers from 0, as -1 stands for mixed
-    for x, y in candidates(ids, sizes, group.column("bits").to_pylist(), groups.astype(np.int64), NUM, DEN):
-        a.append(x)
-        b.append(y)
-    empty = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
+def with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the facts of either side: each as na, nb, then xa, xb and so on by column."""
+    out = pairs
+    for side in ("a", "b"):
+        f = facts.select(F.col("node").alias("of"), *[F.col(c).alias(f"{c}_{side}") for c in facts.columns if c != "node"])
+        out = out.join(f, F.col(side) == F.col("of")).drop("of")
+    return out.select("a", "b", *[f"{c}_{side}" for c in facts.columns if c != "node" for side in ("a", "b")])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    s = sets.select("node", "tokens")
-    x = pairs.join(s.withColumnsRenamed({"node": "na", "tokens": "x"}), F.col("a") == F.col("na")).drop("na")
-    both = x.join(s.withColumnsRenamed({"node": "nb", "tokens": "y"}), F.col("b") == F.col("nb")).select("a", "b", "x", "y")
-    return map_arrow(both, verify, LINKS)
+def files(rows: int) -> int:
+    return rows // FILE_ROWS + 1
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, component) of every node with a link; component is the smallest node of each connected component."""
     edges = written(links.select("a", "b").filter("a <> b").distinct(), f"{name}-edges")
     ends = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
-    labels = written(ends(edges).select("node").distinct().withColumn("component", F.col("node")), f"{name}-labels")
+    n = files(2 * edges.count())
+    labels = written(ends(edges).select("node").distinct().withColumn("component", F.col("node")).coalesce(n), f"{name}-labels")
     while not edges.isEmpty():
         # every node hooks onto its smallest neighbour; the edge to it is carried over, so no connection is lost
-        up = written(ends(edges).groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")), f"{name}-up")
-        labels = written(labels.join(up.withColumnRenamed("node", "of"), F.col("component") == F.col("of"), "left").select(labels["node"], F.coalesce("up", "component").alias("component")), f"{name}-labels")
+        up = written(ends(edges).groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")).coalesce(n), f"{name}-up")
+        labels = written(labels.join(up.withColumnRenamed("node", "of"), F.col("component") == F.col("of"), "left").select(labels["node"], F.coalesce("up", "component").alias("component")).coalesce(n), f"{name}-labels")
         moved = edges.join(up.withColumnsRenamed({"node": "na", "up": "ua"}), F.col("a") == F.col("na")).join(up.withColumnsRenamed({"node": "nb", "up": "ub"}), F.col("b") == F.col("nb"))
         moved = moved.filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        edges = written(moved, f"{name}-edges")
+        edges = written(moved.coalesce(n), f"{name}-edges")
     return labels
 
 
@@ -318,6 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if sums.clash:
         raise RuntimeError(f"{sums.clash} pairs of different shingle sets have equal 64-bit signatures")
 
+    n_nodes = nodes.count()
     parts = max(64, (sums.tokens or 0) // TASK_TOKENS + 1)
     routed = map_arrow(texts, router(zlib.compress(order.tobytes(), 6), parts), ROUTED).repartition(parts, "part")
     gathered = written(map_arrow(routed, gather, BUCKETS), "near-buckets")
@@ -325,26 +363,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = gathered.filter("kind = 0").groupBy(F.col("a").alias("bucket")).agg(F.first("nodes").alias("nodes"), F.first("sizes").alias("sizes"))
     inside = written(map_arrow(buckets, members, MEMBERS), "near-members")
 
-    ids = inside.select("node").distinct().join(nodes.select(F.col("s1").alias("of"), "doc_id"), F.col("node") == F.col("of")).select(F.col("doc_id").alias("id"))
-    ids = written(ids, "near-ids")
-    small = ids.count() <= BROADCAST_IDS
-    picked = texts.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    # equal ids may bring texts that were not asked for, and several null ids the same set
-    sets = written(map_arrow(picked, sets_of, SETS), "near-sets")
-    if spark_has_repeats := sets.groupBy("node").count().filter("count > 1").limit(1).count():
-        assert spark_has_repeats
-        sets = written(sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "bits")]), "near-sets")
-
-    links = written(verified(stars, sets), "near-links")
+    def made(wanted: DataFrame, run, schema: str, name: str) -> DataFrame:
+        """What ``run`` makes of the texts of the wanted nodes, one row a node."""
+        ids = wanted.join(nodes.select(F.col("s1").alias("of"), "doc_id"), F.col("node") == F.col("of")).select(F.col("doc_id").alias("id"))
+        ids = written(ids.coalesce(files(n_nodes)), "near-ids")
+        small = ids.count() <= BROADCAST_IDS
+        picked = texts.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        # equal or null ids may bring texts that were not asked for, and a set more than once
+        out = map_arrow(picked, run, schema)
+        return written(out.groupBy("node").agg(*[F.first(c).alias(c) for c in out.columns if c != "node"]), name)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among pairs that passed their bitmaps; only the sets of their nodes are made."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return written(map_arrow(with_both(pairs, made(ends, sets_of, SETS, "near-sets")), verify, LINKS), "near-links")
+
+    bits = made(inside.select("node").distinct(), bits_of, BITS, "near-bits")
+    likely = written(map_arrow(with_both(stars, bits.select("node", "n", F.col("rough").alias("bits"))), plausible, LINKS), "near-pairs")
+    links = verified(likely)
     first = components(links, "near-first")
     own = inside.join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    own = written(own, "near-own")
-    mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("bucket").alias("open"))
-    rest = own.join(mixed, F.col("bucket") == F.col("open"), "left_semi")
-    rest = rest.join(sets.select(F.col("node").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of")
-    more = rest.groupBy("bucket").applyInArrow(tree_pairs, LINKS).distinct()
-    more = more.join(stars.withColumnsRenamed({"a": "sa", "b": "sb"}), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti")
-    extra = written(verified(written(more, "near-pairs"), sets), "near-links")
+    own = written(own.coalesce(files(inside.count())), "near-own")
+    # buckets of one lead, their smallest node, mostly hold the same nodes and go into one tree; more nodes lose no pair
+    mixed = own.groupBy("bucket").agg(F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    rest = own.join(mixed.select(F.col("bucket").alias("open"), "lead"), F.col("bucket") == F.col("open")).select("lead", "node", "n", "component").distinct()
+    rest = rest.join(bits.select(F.col("node").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of")
+    more = map_arrow(rest.repartition("lead").sortWithinPartitions("lead"), tree_pairs, LINKS)
+    more = more.join(likely.withColumnsRenamed({"a": "sa", "b": "sb"}), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti")
+    extra = verified(written(more.distinct(), "near-pairs"))
     # components of the components that the second links join
     lift = lambda e, c: e.join(first.select(F.col("node").alias("of"), F.col("component").alias("up")), F.col(c) == F.col("of"), "left").withColumn(c, F.coalesce("up", c)).drop("of", "up")
     second = components(lift(lift(extra, "a"), "b"), "near-second")

@@ -1,6 +1,6 @@
 """Signature trees: nodes hold OR-combined token bitmaps and size ranges; a dual traversal yields the pairs that may link.
 
-A set of n tokens sets bits in a bitmap of a power of two of at least 2n bits, so bitmaps fold onto smaller ones by OR.
+A set of n tokens sets bits in a bitmap of a power of two of at least 8n bits, so bitmaps fold onto smaller ones by OR.
 For x below node A and y below node B, every bit of x outside the common bits of both nodes stands for a token that y
 lacks, so |x & y| <= |x| - (bits of x - common bits). With the size ranges this bounds the similarity of all pairs
 below two nodes; pairs of nodes whose bound is too low, and nodes whose members are all in one known component, are
@@ -12,18 +12,20 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 16
-LEAST_BITS, MOST_BITS = 64, 1 << 16
-#: Pairs of nodes looked at together.
-CHUNK = 1 << 15
+LEAST_BITS, MOST_BITS = 64, 1 << 18
+#: Bits a token: for a first look at a pair, and in trees, where half a per cent of similarity tells.
+ROUGH, FINE = 2, 8
+#: Pairs of nodes looked at together, and bytes of bitmaps.
+CHUNK, BYTES = 1 << 15, 1 << 22
 
 
-def width(n: int) -> int:
+def width(n: int, each: int = FINE) -> int:
     """Bits of the bitmap of a set of n tokens."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (2 * max(n, 1) - 1).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (each * max(n, 1) - 1).bit_length()))
 
 
-def bitmap(tokens) -> bytes:
-    w = width(len(tokens))
+def bitmap(tokens, each: int = FINE) -> bytes:
+    w = width(len(tokens), each)
     bits = np.zeros(w, np.uint8)
     bits[(tokens & np.uint64(w - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -66,15 +68,29 @@ def may_link(a, b, i, j, num: int, den: int):
     wb, lb, hb, cb, gb = b
     fits = (lb[j] * num <= ha[i] * den) & (la[i] * num <= hb[j] * den) & ((ga[i] != gb[j]) | (ga[i] < 0))
     out = np.zeros(len(i), bool)
-    at = np.flatnonzero(fits)
-    if len(at):
-        i, j = i[at], j[at]
-        common = np.bitwise_count(wa[i] & wb[j]).sum(1).astype(np.int64)
-        most = np.minimum(ha[i] - np.maximum(ca[i] - common, 0), hb[j] - np.maximum(cb[j] - common, 0))
-        out[at] = den * most >= num * (la[i] + lb[j] - most)
+    every = np.flatnonzero(fits)
+    step = max(1, BYTES // (8 * wa.shape[1]))
+    for k in range(0, len(every), step):
+        at = every[k : k + step]
+        x, y = i[at], j[at]
+        common = np.bitwise_count(wa[x] & wb[y]).sum(1).astype(np.int64)
+        most = np.minimum(ha[x] - np.maximum(ca[x] - common, 0), hb[y] - np.maximum(cb[y] - common, 0))
+        out[at] = den * most >= num * (la[x] + lb[y] - most)
     return out
 
 
+def pair_may_link(na: int, nb: int, x: bytes, y: bytes, num: int, den: int) -> bool:
+    """The bound for two sets of sizes na and nb with bitmaps x and y."""
+    if min(na, nb) * den < max(na, nb) * num:
+        return False
+    a, b = np.frombuffer(x, np.uint64)[None, :], np.frombuffer(y, np.uint64)[None, :]
+    to = min(a.shape[1], b.shape[1])
+    a, b = fold(a, to), fold(b, to)
+    common = int(np.bitwise_count(a & b).sum())
+    most = min(na - max(int(np.bitwise_count(a).sum()) - common, 0), nb - max(int(np.bitwise_count(b).sum()) - common, 0))
+    return den * most >= num * (na + nb - most)
+
+
 def dual(s: Tree, t: Tree, num: int, den: int):
     """Arrays (ids of s, ids of t) of all pairs that may link, chunk by chunk; for s is t each pair once."""
     same = s is t
