@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tessera.functions import jsonparse as J
@@ -12,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import align, metrics, split
 from tessera.plans import views as V
 from tessera.plans.catalogue import query
+from tessera.scratch import scratch_path
 from tessera.sources import io
 from tessera.streaming import stream
 
@@ -123,33 +121,30 @@ def hashed_split(spark, sf_dir):
     return split.hashed_split(V.pred(spark, sf_dir), 0.1, 42).select("id", "is_validation")
 
 
-def _streamed(spark, sf_dir, build, mode, name):
-    """Runs a stream over the events in three files and reads its result as a batch."""
-    root = tempfile.mkdtemp(prefix="tessera-stream-")
-    try:
-        e = V.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-        e.repartitionByRange(3, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(f"{root}/in")
-        q = stream.run_once(build(stream.file_stream(spark, f"{root}/in", e.schema)), name, f"{root}/state", mode)
-        q.stop()
-        rows = spark.table(name)
-        return spark.createDataFrame(rows.collect(), rows.schema)
-    finally:
-        shutil.rmtree(root, ignore_errors=True)
+def _streamed(spark, sf_dir, build, mode):
+    """Runs a stream over the events, which arrive in three files in order of time, and reads its result."""
+    root = scratch_path(spark, "stream")
+    e = V.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    low, high = e.agg(F.percentile_approx(F.unix_micros("ts"), [0.33, 0.67])).first()[0]
+    at = F.unix_micros("ts")
+    for part in (at < low, (at >= low) & (at < high), at >= high):
+        e.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return stream.run_once(build(stream.file_stream(spark, f"{root}/in", e.schema)), f"{root}/out", f"{root}/state", mode)
 
 
 @query("resume_stream", "T1 T2 S4", "SELECT user_id, count(*) AS ids FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def resume_stream(spark, sf_dir):
     build = lambda s: stream.resumed(s.select(F.concat_ws("/", "user_id", "event_type").alias("id"), "user_id"))
-    return _streamed(spark, sf_dir, build, "append", "tessera_resume").groupBy("user_id").agg(F.count("*").alias("ids"))
+    return _streamed(spark, sf_dir, build, "append").groupBy("user_id").agg(F.count("*").alias("ids"))
 
 
 @query("windowed_stream", "T2", None)
 def windowed_stream(spark, sf_dir):
-    out = _streamed(spark, sf_dir, lambda s: stream.windowed_counts(s, "ts", "event_type"), "append", "tessera_windows")
+    out = _streamed(spark, sf_dir, lambda s: stream.windowed_counts(s, "ts", "event_type"), "append")
     return out.select("event_type", F.col("window.start").alias("day"), "rows", F.round("total", 6).alias("total"))
 
 
 @query("early_stop_stream", "T3 W5", None)
 def early_stop_stream(spark, sf_dir):
-    out = _streamed(spark, sf_dir, lambda s: stream.early_stops(s, "event_type", 40, 0.01), "update", "tessera_stops")
+    out = _streamed(spark, sf_dir, lambda s: stream.early_stops(s, "event_type", 40, 0.01), "update")
     return out.groupBy("key").agg(F.min_by("best", F.struct(-F.col("steps"))).alias("best"), F.max("steps").alias("steps"), F.max("stopped_at").alias("stopped_at"))

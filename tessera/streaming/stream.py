@@ -61,11 +61,13 @@ def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 day",
     return stream.withWatermark(time, delay).groupBy(F.window(time, width), by).agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
-    """Runs a stream over what is available and leaves the result in the memory table ``name``; for tests and small reports."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is available into the table at ``path`` and reads it; in update mode it holds every update."""
+    spark = df.sparkSession
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    q = w.format("parquet").start(path) if mode == "append" else w.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path)).start()
     q.awaitTermination()
-    return q
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
