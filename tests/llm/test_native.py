@@ -81,7 +81,7 @@ def test_mixing(spark, sf001):
 
 def test_mixing_prefers_quality(spark):
     docs = spark.range(4000).select("id", F.expr("if(id % 2 = 0, 'abcdef abcdef', 'a a')").alias("text"), F.expr("if(id < 2000, 'a', 'b')").alias("source"))
-    rows = mixing.mix_sources(docs, weights=(1, 9), id_col="id").select("id", "mix.*").collect()
+    rows = mixing.mix_sources(docs, weights=(1, 1), share=0.5, id_col="id").select("id", "mix.*").collect()
     a = [r for r in rows if r.id < 2000]
     assert sum(r.taken for r in a if r.id % 2 == 0) > 1.5 * sum(r.taken for r in a if r.id % 2)
 
