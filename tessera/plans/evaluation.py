@@ -95,26 +95,26 @@ def unique_elements(spark, sf_dir):
 
 
 @query("n_way_unique", "J3 U3", f"""WITH {V.BASE_SQL}, {LABELS_SQL},
-third AS (SELECT sample_id, k, arg_min(label, idx) AS label, min(idx) AS idx FROM (SELECT sample_id, idx, trim(text) AS label, regexp_replace(lower(trim(text)), '[^a-z0-9]', '', 'g') AS k FROM el_ref WHERE l_orderkey % 3 = 0 AND idx % 2 = 0) GROUP BY 1, 2),
+third AS (SELECT sample_id, k, arg_min(label, idx) AS label, min(idx) AS idx FROM (SELECT sample_id, idx, trim(text) AS label, regexp_replace(lower(trim(text)), '[^a-z0-9]', '', 'g') AS k FROM el_ref WHERE NOT focused) GROUP BY 1, 2),
 u AS (SELECT 0 AS src, * FROM pl UNION ALL SELECT 1, * FROM rl UNION ALL SELECT 2, * FROM third),
-has AS (SELECT 0 AS src, sample_id FROM el_pred GROUP BY 2 UNION ALL SELECT 1, sample_id FROM el_ref GROUP BY 2 UNION ALL SELECT 2, sample_id FROM el_ref WHERE CAST(substr(sample_id, 9) AS BIGINT) % 3 = 0 AND idx % 2 = 0 GROUP BY 2),
+has AS (SELECT 0 AS src, sample_id FROM el_pred GROUP BY 2 UNION ALL SELECT 1, sample_id FROM el_ref GROUP BY 2 UNION ALL SELECT 2, sample_id FROM el_ref WHERE NOT focused GROUP BY 2),
 ok AS (SELECT sample_id FROM has GROUP BY 1 HAVING count(*) >= 2),
 one AS (SELECT sample_id, k FROM u GROUP BY 1, 2 HAVING count(DISTINCT src) = 1)
 SELECT h.sample_id AS id, h.src, coalesce(string_agg(label, '|' ORDER BY idx) FILTER (WHERE o.k IS NOT NULL), '') AS labels
 FROM has h JOIN ok USING (sample_id) LEFT JOIN u ON u.sample_id = h.sample_id AND u.src = h.src LEFT JOIN one o ON o.sample_id = u.sample_id AND o.k = u.k GROUP BY 1, 2""")
 def n_way_unique(spark, sf_dir):
     ref = V.el_ref(spark, sf_dir)
-    third = V.samples(ref.filter("l_orderkey % 3 = 0 and idx % 2 = 0"))
+    third = V.samples(ref.filter("not focused"))
     u = align.n_way_unique([V.pred(spark, sf_dir), V.samples(ref), third])
     return u.select("id", F.explode("unique_labels").alias("u")).select("id", "u.src", F.array_join("u.labels", "|").alias("labels"))
 
 
 @query("merge_training_rows", "J5 S13", """
 SELECT coalesce(o.o_orderkey, l.l_orderkey) AS id, o.o_orderstatus AS status, CASE WHEN l.l_orderkey IS NOT NULL THEN l.price ELSE o.o_totalprice END AS price, coalesce(l.lines, -1) AS lines
-FROM (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o FULL JOIN (SELECT l_orderkey, round(max(l_extendedprice), 2) AS price, count(*) AS lines FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) l ON o.o_orderkey = l.l_orderkey""")
+FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') o FULL JOIN (SELECT l_orderkey, round(max(l_extendedprice), 2) AS price, count(*) AS lines FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) l ON o.o_orderkey = l.l_orderkey""")
 def merge_training_rows(spark, sf_dir):
-    o = V.table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.lit(0).alias(align.ORD))
-    l = V.table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.max("l_extendedprice"), 2).alias("price"), F.count("*").alias("lines")).withColumn(align.ORD, F.lit(0))  # noqa: E741
+    o = V.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.lit(0).alias(align.ORD))
+    l = V.table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.max("l_extendedprice"), 2).alias("price"), F.count("*").alias("lines")).withColumn(align.ORD, F.lit(0))  # noqa: E741
     return align.merge_by_id([o, l]).withColumn("lines", F.coalesce("lines", F.lit(-1)))
 
 

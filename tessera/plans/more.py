@@ -29,9 +29,9 @@ def shared_labels(spark, sf_dir):
     return j.groupBy("sample_id").agg(F.count("*").alias("shared"), F.round(F.avg((F.col("focused") == F.col("wanted")).cast("double")), R).alias("focused_accuracy"))
 
 
-@query("base_rows", "J6", "SELECT o_orderkey AS id, coalesce(l.n, 0) AS elements, l.n IS NULL AS from_sample FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) l ON l_orderkey = o_orderkey")
+@query("base_rows", "J6", "SELECT o_orderkey AS id, coalesce(l.n, 0) AS elements, l.n IS NULL AS from_sample FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey")
 def base_rows(spark, sf_dir):
-    base = V.table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
+    base = V.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
     o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     return o.join(base, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("elements"), F.col("n").isNull().alias("from_sample"))
 
@@ -142,9 +142,9 @@ def reuse_teacher(spark, sf_dir):
     return kept.agg(F.count("*").alias("kept"), F.count_if(F.col(align.ORD) % 5 == 0).alias("of_five"))
 
 
-@query("flatten_roles", "U8", "SELECT 0 AS role_ord, doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1, doc_id FROM labels")
+@query("flatten_roles", "U8", "SELECT 0 AS role_ord, doc_id AS id FROM documents UNION ALL SELECT 1, doc_id FROM labels")
 def flatten_roles(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.lit(0).alias("role_ord"), F.col("doc_id").alias("id"))
+    d = V.table(spark, sf_dir, "documents").select(F.lit(0).alias("role_ord"), F.col("doc_id").alias("id"))
     return d.unionByName(V.table(spark, sf_dir, "labels").select(F.lit(1).alias("role_ord"), F.col("doc_id").alias("id")))
 
 

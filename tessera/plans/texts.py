@@ -104,18 +104,18 @@ def manifest(spark, sf_dir):
     return align.numbered_manifest(V.table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct())
 
 
-@query("natural_sort_half", "O2 P16", """WITH k AS (SELECT url, regexp_extract(lower(url), '^([^0-9]*)', 1) AS a, CAST(nullif(regexp_extract(url, '^[^0-9]*([0-9]+)', 1), '') AS BIGINT) AS b, regexp_extract(lower(url), '^[^0-9]*[0-9]+(.*)$', 1) AS c
-  FROM (SELECT DISTINCT url FROM pages WHERE NOT regexp_matches(regexp_extract(url, '^[^0-9]*[0-9]+(.*)$', 1), '[0-9]')))
-SELECT url, n % 2 = 1 AS kept FROM (SELECT url, row_number() OVER (ORDER BY a, b NULLS FIRST, c) AS n FROM k)""")
+@query("natural_sort_half", "O2 P16", """WITH k AS (SELECT url, list_transform(regexp_extract_all(lower(url), '[0-9]+|[^0-9]+'), lambda p: {'k': CASE WHEN regexp_full_match(p, '[0-9]+') THEN 0 ELSE 1 END,
+  'n': coalesce(TRY_CAST(p AS HUGEINT), 0), 't': CASE WHEN regexp_full_match(p, '[0-9]+') THEN '' ELSE p END}) AS key FROM (SELECT DISTINCT url FROM pages))
+SELECT url, n % 2 = 1 AS kept FROM (SELECT url, row_number() OVER (ORDER BY key, url) AS n FROM k)""")
 def natural_sort_half(spark, sf_dir):
     from pyspark.sql import Window
 
-    p = V.table(spark, sf_dir, "pages").select("url").distinct().filter(F.regexp_count("url", F.lit("[0-9]+")) <= 1)
+    p = V.table(spark, sf_dir, "pages").select("url").distinct()
     # sort within hosts in parallel, then add the number of addresses of the hosts before
     host = F.regexp_extract(F.lower("url"), "^([^0-9]*)", 1)
     d = p.select("url", host.alias("host"), T.natural_key(F.col("url")).alias("key"))
     before = d.groupBy("host").count().select(F.col("host").alias("of"), F.coalesce(F.sum("count").over(Window.orderBy("host").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    n = F.row_number().over(Window.partitionBy("host").orderBy("key"))
+    n = F.row_number().over(Window.partitionBy("host").orderBy("key", "url"))
     return d.withColumn("n", n).join(before, F.col("host") == F.col("of")).select("url", ((F.col("before") + F.col("n")) % 2 == 1).alias("kept"))
 
 
