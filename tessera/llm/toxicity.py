@@ -2,7 +2,7 @@
 
 Features are the hashed character 4- and 5-grams that a text holds at least once. The fit takes a bounded sample of
 labelled rows (``SAMPLE`` of each label at most, those with the smallest hashes of their ids), counts documents by
-feature and label, keeps the features that tell the labels apart, scales each by its log-count ratio and fits a
+feature and label on the executors, keeps the features that tell the labels apart, scales each by its log-count ratio and fits a
 logistic regression on them; row weights restore the share of toxic rows among all training rows. Scoring reads whole
 texts, one after the other, and holds one text at a time.
 """
@@ -14,7 +14,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, table
+from tessera.llm.common import map_arrow, table, written
 
 #: Most rows of each label that the fit uses.
 SAMPLE = 2000
@@ -59,8 +59,21 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(rows: list[tuple[object, int]], toxic_share: float):
-    """(feature weights of length 2**BITS, bias) from (features, label) rows."""
+def counted(batches):
+    """Documents by feature and label: (feature, toxic ones, others), summed up for each batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        n = np.zeros((2, 1 << BITS), np.int32)
+        for label, f in zip(batch.column(0).to_pylist(), batch.column(1)):
+            n[label][np.frombuffer(f.as_py(), np.int32)] += 1
+        some = np.flatnonzero(n.any(0)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[1][some]), pa.array(n[0][some])], names=["feature", "p", "q"])
+
+
+def fit(rows: list[tuple[object, int]], kept, p, q, toxic_share: float):
+    """(feature weights of length 2**BITS, bias) from (features among the kept ones, label) rows and the kept ones' counts."""
     import numpy as np
 
     weights = np.zeros(1 << BITS, np.float32)
@@ -68,20 +81,10 @@ def fit(rows: list[tuple[object, int]], toxic_share: float):
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     share = min(max(toxic_share, 1e-6), 1 - 1e-6)
     bias = float(np.log(share / (1 - share)))
-    if not n1 or not n0:
-        return weights, bias
-    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for f, label in rows:
-        (p if label else q)[f] += 1
-    z = (p / n1 - q / n0) / np.sqrt(np.maximum(p + q, 1e-9) / (n1 + n0) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero(np.abs(z) >= LEAST_Z)
-    kept = np.sort(kept[np.argsort(-np.abs(z[kept]), kind="stable")][:FEATURES])
-    if not len(kept):
+    if not n1 or not n0 or not len(kept):
         return weights, bias
-    ratio = np.log((p[kept] + 1) / (n1 + 2)) - np.log((q[kept] + 1) / (n0 + 2))
-    number = np.full(1 << BITS, -1, np.int32)
-    number[kept] = np.arange(len(kept))
-    cols = [c[c >= 0] for c in (number[f] for f, _ in rows)]
+    ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
+    cols = [np.searchsorted(kept, f) for f, _ in rows]
     row, col = np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
     value = ratio[col]
     each = np.where(y == 1, share * len(y) / n1, (1 - share) * len(y) / n0) / len(y)
@@ -130,31 +133,53 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from the labelled rows of ``docs`` that are not held out.
 
-    A document labelled more than once is toxic if any label says so; null labels and ids are skipped, null texts
-    are empty. Without rows of both labels the score is the share of toxic rows for every text.
+    A document labelled more than once is toxic if any label says so; of rows with equal ids the smallest text counts;
+    null labels and ids are skipped, null texts are empty. Without rows of both labels the score is the share of toxic rows for every text.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     known = known.join(docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull()).distinct(), "id")
-    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    labelled = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.xxhash64("id")
     # at most `sample` rows of either label, so the broadcast is bounded
     chosen = known.filter("label = 1").orderBy(order, "id").limit(sample).unionByName(known.filter("label = 0").orderBy(order, "id").limit(sample))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
 
-    def run(batches):
+    import numpy as np
+
+    def make(batches):
         import pyarrow as pa
 
         for batch in batches:
             made = [featured(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["id", "label", "features"])
-
-    import numpy as np
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["label", "features"])
+
+    rows = written(map_arrow(texts.select("label", "text"), make, "label int, features binary"), "toxicity-sample")
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    p, q = F.col("p"), F.col("q")
+    spread = F.sqrt((p + q) / float(max(1, n1 + n0)) * (1 / max(1, n1) + 1 / max(1, n0)))
+    z = F.abs(p / float(max(1, n1)) - q / float(max(1, n0))) / spread
+    counts = map_arrow(rows, counted, "feature int, p int, q int").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    top = counts.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    top.sort(key=lambda r: r.feature)
+    kept = np.array([r.feature for r in top], np.int32)
+    known_features = kept.tobytes()
+
+    def reduced(batches):
+        import pyarrow as pa
 
-    got = map_arrow(texts, run, f"id {dict(docs.dtypes)[id_col]}, label int, features binary").collect()
-    rows = sorted(((r.id, bytes(r.features), r.label) for r in got), key=lambda x: (x[0], x[1]))
-    total = sum(counts.values())
-    return Model(*fit([(np.frombuffer(f, np.int32), label) for _, f, label in rows], counts.get(1, 0) / total if total else 0.0))
+        wanted = np.frombuffer(known_features, np.int32)
+        for batch in batches:
+            made = [np.intersect1d(np.frombuffer(f.as_py(), np.int32), wanted, assume_unique=True).tobytes() for f in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["label", "features"])
+
+    got = map_arrow(rows, reduced, "label int, features binary").collect()
+    data = sorted((bytes(r.features), r.label) for r in got)
+    total = sum(labelled.values())
+    share = labelled.get(1, 0) / total if total else 0.0
+    return Model(*fit([(np.frombuffer(f, np.int32), label) for f, label in data], kept, np.array([r.p for r in top], float), np.array([r.q for r in top], float), share))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
