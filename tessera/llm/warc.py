@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
+import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ from tessera.llm.common import map_arrow, scratch_path, table
 
 #: Payloads below so many bytes are stored again rather than referred to.
 LEAST_BYTES = 100
-#: Records to an archive at most, and payload bytes to an archive about.
-RECORDS, BYTES = 20_000, 32 << 20
+#: Records to an archive at most, and records read at a time.
+RECORDS, READ_RECORDS = 20_000, 2_000
 CRLF = "\r\n"
 #: Fixed value of the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,21 +82,22 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     rows.write.option("compression", "gzip").option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def parse(data: bytes):
-    """(headers, block) of each record of an archive, in order."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}: {lines[0][:60]!r}")
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+def parse(archive):
+    """(headers, block) of each record of an archive, read in order from a binary file object, one record at a time."""
+    while first := archive.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no record where one should begin: {first[:60]!r}")
+        headers = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("an archive ends inside a record's headers")
+            name, _, value = line[:-2].decode().partition(":")
+            headers[name] = value.strip()
         size = int(headers["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut short")
+        block = archive.read(size)
+        if len(block) != size or archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {headers.get('WARC-Record-ID')} is cut short")
         yield headers, block
-        at = end + 8 + size
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -111,24 +114,26 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 
+    def row(headers: dict, block: bytes) -> tuple:
+        kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = int(http.rpartition(b"Content-Length: ")[2])
+        if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+            raise ValueError(f"payload of {headers['WARC-Record-ID']} is damaged")
+        refers = _number(headers["WARC-Refers-To"]) if kind == "revisit" else None
+        return _number(headers["WARC-Record-ID"]), size, digest, kind, refers, payload if payloads and kind == "response" else None
+
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         for batch in batches:
             for content in batch.column(0):
-                rows = ([], [], [], [], [], [])
-                for headers, block in parse(gzip.decompress(content.as_py())):
-                    kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(http.rpartition(b"Content-Length: ")[2])
-                    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                        raise ValueError(f"payload of {headers['WARC-Record-ID']} is damaged")
-                    refers = _number(headers["WARC-Refers-To"]) if kind == "revisit" else None
-                    kept = payload if payloads and kind == "response" else None
-                    for column, value in zip(rows, (_number(headers["WARC-Record-ID"]), size, digest, kind, refers, kept)):
-                        column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                with gzip.open(io.BytesIO(content.as_py())) as archive:
+                    records = parse(archive)
+                    while rows := [row(*r) for r in itertools.islice(records, READ_RECORDS)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return map_arrow(files, run, READ)
 
