@@ -144,7 +144,11 @@ def windowed_stream(spark, sf_dir):
     return out.select("event_type", F.col("window.start").alias("day"), "rows", F.round("total", 6).alias("total"))
 
 
-@query("early_stop_stream", "T3 W5", None)
+@query("early_stop_stream", "T3 W5", """WITH RECURSIVE x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT event_type, CAST(1 AS BIGINT) AS n, value AS best, 0 AS bad, CAST(NULL AS BIGINT) AS stopped_at FROM x WHERE n = 1
+  UNION ALL SELECT f.event_type, x.n, CASE WHEN x.value < f.best - 0.01 THEN x.value ELSE f.best END, CASE WHEN x.value < f.best - 0.01 THEN 0 ELSE f.bad + 1 END,
+  CASE WHEN x.value >= f.best - 0.01 AND f.bad + 1 >= 40 THEN x.n END FROM f JOIN x ON x.event_type = f.event_type AND x.n = f.n + 1 WHERE f.stopped_at IS NULL)
+SELECT event_type AS key, round(arg_max(best, n), 6) AS best, CAST(max(n) AS INTEGER) AS steps, max(stopped_at) AS stopped_at FROM f GROUP BY 1""")
 def early_stop_stream(spark, sf_dir):
     out = _streamed(spark, sf_dir, lambda s: stream.early_stops(s, "event_type", 40, 0.01), "update")
-    return out.groupBy("key").agg(F.min_by("best", F.struct(-F.col("steps"))).alias("best"), F.max("steps").alias("steps"), F.max("stopped_at").alias("stopped_at"))
+    return out.groupBy("key").agg(F.round(F.max_by("best", "steps"), 6).alias("best"), F.max("steps").alias("steps"), F.max("stopped_at").alias("stopped_at"))
