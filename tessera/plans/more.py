@@ -148,7 +148,8 @@ def flatten_roles(spark, sf_dir):
     return d.unionByName(V.table(spark, sf_dir, "labels").select(F.lit(1).alias("role_ord"), F.col("doc_id").alias("id")))
 
 
-@query("parse_model_output", "F38 F39", None)
+@query("parse_model_output", "F38 F39", """SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 3 THEN 0 ELSE 1 END AS elements, CASE WHEN n_nationkey % 5 = 3 THEN 'could_not_find_json_payload' END AS parse_error,
+  CASE WHEN n_nationkey % 5 = 1 THEN 'appended_missing_top_level_closing_brace' END AS parse_repair FROM nation""")
 def parse_model_output(spark, sf_dir):
     n = V.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("n_nationkey") % 5

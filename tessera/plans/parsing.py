@@ -138,10 +138,12 @@ def resume_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, build, "append").groupBy("user_id").agg(F.count("*").alias("ids"))
 
 
-@query("windowed_stream", "T2", None)
+@query("windowed_stream", "T2", """SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows, round(sum(value), 6) AS total FROM events GROUP BY 1, 2
+HAVING date_trunc('day', min(ts)) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)""")
 def windowed_stream(spark, sf_dir):
+    """Windows that the watermark has closed, a day behind the latest event."""
     out = _streamed(spark, sf_dir, lambda s: stream.windowed_counts(s, "ts", "event_type"), "append")
-    return out.select("event_type", F.col("window.start").alias("day"), "rows", F.round("total", 6).alias("total"))
+    return out.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "rows", F.round("total", 6).alias("total"))
 
 
 @query("early_stop_stream", "T3 W5", """WITH RECURSIVE x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),

@@ -68,7 +68,7 @@ class Data:
     training_manifest_path: str | None = None
     inference_manifest_path: str | None = None
     label_path: str | None = None
-    distill_path: str = "outputs/distill.jsonl"
+    output_path: str = "outputs/labels.jsonl"
     prediction_path: str = "outputs/predictions.jsonl"
     reference_path: str | None = None
     evaluation_path: str | None = None
@@ -77,7 +77,7 @@ class Data:
     seed: int = 42
 
     def labels(self) -> str:
-        return self.label_path or self.distill_path
+        return self.label_path or self.output_path
 
     def full_labels(self) -> str:
         p = Path(self.labels())

@@ -232,7 +232,7 @@ def test_config(tmp_path):
     (tmp_path / "base.json").write_text(json.dumps({"prompt": "{name}: {query}", "options": {"name": "n"}, "data": {"seed": 1}}))
     (tmp_path / "run.json").write_text(json.dumps({"extends": "base.json", "data": {"max_samples": 3}}))
     c = config.load(tmp_path / "run.json")
-    assert (c.prompt, c.data.seed, c.data.max_samples) == ("n: {query}", 1, 3) and c.data.full_labels() == "outputs/distill_full.jsonl"
+    assert (c.prompt, c.data.seed, c.data.max_samples) == ("n: {query}", 1, 3) and c.data.full_labels() == "outputs/labels_full.jsonl"
     (tmp_path / "loop.json").write_text('{"extends": "loop.json"}')
     with pytest.raises(ValueError):
         config.load(tmp_path / "loop.json")
