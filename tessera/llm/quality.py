@@ -2,10 +2,12 @@
 
 Each rule rejects a text whose feature is above a cutoff. For every stratum, rule and cutoff of a fixed grid, labelled
 good documents tell how many the rule would reject; an exact binomial test says whether a false rejection rate of
-``alpha`` or more can be ruled out, at a level divided by the number of tests (Bonferroni). The strictest cutoff that
-passes and whose rejections are mostly of bad documents is used; a stratum or rule without one rejects nothing. The
-rate is shared out among the rules, so all rules together reject at most ``alpha`` of the good documents of a stratum,
-with probability 1 - ``delta`` for all strata at once.
+``alpha`` or more can be ruled out. The cutoffs of a rule are tested from lenient to strict up to the first that fails,
+so they share one level, and only strata and rules divide ``delta`` (Bonferroni). A stricter cutoff rejects what a more
+lenient one does and more, so p-values grow along the grid and those that pass are those before the first failure.
+The strictest cutoff that passes and whose rejections are mostly of bad documents is used; a stratum or rule without
+one rejects nothing. The rate is shared out among the rules, so all rules together reject at most ``alpha`` of the good
+documents of a stratum, with probability 1 - ``delta`` for all strata at once.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ GRID = {
     "short_words": [0.2, 0.22, 0.24, 0.26, 0.28, 0.3, 0.33, 0.37, 0.4, 0.45, 0.5, 0.6, 0.8],
 }
 #: Most of the good documents of a stratum that may be rejected, and the chance that this is exceeded anywhere.
-ALPHA, DELTA = 0.005, 0.05
+ALPHA, DELTA = 0.05, 0.05
 #: Least share of bad documents among the labelled ones that a cutoff rejects.
 PRECISION = 0.5
 BROADCAST_STRATA = 100_000
@@ -115,7 +117,7 @@ def thresholds(measured_rows: DataFrame, labels: DataFrame, alpha: float = ALPHA
         .agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
     )
     strata = counts.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit("")))).first()[0]
-    tests = max(1, strata * sum(map(len, GRID.values())))
+    tests = max(1, strata * len(GRID))  # one sequence of nested cutoffs each
     grid = F.create_map(*[x for r, g in GRID.items() for x in (F.lit(r), F.array(*[F.lit(c) for c in g]))])
     # one row for each stratum and rule: the counts by cell, at most one for each cutoff and one more
     per_rule = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("cell", "good", "bad")).alias("cells"), F.sum("good").alias("n"))

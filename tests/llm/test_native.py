@@ -144,6 +144,18 @@ def test_thresholds_control_false_rejection(spark):
     assert got == {"de": {"symbols_per_word": 0.05}}  # in 'en' only good documents are above any cutoff
 
 
+def test_thresholds_at_ordinary_sizes(spark):
+    # 800 labelled good documents of a language and perfectly separable bad ones, 400 in 'fr'
+    rows = spark.range(1400).select(
+        F.col("id").alias("doc_id"), F.expr("if(id < 900, 'en', 'fr')").alias("stratum"), F.lit(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"),
+        F.expr("if(id < 100 or id >= 1300, 5, 0)").cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"),
+        F.lit(0).cast("long").alias("n_repeat_words"), F.lit(5).cast("long").alias("n_lines"), F.lit(False).alias("base_failed"),
+    )
+    labels = spark.range(1400).select(F.col("id").alias("doc_id"), F.expr("int(id >= 100 and id < 1300)").alias("quality"))
+    got = {r.stratum: r.cutoffs for r in quality.thresholds(rows, labels).collect()}
+    assert got == {"en": {"symbols_per_word": 0.02}}  # 400 labels are too few: 0.99 ** 400 > 0.05 / 10
+
+
 def brute_shingles(t):
     w = words(t)
     return {tuple(w)} - {()} if len(w) < 5 else set(zip(*(w[i:] for i in range(5))))
