@@ -51,8 +51,12 @@ def _columns(arrays, schema: str):
 SCAN = "kind int, doc_id long, n long, s1 long, s2 long, cells binary"
 
 
-def scan(batches):
-    """Kind 0: a document's size and signature; kind 1: a slice of the task's sketch."""
+MARKED = SCAN + ", mark long"
+
+
+def scan(batches, schema: str = SCAN):
+    """Kind 0: a document's size and signature, and its third column where the schema is MARKED; kind 1: a slice of the
+    task's sketch."""
     from tessera.llm.shingles import shingles, signature
 
     counts = np.zeros((DEPTH, WIDTH), np.uint32)
@@ -75,10 +79,11 @@ def scan(batches):
             if held > BUFFER:
                 count()
                 held = 0
-        yield _columns(rows, SCAN)
+        yield _columns((*rows, *[c.to_pylist() for c in batch.columns[2:]]), schema)
     count()
     part = counts.reshape(SLICES, -1)
-    yield _columns(([1] * SLICES, list(range(SLICES)), [0] * SLICES, [0] * SLICES, [0] * SLICES, [zlib.compress(p.tobytes(), 1) for p in part]), SCAN)
+    no_mark = [[None] * SLICES] * (schema == MARKED)
+    yield _columns(([1] * SLICES, list(range(SLICES)), [0] * SLICES, [0] * SLICES, [0] * SLICES, [zlib.compress(p.tobytes(), 1) for p in part], *no_mark), schema)
 
 
 def cell(tokens, d: int):
@@ -339,14 +344,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id take part; their component is that of the smallest id they reach, null if there is none. An empty
     table gives no rows; other columns are dropped.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = written(map_arrow(texts, scan, SCAN), "near-scan")
-    heads = scanned.filter("kind = 0").select("doc_id", "n", "s1", "s2")
+    full = grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    least = full.filter("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    out = full.join(least, F.col("component") == F.col("of"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def grouped(texts: DataFrame, marked: bool = False) -> DataFrame:
+    """(doc_id, n, component) of each row (doc_id, text): its set's size and the smallest node of its component, null for
+    an empty set. ``marked``: rows have a third column, the long ``mark``, which is handed on."""
+    spark = texts.sparkSession
+    marks = ["mark"] if marked else []
+    schema = MARKED if marked else SCAN
+    scanned = written(map_arrow(texts, lambda batches: scan(batches, schema), schema), "near-scan")
+    heads = scanned.filter("kind = 0").select("doc_id", "n", "s1", "s2", *marks)
     slices = map_arrow(scanned.filter("kind = 1").select("doc_id", "cells").repartition(SLICES, "doc_id"), add_slices, "doc_id long, cells binary")
     by_slice = {r.doc_id: np.frombuffer(zlib.decompress(bytes(r.cells)), np.uint64) for r in slices.collect()}
     if not by_slice:
-        return heads.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return heads.select("doc_id", "n", F.lit(None).cast("long").alias("component"), *marks)
     order = ranks(np.concatenate([by_slice[k] for k in range(SLICES)]))
 
     nodes = heads.filter("n > 0").groupBy("s1").agg(F.min("doc_id").alias("doc_id"), F.min("s2").alias("low"), F.max("s2").alias("high"), F.first("n").alias("n"))
@@ -398,18 +413,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = top.join(second.withColumnsRenamed({"node": "of", "component": "up"}), F.col("component") == F.col("of"), "left").select("node", F.coalesce("up", "component").alias("component"))
 
     full = heads.join(top, heads["s1"] == top["node"], "left")
-    full = full.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "s1")).alias("component"))
-    least = full.filter("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, F.col("component") == F.col("of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return full.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "s1")).alias("component"), *marks)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest id; a repeated row of it stays once."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """``docs`` with one document of each group: the one of the smallest id, null last, and of its texts the one of the
+    smallest hash. An empty text stays once an id. Repetitions of a kept row, equal in id and text, stay with
+    ``repeats``; without, the one of the smallest hash of all columns does.
+    """
+    mark = F.xxhash64(F.col(text_col))
+    found = grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), mark.alias("mark")), marked=True)
+    # rows equal in id and text have one set, so one component
+    keys = found.groupBy("doc_id", "mark").agg(F.first("component").alias("component"), F.count("*").alias("times"))
+    # an empty set links with nothing: those of different ids stay
+    own = F.when(F.col("component").isNull(), F.struct("doc_id"))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "times")
+    kept = keys.groupBy("component", own.alias("own")).agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"), "k.times")
+    kept = written(kept, "near-kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), mark.alias("mark"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    many = kept.filter("times > 1")
+    n_many = 0 if repeats else many.count()
+    if not n_many:
+        return rows.join(kept, same, "left_semi").select("row.*")
+    # a row may be repeated without bound, so its repetitions are combined where they are read
+    repeated = rows.join(F.broadcast(many) if n_many <= BROADCAST_IDS else many, same, "left_semi")
+    once = repeated.groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rows.join(kept.filter("times = 1"), same, "left_semi").select("row.*").unionByName(once.select("row.*"))
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -196,6 +196,22 @@ def test_near_duplicates(spark, sf, odd):
     assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 3, 4, 7, 8])
 
 
+def test_one_row_of_each_group(spark, odd, monkeypatch):
+    kept = jaccard.deduplicated(odd, repeats=False)
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 7, 8])
+    long = "one two three four five six seven eight nine ten eleven twelve " * 3
+    near, far = long + "more", "quite another text of some words that is like no other one here"
+    rows = [(5, far, "a"), (5, far, "b"), (5, long, "c"), (2, near, "d"), (None, "x " + far[20:], "e"), (None, "X " + far[20:], "f"), (9, "", "g"), (9, "", "h"), (10, None, "i"), *[(1, "text of its own " * 9, "j")] * 50]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(5)
+    for limit in (jaccard.BROADCAST_IDS, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", limit)
+        got = [tuple(r) for r in jaccard.deduplicated(docs, repeats=False).collect()]
+        assert Counter(i for i, *_ in got) == Counter([5, 2, None, 9, 10, 1])  # the text of id 5 that is near id 2 goes
+        assert (5, long, "c") not in got and (2, near, "d") in got and set(got) <= set(rows)
+    assert Counter(r.doc_id for r in jaccard.deduplicated(docs).collect()) == Counter([5, 5, 2, None, 9, 9, 10, *[1] * 50])
+    assert jaccard.deduplicated(docs.limit(0), repeats=False).collect() == []
+
+
 def test_near_duplicates_at_the_border_and_in_large_groups(spark):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
