@@ -172,6 +172,12 @@ EXPLANATION_PREFIXES = (
 )
 
 
+def object_text(names: Column) -> Column:
+    """A list of object names as text: their number, then one a line."""
+    lines = F.when(F.size(names) > 0, F.array_join(F.transform(names, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise("(none)")
+    return F.concat(F.lit("Object count: "), F.size(names).cast("string"), F.lit("\nObjects:\n"), lines, F.lit("\n"))
+
+
 def object_lines(text: Column) -> Column:
     """Distinct object names of a plain list, in order: one a line, without bullets; headings, code, tables and sentences are left out."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]+|\d+[.)]|[A-Za-z][.)])\s*", "")))

@@ -172,3 +172,23 @@ def global_position(df: DataFrame, order: str, ranges: int = 256) -> DataFrame:
     ranked = d.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(order)))
     out = ranked.join(F.broadcast(before), F.col("__range") == F.col("__of"))  # at most `ranges` rows
     return out.withColumn("position", F.col("__before") + F.col("__n")).drop("__of", "__before", "__n", "__range")
+
+
+def by_role(teacher: DataFrame, candidates: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """Each teacher row (id, names) with each role: id, role, names, candidate_names, none where the role lacks the id.
+
+    ``candidates`` has (role, id, names) in the order of ORD; of rows of one role and id the last one counts.
+    """
+    last = dedup(candidates.select("role", "id", "names", ORD), ["role", "id"], keep="last").select("role", "id", F.col("names").alias("candidate_names"))
+    pairs = teacher.select("id", "names", F.explode(F.array(*[F.lit(r) for r in roles])).alias("role"))
+    return pairs.join(last, ["id", "role"], "left").withColumn("candidate_names", F.coalesce("candidate_names", F.array().cast("array<string>")))
+
+
+def vocab_equality(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """(by, equal, shared_size): whether the vocabularies (by, token, id) have the same tokens with the same ids, and then
+    the largest id and one."""
+    r = right.select(F.col(by).alias("by"), F.col("token").alias("other"), F.col("id").alias("other_id"))
+    both = left.select(by, "token", "id").join(r, (F.col(by) == F.col("by")) & (F.col("token") == F.col("other")), "full_outer")
+    same = F.bool_and(F.col("token").isNotNull() & F.col("other").isNotNull() & F.col("id").eqNullSafe(F.col("other_id")))
+    out = both.groupBy(F.coalesce(by, "by").alias(by)).agg(same.alias("equal"), F.max("id").alias("top"))
+    return out.select(by, "equal", F.when(F.col("equal"), F.col("top") + 1).alias("shared_size"))

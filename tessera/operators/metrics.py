@@ -11,6 +11,39 @@ from tessera.operators import align, match
 from tessera.schemas import COORDINATE_SYSTEM, SUMMARY_FIELDS
 
 
+def token_k_stats(rows: DataFrame, col: str = "token_k") -> DataFrame:
+    """min, max and mean of the kept scores a token; null for none."""
+    return rows.agg(F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"), F.avg(col).alias("mean"))
+
+
+def training_summary(rows: DataFrame, teacher: str = "teacher_logits", switch: str = "switch_logits") -> DataFrame:
+    """One row: rows, those with a target text and with each payload, and the distinct vocabulary sizes, ascending."""
+    sizes = lambda c: F.sort_array(F.collect_set(F.col(f"{c}_vocab_size").cast("long"))).alias(f"{c}_vocab_sizes")
+    return rows.agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.coalesce("target", F.lit("")) != "").alias("target_rows"),
+        *[F.count_if(F.col(c).isNotNull()).alias(f"{c}_rows") for c in (teacher, switch)],
+        sizes(teacher),
+        sizes(switch),
+    )
+
+
+def drawing_summary(rows: DataFrame, width: int, height: int) -> DataFrame:
+    """One row over samples with ``elements``, null where the prediction was not parsed: rows written and failed,
+    elements drawn and skipped, the latter also by reason."""
+    pixels = lambda e: G.to_pixels(e["bbox_norm"], F.lit(width), F.lit(height))
+    malformed = lambda b: F.coalesce((F.size(b) != 4) | F.exists(b, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf"))), F.lit(True))
+    flat = lambda p: (p[0] == p[2]) | (p[1] == p[3])
+    reason = lambda e: F.when(e.isNull() | malformed(e["bbox_norm"]), "malformed").when(flat(pixels(e)), "flat").otherwise("drawn")
+    t = rows.select(F.col("elements").isNotNull().alias("ok"), F.coalesce(F.transform("elements", reason), F.array().cast("array<string>")).alias("how"))
+    n = lambda *kinds: F.coalesce(F.sum(F.size(F.filter("how", lambda x: x.isin(*kinds)))), F.lit(0)).cast("long")
+    return t.agg(
+        F.count("*").alias("rows_total"), F.count_if("ok").alias("images_written"), F.count_if(~F.col("ok")).alias("rows_parse_failed"),
+        n("malformed", "flat", "drawn").alias("elements_total"), n("drawn").alias("elements_drawn"), n("malformed", "flat").alias("elements_skipped"),
+        n("malformed").alias("skipped_malformed_bbox"), n("flat").alias("skipped_zero_area"),
+    )
+
+
 def ratio(a: Column, b: Column, empty: float) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty))
 

@@ -43,7 +43,7 @@ def dense_logits(spark, sf_dir):
 KNEE = 32
 
 
-@query("kneedle_k", "O6 A22", f"""WITH {ROWS_SQL}, c AS (SELECT vec_id, ns, s, max(s) OVER w AS a, min(s) OVER w AS b FROM k WHERE ns <= {KNEE} WINDOW w AS (PARTITION BY vec_id)),
+@query("kneedle_k", "O6", f"""WITH {ROWS_SQL}, c AS (SELECT vec_id, ns, s, max(s) OVER w AS a, min(s) OVER w AS b FROM k WHERE ns <= {KNEE} WINDOW w AS (PARTITION BY vec_id)),
 g AS (SELECT vec_id, ns, round((s - b) / (a - b) - (1.0 - (ns - 1) / {KNEE - 1}.0), 9) AS score FROM c)
 SELECT vec_id, least(greatest(arg_min(ns, ROW(-score, ns)), 4), 24) AS token_k FROM g GROUP BY 1""")
 def kneedle_k(spark, sf_dir):
@@ -103,7 +103,7 @@ def suffix_align(spark, sf_dir):
     return t.filter("pos is not null and pos < 50")
 
 
-@query("vocab_remap", "L11 J14", f"WITH {ROWS_SQL} SELECT vec_id, count(*) FILTER (WHERE i < 48) AS kept, CAST(coalesce(sum(i) FILTER (WHERE i < 48), 0) AS BIGINT) AS index_sum FROM k WHERE ns <= 8 GROUP BY 1")
+@query("vocab_remap", "L11", f"WITH {ROWS_SQL} SELECT vec_id, count(*) FILTER (WHERE i < 48) AS kept, CAST(coalesce(sum(i) FILTER (WHERE i < 48), 0) AS BIGINT) AS index_sum FROM k WHERE ns <= 8 GROUP BY 1")
 def vocab_remap(spark, sf_dir):
     t = rows(spark, sf_dir).select("vec_id", L.remap(L.top_k(F.col(S), 8), 48).alias("m"))
     return t.select("vec_id", F.size("m").cast("long").alias("kept"), F.aggregate("m", F.lit(0).cast("long"), lambda a, e: a + e["idx"]).alias("index_sum"))

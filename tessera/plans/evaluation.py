@@ -231,7 +231,7 @@ def bbox_aggregate(spark, sf_dir):
     return rounded(metrics.box_aggregate(box_pairs(spark, sf_dir)), "mean_iou", "mean_center_distance", "mean_abs_dx", "mean_area_error", "mean_l1")
 
 
-@query("pixel_bbox", "F54 A28", f"""WITH {PAIR_SQL} SELECT sample_id, idx, least(1919, round_even(ax1 / 1000.0 * 1920, 0)::INT) AS x1, least(1079, round_even(ay1 / 1000.0 * 1080, 0)::INT) AS y1,
+@query("pixel_bbox", "F54", f"""WITH {PAIR_SQL} SELECT sample_id, idx, least(1919, round_even(ax1 / 1000.0 * 1920, 0)::INT) AS x1, least(1079, round_even(ay1 / 1000.0 * 1080, 0)::INT) AS y1,
   least(1919, round_even(ax2 / 1000.0 * 1920, 0)::INT) AS x2, least(1079, round_even(ay2 / 1000.0 * 1080, 0)::INT) AS y2 FROM q""")
 def pixel_bbox(spark, sf_dir):
     b = box_pairs(spark, sf_dir).select("sample_id", F.col("idx").cast("long").alias("idx"), G.to_pixels(F.col("a"), F.lit(1920), F.lit(1080)).alias("b"))

@@ -8,9 +8,10 @@ from tessera.functions import geometry as G
 from tessera.functions import logits as L
 from tessera.functions import modelparse as M
 from tessera.functions import text as T
-from tessera.operators import align, metrics
+from tessera.operators import align, match, metrics
+from tessera.plans import arrays, parsing  # noqa: F401  registers the SQL used here
 from tessera.plans import views as V
-from tessera.plans.catalogue import query
+from tessera.plans.catalogue import SQL, query
 
 R = 6
 
@@ -160,9 +161,68 @@ def parse_model_output(spark, sf_dir):
     return p.select("n_nationkey", F.size("parsed.elements").alias("elements"), "parsed.parse_error", "parsed.parse_repair")
 
 
-@query("prepared_reference", "L12 A19", "SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 3 = 0) AS remapped FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)")
+@query("prepared_reference", "L12", "SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 3 = 0) AS remapped FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)")
 def prepared_reference(spark, sf_dir):
     """Cached scores for a student vocabulary: the same size passes, a larger one is cut to the shared part."""
     rows = V.logit_rows(spark, sf_dir).select("vec_id", L.top_k(F.col("reference"), 8).alias("t"), F.when(F.col("vec_id") % 3 == 0, 48).otherwise(64).alias("vocab"))
     kept = F.when(F.col("vocab") < 64, L.remap(F.col("t"), 48)).otherwise(F.col("t"))
     return rows.select("vocab", F.size(kept).alias("n")).agg(F.count("*").alias("rows"), F.count_if(F.col("vocab") == 48).alias("remapped"))
+
+
+@query("role_match", "J4", """WITH r AS (SELECT unnest(['base', 'tuned']) AS role)
+SELECT c_custkey, role, CASE WHEN role = 'tuned' AND c_custkey % 3 <> 0 THEN 1 ELSE 0 END AS matched, CASE WHEN role = 'tuned' AND c_custkey % 3 <> 0 THEN 1 WHEN role = 'base' AND c_custkey % 2 = 0 THEN 1 ELSE 0 END AS candidates FROM customer, r""")
+def role_match(spark, sf_dir):
+    """Names of customers against those of two roles: 'tuned' has two rows an id, the last one right, 'base' wrong ones."""
+    c = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array("c_name").alias("names"))
+    made = lambda role, rows, name, n: rows.select(F.lit(role).alias("role"), "id", name.alias("names"), F.lit(n).alias(align.ORD))
+    tuned, wrong = c.filter("id % 3 <> 0"), F.array(F.lit("???"))
+    rows = made("tuned", tuned, wrong, 1).unionByName(made("tuned", tuned, F.col("names"), 2)).unionByName(made("base", c.filter("id % 2 = 0"), wrong, 1))
+    m = align.by_role(c, rows, ["base", "tuned"]).withColumn("m", match.by_similarity(F.col("names"), F.col("candidate_names"), 0.9))
+    return m.select(F.col("id").alias("c_custkey"), "role", F.size(F.filter("m", lambda r: r["matched"])).alias("matched"), F.size("candidate_names").alias("candidates"))
+
+
+@query("vocab_equality", "J14", """WITH l AS (SELECT unnest([0, 1, 2]) AS pair, c_name AS token, c_custkey AS id FROM customer),
+r AS (SELECT pair, token, CASE WHEN pair = 1 AND id = 7 THEN 0 ELSE id END AS id FROM l WHERE pair <> 2 OR id <> 7),
+j AS (SELECT coalesce(l.pair, r.pair) AS pair, l.id, l.token IS NOT NULL AND r.token IS NOT NULL AND l.id = r.id AS same FROM l FULL JOIN r ON l.pair = r.pair AND l.token = r.token)
+SELECT pair, bool_and(coalesce(same, false)) AS equal, CASE WHEN bool_and(coalesce(same, false)) THEN max(id) + 1 END AS shared_size FROM j GROUP BY 1""")
+def vocab_equality(spark, sf_dir):
+    left = V.table(spark, sf_dir, "customer").select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pair"), F.col("c_name").alias("token"), F.col("c_custkey").alias("id"))
+    right = left.filter("pair <> 2 or id <> 7").withColumn("id", F.when((F.col("pair") == 1) & (F.col("id") == 7), 0).otherwise(F.col("id")))
+    return align.vocab_equality(left, right, "pair")
+
+
+@query("token_k_stats", "A22", f"SELECT CAST(min(token_k) AS DOUBLE) AS min, CAST(max(token_k) AS DOUBLE) AS max, round(avg(token_k), 6) AS mean FROM ({SQL['kneedle_k']})")
+def token_k_stats(spark, sf_dir):
+    return metrics.token_k_stats(arrays.kneedle_k(spark, sf_dir)).withColumn("mean", F.round("mean", R))
+
+
+@query("object_text", "F23", SQL["object_lines"].split("SELECT d.doc_id")[0].replace("SELECT doc_id, lower(x) AS k, min(i) AS i", "SELECT doc_id, lower(x) AS k, min(i) AS i, arg_min(x, i) AS x") + """
+SELECT d.doc_id, 'Object count: ' || count(k.k) || chr(10) || 'Objects:' || chr(10) || coalesce(string_agg('- ' || k.x, chr(10) ORDER BY k.i), '(none)') || chr(10) AS text FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY 1""")
+def object_text(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.let(T.object_lines(F.col("text")), T.object_text).alias("text"))
+
+
+@query("training_summary", "A19", """SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 5 <> 0) AS target_rows, count(*) FILTER (WHERE vec_id % 2 = 0) AS teacher_logits_rows, count(*) FILTER (WHERE vec_id % 7 = 0) AS switch_logits_rows,
+  '48,64' AS teacher_logits_vocab_sizes, '64' AS switch_logits_vocab_sizes FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)""")
+def training_summary(spark, sf_dir):
+    k, top = F.col("vec_id"), L.top_k(F.col("reference"), 8)
+    teacher, switch = k % 2 == 0, k % 7 == 0
+    rows = V.logit_rows(spark, sf_dir).select(
+        F.when(k % 5 != 0, F.concat(F.lit("label "), F.col("label").cast("string"))).when(k % 10 == 0, "").alias("target"),
+        F.when(teacher, top).alias("teacher_logits"), F.when(teacher, F.when(k % 3 == 0, 48).otherwise(64)).alias("teacher_logits_vocab_size"),
+        F.when(switch, top).alias("switch_logits"), F.when(switch, 64).alias("switch_logits_vocab_size"),
+    )
+    sizes = ("teacher_logits_vocab_sizes", "switch_logits_vocab_sizes")
+    return metrics.training_summary(rows).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in sizes})
+
+
+@query("drawing_summary", "A28", f"""WITH {V.BASE_SQL}, d AS (SELECT *, l_orderkey % 7 <> 0 AS parsed, idx % 5 = 4 AS bad, bx1 = bx2 AS flat FROM el_pred)
+SELECT count(DISTINCT sample_id) AS rows_total, count(DISTINCT sample_id) FILTER (WHERE parsed) AS images_written, count(DISTINCT sample_id) FILTER (WHERE NOT parsed) AS rows_parse_failed,
+  count(*) FILTER (WHERE parsed) AS elements_total, count(*) FILTER (WHERE parsed AND NOT bad AND NOT flat) AS elements_drawn, count(*) FILTER (WHERE parsed AND (bad OR flat)) AS elements_skipped,
+  count(*) FILTER (WHERE parsed AND bad) AS skipped_malformed_bbox, count(*) FILTER (WHERE parsed AND NOT bad AND flat) AS skipped_zero_area FROM d""")
+def drawing_summary(spark, sf_dir):
+    """Each seventh order stands for a prediction that was not parsed; the box of an element of idx % 5 = 4 lacks a number."""
+    e = V.el_pred(spark, sf_dir).withColumn("bbox_norm", F.when(F.col("idx") % 5 == 4, F.slice("bbox_norm", 1, 3)).otherwise(F.col("bbox_norm")))
+    rows = e.groupBy("sample_id").agg(F.collect_list(F.struct("bbox_norm")).alias("elements"))
+    failed = F.substring_index("sample_id", "-", -1).cast("long") % 7 == 0
+    return metrics.drawing_summary(rows.withColumn("elements", F.when(~failed, F.col("elements"))), 1920, 1080)

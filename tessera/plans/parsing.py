@@ -71,7 +71,7 @@ def pipe_table(spark, sf_dir):
     return t.select("id", F.size("t").cast("long").alias("elements"), F.aggregate("t", F.lit(0).cast("long"), lambda a, e: a + e["bbox_norm"][0]).alias("x1_sum"), F.size(F.filter("t", lambda e: e["focused"])).cast("long").alias("focused"))
 
 
-@query("object_lines", "F17 F18 U6 F23", """WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '^\\s*(?:[-*•]+|\\d+[.)]|[A-Za-z][.)])\\s*', '')) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+@query("object_lines", "F17 F18 U6", """WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '^\\s*(?:[-*•]+|\\d+[.)]|[A-Za-z][.)])\\s*', '')) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
 k AS (SELECT doc_id, lower(x) AS k, min(i) AS i FROM l WHERE x <> '' AND NOT regexp_matches(lower(x), '^(here are|objects:|object names:|visible objects:|visible ui elements:|ui elements:|elements:|output:|answer:|explanation:|note:|json|\\{|\\[|```)')
   AND NOT contains(x, '|') AND len(regexp_split_to_array(x, '\\s+')) <= 12 GROUP BY 1, 2)
 SELECT d.doc_id, count(k.k) AS names FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY 1""")

@@ -119,7 +119,7 @@ def natural_sort_half(spark, sf_dir):
     return d.withColumn("n", n).join(before, F.col("host") == F.col("of")).select("url", ((F.col("before") + F.col("n")) % 2 == 1).alias("kept"))
 
 
-@query("similarity_match", "J10 J4", None)
+@query("similarity_match", "J10", None)
 def similarity_match(spark, sf_dir):
     """Region by region: nation names against supplier names of the region, greedily by similarity."""
     n = V.table(spark, sf_dir, "nation")

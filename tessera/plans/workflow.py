@@ -45,7 +45,7 @@ def confidence_filter(spark, sf_dir):
     return P.confident(V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("teacher_confidence")), 0.5).select("id")
 
 
-@query("training_rows", "P7 A19", f"WITH {V.BASE_SQL} SELECT count(*) AS rows, count(DISTINCT sample_id) AS ids FROM (SELECT DISTINCT sample_id, l_orderkey FROM el_pred) WHERE l_orderkey % 4 <> 0")
+@query("training_rows", "P7", f"WITH {V.BASE_SQL} SELECT count(*) AS rows, count(DISTINCT sample_id) AS ids FROM (SELECT DISTINCT sample_id, l_orderkey FROM el_pred) WHERE l_orderkey % 4 <> 0")
 def training_rows(spark, sf_dir):
     rows = V.pred(spark, sf_dir)
     rows = rows.withColumn("elements", F.when(F.col(align.ORD) % 4 == 0, F.filter("elements", lambda e: F.lit(False))).otherwise(F.col("elements")))

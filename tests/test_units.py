@@ -266,3 +266,26 @@ def test_streams_equal_batches(spark, tmp_path):
     stream.append_new(df, f"{tmp_path}/t")
     stream.append_new(spark.createDataFrame([(2,), (3,)], "id int"), f"{tmp_path}/t")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [1, 2, 3]
+
+
+def test_by_role_last_row_wins_and_a_missing_one_matches_nothing(spark):
+    teacher = spark.createDataFrame([("a", ["x", "y"]), ("b", ["z"])], "id string, names array<string>")
+    rows = spark.createDataFrame([("s", "a", ["x"], 2), ("s", "a", ["y"], 1), ("t", "b", None, 1)], f"role string, id string, names array<string>, {align.ORD} int")
+    out = align.by_role(teacher, rows, ["s", "t"]).withColumn("m", match.by_similarity(F.col("names"), F.col("candidate_names"), 0.9))
+    got = {(r.id, r.role): [x.matched for x in r.m] for r in out.collect()}
+    assert got == {("a", "s"): [True, False], ("a", "t"): [False, False], ("b", "s"): [False], ("b", "t"): [False]}
+
+
+def test_vocab_equality(spark):
+    rows = lambda *x: spark.createDataFrame(x, "pair int, token string, id long")
+    left = rows((0, "a", 0), (0, "b", 5), (1, "a", 0), (2, "a", 0), (3, "a", 0), (3, "b", 1))
+    right = rows((0, "b", 5), (0, "a", 0), (1, "a", 1), (2, "a", 0), (2, "b", 1), (3, "a", 0))
+    got = {r.pair: (r.equal, r.shared_size) for r in align.vocab_equality(left, right, "pair").collect()}
+    assert got == {0: (True, 6), 1: (False, None), 2: (False, None), 3: (False, None)}
+
+
+def test_drawing_summary(spark):
+    boxes = [([([1.0, 2.0, 3.0, 4.0],), ([5.0, 5.0, 5.0, 9.0],), ([1.0, 2.0],), (None,), ([1.0, float("nan"), 3.0, 4.0],)],), ([],), (None,)]
+    rows = spark.createDataFrame(boxes, "elements array<struct<bbox_norm:array<double>>>")
+    assert tuple(metrics.drawing_summary(rows, 1000, 1000).first()) == (3, 2, 1, 5, 1, 4, 3, 1)
+    assert tuple(metrics.drawing_summary(rows.limit(0), 1000, 1000).first()) == (0,) * 8
