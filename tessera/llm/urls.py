@@ -15,8 +15,6 @@ from tessera.llm.common import let, table
 #: Intervals up to this many are broadcast (about 100 bytes each); beyond, captures of hot patterns are salted.
 BROADCAST_INTERVALS = 100_000
 SALTS = 16
-#: Path segments that patterns may have.
-PATH_DEPTH = 4
 
 
 def host_of(url: Column) -> Column:
@@ -31,16 +29,17 @@ def path_of(url: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that cover the URL, most specific first: path prefixes of the host, then its domain suffixes."""
+def patterns_of(url: Column, depth: int | None = None) -> Column:
+    """All patterns that cover the URL, most specific first: path prefixes of the host, then its domain suffixes.
+
+    ``depth``: prefixes of so many segments at most, where no pattern has more; else all.
+    """
+    path = path_of(url) if depth is None else F.slice(path_of(url), 1, depth)
 
     def of(host: Column) -> Column:
         labels = F.split(host, r"\.")
         suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        prefixes = let(
-            F.slice(path_of(url), 1, PATH_DEPTH),
-            lambda p: F.transform(F.filter(F.sequence(F.lit(PATH_DEPTH), F.lit(1), F.lit(-1)), lambda k: k <= F.size(p)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(p, F.lit(1), k), "/"))),
-        )
+        prefixes = let(path, lambda p: F.reverse(F.transform(p, lambda _, i: F.concat(host, F.lit("/"), F.array_join(F.slice(p, F.lit(1), i + 1), "/")))))
         return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.concat(prefixes, suffix))
 
     return let(host_of(url), of)
@@ -70,10 +69,12 @@ def filtered(captures: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(url_col).alias("url"), F.col(time_col).alias("time"))
     # what is asked: each URL and time once, so a capture repeated ever so often is one row
     asked = rows.select("url", "time").filter(F.col("url").isNotNull() & F.col("time").isNotNull()).distinct()
-    asked = asked.select("url", "time", F.posexplode(patterns_of(F.col("url"))).alias("rank", "key"))
+    # a listed pattern of any depth is met: URLs name prefixes down to the deepest one
+    n_listed, depth = listed.agg(F.count("*"), F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit(""))))).first()
+    asked = asked.select("url", "time", F.posexplode(patterns_of(F.col("url"), depth or 0)).alias("rank", "key"))
     listed = listed.select(F.col("pattern").alias("listed"), "valid_from", "valid_to")
     on = (F.col("key") == F.col("listed")) & (F.col("valid_from") <= F.col("time")) & (F.col("valid_to").isNull() | (F.col("time") < F.col("valid_to")))
-    if listed.count() <= BROADCAST_INTERVALS:
+    if n_listed <= BROADCAST_INTERVALS:
         hits = asked.join(F.broadcast(listed), on)
     else:
         salted = listed.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))

@@ -317,6 +317,17 @@ def test_url_filter_as_of(spark, monkeypatch, limit):
     assert urls.filtered(caps.limit(0), listed).collect() == []
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_url_filter_at_any_depth(spark, monkeypatch, limit):
+    monkeypatch.setattr(urls, "BROADCAST_INTERVALS", limit)
+    deep = "/".join(f"s{i}" for i in range(12))
+    events = [("e.com/a/b/c/d/e", "add", 1), (f"e.com/{deep}", "add", 1), ("e.com/a/b", "add", 1)]
+    listed = urls.intervals(spark.createDataFrame(events, "pattern string, action string, at int"))
+    pages = [(1, "http://e.com/a/b/c/d/e", 5), (2, "http://e.com/a/b/c/d/e/f/g?q=/h", 5), (3, "http://e.com/a/b/c/d", 5), (4, f"http://e.com/{deep}/x", 5), (5, "http://e.com/s0/s1", 5), (6, "http://e.com", 5)]
+    out = urls.filtered(spark.createDataFrame(pages, "page_id long, url string, fetched_at int"), listed).collect()
+    assert {r.page_id: r.pattern for r in out} == {1: events[0][0], 2: events[0][0], 3: events[2][0], 4: events[1][0], 5: None, 6: None}
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>é" + "x\r\n\r\nWARC/1.1\r\n" * 20
     data = [(5, "http://a/ b", long), (3, "http://a", long), (9, None, long), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (3, "http://a", long), (8, "u", long + "."), (None, "u", long), (9, None, "other " * 30)]
