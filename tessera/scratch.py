@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """That folder; one of our own only where the setting is missing."""
+    """That folder; where the setting is missing, one of our own in local mode and an error on a cluster, as no executor
+    sees another's disk."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,7 +35,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the tables behind results of ``written`` that nothing reads any more."""
+    for df in frames:
+        path = df.__dict__.pop("_scratch_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _made[:] = [x for x in _made if x[1] != path]
+
+
+def made_so_far() -> int:
+    """A mark for ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(mark: int, *keep: DataFrame) -> None:
+    """Deletes the scratch tables made since the mark but those behind ``keep``."""
+    kept = {df.__dict__.get("_scratch_path") for df in keep}
+    for spark, path in _made[mark:]:
+        if path not in kept:
+            _delete(spark, path)
+    _made[mark:] = [x for x in _made[mark:] if x[1] in kept]
 
 
 def drop_scratch() -> None:
@@ -39,8 +73,7 @@ def drop_scratch() -> None:
     while _made:
         spark, path = _made.pop()
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone, and its folder with it
             return
 
