@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.scratch import scratch_path, written
+from tessera.scratch import drop, scratch_path, written
 from tessera.workers import ship
 
-__all__ = ["GAP", "WORD", "let", "map_arrow", "n_words", "scratch_path", "table", "words_of", "written"]
+__all__ = ["GAP", "WORD", "drop", "let", "map_arrow", "n_words", "scratch_path", "table", "words_of", "written"]
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"

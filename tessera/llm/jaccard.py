@@ -4,16 +4,20 @@
    documents (fixed size) tells rare shingles from those that many documents share.
 2. Routing. A set of n shingles sends its n - ceil(t n) + 1 rarest to the task of their hash. Two sets of similarity t
    or more share one of these (prefix filter), whatever the counts in the sketch say. The members of a shingle, cut
-   where sizes leave a gap no link can cross, form a bucket; equal buckets are one.
-3. Star pass. In each bucket the member of the smallest hash is held against the others by their bitmaps, and verified
-   where they may link. Its links join nearly all large groups, at a cost linear in the members.
-4. Tree pass. For the buckets that still hold several components, signature trees yield all pairs of different
-   components that may link, and those are verified. Pairs inside a component need no check, as they change nothing.
-   Only sets of pairs that passed their bitmaps are made for verification.
+   where sizes leave a gap no link can cross, form a bucket; equal buckets are one. The buckets whose smallest node,
+   their lead, is the same go into one signature tree.
+3. Seeds. Each tree yields the pairs that may link of a set and the leads of the nodes above it, n log n at most. The
+   verified ones join nearly all large groups.
+4. Dual traversal. The trees of buckets that still hold several components yield all pairs of different components that
+   may link, and those are verified. Pairs inside a component need no check, as they change nothing.
 5. Components by contraction: every node hooks onto its smallest neighbour until no edge is left. All tables stay
    distributed; the driver holds the sketch and counts only.
 
-Verification is exact on 64-bit shingle hashes. Tables between the steps are written to the shared folder.
+Every candidate comes from a tree. A shingle that very many sets route, and a lead with very many sets, are cut into
+blocks: trees of blocks are seeded one by one, each with the lead, and traversed pair by pair.
+
+Verification is exact on 64-bit shingle hashes; a set is known by 128 bits. Tables between the steps are written to the
+shared folder and deleted when later ones replace them.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, table, written
+from tessera.llm.common import drop, map_arrow, table, written
 
 #: Similarity as a ratio.
 NUM, DEN = 80, 100
@@ -32,8 +36,13 @@ NUM, DEN = 80, 100
 DEPTH, WIDTH = 2, 1 << 17
 SLICES = 32
 #: Routed shingles to a task, about.
-TASK_TOKENS = 1_000_000
+TASK_TOKENS = 500_000
 BUFFER = 1 << 20
+#: A shingle that more sets than this hold beyond the usual, by the sketch, is dealt over all tasks; a lead's tree holds
+#: about so many sets, larger ones are cut into blocks.
+HOT_TOKEN, TREE_NODES = 1_000_000, 100_000
+#: Bits of a node's number; sets that share a number get others by their second signature.
+NODE_BITS = 64
 #: Rows to a file of the narrow tables between the steps, about.
 FILE_ROWS = 250_000
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, they are joined by shuffle.
@@ -108,22 +117,39 @@ def ranks(counts):
     return np.where(over > 8 * np.sqrt(usual) + 8, np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
-def prefix(s, order):
-    """The n - ceil(t n) + 1 shingles that come first: rare before common, then by hash."""
-    size = len(s) + (-NUM * len(s) // DEN) + 1
+def commonness(s, order):
+    """The rank of each shingle: the smaller of its counters'."""
     common = order[0][cell(s, 0)]
     for d in range(1, DEPTH):
         common = np.minimum(common, order[d][cell(s, d)])
+    return common
+
+
+def prefix(s, order):
+    """The n - ceil(t n) + 1 shingles that come first: rare before common, then by hash."""
+    size = len(s) + (-NUM * len(s) // DEN) + 1
+    common = commonness(s, order)
     return s[np.argsort(common, kind="stable")[:size]] if common.any() else s[:size]
 
 
+def number(s, bits: int, others: dict[tuple[int, int], int]) -> int:
+    """The node of a set."""
+    from tessera.llm.shingles import signature
+
+    s1, s2 = signature(s)
+    s1 >>= 64 - bits
+    return others.get((s1, s2), s1) if others else s1
+
+
 ROUTED = "part long, data binary"
 ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4")])
 
 
-def router(order_bytes: bytes, parts: int):
+def router(order_bytes: bytes, parts: int, hot: int, node_of):
+    """Entries by task; those of shingles of rank ``hot`` or more are dealt by node as well, to parts from ``parts`` on."""
+
     def route(batches):
-        from tessera.llm.shingles import mix, shingles, signature
+        from tessera.llm.shingles import mix, shingles
 
         order = np.frombuffer(zlib.decompress(order_bytes), np.uint8).reshape(DEPTH, WIDTH)
         seen: set[int] = set()
@@ -132,8 +158,11 @@ def router(order_bytes: bytes, parts: int):
         def flush():
             entries = np.concatenate(waiting)
             part = (mix(entries["token"]) % np.uint64(parts)).astype(np.int64)
+            spread = commonness(entries["token"], order) >= hot
+            if spread.any():
+                part[spread] = parts + (mix(entries["token"][spread] + entries["node"][spread].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
             entries = entries[np.argsort(part, kind="stable")]
-            ends = np.cumsum(np.bincount(part, minlength=parts))
+            ends = np.cumsum(np.bincount(part, minlength=2 * parts))
             starts = np.append(0, ends[:-1])
             some = np.flatnonzero(ends > starts)
             waiting.clear()
@@ -144,7 +173,7 @@ def router(order_bytes: bytes, parts: int):
                 s = shingles(text.as_py())
                 if len(s) * (DEN - NUM) < NUM:  # one more or one fewer shingle is too much: links equal sets only
                     continue
-                node = signature(s)[0]
+                node = node_of(s)
                 if node in seen:
                     continue
                 if len(seen) > 500_000:
@@ -164,28 +193,53 @@ def router(order_bytes: bytes, parts: int):
     return route
 
 
-BUCKETS = "kind int, a long, b long, nodes binary, sizes binary"
+BUCKETS = "kind int, bucket long, lead long, nodes binary, sizes binary"
 
 
-def gather(batches):
-    """Kind 0: buckets (a: hash of the members); kind 1: star pairs (a, b)."""
-    parts: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parts.setdefault(k, []).append(data)
-    while parts:
-        _, blobs = parts.popitem()
-        e = np.frombuffer(b"".join(blobs), ENTRY)
-        blobs = None
-        yield from buckets_of(e)
+def gatherer(parts: int):
+    """Kind 0: buckets, known by a hash of their members; kind 1: slices of the buckets of hot shingles, known by the
+    shingle, without a lead."""
+
+    def gather(batches):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(k, []).append(data)
+        while held:
+            k, blobs = held.popitem()
+            e = np.frombuffer(b"".join(blobs), ENTRY)
+            blobs = None
+            yield from slices_of(e) if k >= parts else buckets_of(e)
+
+    return gather
+
+
+def distinct_entries(e):
+    """Entries by token, size and node, each once."""
+    e = e[np.lexsort((e["node"], e["n"], e["token"]))]
+    return e[~np.append(False, (e["token"][1:] == e["token"][:-1]) & (e["node"][1:] == e["node"][:-1]))]
+
+
+def bucket_rows(kind: int, names, leads, e, start, size):
+    """Rows of BUCKETS, the members of each bucket as bytes."""
+    nodes, sizes = np.ascontiguousarray(e["node"]), np.ascontiguousarray(e["n"])
+    for at in range(0, len(size), 20_000):
+        some = range(at, min(at + 20_000, len(size)))
+        rows = [nodes[start[k] : start[k] + size[k]].tobytes() for k in some], [sizes[start[k] : start[k] + size[k]].tobytes() for k in some]
+        yield _columns(([kind] * len(some), names[at : at + 20_000], leads[at : at + 20_000], *rows), BUCKETS)
+
+
+def slices_of(e):
+    e = distinct_entries(e)
+    start = np.flatnonzero(np.append(True, e["token"][1:] != e["token"][:-1]))
+    size = np.diff(np.append(start, len(e)))
+    yield from bucket_rows(1, e["token"][start].view(np.int64), [None] * len(start), e, start, size)
 
 
 def buckets_of(e):
     from tessera.llm.shingles import mix
 
-    e = e[np.lexsort((e["node"], e["n"], e["token"]))]
-    same = np.append(False, (e["token"][1:] == e["token"][:-1]) & (e["node"][1:] == e["node"][:-1]))
-    e = e[~same]
+    e = distinct_entries(e)
     # a new bucket where the token changes, or the size by more than a link allows
     n = e["n"].astype(np.int64)
     new = np.append(True, (e["token"][1:] != e["token"][:-1]) | (n[:-1] * DEN < n[1:] * NUM))
@@ -195,70 +249,54 @@ def buckets_of(e):
     if not len(size):
         return
     start = np.append(0, np.cumsum(size)[:-1])
-    h = np.add.reduceat(mix(e["node"].view(np.uint64) if e["node"].flags.c_contiguous else e["node"].astype(np.uint64)), start)
+    h = np.add.reduceat(mix(np.ascontiguousarray(e["node"]).view(np.uint64)), start)
     h = mix(h + size.astype(np.uint64))
     _, one = np.unique(h, return_index=True)
     kept = np.zeros(len(size), bool)
     kept[one] = True
     e, size, h = e[np.repeat(kept, size)], size[kept], h[kept]
     start = np.append(0, np.cumsum(size)[:-1])
-    nodes, sizes = np.ascontiguousarray(e["node"]), np.ascontiguousarray(e["n"])
-    for at in range(0, len(size), 20_000):
-        some = range(at, min(at + 20_000, len(size)))
-        rows = [nodes[start[k] : start[k] + size[k]].tobytes() for k in some], [sizes[start[k] : start[k] + size[k]].tobytes() for k in some]
-        yield _columns(([0] * len(some), h[at : at + 20_000].view(np.int64), [0] * len(some), *rows), BUCKETS)
-    # stars: the member of the smallest hash with each other one
-    bucket = np.repeat(np.arange(len(size)), size)
-    first = np.lexsort((nodes, bucket))[start]
-    a, b = np.repeat(nodes[first], size), nodes
-    na, nb = np.repeat(sizes[first], size).astype(np.int64), sizes.astype(np.int64)
-    fits = (a != b) & (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM)
-    pairs = np.unique(np.stack([a[fits], b[fits]], 1), axis=0)
-    for at in range(0, len(pairs), 100_000):
-        p = pairs[at : at + 100_000]
-        none = [None] * len(p)
-        yield _columns(([1] * len(p), np.minimum(p[:, 0], p[:, 1]), np.maximum(p[:, 0], p[:, 1]), none, none), BUCKETS)
+    yield from bucket_rows(0, h.view(np.int64), np.minimum.reduceat(e["node"], start), e, start, size)
 
 
-MEMBERS = "bucket long, node long, n long"
+MEMBERS = "bucket long, lead long, node long, n long"
 
 
 def members(batches):
+    import pyarrow as pa
+
     for batch in batches:
         for k in range(batch.num_rows):
-            nodes, sizes = np.frombuffer(batch.column(1)[k].as_py(), np.int64), np.frombuffer(batch.column(2)[k].as_py(), np.uint32)
-            yield _columns((np.full(len(nodes), batch.column(0)[k].as_py()), nodes, sizes.astype(np.int64)), MEMBERS)
+            nodes, sizes = np.frombuffer(batch.column(2)[k].as_py(), np.int64), np.frombuffer(batch.column(3)[k].as_py(), np.uint32)
+            same = [pa.repeat(batch.column(c)[k], len(nodes)) for c in (0, 1)]
+            yield _columns((*same, nodes, sizes.astype(np.int64)), MEMBERS)
 
 
-BITS = "node long, n long, rough binary, bits binary"
+BITS = "node long, rough binary, bits binary"
 SETS = "node long, tokens binary"
 
 
-def bits_of(batches):
-    from tessera.llm.shingles import shingles, signature
-    from tessera.llm.signature_tree import FINE, ROUGH, bitmap
+def bits_maker(node_of):
+    def bits_of(batches):
+        from tessera.llm.shingles import shingles
+        from tessera.llm.signature_tree import FINE, ROUGH, bitmap
 
-    for batch in batches:
-        sets = [shingles(text.as_py()) for text in batch.column(1)]
-        yield _columns(([signature(s)[0] for s in sets], [len(s) for s in sets], [bitmap(s, ROUGH) for s in sets], [bitmap(s, FINE) for s in sets]), BITS)
+        for batch in batches:
+            sets = [shingles(text.as_py()) for text in batch.column(1)]
+            yield _columns(([node_of(s) for s in sets], [bitmap(s, ROUGH) for s in sets], [bitmap(s, FINE) for s in sets]), BITS)
 
+    return bits_of
 
-def sets_of(batches):
-    from tessera.llm.shingles import shingles, signature
-
-    for batch in batches:
-        sets = [shingles(text.as_py()) for text in batch.column(1)]
-        yield _columns(([signature(s)[0] for s in sets], [s.tobytes() for s in sets]), SETS)
 
+def sets_maker(node_of):
+    def sets_of(batches):
+        from tessera.llm.shingles import shingles
 
-def plausible(batches):
-    """The pairs (a, b, sizes, bitmaps) whose bitmaps do not rule a link out."""
-    from tessera.llm.signature_tree import pair_may_link
+        for batch in batches:
+            sets = [shingles(text.as_py()) for text in batch.column(1)]
+            yield _columns(([node_of(s) for s in sets], [s.tobytes() for s in sets]), SETS)
 
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        kept = [(a, b) for a, b, na, nb, x, y in zip(*columns) if pair_may_link(na, nb, x, y, NUM, DEN)]
-        yield _columns(([a for a, _ in kept], [b for _, b in kept]), LINKS)
+    return sets_of
 
 
 LINKS = "a long, b long"
@@ -278,33 +316,82 @@ def verify(batches):
         yield _columns(found, LINKS)
 
 
+def by_tree(batches, made):
+    """What ``made`` yields for the rows of each tree, (lead, one, two) in order; the rows of one tree are held at a time."""
+    at, held = None, []
+    for batch in batches:
+        for lead, one, two, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lead, one, two) != at:
+                if held:
+                    yield from pairs_of(made, at, held)
+                at, held = (lead, one, two), []
+            held.append(tuple(row))
+    if held:
+        yield from pairs_of(made, at, held)
+
+
+def pairs_of(made, at, rows):
+    for a, b in made(at, rows):
+        if len(a):
+            yield _columns((a, b), LINKS)
+
+
+def seed_pairs(batches):
+    """Pairs that may link, from the seeds of each tree; rows (lead, block, block, node, n, bits)."""
+    from tessera.llm.signature_tree import pair_may_link, seeds
+
+    def made(_, rows):
+        if len(rows) == 2:  # the root of a tree of two sets has one pair below it
+            (i, n, x), (j, m, y) = rows
+            if pair_may_link(n, m, x, y, NUM, DEN):
+                yield np.array([min(i, j)]), np.array([max(i, j)])
+            return
+        ids, sizes = (np.array([r[k] for r in rows], np.int64) for k in range(2))
+        yield from seeds(ids, sizes, [r[2] for r in rows], NUM, DEN)
+
+    yield from by_tree(batches, made)
+
+
 def tree_pairs(batches):
-    """Pairs of different components among the nodes of a lead that may link, from their signature tree.
+    """Pairs of different components that may link, from the dual traversal of each tree, or of two blocks of one.
 
-    Rows come sorted by lead; the nodes of one lead are held at a time. Two nodes make a pair without a tree.
+    Rows are (lead, one, two, node, n, component, bits, block), where one and two are the blocks of a lead that meet.
     """
     from tessera.llm.signature_tree import candidates, pair_may_link
 
-    def pairs(rows: list[tuple]):
-        if len(rows) == 2:
-            (i, n, c, x), (j, m, d, y) = rows
+    def made(at, rows):
+        _, one, two = at
+        if len(rows) == 2 and one == two:
+            (i, n, c, x, _), (j, m, d, y, _) = rows
             if c != d and pair_may_link(n, m, x, y, NUM, DEN):
                 yield np.array([min(i, j)]), np.array([max(i, j)])
             return
         ids, sizes, groups = (np.array([r[k] for r in rows], np.int64) for k in range(3))
         _, groups = np.unique(groups, return_inverse=True)  # numbers from 0, as -1 stands for mixed
-        yield from candidates(ids, sizes, [r[3] for r in rows], groups.astype(np.int64), NUM, DEN)
-
-    at, held = None, []
-    for batch in batches:
-        for lead, *row in zip(*(batch.column(c).to_pylist() for c in ("lead", "node", "n", "component", "bits"))):
-            if lead != at:
-                for a, b in pairs(held) if held else ():
-                    yield _columns((a, b), LINKS)
-                at, held = lead, []
-            held.append(tuple(row))
-    for a, b in pairs(held) if held else ():
-        yield _columns((a, b), LINKS)
+        side = None if one == two else np.array([r[4] == two for r in rows], np.int64)
+        yield from candidates(ids, sizes, [r[3] for r in rows], groups.astype(np.int64), NUM, DEN, side)
+
+    yield from by_tree(batches, made)
+
+
+def blocked(rows: DataFrame, pairs: bool) -> DataFrame:
+    """``rows`` (lead, node, ...) with one, two and block: the blocks of its lead, TREE_NODES sets each, in which a row
+    takes part. Blocks alone, each with the lead itself, or with ``pairs`` all pairs of blocks."""
+    large = rows.groupBy(F.col("lead").alias("of")).agg(F.count("*").alias("size")).filter(F.col("size") > TREE_NODES)
+    large = written(large.select("of", F.ceil(F.col("size") / TREE_NODES).cast("int").alias("blocks")), "near-large")
+    zero = F.lit(0).alias
+    n_large = large.count()
+    if not n_large:
+        drop(large)
+        return rows.withColumns({"one": zero("one"), "two": zero("two"), "block": zero("block")})
+    out = rows.join(F.broadcast(large) if n_large <= BROADCAST_IDS else large, F.col("lead") == F.col("of"), "left").drop("of").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if pairs:
+        out = out.withColumn("other", F.explode(each)).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
+    else:
+        out = out.withColumn("one", F.explode(F.when(F.col("node") == F.col("lead"), each).otherwise(F.array("block")))).withColumn("two", F.col("one"))
+    return out.drop("blocks")
 
 
 def with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -329,10 +416,13 @@ def components(links: DataFrame, name: str) -> DataFrame:
     while not edges.isEmpty():
         # every node hooks onto its smallest neighbour; the edge to it is carried over, so no connection is lost
         up = written(ends(edges).groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")).coalesce(n), f"{name}-up")
-        labels = written(labels.join(up.withColumnRenamed("node", "of"), F.col("component") == F.col("of"), "left").select(labels["node"], F.coalesce("up", "component").alias("component")).coalesce(n), f"{name}-labels")
+        new = written(labels.join(up.withColumnRenamed("node", "of"), F.col("component") == F.col("of"), "left").select(labels["node"], F.coalesce("up", "component").alias("component")).coalesce(n), f"{name}-labels")
         moved = edges.join(up.withColumnsRenamed({"node": "na", "up": "ua"}), F.col("a") == F.col("na")).join(up.withColumnsRenamed({"node": "nb", "up": "ub"}), F.col("b") == F.col("nb"))
         moved = moved.filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        edges = written(moved.coalesce(n), f"{name}-edges")
+        left = written(moved.coalesce(n), f"{name}-edges")
+        drop(labels, edges, up)
+        labels, edges = new, left
+    drop(edges)
     return labels
 
 
@@ -344,10 +434,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id take part; their component is that of the smallest id they reach, null if there is none. An empty
     table gives no rows; other columns are dropped.
     """
-    full = grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    least = full.filter("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    full = written(grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "near-full")
+    # one row a component, written: the join's other side may then be split where a component is large
+    least = full.filter("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    least = written(least.filter("rows > 1").drop("rows"), "near-least")
     out = full.join(least, F.col("component") == F.col("of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def numbered(heads: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """``heads`` with node in place of the signatures, and the numbers of the sets whose first signature another set has.
+
+    Such sets are few whatever the input, about n * n / 2**65 of n sets: each but the one of the smallest second
+    signature gets a number that no first signature has.
+    """
+    from tessera.llm.shingles import mix
+
+    bits = NODE_BITS
+    heads = heads.withColumn("s1", F.shiftright("s1", 64 - bits))
+    twice = heads.filter("n > 0").groupBy("s1").agg(F.min("s2").alias("low"), F.max("s2").alias("high")).filter("low <> high").select(F.col("s1").alias("of"), "low")
+    rest = heads.filter("n > 0").join(twice, (F.col("s1") == F.col("of")) & (F.col("s2") != F.col("low"))).select("s1", "s2").distinct()
+    others: dict[tuple[int, int], int] = {}
+    todo = sorted((r.s1, r.s2) for r in rest.collect())
+    step = 0
+    while todo:
+        step += 1
+        tried = {}
+        for s1, s2 in todo:
+            x = np.array([s1 & (2**64 - 1)], np.uint64) * np.uint64(3) + np.array([s2 & (2**64 - 1)], np.uint64) + np.uint64(step)
+            tried[s1, s2] = int(mix(x).view(np.int64)[0])
+        ids = list(tried.values())
+        taken = {r[0] for r in heads.filter(F.col("s1").isin(ids)).select("s1").distinct().collect()} | {x for x in ids if ids.count(x) > 1} | set(others.values())
+        others |= {k: v for k, v in tried.items() if v not in taken}
+        todo = [k for k in todo if k not in others]
+    node = F.col("s1")
+    if others:
+        rows = heads.sparkSession.createDataFrame([(*k, v) for k, v in others.items()], "x1 long, x2 long, other long")
+        heads = heads.join(F.broadcast(rows), (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2")), "left")
+        node = F.coalesce("other", "s1")
+    return heads.withColumn("node", node).drop("s1", "s2", "x1", "x2", "other"), others
 
 
 def grouped(texts: DataFrame, marked: bool = False) -> DataFrame:
@@ -363,57 +488,85 @@ def grouped(texts: DataFrame, marked: bool = False) -> DataFrame:
     if not by_slice:
         return heads.select("doc_id", "n", F.lit(None).cast("long").alias("component"), *marks)
     order = ranks(np.concatenate([by_slice[k] for k in range(SLICES)]))
-
-    nodes = heads.filter("n > 0").groupBy("s1").agg(F.min("doc_id").alias("doc_id"), F.min("s2").alias("low"), F.max("s2").alias("high"), F.first("n").alias("n"))
-    nodes = written(nodes, "near-nodes")
-    sums = nodes.agg(F.sum(F.floor(F.col("n") * (DEN - NUM) / DEN) + 1).alias("tokens"), F.count_if(F.col("low") != F.col("high")).alias("clash")).first()
-    if sums.clash:
-        raise RuntimeError(f"{sums.clash} pairs of different shingle sets have equal 64-bit signatures")
-
-    n_nodes = nodes.count()
-    parts = max(64, (sums.tokens or 0) // TASK_TOKENS + 1)
-    routed = map_arrow(texts, router(zlib.compress(order.tobytes(), 6), parts), ROUTED).repartition(parts, "part")
-    gathered = written(map_arrow(routed, gather, BUCKETS), "near-buckets")
-    stars = gathered.filter("kind = 1").select("a", "b").distinct()
-    buckets = gathered.filter("kind = 0").groupBy(F.col("a").alias("bucket")).agg(F.first("nodes").alias("nodes"), F.first("sizes").alias("sizes"))
-    inside = written(map_arrow(buckets, members, MEMBERS), "near-members")
+    hot = max(1, int(np.ceil(np.log2(HOT_TOKEN)))) if HOT_TOKEN > 1 else 0
+
+    heads, others = numbered(heads)
+    node_bits = NODE_BITS
+    node_of = lambda s: number(s, node_bits, others)
+    nodes = written(heads.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "near-nodes")
+    n_nodes, tokens = nodes.agg(F.count("*"), F.sum(F.floor(F.col("n") * (DEN - NUM) / DEN) + 1)).first()
+
+    parts = max(2 * spark.sparkContext.defaultParallelism, (tokens or 0) // TASK_TOKENS + 1)
+    routed = map_arrow(texts, router(zlib.compress(order.tobytes(), 6), parts, hot, node_of), ROUTED).repartition(parts, "part")
+    gathered = written(map_arrow(routed, gatherer(parts), BUCKETS), "near-buckets")
+    plain = gathered.filter("kind = 0").groupBy("bucket").agg(*[F.first(c).alias(c) for c in ("lead", "nodes", "sizes")])
+    inside = map_arrow(plain, members, MEMBERS)
+    spread = gathered.filter("kind = 1")
+    if not spread.isEmpty():
+        # the bucket of a hot shingle is dealt over all tasks, which agree on its lead; a shingle is one row here
+        loose = map_arrow(spread.select("bucket", "lead", "nodes", "sizes"), members, MEMBERS).drop("lead")
+        leads = written(loose.groupBy(F.col("bucket").alias("of")).agg(F.min("node").alias("lead")), "near-leads")
+        n_leads = leads.count()
+        loose = loose.join(F.broadcast(leads) if n_leads <= BROADCAST_IDS else leads, F.col("bucket") == F.col("of"))
+        inside = inside.unionByName(loose.select("bucket", "lead", "node", "n"))
+    inside = written(inside, "near-members")
+    drop(gathered)
 
     def made(wanted: DataFrame, run, schema: str, name: str) -> DataFrame:
         """What ``run`` makes of the texts of the wanted nodes, one row a node."""
-        ids = wanted.join(nodes.select(F.col("s1").alias("of"), "doc_id"), F.col("node") == F.col("of")).select(F.col("doc_id").alias("id"))
+        ids = wanted.join(nodes.select(F.col("node").alias("of"), "doc_id"), F.col("node") == F.col("of")).select(F.col("doc_id").alias("id"))
         ids = written(ids.coalesce(files(n_nodes)), "near-ids")
         small = ids.count() <= BROADCAST_IDS
         picked = texts.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
         # equal or null ids may bring texts that were not asked for, and a set more than once
         out = map_arrow(picked, run, schema)
-        return written(out.groupBy("node").agg(*[F.first(c).alias(c) for c in out.columns if c != "node"]), name)
+        out = written(out.groupBy("node").agg(*[F.first(c).alias(c) for c in out.columns if c != "node"]), name)
+        drop(ids)
+        return out
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs that passed their bitmaps; only the sets of their nodes are made."""
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return written(map_arrow(with_both(pairs, made(ends, sets_of, SETS, "near-sets")), verify, LINKS), "near-links")
-
-    bits = made(inside.select("node").distinct(), bits_of, BITS, "near-bits")
-    likely = written(map_arrow(with_both(stars, bits.select("node", "n", F.col("rough").alias("bits"))), plausible, LINKS), "near-pairs")
+        sets = made(ends, sets_maker(node_of), SETS, "near-sets")
+        out = written(map_arrow(with_both(pairs, sets), verify, LINKS), "near-links")
+        drop(sets)
+        return out
+
+    def treed(rows: DataFrame, what: str, run, pairs: bool) -> DataFrame:
+        """The distinct pairs that ``run`` finds in the trees of ``rows`` (lead, node, ...)."""
+        maps = bits.select(F.col("node").alias("of"), F.col(what).alias("bits"))
+        rows = blocked(rows, pairs).join(maps, F.col("node") == F.col("of")).drop("of")
+        last = ["component", "bits", "block"] if pairs else ["bits"]
+        rows = rows.select("lead", "one", "two", "node", "n", *last)
+        at = ["lead", "one", "two"]
+        return map_arrow(rows.repartition(*at).sortWithinPartitions(*at), run, LINKS).distinct()
+
+    bits = made(inside.select("node").distinct(), bits_maker(node_of), BITS, "near-bits")
+    likely = written(treed(inside.select("lead", "node", "n").distinct(), "rough", seed_pairs, False), "near-pairs")
     links = verified(likely)
     first = components(links, "near-first")
-    own = inside.join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    own = inside.join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "lead", "node", "n", F.coalesce("component", "node").alias("component"))
     own = written(own.coalesce(files(inside.count())), "near-own")
-    # buckets of one lead, their smallest node, mostly hold the same nodes and go into one tree; more nodes lose no pair
-    mixed = own.groupBy("bucket").agg(F.min("node").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rest = own.join(mixed.select(F.col("bucket").alias("open"), "lead"), F.col("bucket") == F.col("open")).select("lead", "node", "n", "component").distinct()
-    rest = rest.join(bits.select(F.col("node").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of")
-    more = map_arrow(rest.repartition("lead").sortWithinPartitions("lead"), tree_pairs, LINKS)
+    drop(inside, links)
+    # buckets of one lead mostly hold the same nodes and go into one tree; more nodes lose no pair
+    mixed = written(own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("bucket").alias("open")), "near-open")
+    rest = written(own.join(mixed, F.col("bucket") == F.col("open"), "left_semi").select("lead", "node", "n", "component").distinct(), "near-rest")
+    drop(own, mixed)
+    more = treed(rest, "bits", tree_pairs, True)
     more = more.join(likely.withColumnsRenamed({"a": "sa", "b": "sb"}), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti")
-    extra = verified(written(more.distinct(), "near-pairs"))
+    more = written(more, "near-pairs")
+    extra = verified(more)
+    drop(bits, rest, likely, more)
     # components of the components that the second links join
     lift = lambda e, c: e.join(first.select(F.col("node").alias("of"), F.col("component").alias("up")), F.col(c) == F.col("of"), "left").withColumn(c, F.coalesce("up", c)).drop("of", "up")
     second = components(lift(lift(extra, "a"), "b"), "near-second")
     top = first.select("node", "component").unionByName(second.join(first, "node", "left_anti"))
-    top = top.join(second.withColumnsRenamed({"node": "of", "component": "up"}), F.col("component") == F.col("of"), "left").select("node", F.coalesce("up", "component").alias("component"))
+    top = top.join(second.withColumnsRenamed({"node": "of", "component": "up"}), F.col("component") == F.col("of"), "left").select(F.col("node").alias("of"), F.coalesce("up", "component").alias("component"))
+    top = written(top.coalesce(files(n_nodes)), "near-top")
+    drop(first, second, extra, nodes)
 
-    full = heads.join(top, heads["s1"] == top["node"], "left")
-    return full.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "s1")).alias("component"), *marks)
+    full = heads.join(top, F.col("node") == F.col("of"), "left")
+    return full.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"), *marks)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:

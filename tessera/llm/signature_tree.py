@@ -121,6 +121,24 @@ def dual(s: Tree, t: Tree, num: int, den: int):
         stack.append((p - open_s, q - open_t, i, j))
 
 
+def near_leads(tree: Tree, num: int, den: int):
+    """Arrays (ids, ids) of the pairs that may link of a set and the first set of each node above it: n log n pairs at most.
+
+    They join most of a large group, so that ``dual`` meets few pairs of different components afterwards.
+    """
+    n = len(tree.ids)
+    at, before = np.arange(n), np.full(n, -1)
+    for height in range(1, tree.top() + 1):
+        lead = at // FANOUT**height * FANOUT**height
+        new = np.flatnonzero((lead != at) & (lead != before))
+        before = lead
+        for k in range(0, len(new), CHUNK):
+            i = new[k : k + CHUNK]
+            i = i[may_link(tree.levels[0], tree.levels[0], i, lead[i], num, den)]
+            if len(i):
+                yield tree.ids[i], tree.ids[lead[i]]
+
+
 def children(parent, other, count: int):
     """The children of each parent with the parent's other side."""
     child = (parent[:, None] * FANOUT + np.arange(FANOUT)[None, :]).ravel()
@@ -129,20 +147,59 @@ def children(parent, other, count: int):
     return child[real], other[real]
 
 
-def candidates(ids, sizes, maps: list[bytes], groups, num: int = 80, den: int = 100):
-    """Pairs (smaller id, larger id) of sets that may reach num / den and are not of one group, chunk by chunk."""
+def trees(ids, sizes, maps: list[bytes], groups) -> dict[int, tuple]:
+    """What makes a tree (ids, sizes, words, groups) of the sets of each width, by bytes of a bitmap."""
     widths = np.array([len(m) for m in maps])
-    trees: dict[int, tuple[np.ndarray, ...]] = {}
+    out: dict[int, tuple] = {}
     for w in np.unique(widths):
         at = np.flatnonzero(widths == w)
         words = np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), -1)
-        trees[int(w)] = (ids[at], sizes[at], words, groups[at])
-    for w, parts in trees.items():
-        tree = Tree(*parts)
+        out[int(w)] = (ids[at], sizes[at], words, groups[at])
+    return out
+
+
+def folded(parts: tuple, w: int) -> Tree:
+    """The tree of sets with bitmaps of twice ``w`` bytes, folded to ``w``."""
+    ids, sizes, words, groups = parts
+    return Tree(ids, sizes, fold(words, w // 8), groups)
+
+
+def seeds(ids, sizes, maps: list[bytes], num: int = 80, den: int = 100):
+    """Pairs (smaller id, larger id) that may reach num / den, of each set with the leads of the nodes above it."""
+    parts = trees(ids, sizes, maps, ids)
+    for w, made in parts.items():
+        tree = Tree(*made)
+        yield from ordered(near_leads(tree, num, den))
+        if 2 * w in parts:  # the sets of either width meet at the middle, where sizes are nearest
+            other = folded(parts[2 * w], w)
+            j = np.arange(len(other.ids))
+            i = np.full(len(j), len(tree.ids) - 1)
+            kept = may_link(tree.levels[0], other.levels[0], i, j, num, den)
+            yield from ordered([(tree.ids[i[kept]], other.ids[j[kept]])])
+
+
+def candidates(ids, sizes, maps: list[bytes], groups, num: int = 80, den: int = 100, side=None):
+    """Pairs (smaller id, larger id) of sets that may reach num / den and are not of one group, chunk by chunk.
+
+    ``side``: 0 or 1 for each set, where only pairs of a set of side 0 with one of side 1 are asked for.
+    """
+    if side is not None:
+        one, two = (trees(ids[side == k], sizes[side == k], [m for m, x in zip(maps, side) if x == k], groups[side == k]) for k in (0, 1))
+        for w, made in one.items():
+            tree = Tree(*made)
+            if w in two:
+                yield from ordered(dual(tree, Tree(*two[w]), num, den))
+            if 2 * w in two:
+                yield from ordered(dual(tree, folded(two[2 * w], w), num, den))
+            if w // 2 in two:
+                yield from ordered(dual(folded(made, w // 2), Tree(*two[w // 2]), num, den))
+        return
+    parts = trees(ids, sizes, maps, groups)
+    for w, made in parts.items():
+        tree = Tree(*made)
         yield from ordered(dual(tree, tree, num, den))
-        if 2 * w in trees:  # sets of twice the bits may be of nearly equal size; those of four times are not
-            i2, n2, w2, g2 = trees[2 * w]
-            yield from ordered(dual(tree, Tree(i2, n2, fold(w2, w // 8), g2), num, den))
+        if 2 * w in parts:  # sets of twice the bits may be of nearly equal size; those of four times are not
+            yield from ordered(dual(tree, folded(parts[2 * w], w), num, den))
 
 
 def ordered(pairs):

@@ -212,7 +212,8 @@ def test_one_row_of_each_group(spark, odd, monkeypatch):
     assert jaccard.deduplicated(docs.limit(0), repeats=False).collect() == []
 
 
-def test_near_duplicates_at_the_border_and_in_large_groups(spark):
+@pytest.fixture(scope="module")
+def border():
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
     passage = [rnd.choice(words) for _ in range(60)]
@@ -233,8 +234,17 @@ def test_near_duplicates_at_the_border_and_in_large_groups(spark):
         docs.append((n, " ".join([rnd.choice(words) for _ in range(40)] + passage)))
         n += 1
     docs += [(n + i, " ".join(original)) for i in range(60)]
+    return docs, brute_groups(docs)
+
+
+@pytest.mark.parametrize("limits", [{}, {"HOT_TOKEN": 1, "TREE_NODES": 8, "NODE_BITS": 7}, {"TREE_NODES": 30, "BROADCAST_IDS": 0}])
+def test_near_duplicates_at_the_border_and_in_large_groups(spark, monkeypatch, border, limits):
+    """Also with every shingle dealt over all tasks, small blocks of trees, and sets that share their numbers."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    docs, want = border
     got = Counter(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
-    assert got == brute_groups(docs)
+    assert got == want
 
 
 def test_signature_trees_lose_no_link():
@@ -257,6 +267,21 @@ def test_signature_trees_lose_no_link():
                     assert signature_tree.pair_may_link(sizes[x], sizes[y], signature_tree.bitmap(sets[x], 2), signature_tree.bitmap(sets[y], 2), 80, 100)
 
 
+def test_blocks_of_a_tree_lose_no_link():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(120) > rng.random() * 0.3], rng.integers(0, 2**63, 5).astype(np.uint64)])) for _ in range(60)]
+    ids, sizes, maps = np.arange(60), np.array([len(s) for s in sets]), [signature_tree.bitmap(s) for s in sets]
+    pairs = lambda made: {(x, y) for a, b in made for x, y in zip(a.tolist(), b.tolist())}
+    side = ids % 2
+    found = pairs(signature_tree.candidates(ids, sizes, maps, ids, side=side))
+    assert all(side[x] != side[y] for x, y in found)
+    near = {(x, y) for x in range(60) for y in range(x + 1, 60) if 100 * (n := len(np.intersect1d(sets[x], sets[y]))) >= 80 * (sizes[x] + sizes[y] - n)}
+    assert near and {p for p in near if side[p[0]] != side[p[1]]} <= found
+    few = pairs(signature_tree.seeds(ids, sizes, maps))
+    assert len(few) <= 60 * 3 and few <= pairs(signature_tree.candidates(ids, sizes, maps, ids))
+
+
 def test_shingles():
     assert len(shingles(None)) == len(shingles(" \n\t")) == 0
     assert list(shingles("A b")) == list(shingles("a  B")) != list(shingles("a b c"))
