@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, schemes, digit pairs that only an address, a card or a
-phone number can hold, and words that announce an identifier. Deterministic parsers then expand each anchor to the
+phone number can hold, and words that announce an identifier, in whatever case. Deterministic parsers then expand each anchor to the
 boundaries of the email, address or account it belongs to and validate it. Every parser moves forward only, so a text
 costs time linear in its length, whatever it holds.
 
@@ -45,15 +45,19 @@ def automaton():
     words = {"@": "email"} | {s: "url" for s in SCHEMES}
     words |= {x + "." + y: "ip" for x in d for y in d} | {"+" + x: "phone" for x in d}
     words |= {x + gap + y: "card" for x in d for gap in ("", " ", "-") for y in d}
-    for cues, kind in ((ACCOUNT_CUES, "account"), (SECRET_CUES, "secret")):
-        for c in cues:
-            words |= {w: kind for w in (c, c.upper(), c.capitalize())}
+    words |= {c: "account" for c in ACCOUNT_CUES} | {c: "secret" for c in SECRET_CUES}
     for w, kind in words.items():
         a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
 
+def folded(t: str) -> str:
+    """The text in lower case, character by character, so that places stay the same."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(c if len(x := c.lower()) != 1 else x for c in t)
+
+
 def email_at(t: str, at: int, low: int) -> tuple[int, int] | None:
     """The address around the at-sign, not beginning before ``low``."""
     i, n = at, len(t)
@@ -203,7 +207,7 @@ def find(t: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, ascending; those of a kind do not overlap."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)  # the parser of a kind has dealt with all before
-    for last, (kind, size) in automaton().iter(t):
+    for last, (kind, size) in automaton().iter(folded(t)):
         first = last - size + 1
         low = done[kind]
         if kind == "email":

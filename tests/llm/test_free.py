@@ -109,6 +109,12 @@ def test_pii_added_spans():
     found = {k: [t[a:b] for a, b in v] for k, v in pii.find(t).items()}
     assert found["url"] == ["https://a.example.com/x?y=1"] and found["secret"] == ["abcdef0123456789abcd"]
     assert found["account"] == ["DE89 3704 0044 0532 0130 00", "12345678"]
+    for cue in (*pii.ACCOUNT_CUES, *pii.SECRET_CUES, *pii.SCHEMES):  # in whatever case
+        kind = "url" if cue in pii.SCHEMES else "secret" if cue in pii.SECRET_CUES else "account"
+        for said in (cue, cue.upper(), cue.title(), cue.capitalize(), "".join(c.upper() if i % 2 else c for i, c in enumerate(cue))):
+            t = f"İ {said}a.example.com" if kind == "url" else f"İ {said}: {'abcdefgh12345678' if kind == 'secret' else '12345678'}"
+            a, b = pii.find(t)[kind][0]
+            assert t[a:b] == t[2 if kind == "url" else t.index(": ") + 2 :], t
     for s in ("+1" * 50000, "1." * 50000, "a@" * 50000, "account token " * 10000):
         pii.find(s)
 
