@@ -79,8 +79,51 @@ def test_mixing(spark, sf001):
     assert sorted(rows, key=str) == sorted(again, key=str)
 
 
+def chosen(rows, goals):
+    """Words taken by plain sorting: whole epochs, then documents in the order of (key, id, size) up to the budget."""
+    by, out = defaultdict(list), Counter()
+    for source, i, size, key in rows:
+        by[source].append((key, i is not None, i, size))
+    for source, docs in by.items():
+        total = sum(d[3] for d in docs)
+        words = math.floor(goals[source] + 0.5)
+        epochs = words // total if total else 0
+        left = words - epochs * total
+        for key, _, i, size in sorted(docs, key=lambda d: d[:2] + ((d[2],) if d[1] else ()) + d[3:]):
+            more = min(left, size)
+            left -= more
+            out[source, i, size, epochs * size + more] += 1
+    return out
+
+
+@pytest.mark.parametrize("buckets", [3, 4096])
+def test_mixing_takes_what_plain_sorting_takes(spark, sf001, buckets):
+    docs = table(spark, sf001, "documents").select("doc_id", "source", "text")
+    docs = docs.unionByName(docs.filter("doc_id % 10 = 0")).unionByName(spark.createDataFrame([(None, "src0", "no id"), (5, None, "one"), (6, None, None)], docs.schema)).repartition(4)
+    rows = mixing.measured(docs).select("source", "mix.id", "mix.size", "mix.key").collect()
+    got = mixing.mix_sources(docs, buckets=buckets).select("source", "doc_id", "mix.*").collect()
+    assert Counter((r.source, r.doc_id, r.size, r.taken) for r in got) == chosen([tuple(r) for r in rows], {r.source: r.target for r in got})
+
+
+@pytest.mark.parametrize("tied", [1_000_000, 100])
+def test_mixing_of_one_row_over_and_over(spark, monkeypatch, tied):
+    monkeypatch.setattr(mixing, "TIED", tied)
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.mix_sources(docs.unionByName(spark.createDataFrame([(1, "x " * 40, "s")], docs.schema)), share=0.5).select("doc_id", "mix.*").collect()
+    assert len(rows) == 3001 and all(0 <= r.taken <= 2 * r.size for r in rows)
+    assert abs(sum(r.taken for r in rows) - 4520) <= (0 if tied > 100 else 90)
+    assert 1400 <= sum(r.taken == 3 for r in rows) <= 1520
+    assert abs(mixing.copies(mixing.mix_sources(docs, share=0.5)).count() - 1500) <= (0 if tied > 100 else 30)
+
+
+def test_mixing_by_a_weight_column(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"), F.expr("if(id % 2 = 0, 1.0, if(id % 5 = 0, null, 0.0))").alias("w"))
+    rows = mixing.mix_sources(docs, share=0.5, weight_col="w").select("doc_id", "mix.*").collect()
+    assert all((r.taken == r.size) == (r.doc_id % 2 == 0) for r in rows)
+
+
 def test_mixing_prefers_quality(spark):
-    docs = spark.range(4000).select("id", F.expr("if(id % 2 = 0, 'abcdef abcdef', 'a a')").alias("text"), F.expr("if(id < 2000, 'a', 'b')").alias("source"))
+    docs = spark.range(4000).select("id", F.expr("if(id % 2 = 0, 'abcdef abcdef', '### ##')").alias("text"), F.expr("if(id < 2000, 'a', 'b')").alias("source"))
     rows = mixing.mix_sources(docs, weights=(1, 1), share=0.5, id_col="id").select("id", "mix.*").collect()
     a = [r for r in rows if r.id < 2000]
     assert sum(r.taken for r in a if r.id % 2 == 0) > 1.5 * sum(r.taken for r in a if r.id % 2)
