@@ -2,7 +2,9 @@
 
 Every byte string of the vocabulary becomes a piece of printable characters, one a byte, scored by its negative rank;
 the normaliser is the identity. sentencepiece then joins the pair of lowest rank first, as byte-level BPE does, in
-n log n even for a pre-token of a million bytes. Decoding maps ids back to bytes.
+n log n even for a pre-token of a million bytes. Decoding takes the pieces of the ids and maps their characters back to
+bytes. A pre-token that is a token by itself but that merging by rank does not lead to would come out in parts; the codec
+finds such tokens by encoding the whole vocabulary once and keeps their ids apart.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
 import struct
 
 from pyspark.sql import DataFrame
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow, table
 
 #: Pre-tokens up to this many characters are remembered, and so many of them before the memory starts anew.
-REMEMBER_CHARS, REMEMBER = 40, 400_000
+REMEMBER_CHARS, REMEMBER = 40, 200_000
 UNKNOWN = "▁unknown"
 
 
@@ -75,20 +78,22 @@ class Codec:
         import sentencepiece
 
         ranks = read_ranks(path)
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.by_string = {str(rank): token for token, rank in ranks.items()}
         self.order = [""] + [str(r) for r in sorted(ranks.values())]
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.to_chars = dict(enumerate(byte_chars()))
         self.memory: dict[str, str] = {}
-        # the rank file's own tokens stand for themselves, also where merging by rank would not lead to them
-        self.whole = {}
+        back = {c: b for b, c in self.to_chars.items()}
+        self.to_bytes = {order: bytes(back[c] for c in self.model.id_to_piece(i)) for i, order in enumerate(self.order) if i}
+        # tokens that merging by rank does not lead to; those that are not a text can be no pre-token
+        texts = {}
         for token, rank in ranks.items():
             try:
-                self.whole[token.decode()] = str(rank)
+                texts[token.decode()] = str(rank)
             except UnicodeDecodeError:
                 pass
+        made = self.model.encode([self.mapped(t) for t in texts], num_threads=1)
+        self.whole = {t: rank for (t, rank), ids in zip(texts.items(), made) if [self.order[i] for i in ids] != [rank]}
 
     def mapped(self, part: str) -> str:
         return part.encode().decode("latin-1").translate(self.to_chars)
@@ -119,7 +124,8 @@ class Codec:
         return " ".join(map(memory.__getitem__, parts))
 
     def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.by_string.__getitem__, ids.split(" "))) if ids else b""
+        """The bytes of the pieces of ids joined by one space."""
+        return b"".join(map(self.to_bytes.__getitem__, ids.split(" "))) if ids else b""
 
 
 @functools.lru_cache(maxsize=2)
@@ -134,12 +140,14 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     independent, so repeated rows give repeated results and an empty table none; other columns are dropped.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    name = shipped(docs.sparkSession, path)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import SparkFiles
 
-        c = codec(path, pattern)
+        c = codec(SparkFiles.get(name), pattern)
         for batch in batches:
             rows = ([], [], [], [])
             for text in batch.column(1):
@@ -159,6 +167,18 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def shipped(spark, path: str) -> str:
+    """The name under which workers find the rank file, which is on the driver's disk only."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _shipped:
+        sc.addFile(path)
+        _shipped.add((sc.applicationId, path))
+    return os.path.basename(path)
+
+
 def public_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

@@ -57,6 +57,14 @@ def test_bpe_is_byte_level_bpe(spark, sf001, odd):
     assert bpe.encoded(odd.limit(0), path, pattern).collect() == []
 
 
+def test_bpe_vocabulary_comes_from_the_model():
+    path, pattern = bpe.public_vocabulary()
+    c, ranks = bpe.Codec(path, pattern), bpe.read_ranks(path)
+    assert {int(i): t for i, t in c.to_bytes.items()} == {i: t for t, i in ranks.items()}
+    own = {t: str(i) for t, i in ranks.items()}
+    assert len(c.whole) < 100 and all(own[t.encode()] == i for t, i in c.whole.items())
+
+
 def test_bpe_memory_may_run_over(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 3)
     c = bpe.Codec(*bpe.public_vocabulary())
