@@ -7,7 +7,8 @@ so they share one level, and only strata and rules divide ``delta`` (Bonferroni)
 lenient one does and more, so p-values grow along the grid and those that pass are those before the first failure.
 The strictest cutoff that passes and whose rejections are mostly of bad documents is used; a stratum or rule without
 one rejects nothing. The rate is shared out among the rules, so all rules together reject at most ``alpha`` of the good
-documents of a stratum, with probability 1 - ``delta`` for all strata at once.
+documents of a stratum, with probability 1 - ``delta`` for all strata at once. Copies of a text are no independent
+trials, so each distinct text of a stratum counts once; the rate is one of texts.
 """
 
 from __future__ import annotations
@@ -72,9 +73,10 @@ def measured(text: Column) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, stratum, the counts, base_failed): one row a row of ``docs``; texts end here."""
-    m = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), measured(F.col(text_col)).alias("m"))
-    m = m.select("doc_id", "stratum", "m.c.n_words", "m.word_chars", "m.n_symbols", F.col("m.line.dup").alias("n_dup_lines"), F.col("m.c.n_repeat_words").alias("n_repeat_words"), F.col("m.line.n").alias("n_lines"))
+    """(doc_id, stratum, text_key, the counts, base_failed): one row a row of ``docs``; texts end here."""
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    m = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), key.alias("text_key"), measured(F.col(text_col)).alias("m"))
+    m = m.select("doc_id", "stratum", "text_key", "m.c.n_words", "m.word_chars", "m.n_symbols", F.col("m.line.dup").alias("n_dup_lines"), F.col("m.c.n_repeat_words").alias("n_repeat_words"), F.col("m.line.n").alias("n_lines"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return m.withColumn("base_failed", failed)
 
@@ -105,14 +107,22 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(measured_rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, precision: float = PRECISION) -> DataFrame:
-    """(stratum, cutoffs: map of rule to cutoff), from labelled rows (doc_id, quality) joined with their counts."""
+    """(stratum, cutoffs: map of rule to cutoff), from labelled rows (doc_id, quality) joined with their counts.
+
+    A text of a stratum is one trial, bad if any of its labels says so; rows without text_key are texts of their own.
+    """
     good = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    good = written(good, "quality-labels")  # one row a document, so the other side may be split where rows repeat
     held = measured_rows.filter(~F.col("base_failed")).join(good, "doc_id")
     # cell: how many cutoffs of the grid are below the value
     cell = lambda v, grid: sum(((v > F.lit(g)).cast("int") for g in grid), F.lit(0))
     cells = F.array(*[F.struct(F.lit(r).alias("rule"), cell(v, GRID[r]).alias("cell")) for r, v in rule_values().items()])
+    if "text_key" in held.columns:
+        texts = held.groupBy("stratum", "text_key").agg(F.min("quality").alias("quality"), F.first(cells).alias("cells"))
+    else:
+        texts = held.select("stratum", "quality", cells.alias("cells"))
     counts = (
-        held.select("stratum", "quality", F.explode(cells).alias("x"))
+        texts.select("stratum", "quality", F.explode("cells").alias("x"))
         .groupBy("stratum", "x.rule", "x.cell")
         .agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
     )

@@ -176,6 +176,85 @@ def test_binomial(spark):
         assert got == pytest.approx(want, rel=1e-6)
 
 
+def binomial_at_most(k, n, p):
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+
+
+def values_of(t):
+    n_words, chars, symbols, dup, repeat, _ = brute_quality(t)
+    n_lines = sum(1 for x in (t or "").split("\n") if words(x))
+    return {"symbols_per_word": symbols / max(n_words, 1), "dup_line_share": dup / max(n_lines, 1), "repeat_share": repeat / max(n_words, 1), "long_words": chars / max(n_words, 1), "short_words": n_words / max(chars, 1)}
+
+
+def plain_cutoffs(trials, alpha, delta, precision):
+    """Cutoffs by stratum and rule from trials (stratum, {rule: value}, good), one test after the other."""
+    strata = {s for s, *_ in trials}
+    out = {}
+    for s in strata:
+        own = [t for t in trials if t[0] == s]
+        n = sum(1 for *_, g in own if g)
+        for rule, grid in quality.GRID.items():
+            best = None
+            for cutoff in sorted(grid, reverse=True):
+                lost = sum(1 for _, v, g in own if g and v[rule] > cutoff)
+                caught = sum(1 for _, v, g in own if not g and v[rule] > cutoff)
+                p = alpha / len(quality.GRID)
+                if lost >= n * p or binomial_at_most(lost, n, p) > delta / (len(strata) * len(quality.GRID)):
+                    break
+                if caught and caught >= precision * (caught + lost):
+                    best = cutoff
+            if best is not None:
+                out.setdefault(s, {})[rule] = best
+    return out
+
+
+def test_quality_verdict_is_that_of_plain_tests(spark, sf001):
+    alpha, delta, precision = 0.4, 0.05, 0.5
+    docs = docs_of(sf001)
+    labels = dict(duckdb.sql(f"select doc_id, quality from read_parquet('{sf001}/labels.parquet')").fetchall())
+    by_text = {}
+    for i, t, lang, _ in docs:
+        if i in labels and not brute_quality(t)[-1]:
+            by_text.setdefault((lang, t), []).append(labels[i])
+    cutoffs = plain_cutoffs([(lang, values_of(t), min(ls) == 1) for (lang, t), ls in by_text.items()], alpha, delta, precision)
+    assert cutoffs
+    got = {r.doc_id: r.kept for r in quality.quality_filter(table(spark, sf001, "documents"), table(spark, sf001, "labels"), alpha=alpha, delta=delta, precision=precision).collect()}
+    rejected = 0
+    for i, t, lang, _ in docs:
+        v, failed = values_of(t), brute_quality(t)[-1]
+        want = not failed and not any(v[r] > c for r, c in cutoffs.get(lang, {}).items())
+        assert got[i] == want
+        rejected += not failed and not want
+    assert rejected > 0
+
+
+def test_false_rejection_stays_below_the_bound():
+    """Good texts whose rule values exceed the cutoffs at known rates: how often the chosen ones reject too many."""
+    import random
+
+    rnd = random.Random(7)
+    alpha, delta, broken = 0.25, 0.1, 0
+    grid = quality.GRID["symbols_per_word"]
+    for _ in range(150):
+        # each cutoff is exceeded by the share of good texts that a drawn scale gives
+        scale = rnd.choice([0.02, 0.05, 0.1])
+        draw = lambda: rnd.expovariate(1 / scale)
+        rest = dict.fromkeys(quality.GRID, 0.0)
+        trials = [("s", rest | {"symbols_per_word": draw()}, True) for _ in range(300)] + [("s", rest | {"symbols_per_word": 5.0}, False)] * 300
+        cutoff = plain_cutoffs(trials, alpha, delta, 0.5).get("s", {}).get("symbols_per_word")
+        broken += cutoff is not None and math.exp(-cutoff / scale) > alpha / len(quality.GRID)
+    assert grid and broken <= 150 * delta
+
+
+def test_copies_are_one_trial(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.expr("concat(repeat(concat('word', if(id < 1000, 0, id), ' more text of some kind '), 20), if(id % 10 = 0, '#####', ''))").alias("text"), F.lit("en").alias("lang"))
+    rows = quality.features(docs).withColumn("base_failed", F.lit(False))
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), F.expr("int(id % 10 != 0)").alias("quality"))
+    # 900 good copies of one text and 900 other good texts: enough as trials of their own, as 901 as well, as 1 + 500 not
+    assert [r.cutoffs["symbols_per_word"] for r in quality.thresholds(rows, labels).collect()] == [0.02]
+    assert quality.thresholds(rows.filter("doc_id < 1500"), labels).collect() == []
+
+
 def test_thresholds_control_false_rejection(spark):
     rows = spark.range(40000).select(
         F.col("id").alias("doc_id"), F.expr("if(id % 2 = 0, 'en', 'de')").alias("stratum"), F.lit(100).cast("long").alias("n_words"), F.lit(600).cast("long").alias("word_chars"),
