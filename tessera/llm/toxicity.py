@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_arrow, table, written
 
 #: Most rows of each label that the fit uses.
-SAMPLE = 2000
+SAMPLE = 3000
 SIZES, BITS = (4, 5), 20
 #: A feature is kept if its share among toxic and other rows differs by so many standard errors; so many are kept at most.
 LEAST_Z, FEATURES = 3.0, 8192
@@ -47,11 +47,13 @@ def hashed(text: str):
 
 
 def featured(text: str):
-    """Distinct feature numbers of a text, ascending."""
+    """Distinct feature numbers of a text, ascending; at most 2**BITS are held beside a block."""
     import numpy as np
 
-    parts = list(hashed(text))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+    out = np.zeros(0, np.int32)
+    for part in hashed(text):
+        out = np.union1d(out, part)
+    return out
 
 
 def held_out(id_col: Column) -> Column:
@@ -124,7 +126,7 @@ class Model:
         import numpy as np
 
         weights = _table(self.features, self.values)
-        hits = [f[weights[f] != 0] for f in hashed(text or "")]
+        hits = [np.unique(f[weights[f] != 0]) for f in hashed(text or "")]
         hit = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int32)
         s = float(weights[hit].astype(np.float64).sum()) + self.bias
         return float(1 / (1 + np.exp(-min(max(s, -30.0), 30.0))))
