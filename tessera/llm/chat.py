@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only: sorted turn structs, merged blocks, one string a conversation.
 
 Template of a block: ``<|start|>role<|body|>text<|sep|>text<|end|>``. Adjacent turns of one role share a block, their
-texts parted by ``<|sep|>``, so every turn can be read back. Inside roles and texts the escape character is doubled
+texts aggregated to an array and parted by ``<|sep|>``, so every turn can be read back. Inside roles and texts the escape character is doubled
 and every control string is broken after its first character, so no control string of a text survives.
 """
 
@@ -42,19 +42,32 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     )
     chats = rows.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
-    def pieces(turns: Column) -> Column:
-        """A turn's own part of the output; one array_join puts all together, in time linear in the conversation."""
+    def block(b: Column) -> Column:
+        texts = F.array_join(F.transform(b["texts"], escape), SEP)
+        return F.concat(F.lit(START), escape(b["role"]), F.lit(BODY), texts, F.lit(END))
 
-        def piece(t: Column, i: Column) -> Column:
-            start = F.concat(F.lit(START), escape(t["role"]), F.lit(BODY))
-            before = F.get(turns, i - 1)["role"]
-            mark = F.when(i == 0, start).when(before == t["role"], F.lit(SEP)).otherwise(F.concat(F.lit(END), start))
-            return F.concat(mark, escape(t["text"]))
+    merged = F.array_join(F.transform(merge_turns(F.col("turns")), block), "")
+    return chats.select("conv_id", merged.alias("formatted"))
 
-        return F.transform(turns, piece)
 
-    merged = F.concat(F.array_join(let(F.col("turns"), pieces), ""), F.lit(END))
-    return chats.select("conv_id", merged.alias("formatted"))
+def merge_turns(turns: Column) -> Column:
+    """Array of struct(role, texts): adjacent turns of one role merged into an array of their texts.
+
+    Each block is a slice of the sorted turns, so the time is linear in the conversation; a fold that appends to the
+    last block would copy it at every turn.
+    """
+
+    def of(turns: Column) -> Column:
+        begins = F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(turns, i - 1)["role"] != t["role"]), i))
+
+        def cut(starts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(turns))
+            own = lambda s, k: F.slice(turns, s + 1, end(k) - s)
+            return F.transform(starts, lambda s, k: F.struct(F.get(turns, s)["role"].alias("role"), F.transform(own(s, k), lambda t: t["text"]).alias("texts")))
+
+        return let(F.filter(begins, lambda i: i.isNotNull()), cut)
+
+    return let(turns, of)
 
 
 def read_chats(formatted: Column) -> Column:
