@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, table
+from tessera.llm.common import let, table, written
 
-#: Intervals up to this many are broadcast (about 100 bytes each); beyond, captures of hot patterns are salted.
+#: Intervals up to this many are broadcast (about 100 bytes each); beyond, they are joined by shuffle.
 BROADCAST_INTERVALS = 100_000
-SALTS = 16
+#: Captures of one key in one task of that join; keys of more are dropped where not listed, else salted.
+HOT_ROWS = 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -45,12 +46,20 @@ def patterns_of(url: Column, depth: int | None = None) -> Column:
     return let(host_of(url), of)
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """A listed pattern as URLs name it: no scheme, user, port, query, final dot or empty segment, the host in lower
+    case; null where there is no host."""
+    url = F.concat(F.lit("http://"), F.regexp_replace(F.trim(pattern), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", ""))
+    return let(path_of(url), lambda p: F.concat(host_of(url), F.when(F.size(p) > 0, F.concat(F.lit("/"), F.array_join(p, "/"))).otherwise("")))
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """(pattern, action, at) events to (pattern, valid_from, valid_to): listed from an 'add' until the next 'remove'.
 
-    Repeated adds or removes change nothing; of an add and a remove at one time the remove wins. valid_to null: still
+    Patterns are normalised first, so ``HTTP://Example.com:80/ads/`` is ``example.com/ads``. Repeated adds or removes change nothing; of an add and a remove at one time the remove wins. valid_to null: still
     listed. Events with a null pattern or time are skipped.
     """
+    events = events.withColumn("pattern", normal_pattern(F.col("pattern")))
     e = events.filter(F.col("pattern").isNotNull() & F.col("at").isNotNull()).groupBy("pattern", "at").agg(F.bool_or(F.col("action") == "remove").alias("off"))
     by_time = Window.partitionBy("pattern").orderBy("at")
     e = e.withColumn("was_off", F.coalesce(F.lag("off").over(by_time), F.lit(True))).filter(F.col("off") != F.col("was_off"))
@@ -77,10 +86,19 @@ def filtered(captures: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     if n_listed <= BROADCAST_INTERVALS:
         hits = asked.join(F.broadcast(listed), on)
     else:
-        salted = listed.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        asked = asked.withColumn("own_salt", F.pmod(F.xxhash64("url", "time"), F.lit(SALTS)).cast("int"))
-        hits = asked.join(salted, on & (F.col("own_salt") == F.col("salt")))
+        # keys that very many captures name, such as a top-level domain: at most one in HOT_ROWS rows
+        hot = asked.groupBy(F.col("key").alias("hot_key")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS)
+        known = listed.select(F.col("listed").alias("known")).distinct()
+        hot = hot.join(known, F.col("hot_key") == F.col("known"), "left")
+        hot = written(hot.select("hot_key", F.when(F.col("known").isNotNull(), F.ceil(F.col("n") / HOT_ROWS)).otherwise(F.lit(0)).cast("int").alias("salts")), "url-hot")
+        if hot.count() <= BROADCAST_INTERVALS:
+            hot = F.broadcast(hot)
+        asked = asked.join(hot, F.col("key") == F.col("hot_key"), "left").filter("salts is null or salts > 0")
+        asked = asked.withColumn("own_salt", F.coalesce(F.pmod(F.xxhash64("url", "time"), F.col("salts")).cast("int"), F.lit(0))).drop("salts", "hot_key")
+        salted = listed.join(hot, F.col("listed") == F.col("hot_key"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("salts", F.lit(1)), F.lit(1)) - 1)))
+        hits = asked.join(salted.drop("salts", "hot_key"), on & (F.col("own_salt") == F.col("salt")))
     best = hits.groupBy("url", "time").agg(F.min(F.struct("rank", "listed", "valid_from")).alias("best")).withColumnsRenamed({"url": "b_url", "time": "b_time"})
+    best = written(best, "url-best")  # one row a URL and time, so the captures of a hot one may be split
     out = rows.join(best, (F.col("url") == F.col("b_url")) & (F.col("time") == F.col("b_time")), "left")
     return out.select("row.*", F.col("best").isNotNull().alias("blocked"), F.col("best.listed").alias("pattern"), F.col("best.valid_from").alias("valid_from"))
 
@@ -131,7 +149,7 @@ a AS (SELECT p, CAST(DATE '{START}' + CAST({_D.format('a', 'p')} % 200 AS INTEGE
     FROM l WHERE {_D.format('l', 'p')} % one_in = 0),
 i AS (SELECT p, d AS f, CASE WHEN o % 2 = 0 THEN CAST(d + CAST(r AS INTEGER) AS DATE) END AS t FROM a
     UNION ALL SELECT p, CAST(d + CAST(r + 40 AS INTEGER) AS DATE), NULL FROM a WHERE o % 4 = 0),
-k AS (SELECT page_id, fetched_at, host || '/' || array_to_string(list_slice(path, 1, n), '/') AS key, 4 - n AS rank FROM c, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE host IS NOT NULL AND n <= len(path)
+k AS (SELECT page_id, fetched_at, host || '/' || array_to_string(list_slice(path, 1, n), '/') AS key, -n AS rank FROM (SELECT *, unnest(range(1, len(path) + 1)) AS n FROM c WHERE host IS NOT NULL)
     UNION ALL SELECT page_id, fetched_at, array_to_string(list_slice(string_split(host, '.'), n, len(string_split(host, '.'))), '.'), 10 + n
     FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS n FROM c WHERE host IS NOT NULL)),
 b AS (SELECT page_id, p, f, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS nth FROM k JOIN i ON key = p AND f <= fetched_at AND (t IS NULL OR fetched_at < t))

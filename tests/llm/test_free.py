@@ -343,9 +343,10 @@ EVENTS = [("e.com", "add", 5), ("e.com", "add", 6), ("e.com", "remove", 10), ("e
 CAPTURES = [(1, "http://a.e.com/", 4), (2, "http://a.e.com/", 5), (3, "http://e.com", 9), (4, "http://e.com", 10), (5, "http://e.com", 99), (6, "http://x.org/p/q", 1), (7, "http://x.org/pq", 9), (8, "http://y.net/", 9), (9, None, 5), (10, "http://e.com", None), (2, "http://a.e.com/", 5)]
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_url_filter_as_of(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "hot"), [(100_000, 1_000_000), (0, 1_000_000), (0, 1)])
+def test_url_filter_as_of(spark, monkeypatch, limit, hot):
     monkeypatch.setattr(urls, "BROADCAST_INTERVALS", limit)
+    monkeypatch.setattr(urls, "HOT_ROWS", hot)
     listed = urls.intervals(spark.createDataFrame(EVENTS, "pattern string, action string, at int"))
     assert sorted(tuple(r) for r in listed.collect() if r.valid_to) == [("e.com", 5, 10)]
     caps = spark.createDataFrame([(*c, "clash", "clash") for c in CAPTURES], "page_id long, url string, fetched_at int, listed string, key string")
@@ -356,6 +357,12 @@ def test_url_filter_as_of(spark, monkeypatch, limit):
     assert urls.filtered(caps.limit(0), listed).collect() == []
 
 
+def test_url_patterns_are_normalised(spark):
+    given = ["Example.com", "HTTP://u@Example.com:80/Ads//x/?q=/z", "example.com./", "//a.b/c/", "[::1]:8080/x", "", None, "/only/path"]
+    df = spark.createDataFrame([(p,) for p in given], "p string").select(urls.normal_pattern(F.col("p")).alias("n"))
+    assert [r.n for r in df.collect()] == ["example.com", "example.com/Ads/x", "example.com", "a.b/c", "[::1]/x", None, None, None]
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_url_filter_at_any_depth(spark, monkeypatch, limit):
     monkeypatch.setattr(urls, "BROADCAST_INTERVALS", limit)
