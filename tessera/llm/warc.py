@@ -1,10 +1,14 @@
 """WARC archives with revisit resolution.
 
-Digests and headers go first: payload digests are grouped (the smallest page id of each is the response), headers are
-joined with them by digest, and only then are payloads joined, by page id, which no hot payload can skew. Each record
-becomes a WARC/1.1 response, or a revisit that refers to the response and holds no payload. Archives are gzip files
-written by Spark's text writer, so they land in whatever store the path names; a record's two closing line breaks are
-the writer's row separator. Reading takes whole files and follows Content-Length from record to record.
+Headers go first: they are shuffled by payload digest, where the smallest page id of each digest becomes the response.
+The digests that occur twice or more are joined with the records, by broadcast where their number is small; beyond, by
+digest, where Spark may split a hot one, as the other side is a written table. Each record becomes a WARC/1.1 response,
+or a revisit that refers to the response and holds no payload.
+
+Archives: each begins with a warcinfo record and closes before ``ARCHIVE_BYTES`` of average records. Every record is a
+gzip member of its own, followed by a member that holds its two closing line breaks. That second member is the row
+separator of Spark's text writer, so archives land in whatever store the path names, and it is what the reader splits
+at, so a large archive is read by many tasks, record by record. Files have the names that the writer gives them.
 """
 
 from __future__ import annotations
@@ -12,53 +16,87 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import itertools
+import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, scratch_path, table
+from tessera.llm.common import map_arrow, scratch_path, table, written
 
 #: Payloads below so many bytes are stored again rather than referred to.
 LEAST_BYTES = 100
-#: Records to an archive at most, and records read at a time.
-RECORDS, READ_RECORDS = 20_000, 2_000
+#: Bytes of an archive before compression, about, and of the headers of a record.
+ARCHIVE_BYTES, HEAD_BYTES = 1 << 30, 600
+#: Up to so many repeated digests (about 200 bytes each) are broadcast.
+BROADCAST_DIGESTS = 100_000
 CRLF = "\r\n"
 #: Fixed value of the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def resolved(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, payload_bytes, digest) to the same with refers_to: the response's page id for revisits, else null.
+def member(data: bytes) -> bytes:
+    """A gzip member without a time, so equal data make equal members."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
 
-    The first of each digest is counted map-side, so a payload that a third of all pages share is one row a task. A
-    row that repeats the response's page id and payload is a response as well.
+
+#: What parts records: a member of their two closing line breaks, as a string of one character a byte.
+CLOSING = member((CRLF * 2).encode()).decode("latin-1")
+
+
+def originals(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """(digest, first: struct of page_id, url and date) of the payloads of (page_id, url, date, payload_bytes, digest)
+    that occur more than once: the record with the smallest page id.
+
+    Counted map-side, so a payload that a third of all pages share is one row a task. A null page id is no response to
+    refer to; a digest with such ids only has no first.
     """
-    long_ones = F.col("payload_bytes") >= least
-    first = heads.filter(long_ones).groupBy(F.col("digest").alias("of_digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = heads.join(first, (F.col("digest") == F.col("of_digest")) & long_ones, "left")
-    return found.select("page_id", "payload_bytes", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date")))
+    g = heads.filter(F.col("payload_bytes") >= least).groupBy(F.col("digest").alias("of_digest")).agg(first.alias("first"), F.count("*").alias("n"))
+    return g.filter("n > 1 and first is not null").drop("n")
+
+
+def resolved(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """``records`` (page_id, url, date, payload_bytes, digest, ...) with refers: the first record of the same payload for
+    revisits, else null. A row that repeats the response's page id and payload is a response as well."""
+    first = written(originals(records, least), "warc-originals")
+    side = F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first
+    out = records.join(side, (F.col("digest") == F.col("of_digest")) & (F.col("payload_bytes") >= least), "left")
+    again = F.col("page_id").isNull() | (F.col("first.page_id") < F.col("page_id"))
+    return out.withColumn("refers", F.when(again, F.col("first"))).drop("of_digest", "first")
 
 
 def record_id(page: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), page, F.lit(">"))
+
+
+def one_line(url: Column) -> Column:
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7f]", "%20")
 
 
-def record(date: str) -> Column:
-    """The text of a record without its closing line breaks, from page_id, url, html, payload_bytes, digest, refers_to."""
-    revisit = F.col("refers_to").isNotNull()
-    uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7f]", "%20")
+def record() -> Column:
+    """The text of a record without its closing line breaks, from page_id, url, date, html, payload_bytes, digest, refers."""
+    revisit = F.col("refers").isNotNull()
+    # a page without an id gets one for its record; the reader knows it by the word
+    own = F.coalesce(F.col("page_id").cast("string"), F.concat_ws(":", F.lit("none"), "digest", F.monotonically_increasing_id().cast("string")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    refers = F.concat(
+        line("WARC-Refers-To", record_id(F.col("refers.page_id").cast("string"))),
+        line("WARC-Refers-To-Target-URI", one_line(F.col("refers.url"))),
+        line("WARC-Refers-To-Date", F.col("refers.date")),
+        line("WARC-Profile", F.lit(PROFILE)),
+    )
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", record_id(F.col("page_id"))),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", uri),
+        line("WARC-Record-ID", record_id(own)),
+        line("WARC-Date", F.col("date")),
+        line("WARC-Target-URI", one_line(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
+        F.when(revisit, refers).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", length.cast("string")),
         F.lit(CRLF),
@@ -66,20 +104,42 @@ def record(date: str) -> Column:
     return F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes one record a row of ``pages`` (page_id, url, html) as gzip WARC files under ``path``.
+def information(date: str) -> bytes:
+    block = f"software: tessera{CRLF}format: WARC File Format 1.1{CRLF}".encode()
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return CRLF.join(lines).encode() + block
+
 
-    Null html: an empty payload; null url: an empty target. Payloads under ``LEAST_BYTES`` are always responses. An
-    empty table writes no records; extra columns are ignored. Rows with a null page_id are left out, as a record needs
-    its id.
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", date_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes one record a row of ``pages`` (page_id, url, html) as WARC files under ``path``.
+
+    Null html: an empty payload; null url: an empty target. Payloads under ``LEAST_BYTES`` are always responses. A row
+    with a null page_id is a revisit where a page with an id has its payload, else a response. Dates are those of
+    ``date_col``, ISO strings, and ``date`` where null or without one. An empty table writes no records; extra columns
+    are ignored.
     """
-    own = pages.filter(F.col("page_id").isNotNull()).select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    heads = own.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2("html", 256).alias("digest"))
-    found = resolved(heads).distinct().withColumnRenamed("page_id", "of")
-    # a page id that holds several payloads has a decision for each, so the digest is part of the key
-    same = (F.col("page_id") == F.col("of")) & (F.sha2("html", 256) == F.col("digest"))
-    rows = own.join(found, same).select(record(date).alias("value"))
-    rows.write.option("compression", "gzip").option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS).text(path)
+    when = F.lit(date) if date_col is None else F.coalesce(F.col(date_col), F.lit(date))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    own = pages.select("page_id", "url", when.alias("date"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("digest"))
+    mean = own.agg(F.avg("payload_bytes")).first()[0] or 0
+    each = max(1, int(archive_bytes / (mean + HEAD_BYTES)))
+    rows = resolved(own).select(record().alias("value"))
+
+    def members(batches):
+        import pyarrow as pa
+
+        n = 0
+        for batch in batches:
+            out = []
+            for value in batch.column(0):
+                if n % each == 0:  # the writer begins a file after each + 1 rows of a task
+                    out.append(member(information(date)))
+                out.append(member(value.as_py().encode()))
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    made = map_arrow(rows, members, "value binary").select(F.col("value").cast("string").alias("value"))
+    made.write.option("lineSep", CLOSING).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", each + 1).text(path)
 
 
 def parse(archive):
@@ -103,8 +163,10 @@ def parse(archive):
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _number(urn: str) -> int:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+def _number(urn: str) -> int | None:
+    """The page id of a record's name; null for a page without one."""
+    own = urn.removeprefix("<urn:page:").removesuffix(">")
+    return None if own.startswith("none:") else int(own)
 
 
 def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
@@ -112,11 +174,12 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
 
     A response's payload is digested again; one that differs from its header fails the read.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    raw = spark.read.option("lineSep", CLOSING).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("value"))
+    closing = (CRLF * 2).encode()
 
     def row(headers: dict, block: bytes) -> tuple:
         kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
-        http, _, payload = block.partition(b"\r\n\r\n")
+        http, _, payload = block.partition(closing)
         size = int(http.rpartition(b"Content-Length: ")[2])
         if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
             raise ValueError(f"payload of {headers['WARC-Record-ID']} is damaged")
@@ -129,13 +192,15 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         for batch in batches:
-            for content in batch.column(0):
-                with gzip.open(io.BytesIO(content.as_py())) as archive:
-                    records = parse(archive)
-                    while rows := [row(*r) for r in itertools.islice(records, READ_RECORDS)]:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            rows = []
+            for value in batch.column(0):
+                for headers, block in parse(io.BytesIO(gzip.decompress(value.as_py()) + closing)):
+                    if headers["WARC-Type"] != "warcinfo":
+                        rows.append(row(headers, block))
+            columns = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return map_arrow(files, run, READ)
+    return map_arrow(raw, run, READ)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
@@ -145,9 +210,9 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = f"""
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest AS d, min(page_id) AS first FROM p WHERE payload_bytes >= {LEAST_BYTES} GROUP BY payload_digest)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first < page_id THEN first END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id OR (page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id OR page_id IS NULL THEN first END AS refers_to
 FROM p LEFT JOIN f ON payload_digest = d AND payload_bytes >= {LEAST_BYTES}
 """

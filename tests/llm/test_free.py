@@ -374,30 +374,69 @@ def test_url_filter_at_any_depth(spark, monkeypatch, limit):
     assert {r.page_id: r.pattern for r in out} == {1: events[0][0], 2: events[0][0], 3: events[2][0], 4: events[1][0], 5: None, 6: None}
 
 
-def test_warc_round_trip(spark, tmp_path):
-    long = "<p>é" + "x\r\n\r\nWARC/1.1\r\n" * 20
-    data = [(5, "http://a/ b", long), (3, "http://a", long), (9, None, long), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (3, "http://a", long), (8, "u", long + "."), (None, "u", long), (9, None, "other " * 30)]
-    pages = spark.createDataFrame([(*d, "clash") for d in data], "page_id long, url string, html string, digest string")
-    warc.write_archives(pages, f"{tmp_path}/w")
+LONG = "<p>é" + "x\r\n\r\nWARC/1.1\r\n" * 20
+PAGES = [(5, "http://a/ b", LONG), (3, "http://a", LONG), (9, None, LONG), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (3, "http://a", LONG), (8, "u", LONG + "."), (None, "u", LONG), (None, "u", LONG), (9, None, "other " * 30), (None, "u", "alone " * 30), (None, "v", "alone " * 30)]
+
+
+def records(folder):
+    """(headers, block) of all records of the archives of a folder, by file."""
+    return {f.name: list(warc.parse(gzip.open(f))) for f in sorted(folder.iterdir()) if f.name.startswith("part")}
+
+
+@pytest.mark.parametrize(("archive", "limit"), [(1 << 30, 100_000), (1, 0), (2500, 0)])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, archive, limit):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", limit)
+    pages = spark.createDataFrame([(*d, "clash", "2024-02-03T04:05:06Z" if d[0] == 3 else None) for d in PAGES], "page_id long, url string, html string, digest string, at string").coalesce(2)
+    warc.write_archives(pages, f"{tmp_path}/w", date_col="at", archive_bytes=archive)
     rows = warc.read_archives(spark, f"{tmp_path}/w", payloads=True).collect()
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     want = Counter()
-    for i, _, t in data:
-        if i is not None:
-            refers = 3 if t == long and i != 3 else None
-            want[i, len((t or "").encode()), sha(t), "revisit" if refers else "response", refers] += 1
+    for i, _, t in PAGES:
+        refers = 3 if t == LONG and i != 3 else None
+        want[i, len((t or "").encode()), sha(t), "revisit" if refers else "response", refers] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == want
     assert all(hashlib.sha256(bytes(r.payload)).hexdigest() == r.payload_digest for r in rows if r.record_type == "response")
-    files = [f for f in (tmp_path / "w").iterdir() if f.name.endswith(".gz")]
-    assert sum(len(list(warc.parse(gzip.open(f)))) for f in files) == len(rows)
-    warc.write_archives(pages.limit(0), f"{tmp_path}/e")
+    files = records(tmp_path / "w")
+    made = [h for rs in files.values() for h, _ in rs]
+    assert all(rs[0][0]["WARC-Type"] == "warcinfo" and sum(h["WARC-Type"] == "warcinfo" for h, _ in rs) == 1 for rs in files.values())
+    assert len({h["WARC-Record-ID"] for h in made}) == len(made) - 2  # pages 3 and 9 are there twice
+    revisits = [h for h in made if h["WARC-Type"] == "revisit"]
+    assert {(h["WARC-Refers-To"], h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"]) for h in revisits} == {("<urn:page:3>", "http://a", "2024-02-03T04:05:06Z")}
+    if archive < 100:
+        assert all(len(rs) == 2 for rs in files.values())
+    for f in (tmp_path / "w").iterdir():  # each record begins a member
+        if f.name.startswith("part"):
+            data, n = f.read_bytes(), 0
+            while data:
+                d = zlib.decompressobj(31)
+                text = d.decompress(data)
+                assert text.startswith(b"WARC/1.1\r\n") if n % 2 == 0 else text == b"\r\n\r\n"
+                data, n = d.unused_data, n + 1
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/e")
     assert warc.read_archives(spark, f"{tmp_path}/e").collect() == []
 
 
+def test_warc_archives_are_read_by_several_tasks(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("array_join(transform(sequence(1, 40), x -> sha2(concat(id, x), 256)), '')").alias("html")).coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "37001")
+        out = warc.read_archives(spark, f"{tmp_path}/w")
+        assert out.rdd.getNumPartitions() > 8
+        assert sorted(r.page_id for r in out.collect()) == list(range(400))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_warc_damage_is_noticed(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(1, "u", "hello " * 40)], "page_id long, url string, html string"), f"{tmp_path}/w")
-    f = next(f for f in (tmp_path / "w").iterdir() if f.name.endswith(".gz"))
-    f.write_bytes(gzip.compress(gzip.decompress(f.read_bytes()).replace(b"hello", b"jello", 1)))
+    f = max((f for f in (tmp_path / "w").iterdir() if f.name.startswith("part")), key=lambda f: f.stat().st_size)
+    closing = warc.CLOSING.encode("latin-1")
+    f.write_bytes(b"".join(warc.member(gzip.decompress(r).replace(b"hello", b"jello", 1)) + closing for r in f.read_bytes().split(closing) if r))
     for crc in (tmp_path / "w").glob(".*.crc"):
         crc.unlink()
     with pytest.raises(Exception, match="damaged"):
