@@ -19,10 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks and would hold the peak of each kind of task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU system
+        pass
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def let(value: Column, body) -> Column:
