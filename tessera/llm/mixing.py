@@ -24,7 +24,8 @@ BUCKETS, BUCKET_ROWS = 4096, 100_000
 BROADCAST_SOURCES = 100_000
 #: Copies of a row at the cut that one task numbers.
 TIED = 1_000_000
-GAPS, MARKS = " \t\n\x0b\x0c\r", "#*$%&|<>{}[]\\^~=_"
+#: Characters that are marks rather than text.
+MARKS = r"[#*$%&|<>{}\[\]\\^~=_]"
 LEAST_QUALITY = 0.05
 
 
@@ -32,8 +33,8 @@ def quality(text: Column, size: Column) -> Column:
     """Quality weight in (0, 1]: lower the larger the share of marks among the characters, and where words are on
     average shorter than 3 or longer than 12 characters; no language between those is preferred."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(F.translate(text, GAPS, "")), F.lit(1)).cast("double")
-    marks = (F.length(text) - F.length(F.translate(text, MARKS, ""))) / chars
+    chars = F.greatest(F.length(text) - size, F.lit(1)).cast("double")  # a blank for each word
+    marks = F.regexp_count(text, F.lit(MARKS)) / chars
     per_word = chars / F.greatest(size, F.lit(1)).cast("double")
     return F.greatest(F.exp(-20.0 * marks) * F.least(F.lit(1.0), per_word / 3.0, 12.0 / per_word), F.lit(LEAST_QUALITY))
 
