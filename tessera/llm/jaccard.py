@@ -442,18 +442,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def numbered(heads: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """``heads`` with node in place of the signatures, and the numbers of the sets whose first signature another set has.
+def other_numbers(heads: DataFrame, clash: DataFrame) -> dict[tuple[int, int], int]:
+    """Numbers for the sets whose first signature ``clash`` (of, low) says another set has, but the one of the smallest
+    second signature: (s1, s2) to a number that no first signature is.
 
-    Such sets are few whatever the input, about n * n / 2**65 of n sets: each but the one of the smallest second
-    signature gets a number that no first signature has.
+    Such sets are few whatever the input, about n * n / 2**65 of n sets.
     """
     from tessera.llm.shingles import mix
 
-    bits = NODE_BITS
-    heads = heads.withColumn("s1", F.shiftright("s1", 64 - bits))
-    twice = heads.filter("n > 0").groupBy("s1").agg(F.min("s2").alias("low"), F.max("s2").alias("high")).filter("low <> high").select(F.col("s1").alias("of"), "low")
-    rest = heads.filter("n > 0").join(twice, (F.col("s1") == F.col("of")) & (F.col("s2") != F.col("low"))).select("s1", "s2").distinct()
+    rest = heads.filter("n > 0").join(F.broadcast(clash), (F.col("s1") == F.col("of")) & (F.col("s2") != F.col("low"))).select("s1", "s2").distinct()
     others: dict[tuple[int, int], int] = {}
     todo = sorted((r.s1, r.s2) for r in rest.collect())
     step = 0
@@ -467,12 +464,23 @@ def numbered(heads: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
         taken = {r[0] for r in heads.filter(F.col("s1").isin(ids)).select("s1").distinct().collect()} | {x for x in ids if ids.count(x) > 1} | set(others.values())
         others |= {k: v for k, v in tried.items() if v not in taken}
         todo = [k for k in todo if k not in others]
-    node = F.col("s1")
-    if others:
-        rows = heads.sparkSession.createDataFrame([(*k, v) for k, v in others.items()], "x1 long, x2 long, other long")
-        heads = heads.join(F.broadcast(rows), (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2")), "left")
-        node = F.coalesce("other", "s1")
-    return heads.withColumn("node", node).drop("s1", "s2", "x1", "x2", "other"), others
+    return others
+
+
+def numbered(heads: DataFrame) -> tuple[DataFrame, DataFrame, dict[tuple[int, int], int]]:
+    """``heads`` with node in place of the signatures, the nodes (node, doc_id, n) of non-empty sets, and the numbers of the
+    sets whose first signature another set has."""
+    heads = heads.withColumn("s1", F.shiftright("s1", 64 - NODE_BITS))
+    some = lambda by: heads.filter("n > 0").groupBy(by).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("s2").alias("low"), F.max("s2").alias("high"))
+    nodes = written(some(F.col("s1").alias("node")), "near-nodes")
+    clash = nodes.filter("low <> high").select(F.col("node").alias("of"), "low")
+    if clash.isEmpty():
+        return heads.withColumn("node", F.col("s1")).drop("s1", "s2"), nodes.drop("low", "high"), {}
+    others = other_numbers(heads, clash)
+    rows = heads.sparkSession.createDataFrame([(*k, v) for k, v in others.items()], "x1 long, x2 long, other long")
+    heads = heads.join(F.broadcast(rows), (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2")), "left").withColumn("node", F.coalesce("other", "s1"))
+    nodes = written(some("node"), "near-nodes")
+    return heads.drop("s1", "s2", "x1", "x2", "other"), nodes.drop("low", "high"), others
 
 
 def grouped(texts: DataFrame, marked: bool = False) -> DataFrame:
@@ -490,10 +498,9 @@ def grouped(texts: DataFrame, marked: bool = False) -> DataFrame:
     order = ranks(np.concatenate([by_slice[k] for k in range(SLICES)]))
     hot = max(1, int(np.ceil(np.log2(HOT_TOKEN)))) if HOT_TOKEN > 1 else 0
 
-    heads, others = numbered(heads)
+    heads, nodes, others = numbered(heads)
     node_bits = NODE_BITS
     node_of = lambda s: number(s, node_bits, others)
-    nodes = written(heads.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "near-nodes")
     n_nodes, tokens = nodes.agg(F.count("*"), F.sum(F.floor(F.col("n") * (DEN - NUM) / DEN) + 1)).first()
 
     parts = max(2 * spark.sparkContext.defaultParallelism, (tokens or 0) // TASK_TOKENS + 1)
