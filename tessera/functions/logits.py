@@ -178,6 +178,18 @@ def answer_span(full: Column, prompt: Column) -> Column:
     return F.when(F.slice(full, F.lit(1), F.size(prompt)) == prompt, F.slice(full, F.size(prompt) + 1, F.size(full)))
 
 
+def spliced(values: Column, at: Column, inserted: Column) -> Column:
+    """``values`` with the one at the 0-based place replaced by all of ``inserted``; a null place changes nothing."""
+    head, tail = F.slice(values, F.lit(1), at), F.slice(values, at + 2, F.greatest(F.size(values) - at - 1, F.lit(0)))
+    return F.when(at.isNull(), values).otherwise(F.concat(head, inserted, tail))
+
+
+def accumulation_scale(micro_step: Column, steps: int) -> Column:
+    """What turns gradients of an unfinished accumulation window into a mean: 1 at its end and before the first step."""
+    rest = micro_step % steps
+    return F.when((micro_step <= 0) | (rest == 0), F.lit(1.0)).otherwise(F.lit(float(steps)) / rest)
+
+
 def contiguous(positions: Column) -> Column:
     return (F.array_max(positions) - F.array_min(positions) + 1) == F.size(positions)
 

@@ -138,6 +138,37 @@ def safe_name(text: Column, fallback: str = "model") -> Column:
     return F.when(t == "", F.lit(fallback)).otherwise(t)
 
 
+def experiment_name(text: Column) -> Column:
+    """Runs of white space as one underscore, none at the ends."""
+    t = F.array_join(F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), " "), lambda x: x != ""), "_")
+    return F.when(t == "", F.lit("experiment")).otherwise(t)
+
+
+def file_part(text: Column) -> Column:
+    """Runs of other than ASCII letters, digits, dots, underscores and hyphens as one underscore."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9._-]+", "_")
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)$", 1), r"(?<=.)\.[^.]+$", "")
+
+
+def identity_path(path: Column, root: str = "/") -> Column:
+    """An absolute path without empty, '.' and '..' segments, below ``root`` where it is relative; links are not followed.
+    An empty path fails the query."""
+    p = F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
+    full = F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), p))
+    parts = F.filter(F.split(full, "/"), lambda x: (x != "") & (x != "."))
+    step = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x))
+    out = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(F.coalesce(p, F.lit("")) == "", F.raise_error(F.lit("an identity must be a non-empty path")).cast("string")).otherwise(out)
+
+
+def utc_now() -> Column:
+    """Seconds of the current time in UTC, as ISO 8601."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def unix_lines(text: Column) -> Column:
     return F.trim(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
 

@@ -184,6 +184,32 @@ def by_role(teacher: DataFrame, candidates: DataFrame, roles: Sequence[str]) ->
     return pairs.join(last, ["id", "role"], "left").withColumn("candidate_names", F.coalesce("candidate_names", F.array().cast("array<string>")))
 
 
+def reused(samples: DataFrame, rows: DataFrame, role: str) -> DataFrame:
+    """(id, image, status, elements) of each sample (id, image): what the rows (model_role, id, image, elements) of a role
+    hold for it. Statuses, the first that applies: missing, duplicate, image differs, no elements, reused."""
+    own = rows.filter(F.col("model_role") == role).groupBy("id").agg(F.count("*").alias("__n"), F.first("image").alias("__image"), F.first("elements").alias("elements"))
+    j = samples.select("id", "image").join(own, "id", "left")
+    status = (
+        F.when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "duplicate").when(~F.col("__image").eqNullSafe(F.col("image")), "image differs")
+        .when(~F.coalesce(F.exists("elements", lambda e: e.isNotNull()), F.lit(False)), "no elements").otherwise("reused")
+    )
+    return j.select("id", "image", status.alias("status"), F.when(status == "reused", F.col("elements")).alias("elements"))
+
+
+def striped(df: DataFrame, order: str, ranks: int) -> DataFrame:
+    """``df`` with rank: rows in the order of a column dealt round the ranks; no row is repeated to fill a round."""
+    return global_position(df, order).withColumn("rank", ((F.col("position") - 1) % ranks).cast("int")).drop("position")
+
+
+def output_names(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, source, ...) with name: of rows that would share one, all but the first get a hash of their source."""
+    base = F.concat_ws("__", T.file_part(F.col("id")), F.coalesce(F.nullif(T.file_part(T.stem(F.col("source"))), F.lit("")), F.lit("image")), F.lit("annotated"))
+    nth = F.row_number().over(Window.partitionBy("__base").orderBy(ORD))
+    out = rows.withColumn("__base", base).withColumn("__nth", nth)
+    name = F.when(F.col("__nth") == 1, F.col("__base")).otherwise(F.concat_ws("__", "__base", F.substring(F.sha1("source"), 1, 8)))
+    return out.withColumn("name", F.concat(name, F.lit(".png"))).drop("__base", "__nth")
+
+
 def vocab_equality(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     """(by, equal, shared_size): whether the vocabularies (by, token, id) have the same tokens with the same ids, and then
     the largest id and one."""

@@ -187,6 +187,90 @@ def parse_histogram(rows: DataFrame, by: str = "role", error: str = "parse_error
     return rows.groupBy(by, F.coalesce(F.col(error), F.lit("none")).alias(error)).agg(F.count("*").alias("rows"), F.sum("element_count").alias("elements"))
 
 
+def counts_of(rows: DataFrame, by: str, what: str, name: str) -> DataFrame:
+    """(by, name): a map of the values of a column to their rows, null left out."""
+    n = rows.filter(F.col(what).isNotNull()).groupBy(by, what).agg(F.count("*").alias("n"))
+    return n.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(what, "n")))).alias(name))
+
+
+def parse_statistics(rows: DataFrame, by: str = "role") -> DataFrame:
+    """One row a role of parsed outputs (role, parsed: elements, parse_error, parse_repair): errors, repairs and boxes with
+    their rates, and histograms of the error and repair codes, empty where there are none."""
+    r = rows.select(
+        by, F.col("parsed").isNull().alias("lost"), F.when(F.col("parsed").isNull(), "missing_parsed_object").otherwise(F.nullif("parsed.parse_error", F.lit(""))).alias("error"),
+        F.nullif("parsed.parse_repair", F.lit("")).alias("repair"), F.coalesce(F.size("parsed.elements"), F.lit(0)).alias("n"),
+        F.coalesce(F.size(F.filter("parsed.elements", lambda e: e["bbox"].isNotNull())), F.lit(0)).alias("boxed"),
+    )
+    s = r.groupBy(by).agg(
+        F.count("*").alias("num_rows"), F.count("error").alias("num_parse_errors"), F.sum(F.greatest("n", F.lit(0))).alias("total_parsed_elements"), F.count("repair").alias("num_repaired_rows"),
+        F.sum(F.greatest("boxed", F.lit(0))).alias("elements_with_valid_bbox"),
+    )
+    rate = lambda a, b: ratio(F.col(a), F.col(b), 0.0)
+    s = s.withColumns({
+        "parse_error_rate": rate("num_parse_errors", "num_rows"), "mean_parsed_elements_per_row": rate("total_parsed_elements", "num_rows"),
+        "repair_rate": rate("num_repaired_rows", "num_rows"), "valid_bbox_rate": rate("elements_with_valid_bbox", "total_parsed_elements"),
+        "elements_with_missing_or_invalid_bbox": F.col("total_parsed_elements") - F.col("elements_with_valid_bbox"),
+    })
+    for what, name in (("error", "parse_error_counts"), ("repair", "repair_counts")):
+        s = s.join(counts_of(r, by, what, name), by, "left").withColumn(name, F.coalesce(name, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))))
+    return s
+
+
+def outcome_tally(rows: DataFrame) -> DataFrame:
+    """One row over outputs (raw, parsed): answered as they were, after a repair, not parsed, and without any output."""
+    none, failed, mended = F.col("raw").isNull(), F.col("parsed.parse_error").isNotNull(), F.col("parsed.parse_repair").isNotNull()
+    return rows.agg(
+        F.count_if(~none & ~failed & ~mended).alias("success"), F.count_if(~none & ~failed & mended).alias("recovered"),
+        F.count_if(~none & failed).alias("parse_failed"), F.count_if(none).alias("runtime_failed"),
+    )
+
+
+#: How parameters of adapters are named, and which targets belong to which branch.
+ADAPTER = r"(?i)^(?:.*\.)?model\.language_model\.layers\.(\d+)\.(self_attn|mlp)\.(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj)\.lora_([ab])(?:\.[^.]+)?\.weight$"
+PROJECTOR = r"(?i)^(?:.*\.)?model\.visual\.merger\.(?:linear_fc1|linear_fc2)\.lora_[ab](?:\.[^.]+)?\.weight$"
+ANY_ADAPTER = r"(?i)(?:^|\.)lora_[ab](?:\.|$)"
+BRANCHES = {"self_attn": ("q_proj", "k_proj", "v_proj", "o_proj"), "mlp": ("gate_proj", "up_proj", "down_proj")}
+
+
+def adapter_parts(name: Column) -> Column:
+    """struct(kind, layer, branch, target, component) of a parameter's name; kind attention, mlp, projector, unmatched, or
+    null where it is no adapter's."""
+    part = lambda i: F.lower(F.regexp_extract(name, ADAPTER, i))
+    fits = F.lit(False)
+    for branch, targets in BRANCHES.items():
+        fits = fits | ((part(2) == branch) & part(3).isin(*targets))
+    known = name.rlike(ADAPTER)
+    kind = (
+        F.when(known & fits, F.when(part(2) == "mlp", "mlp").otherwise("attention")).when(known, "unmatched").when(name.rlike(PROJECTOR), "projector").when(name.rlike(ANY_ADAPTER), "unmatched")
+    )
+    own = lambda c: F.when(known & fits, c)
+    return F.struct(kind.alias("kind"), own(part(1).try_cast("int")).alias("layer"), own(part(2)).alias("branch"), own(part(3)).alias("target"), own(part(4)).alias("component"))
+
+
+def adapter_inventory(rows: DataFrame) -> DataFrame:
+    """One row a kind of the adapter parameters (name, dtype): tensors, logical modules, those that lack a component, dtypes."""
+    p = rows.select("name", "dtype", adapter_parts(F.col("name")).alias("p")).filter("p.kind is not null")
+    modules = p.filter("p.layer is not null").groupBy("p.kind", "p.layer", "p.branch", "p.target").agg(F.size(F.array_except(F.array(F.lit("a"), F.lit("b")), F.collect_set("p.component"))).alias("lacks"))
+    m = modules.groupBy("kind").agg(F.count("*").alias("modules"), F.count_if(F.col("lacks") > 0).alias("incomplete_modules"))
+    t = p.groupBy("p.kind").agg(F.count("*").alias("tensors"), F.sort_array(F.collect_set("dtype")).alias("dtypes"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return t.join(m, "kind", "left").select("kind", "tensors", zero("modules"), zero("incomplete_modules"), "dtypes")
+
+
+def precision_summary(rows: DataFrame) -> DataFrame:
+    """Tensors and values by dtype of parameters (name, dtype, numel), and those of quantised modules and of visual ones among them."""
+    four = F.col("dtype").rlike("(?i)4bit|uint8")
+    return rows.groupBy("dtype").agg(
+        F.count("*").alias("tensors"), F.sum("numel").alias("numel"), F.count_if(four).alias("quantised"), F.count_if(four & F.contains("name", F.lit("visual"))).alias("quantised_visual"))
+
+
+def legacy_evaluation(rows: DataFrame, text: str = "text") -> DataFrame:
+    """One row: every answer against itself; a parsing row fails the query, as it has a metric of its own."""
+    t = F.when(F.col("task") == "parsing", F.raise_error(F.lit("parsing rows are evaluated by elements")).cast("string")).otherwise(F.col(text))
+    s = rows.select(T.exact_match(t, t).alias("e"), T.token_f1(t, t).alias("f"))
+    return s.agg(F.count("*").alias("rows"), F.avg("e").alias("exact_match"), F.avg("f").alias("token_f1"))
+
+
 def box_aggregate(pairs: DataFrame, *by: str) -> DataFrame:
     """Means over valid box pairs (candidate a, reference b); null where there are none."""
     m = pairs.select(*by, G.pair_metrics(F.col("a"), F.col("b")).alias("m"))

@@ -109,7 +109,7 @@ def vocab_remap(spark, sf_dir):
     return t.select("vec_id", F.size("m").cast("long").alias("kept"), F.aggregate("m", F.lit(0).cast("long"), lambda a, e: a + e["idx"]).alias("index_sum"))
 
 
-@query("first_mismatch", "W7 W8 W9 V5", """WITH t AS (SELECT conv_id, turn, string_split(text, '') AS a, string_split(coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '') AS b FROM conversations),
+@query("first_mismatch", "W7 V5", """WITH t AS (SELECT conv_id, turn, string_split(text, '') AS a, string_split(coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '') AS b FROM conversations),
 m AS (SELECT conv_id, turn, a, b, list_filter(range(0, least(len(a), len(b))), lambda i: a[i + 1] <> b[i + 1]) AS d FROM t)
 SELECT conv_id, turn, CASE WHEN len(d) > 0 THEN d[1] WHEN len(a) <> len(b) THEN least(len(a), len(b)) END AS at FROM m WHERE len(b) > 1""")
 def first_mismatch(spark, sf_dir):

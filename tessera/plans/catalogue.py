@@ -27,4 +27,4 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tessera.plans import arrays, evaluation, more, parsing, texts, workflow  # noqa: F401
+    from tessera.plans import arrays, evaluation, further, more, parsing, texts, workflow  # noqa: F401

@@ -223,7 +223,7 @@ def bbox_pair_metrics(spark, sf_dir):
     return m.select("sample_id", "idx", "m.valid", "m.center_dx", "m.area_error", F.round("m.area_ratio", R).alias("area_ratio"), "m.l1")
 
 
-@query("bbox_aggregate", "A13 A12", f"""WITH {PAIR_SQL} SELECT count(*) AS pairs, count(*) FILTER (WHERE fine) AS valid_pairs, round(avg(iou) FILTER (WHERE fine), 6) AS mean_iou,
+@query("bbox_aggregate", "A13", f"""WITH {PAIR_SQL} SELECT count(*) AS pairs, count(*) FILTER (WHERE fine) AS valid_pairs, round(avg(iou) FILTER (WHERE fine), 6) AS mean_iou,
   round(avg(sqrt(power((ax1 + ax2) / 2.0 - (bx1 + bx2) / 2.0, 2) + power((ay1 + ay2) / 2.0 - (by1 + by2) / 2.0, 2))) FILTER (WHERE fine), 6) AS mean_center_distance,
   round(avg(abs((ax1 + ax2) / 2.0 - (bx1 + bx2) / 2.0)) FILTER (WHERE fine), 6) AS mean_abs_dx, round(avg((ax2 - ax1) * (ay2 - ay1) - (bx2 - bx1) * (by2 - by1)) FILTER (WHERE fine), 6) AS mean_area_error,
   round(avg((abs(ax1 - bx1) + abs(ay1 - by1) + abs(ax2 - bx2) + abs(ay2 - by2)) / 4.0) FILTER (WHERE fine), 6) AS mean_l1 FROM q""")
@@ -244,7 +244,7 @@ def coord_infer(spark, sf_dir):
     return box_pairs(spark, sf_dir).select(G.coordinate_system(F.col("a"), side, F.lit(600)).alias("coordinate_system")).groupBy("coordinate_system").agg(F.count("*").alias("boxes"))
 
 
-@query("inventory_groups", "A23 A24 A26", """SELECT regexp_extract(p_brand || '.' || p_type || '.' || p_name, '^[^.]+', 0) AS "group", count(*) AS entries, CAST(sum(p_size) AS BIGINT) AS total_size,
+@query("inventory_groups", "A23", """SELECT regexp_extract(p_brand || '.' || p_type || '.' || p_name, '^[^.]+', 0) AS "group", count(*) AS entries, CAST(sum(p_size) AS BIGINT) AS total_size,
   min(p_brand || '.' || p_type || '.' || p_name) AS first_name, max(p_brand || '.' || p_type || '.' || p_name) AS last_name FROM part GROUP BY 1""")
 def inventory_groups(spark, sf_dir):
     rows = V.table(spark, sf_dir, "part").select(F.concat_ws(".", "p_brand", "p_type", "p_name").alias("name"), F.col("p_size").alias("numel"))

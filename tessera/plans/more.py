@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions import logits as L
-from tessera.functions import modelparse as M
 from tessera.functions import text as T
 from tessera.operators import align, match, metrics
 from tessera.plans import arrays, parsing  # noqa: F401  registers the SQL used here
@@ -75,12 +74,6 @@ def repeated_ids(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("self_evaluation", "A4", "SELECT count(*) AS rows, 1.0::DOUBLE AS exact_match, 1.0::DOUBLE AS token_f1 FROM documents")
-def self_evaluation(spark, sf_dir):
-    t = F.col("text")
-    return V.table(spark, sf_dir, "documents").agg(F.count("*").alias("rows"), F.avg(T.exact_match(t, t)).alias("exact_match"), F.lit(1.0).alias("token_f1"))
-
-
 @query("unix_lines", "F16", "SELECT doc_id, md5(trim(replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS text FROM documents")
 def unix_lines(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.unix_lines(F.replace("text", F.lit("\n"), F.lit("\r\n")))).alias("text"))
@@ -135,7 +128,7 @@ def drop_empty(spark, sf_dir):
     return align.unique_elements(V.ref(spark, sf_dir), V.pred(spark, sf_dir), keep_empty=False).agg(F.count("*").alias("rows"))
 
 
-@query("reuse_teacher", "P14", "SELECT count(*) AS kept, count(*) FILTER (WHERE l_orderkey % 5 = 0) AS of_five FROM (SELECT l_orderkey FROM lineitem WHERE l_partkey % 17 <> 0 AND l_orderkey % 31 <> 0 GROUP BY 1) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+@query("reuse_teacher", "", "SELECT count(*) AS kept, count(*) FILTER (WHERE l_orderkey % 5 = 0) AS of_five FROM (SELECT l_orderkey FROM lineitem WHERE l_partkey % 17 <> 0 AND l_orderkey % 31 <> 0 GROUP BY 1) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
 def reuse_teacher(spark, sf_dir):
     """Teacher rows of the asked samples with elements, one an id."""
     asked = V.table(spark, sf_dir, "orders").select(F.concat(F.lit("parsing-"), F.col("o_orderkey").cast("string")).alias("id"))
@@ -149,18 +142,6 @@ def flatten_roles(spark, sf_dir):
     return d.unionByName(V.table(spark, sf_dir, "labels").select(F.lit(1).alias("role_ord"), F.col("doc_id").alias("id")))
 
 
-@query("parse_model_output", "F38 F39", """SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 3 THEN 0 ELSE 1 END AS elements, CASE WHEN n_nationkey % 5 = 3 THEN 'could_not_find_json_payload' END AS parse_error,
-  CASE WHEN n_nationkey % 5 = 1 THEN 'appended_missing_top_level_closing_brace' END AS parse_repair FROM nation""")
-def parse_model_output(spark, sf_dir):
-    n = V.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    k = F.col("n_nationkey") % 5
-    e = F.concat(F.lit('["'), "n_name", F.lit('",1,2,30,40]'))
-    raw = (F.when(k == 0, F.concat(F.lit('{"e":['), e, F.lit("]}"))).when(k == 1, F.concat(F.lit('{"e":['), e, F.lit("]"))).when(k == 2, F.concat(F.lit('[{"name":"'), "n_name", F.lit('","bbox":"9,8,3,4"}]')))
-           .when(k == 3, F.lit("no json")).otherwise(F.concat(F.lit('```json\n{"elements":[{"name":"'), "n_name", F.lit('","confidence":0.5}]}\n```'))))
-    p = M.parse_outputs(n.withColumn("raw", raw), "raw")
-    return p.select("n_nationkey", F.size("parsed.elements").alias("elements"), "parsed.parse_error", "parsed.parse_repair")
-
-
 @query("prepared_reference", "L12", "SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 3 = 0) AS remapped FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)")
 def prepared_reference(spark, sf_dir):
     """Cached scores for a student vocabulary: the same size passes, a larger one is cut to the shared part."""

@@ -31,13 +31,13 @@ def json_props(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("parse_answer", "F30 F31 F32 F33 F34 F35 P10 P11 F53 F42 F43", None)
+@query("parse_answer", "F30 F31 F32 F33 F34 F35 P10 P11 F53", None)
 def parse_answer(spark, sf_dir):
     r = J.parse_answers(raw_answers(spark, sf_dir), "raw", "p")
     return r.select("id", "how", "p.parse_ok", "p.usable", "p.element_count", "p.salvaged", "p.salvage_reason", "p.parse_error")
 
 
-@query("parse_histogram", "A10 A11 A29", None)
+@query("parse_histogram", "A10", None)
 def parse_histogram(spark, sf_dir):
     r = J.parse_answers(raw_answers(spark, sf_dir), "raw", "p")
     error = F.regexp_replace(F.col("p.parse_error"), r"\d+", "N")

@@ -14,6 +14,7 @@ from tessera.functions import jsonparse as J
 from tessera.functions import text as T
 from tessera.operators import align
 from tessera.schemas import COORDINATE_SYSTEM
+from tessera.scratch import written
 from tessera.workers import ship
 
 
@@ -27,6 +28,32 @@ def manifest_reason(task: str = "parsing") -> Column:
     return F.when(blank("id"), "id is missing").when(blank("image"), "image is missing").when(blank("task"), "task is missing").when(F.col("task") != task, f"task must be {task}")
 
 
+#: Keys of a manifest row that are not metadata.
+KNOWN_KEYS = ("id", "image", "task", "query", "answer", "metadata")
+
+
+def projected(manifest: DataFrame, files: DataFrame, task: str = "parsing") -> DataFrame:
+    """(id, image, task, query, answer, metadata, reason): other columns go into the metadata, over its own entries; null
+    ones are left out. ``reason`` says why a row is invalid, a missing image file among others."""
+    extra = [c for c in manifest.columns if c not in (*KNOWN_KEYS, align.ORD)]
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    own = F.map_filter(F.create_map(*[x for c in extra for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull()) if extra else none
+    given = F.coalesce(F.col("metadata"), none) if "metadata" in manifest.columns else none
+    kept = F.map_filter(given, lambda k, v: ~F.array_contains(F.map_keys(own), k))
+    there = files.select(F.col("path").alias("__file")).distinct()
+    j = manifest.join(there, F.col("image") == F.col("__file"), "left")
+    reason = F.coalesce(manifest_reason(task), F.when(F.col("__file").isNull(), F.lit("image not found")))
+    names = [c if c in manifest.columns else F.lit(None).cast("string").alias(c) for c in ("id", "image", "task", "query", "answer")]
+    return j.select(*names, F.map_concat(kept, own).alias("metadata"), reason.alias("reason"))
+
+
+def two_phase(rows: DataFrame, first, second, key: str = "id") -> DataFrame:
+    """``second`` of the rows and a cache of ``first`` by key: the first model's pass is written before the second begins,
+    so only one is loaded at a time, and ids that repeat are passed once."""
+    cache = written(first(rows.dropDuplicates([key])), "first-pass")
+    return second(rows.join(cache, key))
+
+
 def missing_images(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest rows whose image is not among the files."""
     return manifest.join(files.select(F.col("path").alias("image")).distinct(), "image", "left_anti")

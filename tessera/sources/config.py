@@ -115,6 +115,15 @@ def load(path: str | Path) -> Config:
     return Config(data=data, **raw)
 
 
+def task_of(path: str | Path, task: str | None = None, allowed: tuple[str, ...] = ("parsing",)) -> str:
+    """The given task, or the one that the name of a configuration file says."""
+    stem = Path(path).stem.casefold()
+    found = str(task).strip().casefold() if task is not None else next((t for t in allowed if t in stem), None)
+    if found not in allowed:
+        raise ValueError(f"{path}: no task of {list(allowed)} is given or named")
+    return found
+
+
 def ensure_distinct(a: str, b: str) -> None:
     if Path(a).resolve() == Path(b).resolve():
         raise ValueError("prediction and reference must be different files")

@@ -76,6 +76,56 @@ def test_model_output():
         M.first_expected('{"elements": [1, 2')
 
 
+def test_no_answer_breaks_a_parser(spark):
+    deep = ["[" * 100_000, '{"a":' * 100_000, '{"elements":[' * 5_000, "{" * 50_000, '["' * 50_000, "1" * 5_000, '{"elements":[{"text":"a","bbox_norm":[' + "9" * 5_000 + ",1,2,3]}]}"]
+    lone = ['{"elements":[{"text":"\\ud800x","name":"\\ud800x","bbox_norm":[1,2,3,4],"bbox":[1,2,3,4]}]}', '{"elements":["\\udc00"]}', '{"e":[["\\ud83d",1,2,3,4]]}', "\ufffd{"]
+    df = spark.createDataFrame([(t,) for t in (*deep, *lone, None, "")], "raw string")
+    rows = J.ordered_lenient_labels(M.parse_outputs(J.parse_answers(df, "raw", "a"), "raw", "m"), "raw", "l").collect()
+    assert not any(r.a.usable or r.m.elements for r in rows[: len(deep)])
+    assert rows[len(deep)].a.elements[0].text == "\ufffdx" == rows[len(deep)].m.elements[0].name
+
+
+def test_outermost_values():
+    assert list(J.outermost('a "b{" {"x":"}"} [1] ]')) == [(7, 16, False), (17, 20, False)]
+    assert list(J.outermost('{"a":[1}')) == [(0, None, False)] and list(J.outermost('x [1, {"b":2}')) == [(2, None, True)]
+    assert M.first_expected('x [1,"}"] {"elements":[]}') == {"elements": [1, "}"]}
+    assert M.first_expected('{"elements":[{"bbox":1,2,3,4,"t":1}]}') == {"elements": [{"bbox": [1, 2, 3, 4], "t": 1}], "json_repaired": True, "repairs": 1}
+    for text in ("nothing", '{"k":1}', '{"a":[1,2} x', "{'a':1}"):
+        with pytest.raises(ValueError, match="no valid"):
+            M.first_expected(text)
+
+
+def test_repairs_are_the_same_on_both_sides(spark):
+    for text in ('{"bbox":1,2,3,4,"t":1}', '{"box=1,2,3,4],"t":1}', '{"bbox":1,2,3,4 ]}', '{"bbox_2d":[1,2,3,4,"t":1}', "{}"):
+        assert J.repaired(text) == tuple(spark.range(1).select(J.repair_boxes(F.lit(text)), J.repair_notes(F.lit(text))).first())
+
+
+def test_small_steps(spark):
+    assert value(spark, T.identity_path(F.lit("../a/./b/../c.png"), "/r")) == "/a/c.png" and value(spark, T.utc_now()).endswith("Z")
+    with pytest.raises(Exception, match="non-empty"):
+        value(spark, T.identity_path(F.lit(" ")))
+    assert value(spark, L.spliced(F.array(F.lit(1), F.lit(2)), F.lit(1), F.array(F.lit(8), F.lit(9)))) == [1, 8, 9]
+    assert [value(spark, L.accumulation_scale(F.lit(n), 4)) for n in (0, 1, 4, 6)] == [1.0, 4.0, 1.0, 2.0]
+    assert config.task_of("x/Parsing_kd.yaml") == config.task_of("a.yaml", " PARSING ") == "parsing"
+    with pytest.raises(ValueError):
+        config.task_of("x/other.yaml")
+    with pytest.raises(Exception, match="elements"):
+        metrics.legacy_evaluation(spark.createDataFrame([("parsing", "x")], "task string, text string")).collect()
+    kept = P.existing_answer()
+    rows = spark.createDataFrame([("parsing", [el("a", [1, 2, 3, 4])], "x"), ("parsing", [], "y"), ("vqa", [el("a", [1, 2, 3, 4])], None)], f"task string, elements {ELEMENTS}, answer string")
+    assert [r.v for r in rows.select(kept.alias("v")).collect()] == [J.serialize_label([el("a", [1, 2, 3, 4])]), "y", None]
+    assert value(spark, P.retry_prompt(F.lit("q"))).endswith("\n\nq") and value(spark, P.canonical_text(F.lit(" <|x|>a\r\nb "))) == "a\nb"
+    config.ensure_distinct("a", "b")
+    with pytest.raises(ValueError):
+        config.ensure_distinct("a/../b", "b")
+
+
+def test_metadata_of_a_manifest(spark):
+    rows = spark.createDataFrame([("1", "a.png", "parsing", {"k": "old", "m": "x"}, "new"), ("2", "b.png", "parsing", None, None)], "id string, image string, task string, metadata map<string,string>, k string")
+    got = P.projected(rows, spark.createDataFrame([("a.png",), ("a.png",)], "path string")).orderBy("id").collect()
+    assert [(r.metadata, r.reason) for r in got] == [({"k": "new", "m": "x"}, None), ({}, "image not found")]
+
+
 def matched(spark, p, r):
     df = spark.createDataFrame([(p, r)], f"p {ELEMENTS}, r {ELEMENTS}")
     return df.select(match.greedy(match.usable(F.col("p")), match.usable(F.col("r"))).alias("m")).first().m
@@ -284,6 +334,39 @@ def test_vocab_equality(spark):
     assert got == {0: (True, 6), 1: (False, None), 2: (False, None), 3: (False, None)}
 
 
+def plain_similarity(a, b):
+    """The similarity of two names of ASCII letters, digits and blanks."""
+    from collections import Counter
+
+    x, y = (" ".join("".join(c for c in " ".join(n.lower().replace("_", " ").replace("-", " ").split()) if c.isalnum() or c == " ").split()) for n in (a, b))
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    if x in y or y in x:
+        return 0.9
+    p, q = x.replace(" ", ""), y.replace(" ", "")
+    words = len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
+    return max(words, 2 * sum((Counter(p) & Counter(q)).values()) / (len(p) + len(q)))
+
+
+def test_similarity_match_is_the_plain_one(spark):
+    """Each reference name in turn takes the most similar free candidate; the best one is named also where it is too far."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
+    data = [([" ".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(0, 6))], [" ".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(0, 6))]) for _ in range(60)]
+    rows = spark.createDataFrame(data, "refs array<string>, candidates array<string>").select(match.by_similarity(F.col("refs"), F.col("candidates"), 0.6).alias("m")).collect()
+    for (refs, candidates), r in zip(data, rows):
+        free, want = list(range(len(candidates))), []
+        for name in refs:
+            best = max(free, key=lambda i: (plain_similarity(name, candidates[i]), -i), default=None)
+            s = plain_similarity(name, candidates[best]) if best is not None else 0.0
+            want.append((name, None if best is None else candidates[best], round(s, 9), best is not None and s >= 0.6))
+            if want[-1][3]:
+                free.remove(best)
+        assert [(x.ref, x.best, round(x.similarity, 9), x.matched) for x in r.m] == want
+
+
 def test_drawing_summary(spark):
     boxes = [([([1.0, 2.0, 3.0, 4.0],), ([5.0, 5.0, 5.0, 9.0],), ([1.0, 2.0],), (None,), ([1.0, float("nan"), 3.0, 4.0],)],), ([],), (None,)]
     rows = spark.createDataFrame(boxes, "elements array<struct<bbox_norm:array<double>>>")
