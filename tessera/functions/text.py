@@ -197,6 +197,15 @@ def natural_key(name: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.when(digit(p), 0).otherwise(1).alias("kind"), F.when(digit(p), p.cast("decimal(38,0)")).alias("number"), F.when(~digit(p), p).alias("text")))
 
 
+def natural_text(name: Column) -> Column:
+    """A string that sorts as ``natural_key`` does, then by the name itself."""
+    parts = F.filter(F.split(F.regexp_replace(F.lower(name), r"(\d+)", "\u0001$1\u0001"), "\u0001"), lambda p: p != "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    number = lambda p: F.concat(F.lit("0"), F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))
+    each = F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), number(p)).otherwise(F.concat(F.lit("1"), p)))
+    return F.concat(F.array_join(each, "\u0000"), F.lit("\u0000\u0000"), name)
+
+
 #: How lines begin that introduce a list rather than name an object.
 EXPLANATION_PREFIXES = (
     "here are", "objects:", "object names:", "visible objects:", "visible ui elements:", "ui elements:", "elements:", "output:", "answer:", "explanation:", "note:",

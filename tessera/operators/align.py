@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.scratch import written
 
 ORD = "_ord"
 
@@ -159,14 +160,11 @@ def numbered_manifest(paths: DataFrame, task: str = "parsing", query: str = "",
 def global_position(df: DataFrame, order: str, ranges: int = 256) -> DataFrame:
     """``df`` with position: 1-based rank by ``order``, ties in any order.
 
-    Rows are cut into ranges at approximate quantiles of a prefix number of the sort column, counted by range, and
-    ranked within their range; the only driver-side data are at most ``ranges`` cut points.
+    Rows are dealt to ranges by sampled split points of whole values, so a long common prefix does no harm, and written
+    with the number of their range; they are counted by range and ranked within it. A range holds all rows of a value.
     """
-    first = F.conv(F.substring(F.rpad(F.hex(F.substring(F.coalesce(F.col(order).cast("string"), F.lit("")), 1, 6)), 14, "0"), 1, 14), 16, 10).cast("decimal(20,0)").cast("double")
-    d = df.withColumn("__at", first)
-    cuts = sorted(set(d.agg(F.percentile_approx("__at", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []))
-    where = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("__at")))
-    d = d.withColumn("__range", where).drop("__at")
+    d = df.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id())
+    d = written(d, "positions")
     counts = d.groupBy("__range").count()
     before = counts.select(F.col("__range").alias("__of"), F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     ranked = d.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(order)))

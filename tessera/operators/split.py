@@ -47,9 +47,9 @@ def hashed_split(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> D
 def metadata(training: DataFrame, validation: DataFrame, ratio: float, seed: int) -> dict:
     from tessera.sources.io import ids_hash
 
-    t, v = ids_hash(training).first(), ids_hash(validation).first()
-    return {"ratio": ratio, "seed": seed, "total_count": t.rows + v.rows, "training_count": t.rows, "validation_count": v.rows,
-            "training_ids_hash": t.ids_sha256, "validation_ids_hash": v.ids_sha256}
+    (t_rows, t_hash), (v_rows, v_hash) = ids_hash(training), ids_hash(validation)
+    return {"ratio": ratio, "seed": seed, "total_count": t_rows + v_rows, "training_count": t_rows, "validation_count": v_rows,
+            "training_ids_hash": t_hash, "validation_ids_hash": v_hash}
 
 
 def verify(recorded: dict, training: DataFrame, validation: DataFrame) -> list[str]:

@@ -122,14 +122,15 @@ def hashed_split(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, build, mode):
-    """Runs a stream over the events, which arrive in three files in order of time, and reads its result."""
+    """Runs a stream over the events, which arrive in three batches in order of time, and reads its result."""
     root = scratch_path(spark, "stream")
     e = V.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    low, high = e.agg(F.percentile_approx(F.unix_micros("ts"), [0.33, 0.67])).first()[0]
+    (low, high), rows = e.agg(F.percentile_approx(F.unix_micros("ts"), [0.33, 0.67]), F.count("*")).first()
+    files = rows // 3_000_000 + 1  # of about a million rows each
     at = F.unix_micros("ts")
     for part in (at < low, (at >= low) & (at < high), at >= high):
-        e.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return stream.run_once(build(stream.file_stream(spark, f"{root}/in", e.schema)), f"{root}/out", f"{root}/state", mode)
+        e.filter(part).repartition(files).write.mode("append").parquet(f"{root}/in")
+    return stream.run_once(build(stream.file_stream(spark, f"{root}/in", e.schema, files)), f"{root}/out", f"{root}/state", mode)
 
 
 @query("resume_stream", "T1 T2 S4", "SELECT user_id, count(*) AS ids FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")

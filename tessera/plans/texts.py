@@ -108,21 +108,14 @@ def manifest(spark, sf_dir):
   'n': coalesce(TRY_CAST(p AS HUGEINT), 0), 't': CASE WHEN regexp_full_match(p, '[0-9]+') THEN '' ELSE p END}) AS key FROM (SELECT DISTINCT url FROM pages))
 SELECT url, n % 2 = 1 AS kept FROM (SELECT url, row_number() OVER (ORDER BY key, url) AS n FROM k)""")
 def natural_sort_half(spark, sf_dir):
-    from pyspark.sql import Window
-
-    p = V.table(spark, sf_dir, "pages").select("url").distinct()
-    # sort within hosts in parallel, then add the number of addresses of the hosts before
-    host = F.regexp_extract(F.lower("url"), "^([^0-9]*)", 1)
-    d = p.select("url", host.alias("host"), T.natural_key(F.col("url")).alias("key"))
-    before = d.groupBy("host").count().select(F.col("host").alias("of"), F.coalesce(F.sum("count").over(Window.orderBy("host").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    n = F.row_number().over(Window.partitionBy("host").orderBy("key", "url"))
-    return d.withColumn("n", n).join(before, F.col("host") == F.col("of")).select("url", ((F.col("before") + F.col("n")) % 2 == 1).alias("kept"))
+    p = V.table(spark, sf_dir, "pages").select("url").distinct().withColumn("key", T.natural_text(F.col("url")))
+    return align.global_position(p, "key").select("url", (F.col("position") % 2 == 1).alias("kept"))
 
 
 @query("similarity_match", "J10", None)
 def similarity_match(spark, sf_dir):
-    """Region by region: nation names against supplier names of the region, greedily by similarity."""
-    n = V.table(spark, sf_dir, "nation")
-    names = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
-    pairs = names.select("n_regionkey", match.by_similarity(F.col("names"), F.transform(F.reverse("names"), lambda x: F.concat(F.substring(x, 2, 20), F.lit(" x"))), 0.6).alias("rows"))
-    return pairs.select("n_regionkey", F.explode("rows").alias("r")).select("n_regionkey", "r.ref", "r.best", F.round("r.similarity", R).alias("similarity"), "r.matched")
+    """Brand by brand and size by size: names of parts against the types of the same group, greedily by similarity."""
+    p = V.table(spark, sf_dir, "part")
+    names = p.groupBy("p_brand", "p_size").agg(F.sort_array(F.collect_list("p_name")).alias("names"), F.sort_array(F.collect_list("p_type")).alias("types"))
+    pairs = names.select("p_brand", "p_size", F.posexplode(match.by_similarity(F.col("names"), F.col("types"), 0.4)).alias("nth", "r"))
+    return pairs.select("p_brand", "p_size", "nth", "r.ref", "r.best", F.round("r.similarity", R).alias("similarity"), "r.matched")

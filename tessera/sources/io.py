@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,10 +44,16 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def ids_hash(df: DataFrame, id_col: str = "id", order: str = ORD) -> DataFrame:
-    """SHA-256 of the ids in order, one a line. One row: the digest of a file of ids is sequential by nature."""
-    ids = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(id_col).cast("string").alias("id")))), lambda x: x["id"])
-    return df.agg(F.sha2(F.array_join(ids, "\n"), 256).alias("ids_sha256"), F.count("*").alias("rows"))
+def ids_hash(df: DataFrame, id_col: str = "id", order: str = ORD) -> tuple[int, str]:
+    """Number of rows and SHA-256 of the ids in order, one a line.
+
+    Such a digest is sequential by nature: ids are sorted by the executors and pass the driver one partition at a time.
+    """
+    h, n = hashlib.sha256(), 0
+    for row in df.select(F.col(id_col).cast("string").alias("id"), order).orderBy(order, "id").select("id").toLocalIterator():
+        h.update(("\n" if n else "").encode() + (row.id or "").encode())
+        n += 1
+    return n, h.hexdigest()
 
 
 def read_sidecars(spark: SparkSession, root: str, role: str, schema: str) -> DataFrame:
