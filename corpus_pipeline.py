@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.llm import bpe, jaccard, mixing, pii, toxicity
 from tessera.llm.common import table, written
 
@@ -53,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage wrote on its way goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before, mark = docs, scratch.made_so_far()
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.drop_since(mark, docs)
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
