@@ -472,3 +472,5 @@ def test_pipeline_stage_by_stage(spark, sf001):
             shas = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in was}
             assert all(r.decoded_sha256 == shas[r.doc_id] and len(r.ids) == r.n_tokens for r in rows)
         before = after
+    last = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf001).collect()) == last
