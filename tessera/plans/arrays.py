@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import logits as L
+from tessera.operators import series
 from tessera.plans import views as V
 from tessera.plans.catalogue import query
 
@@ -126,8 +127,5 @@ f AS (SELECT event_type, CAST(1 AS BIGINT) AS n, value AS best, 0 AS bad, CAST(N
   CASE WHEN x.value >= f.best - 0.01 AND f.bad + 1 >= 40 THEN x.n END FROM f JOIN x ON x.event_type = f.event_type AND x.n = f.n + 1 WHERE f.stopped_at IS NULL)
 SELECT event_type, round(arg_max(best, n), 6) AS best, arg_max(bad, n) AS bad, max(stopped_at) AS stopped_at FROM f GROUP BY 1""")
 def early_stop(spark, sf_dir):
-    """A fold over each series in order, which one task does by nature; series too long for an array go through the
-    stream, whose state is four numbers a key."""
-    x = V.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("xs"))
-    x = x.select("event_type", L.early_stop(F.transform("xs", lambda e: e["value"]), 40, 0.01).alias("s"))
-    return x.select("event_type", F.round("s.best", R).alias("best"), "s.bad", F.col("s.stopped_at").cast("long").alias("stopped_at"))
+    x = series.early_stops(V.table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value", 40, 0.01)
+    return x.select("event_type", F.round("best", R).alias("best"), "bad", "stopped_at")

@@ -12,7 +12,7 @@ from tessera.functions import jsonparse as J
 from tessera.functions import logits as L
 from tessera.functions import modelparse as M
 from tessera.functions import text as T
-from tessera.operators import align, match, metrics, split
+from tessera.operators import align, match, metrics, series, split
 from tessera.plans import pipeline as P
 from tessera.schemas import ELEMENTS, LABEL
 from tessera.sources import config, io
@@ -372,3 +372,30 @@ def test_drawing_summary(spark):
     rows = spark.createDataFrame(boxes, "elements array<struct<bbox_norm:array<double>>>")
     assert tuple(metrics.drawing_summary(rows, 1000, 1000).first()) == (3, 2, 1, 5, 1, 4, 3, 1)
     assert tuple(metrics.drawing_summary(rows.limit(0), 1000, 1000).first()) == (0,) * 8
+
+
+@pytest.mark.parametrize("min_delta", [0.0, 0.05])
+def test_early_stops_over_ranges_equal_the_fold(spark, min_delta):
+    rng = random.Random(5)
+    made = {
+        "hot": [rng.random() for _ in range(900)], "falls": [1 - i / 300 for i in range(300)], "flat": [0.5] * 30, "one": [0.25], "nulls": [None] * 9,
+        "late": [None, None, 0.5, 0.49, 0.48, None, 0.4, 0.39, float("nan"), 0.38, 0.37, 0.36, 0.35, 0.1], None: [float("nan"), 3.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 1.0], "short": [3.0, 2.0, 2.5],
+    }
+    rows = [(k, i // 2, i, v) for k, vs in made.items() for i, v in enumerate(vs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, ts int, no int, value double").withColumn("best", F.lit("clash"))
+    folded = df.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ts", "no", "value"))).alias("xs")).select("key", L.early_stop(F.transform("xs", lambda e: e["value"]), 7, min_delta).alias("s"))
+    want = sorted((repr(r.key), repr(r.s.best), r.s.bad, r.s.stopped_at) for r in folded.collect())
+    for ranges in (1, 40):
+        got = series.early_stops(df, "key", ["ts", "no"], "value", 7, min_delta, ranges).collect()
+        assert sorted((repr(r.key), repr(r.best), r.bad, r.stopped_at) for r in got) == want
+    assert len(want) == len(made)
+
+
+def test_early_stops_of_no_rows_and_wrong_limits(spark):
+    df = spark.createDataFrame([], "key string, ts int, value double")
+    assert series.early_stops(df, "key", ["ts"], "value", 3).count() == 0
+    with pytest.raises(ValueError):
+        series.early_stops(df, "key", ["ts"], "value", 0)
+    with pytest.raises(ValueError):
+        series.early_stops(df, "key", ["ts"], "value", 3, -0.1)
