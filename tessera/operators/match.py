@@ -20,25 +20,44 @@ def usable(elements: Column) -> Column:
 def greedy(pred: Column, ref: Column) -> Column:
     """Matches of two arrays of usable elements: struct(tp, iou_sum, boxes).
 
-    Candidates are pairs of equal text. The best overlap goes first, ties by position; an element is used once. As
-    candidates of different texts share no element, one ordered fold serves all texts of the sample.
+    Candidates are pairs of equal text. The best overlap goes first, ties by position; an element is used once. Only pairs
+    that overlap are sorted and folded; as candidates of different texts share no element, one fold serves all texts. What
+    it leaves free does not overlap, so there the n-th free prediction of a text takes the n-th free reference of it, by rank.
     """
 
-    def with_ref(p: Column, i: Column) -> Column:
-        at = F.transform(ref, lambda r, j: F.when(r["text"] == p["text"], F.struct(
-            (-G.iou(p["box"], r["box"])).alias("v"), i.alias("p"), j.alias("r"), (p["box"].isNotNull() & r["box"].isNotNull()).cast("int").alias("box"))))
-        return F.filter(at, lambda c: c.isNotNull())
+    def overlaps(p: Column, i: Column) -> Column:
+        at = F.transform(ref, lambda r, j: F.when(r["text"] == p["text"], F.struct((-G.iou(p["box"], r["box"])).alias("v"), i.alias("p"), j.alias("r"))))
+        return F.filter(at, lambda c: c["v"] < 0)
 
-    found = F.sort_array(F.flatten(F.transform(pred, with_ref)))
     none = F.array().cast("array<int>")
-    start = F.struct(none.alias("ps"), none.alias("rs"), F.lit(0.0).alias("iou_sum"), F.lit(0).alias("boxes"))
+    start = F.struct(none.alias("ps"), none.alias("rs"), F.lit(0.0).alias("iou_sum"))
 
     def add(a: Column, c: Column) -> Column:
         taken = F.array_contains(a["ps"], c["p"]) | F.array_contains(a["rs"], c["r"])
-        more = F.struct(F.array_append(a["ps"], c["p"]).alias("ps"), F.array_append(a["rs"], c["r"]).alias("rs"), (a["iou_sum"] - c["v"]).alias("iou_sum"), (a["boxes"] + c["box"]).alias("boxes"))
+        more = F.struct(F.array_append(a["ps"], c["p"]).alias("ps"), F.array_append(a["rs"], c["r"]).alias("rs"), (a["iou_sum"] - c["v"]).alias("iou_sum"))
         return F.when(taken, a).otherwise(more)
 
-    return F.aggregate(found, start, add, lambda a: F.struct(F.size(a["ps"]).alias("tp"), a["iou_sum"].alias("iou_sum"), a["boxes"].alias("boxes")))
+    def free(elements: Column, used: Column, side: int) -> Column:
+        left = F.filter(F.transform(elements, lambda e, i: F.struct(e["text"].alias("text"), i.alias("i"), e["box"].isNotNull().alias("box"))), lambda e: ~F.array_contains(used, e["i"]))
+
+        def ranked(es: Column) -> Column:
+            texts = F.transform(es, lambda e: e["text"])
+            return T.let(texts, lambda ts: F.transform(es, lambda e, i: F.struct(
+                e["text"].alias("text"), (i - F.array_position(ts, e["text"])).cast("long").alias("rank"), F.lit(side).alias("side"), e["box"].alias("box"))))
+
+        return T.let(F.sort_array(left), ranked)
+
+    def rest(m: Column) -> Column:
+        def paired(all_: Column) -> Column:
+            before = lambda i: F.get(all_, i - 1)
+            pairs = F.filter(F.transform(all_, lambda x, i: F.when((before(i)["text"] == x["text"]) & (before(i)["rank"] == x["rank"]), (before(i)["box"] & x["box"]).cast("int"))), lambda b: b.isNotNull())
+            done = F.size(m["ps"])
+            return T.let(pairs, lambda b: F.struct((done + F.size(b)).alias("tp"), m["iou_sum"].alias("iou_sum"), (done + F.size(F.filter(b, lambda x: x == 1))).alias("boxes")))
+
+        return T.let(F.sort_array(F.concat(free(pred, m["ps"], 0), free(ref, m["rs"], 1))), paired)
+
+    found = F.sort_array(F.flatten(F.transform(pred, overlaps)))
+    return T.let(F.aggregate(found, start, add), rest)
 
 
 def by_similarity(refs: Column, candidates: Column, threshold: float) -> Column:

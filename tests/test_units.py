@@ -399,3 +399,32 @@ def test_early_stops_of_no_rows_and_wrong_limits(spark):
         series.early_stops(df, "key", ["ts"], "value", 0)
     with pytest.raises(ValueError):
         series.early_stops(df, "key", ["ts"], "value", 3, -0.1)
+
+
+def test_greedy_equals_every_pair_in_turn(spark):
+    rng = random.Random(11)
+
+    def box():
+        x, y = rng.randrange(20), rng.randrange(20)
+        return rng.choice([None, [x, y, x + rng.randrange(1, 12), y + rng.randrange(1, 12)]])
+
+    def iou(a, b):
+        if a is None or b is None:
+            return 0.0
+        w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        area = lambda c: (c[2] - c[0]) * (c[3] - c[1])
+        return w * h / (area(a) + area(b) - w * h)
+
+    def plain(pred, ref):
+        every = sorted((-iou(p[1], r[1]), i, j) for i, p in enumerate(pred) for j, r in enumerate(ref) if p[0] == r[0])
+        ps, rs, total, boxes = set(), set(), 0.0, 0
+        for v, i, j in every:
+            if i not in ps and j not in rs:
+                ps.add(i), rs.add(j)
+                total, boxes = total - v, boxes + (pred[i][1] is not None and ref[j][1] is not None)
+        return len(ps), round(total, 9), boxes
+
+    made = lambda n: [(rng.choice("abc"), box()) for _ in range(n)]
+    rows = [(k, made(rng.randrange(9)), made(rng.randrange(9))) for k in range(200)] + [(200, [], []), (201, made(60), made(70)), (202, [("a", None)] * 5, [("a", [0, 0, 9, 9])] * 3)]
+    df = spark.createDataFrame(rows, f"k int, p {match.USABLE}, r {match.USABLE}").select("k", match.greedy(F.col("p"), F.col("r")).alias("m"))
+    assert {x.k: (x.m.tp, round(x.m.iou_sum, 9), x.m.boxes) for x in df.collect()} == {k: plain(p, r) for k, p, r in rows}
