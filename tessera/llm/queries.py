@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, fingerprint, jaccard, mixing, pii, quality, toxicity, urls, warc
+from tessera.llm import bpe, chat, fim, fingerprint, jaccard, mixing, pii, quality, rules, toxicity, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_quality": quality.op9_quality,
     "op10_warc": warc.op10_warc,
+    "op11_fim": fim.op11_fim,
+    "op13_rules": rules.op13_rules,
 }
 
 SQL = {
     "op4_chat": chat.OP4_SQL,
     "op7_url_filter": urls.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_fim": fim.OP11_SQL,
 }
