@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, fim, fingerprint, jaccard, mixing, pii, quality, rules, toxicity, urls, warc
+from tessera.llm import bpe, chat, fim, fingerprint, jaccard, mixing, pii, quality, rules, spelling, toxicity, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_warc": warc.op10_warc,
     "op11_fim": fim.op11_fim,
+    "op12_spelling": spelling.op12_spelling,
     "op13_rules": rules.op13_rules,
 }
 
