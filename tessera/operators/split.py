@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import random
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import digest
+from tessera.operators.select import smallest
+from tessera.sources.versions import Versions
+
+#: Levels of the digest trees behind the metadata: 65,536 leaves, so one stays small up to some hundred million ids.
+DEPTH = 4
 #: The seeded shuffle runs on the driver, over ids only.
 MOST_IDS = 5_000_000
 
@@ -21,14 +26,14 @@ def validation_count(rows: int, ratio: float) -> int:
 def seeded_split(rows: DataFrame, ratio: float, seed: int, id_col: str = "id", image_col: str = "image", order: str = "_ord") -> tuple[DataFrame, DataFrame]:
     """(training, validation) by the seeded Mersenne Twister shuffle of the rows sorted by image.
 
-    The shuffle is sequential by definition, so the driver holds the ids; beyond ``MOST_IDS`` this is refused, and
-    hashed_split, which needs no order, is the way.
+    The small form: the shuffle is sequential by definition, so the driver holds the ids; beyond ``MOST_IDS`` this is
+    refused, and exact_split, which keeps the count and needs no order, is the way.
     """
     if not 0 < ratio < 1:
         raise ValueError("ratio must be above 0 and below 1")
     count, distinct = rows.agg(F.count("*"), F.count_distinct(id_col)).first()
     if count > MOST_IDS:
-        raise ValueError(f"{count} rows: the seeded shuffle takes at most {MOST_IDS}; use hashed_split")
+        raise ValueError(f"{count} rows: the seeded shuffle takes at most {MOST_IDS}; use exact_split")
     if not count or distinct != count:
         raise ValueError("rows must have unique non-empty ids")
     ids = [r[0] for r in rows.select(id_col, F.coalesce(image_col, F.lit("")).alias("i"), order).orderBy("i", order).select(id_col).toLocalIterator()]
@@ -44,27 +49,39 @@ def hashed_split(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> D
     return rows.withColumn("is_validation", top < ratio)
 
 
-def metadata(training: DataFrame, validation: DataFrame, ratio: float, seed: int) -> dict:
-    from tessera.sources.io import ids_hash
+def exact_split(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> DataFrame:
+    """``rows`` without source_image, with is_validation: exactly ``validation_count`` of them, those of the smallest keyed hashes.
+
+    The same rows under any partitioning and at any size: the driver sees counts and one key. Keys must be unique and not
+    empty, as text too; rows without any are an error.
+    """
+    if not 0 < ratio < 1:
+        raise ValueError("ratio must be above 0 and below 1")
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    by_key = rows.groupBy(text.alias("key")).count()
+    distinct, count, empty = by_key.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("key") == "")).first()
+    if not count or distinct != count or empty:
+        raise ValueError("rows must have unique non-empty ids")
+    return smallest(rows.drop("source_image"), validation_count(count, ratio), key, seed, "is_validation")
+
 
-    (t_rows, t_hash), (v_rows, v_hash) = ids_hash(training), ids_hash(validation)
+def metadata(training: DataFrame, validation: DataFrame, ratio: float, seed: int, id_col: str = "id") -> dict:
+    """Counts of the parts and the roots of their digest trees: a few values, whatever the size."""
+    (t_rows, t_hash), (v_rows, v_hash) = (digest.root(digest.tree(df, id_col, DEPTH)) for df in (training, validation))
     return {"ratio": ratio, "seed": seed, "total_count": t_rows + v_rows, "training_count": t_rows, "validation_count": v_rows,
             "training_ids_hash": t_hash, "validation_ids_hash": v_hash}
 
 
-def verify(recorded: dict, training: DataFrame, validation: DataFrame) -> list[str]:
+def verify(recorded: dict, training: DataFrame, validation: DataFrame, id_col: str = "id") -> list[str]:
     """Fields of the recorded metadata that the data contradict."""
-    now = metadata(training, validation, recorded["ratio"], recorded["seed"])
+    now = metadata(training, validation, recorded["ratio"], recorded["seed"], id_col)
     return [k for k in now if recorded.get(k) != now[k]]
 
 
 def write_version(spark: SparkSession, root: str, version: str, **tables: DataFrame) -> None:
-    """Writes the tables below root/version, then moves the pointer: readers see all of a version or none of it."""
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_current")
+    """Writes the tables below root/version and makes them current: readers see all of a version or none of it."""
+    Versions(spark, root).write(tables, version)
 
 
 def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
-    at = json.loads(spark.read.text(f"{root}/_current").first()[0])
-    return spark.read.parquet(f"{root}/{at['version']}/{name}")
+    return Versions(spark, root).read(name)

@@ -40,9 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    files, target = _at(spark, path)
+    return files.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or a whole folder, if there is one."""
+    files, target = _at(spark, path)
+    files.delete(target, True)
 
 
 def drop(*frames: DataFrame) -> None:
@@ -50,7 +62,7 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = df.__dict__.pop("_scratch_path", None)
         if path:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
             _made[:] = [x for x in _made if x[1] != path]
 
 
@@ -64,7 +76,7 @@ def drop_since(mark: int, *keep: DataFrame) -> None:
     kept = {df.__dict__.get("_scratch_path") for df in keep}
     for spark, path in _made[mark:]:
         if path not in kept:
-            _delete(spark, path)
+            delete(spark, path)
     _made[mark:] = [x for x in _made[mark:] if x[1] in kept]
 
 
@@ -73,7 +85,7 @@ def drop_scratch() -> None:
     while _made:
         spark, path = _made.pop()
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone, and its folder with it
             return
 

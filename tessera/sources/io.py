@@ -1,4 +1,4 @@
-"""Sources and sinks: JSON Lines, image folders, sidecar documents, reports, profile logs."""
+"""Sources and sinks: JSON Lines, image folders, reports, profile logs."""
 
 from __future__ import annotations
 
@@ -8,21 +8,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import raw_preview
 from tessera.operators.align import ORD
 from tessera.schemas import LABEL
+from tessera.sources.jsonl import read_jsonl
 
-IMAGE_TYPES = ("jpg", "jpeg", "png", "bmp", "webp")
-
+__all__ = ["append_jsonl", "content_hashes", "gpu_rows", "ids_hash", "image_files", "merge_shards", "read_jsonl", "write_jsonl", "write_report", "write_summary"]
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = LABEL, max_samples: int | None = None, strict: bool = True) -> DataFrame:
-    """Rows of JSON Lines files with their order; blank lines are skipped, a bad one fails the read, or gives null columns and its text in _bad."""
-    if strict:
-        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    else:
-        df = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    df = df.withColumn(ORD, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
-    return df.orderBy(ORD).limit(max_samples) if max_samples is not None else df
+IMAGE_TYPES = ("jpg", "jpeg", "png", "bmp", "webp")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -56,27 +48,6 @@ def ids_hash(df: DataFrame, id_col: str = "id", order: str = ORD) -> tuple[int,
     return n, h.hexdigest()
 
 
-def read_sidecars(spark: SparkSession, root: str, role: str, schema: str) -> DataFrame:
-    """Documents json/<role>/*.json but the report."""
-    df = spark.read.schema(schema).option("multiLine", "true").json(f"{root}/json/{role}/*.json")
-    return df.filter(F.col("_metadata.file_name") != "parse_report.json")
-
-
-def write_sidecars(df: DataFrame, root: str) -> None:
-    """Documents by role; roles that are written replace what was there, others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("role").json(f"{root}/json")
-
-
-def sidecar_report(docs: DataFrame) -> DataFrame:
-    """One row: documents, parsed and failed ones, elements of the parsed ones."""
-    ok = F.coalesce("parse_ok", F.lit(False))
-    return docs.agg(F.count("*").alias("total_files"), F.count_if(ok).alias("parse_ok"), F.count_if(~ok).alias("parse_failed"), F.coalesce(F.sum(F.when(ok, F.col("element_count"))), F.lit(0)).alias("total_elements"))
-
-
-def sidecar_failures(docs: DataFrame) -> DataFrame:
-    return docs.filter(~F.coalesce("parse_ok", F.lit(False))).select("id", "parse_error", raw_preview(F.col("raw_model_output")).alias("preview"))
-
-
 def write_report(path: str, **parts) -> None:
     """One indented JSON document on the driver, from small values and one-row frames."""
     value = {k: (v.first().asDict(True) if isinstance(v, DataFrame) else v) for k, v in parts.items()}

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: resume, append-only metrics, early stopping."""
+"""Structured Streaming forms: resume (with a ledger: see ``ledger``), append-only metrics, early stopping."""
 
 from __future__ import annotations
 
@@ -15,19 +15,6 @@ def resumed(stream: DataFrame, id_col: str = "id", event_time: str | None = None
     return stream.dropDuplicates([id_col])
 
 
-def append_new(batch: DataFrame, target: str, id_col: str = "id") -> None:
-    """foreachBatch body: appends the rows whose id the target lacks."""
-    spark = batch.sparkSession
-    try:
-        done = spark.read.parquet(target).select(id_col)
-    except Exception as e:  # noqa: BLE001  the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        done = None
-    rows = batch.dropDuplicates([id_col])
-    (rows.join(done, id_col, "left_anti") if done is not None else rows).write.mode("append").parquet(target)
-
-
 def early_stops(stream: DataFrame, key: str, patience: int, min_delta: float, order: tuple[str, ...] = ("ts", "event_id"), value: str = "value") -> DataFrame:
     """(key, best, bad, steps, stopped_at) of each key that a micro-batch touches; rows of a batch go in ``order``.
 
@@ -70,5 +57,10 @@ def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_each(df: DataFrame, checkpoint: str, each) -> None:
+    """Runs a stream over what is available, each batch with its number through ``each``, which must bear a replay."""
+    df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, n: each(batch, n) and None).start().awaitTermination()
+
+
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
