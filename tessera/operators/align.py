@@ -133,22 +133,73 @@ def coverage(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
     )
 
 
-def isolation(train: DataFrame, validation: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row a column: distinct values, repeats and overlap of the two sets. One pass: sides count map-side by value."""
+def _by_value(train: DataFrame, validation: DataFrame, columns: Sequence[str], id_col: str | None = None) -> DataFrame:
+    """(field, value, t, v): rows of either set with a value, counted before they are shuffled; with an id column the
+    smallest id of either set, train_id and validation_id."""
     parts = None
     for name in columns:
         for side, df in ((0, train), (1, validation)):
-            d = df.select(F.lit(name).alias("field"), F.lit(side).alias("side"), F.col(name).cast("string").alias("value"))
+            own = F.col(id_col).cast("string") if id_col else F.lit(None).cast("string")
+            d = df.select(F.lit(name).alias("field"), F.lit(side).alias("side"), F.col(name).cast("string").alias("value"), own.alias("id"))
             parts = d if parts is None else parts.unionByName(d)
-    by_value = parts.groupBy("field", "value").agg(F.count_if(F.col("side") == 0).alias("t"), F.count_if(F.col("side") == 1).alias("v"))
+    of = lambda side: F.min(F.when(F.col("side") == side, F.col("id")))
+    return parts.groupBy("field", "value").agg(F.count_if(F.col("side") == 0).alias("t"), F.count_if(F.col("side") == 1).alias("v"), of(0).alias("train_id"), of(1).alias("validation_id"))
+
+
+def isolation(train: DataFrame, validation: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row a column: distinct values, repeats and overlap of the two sets. One pass: sides count map-side by value."""
     has_t, has_v = F.col("t") > 0, F.col("v") > 0
-    return by_value.groupBy("field").agg(
+    return _by_value(train, validation, columns).groupBy("field").agg(
         F.count_if(has_t).alias("train_unique"), F.coalesce(F.sum(F.when(has_t, F.col("t") - 1)), F.lit(0)).alias("train_duplicates"),
         F.count_if(has_v).alias("validation_unique"), F.coalesce(F.sum(F.when(has_v, F.col("v") - 1)), F.lit(0)).alias("validation_duplicates"),
         F.count_if(has_t & has_v).alias("overlap"),
     )
 
 
+def overlap_examples(train: DataFrame, validation: DataFrame, columns: Sequence[str], most: int = 10, id_col: str = "id") -> DataFrame:
+    """(field, value, train_id, validation_id): of each column the first ``most`` values that both sets have, in order,
+    with the smallest id on either side. The limit is the feature; null values are not compared."""
+    shared = _by_value(train, validation, columns, id_col).filter((F.col("t") > 0) & (F.col("v") > 0) & F.col("value").isNotNull())
+    out = None
+    for name in columns:
+        d = shared.filter(F.col("field") == name).orderBy("value").limit(most).select("field", "value", "train_id", "validation_id")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def require_isolated(train: DataFrame, validation: DataFrame, columns: Sequence[str], most: int = 10, id_col: str = "id", required: Sequence[str] = ("id", "image")) -> None:
+    """ValueError if a required column of a row is empty, a value repeats within a set, or both sets share one; the message
+    has the counts of each column and up to ``most`` examples a column."""
+    for name, df in (("training", train), ("validation", validation)):
+        blank = [F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "").alias(c) for c in required]
+        empty = df.agg(*blank).first().asDict() if required else {}
+        if any(empty.values()):
+            raise ValueError(f"{name} rows without a value: " + ", ".join(f"{c} {n}" for c, n in empty.items() if n))
+    counts = sorted(isolation(train, validation, columns).collect(), key=lambda r: columns.index(r.field))  # a row a column
+    if not any(r.train_duplicates or r.validation_duplicates or r.overlap for r in counts):
+        return
+    lines = [f"{r.field}: {r.overlap} shared, {r.train_duplicates} repeats in training, {r.validation_duplicates} in validation" for r in counts]
+    examples = sorted(overlap_examples(train, validation, columns, most, id_col).collect(), key=lambda r: (columns.index(r.field), r.value))
+    lines += [f"{r.field} {r.value}: training row {r.train_id}, validation row {r.validation_id}" for r in examples]
+    raise ValueError("training and validation rows are not apart\n" + "\n".join(lines))
+
+
+def base_rows(pending: DataFrame, base: DataFrame, id_col: str = "id") -> DataFrame:
+    """Pending samples with their base label row: the columns of ``base``, and from_sample, whether there is none.
+
+    Of base rows with one id the first by ORD counts; an id that is null has no base row.
+    """
+    first = dedup(base, [id_col]).drop("copies", *([ORD] if ORD in pending.columns else [])).withColumn("__base", F.lit(True))
+    rest = [c for c in first.columns if c not in (id_col, "__base") and c not in pending.columns]
+    out = pending.join(first.select(id_col, *rest, "__base"), id_col, "left")
+    return out.withColumn("from_sample", F.col("__base").isNull()).drop("__base")
+
+
+def repeated(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(key, n): values that more than one row has, null among them; counted before the shuffle."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def numbered_manifest(paths: DataFrame, task: str = "parsing", query: str = "", path_col: str = "path") -> DataFrame:
     """Manifest rows with ids by sorted path. Ids are global positions: rows are range-partitioned and counted by
     partition before they are numbered, so no task sees them all."""
@@ -157,19 +208,28 @@ def numbered_manifest(paths: DataFrame, task: str = "parsing", query: str = "",
     return n.select(F.format_string("parsing-%06d", "position").alias("id"), "image", F.lit(task).alias("task"), F.lit(query).alias("query"))
 
 
-def global_position(df: DataFrame, order: str, ranges: int = 256) -> DataFrame:
+#: Rows that one range of a global order holds, about; a range is sorted in one task.
+RANGE_ROWS = 500_000
+#: First positions of so many ranges are broadcast, some 16 bytes each; beyond that they are joined by a shuffle.
+BROADCAST_RANGES = 500_000
+
+
+def global_position(df: DataFrame, *order: str, ranges: int | None = None) -> DataFrame:
     """``df`` with position: 1-based rank by ``order``, ties in any order.
 
     Rows are dealt to ranges by sampled split points of whole values, so a long common prefix does no harm, and written
-    with the number of their range; they are counted by range and ranked within it. A range holds all rows of a value.
+    with the number of their range; they are counted by range and ranked within it. The number of ranges follows from the
+    number of rows. A range holds all rows of a value, so an order that tells rows apart keeps ranges even.
     """
-    d = df.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id())
+    if ranges is None:
+        ranges = max(8, df.count() // RANGE_ROWS + 1)
+    d = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
     d = written(d, "positions")
     counts = d.groupBy("__range").count()
-    before = counts.select(F.col("__range").alias("__of"), F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ranked = d.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(order)))
-    out = ranked.join(F.broadcast(before), F.col("__range") == F.col("__of"))  # at most `ranges` rows
-    return out.withColumn("position", F.col("__before") + F.col("__n")).drop("__of", "__before", "__n", "__range")
+    before = counts.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = d.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    out = ranked.join(F.broadcast(before) if ranges <= BROADCAST_RANGES else before, "__range")
+    return out.withColumn("position", F.col("__before") + F.col("__n")).drop("__before", "__n", "__range")
 
 
 def by_role(teacher: DataFrame, candidates: DataFrame, roles: Sequence[str]) -> DataFrame:
@@ -200,12 +260,16 @@ def striped(df: DataFrame, order: str, ranks: int) -> DataFrame:
 
 
 def output_names(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, source, ...) with name: of rows that would share one, all but the first get a hash of their source."""
+    """``rows`` (id, source, ...) with name: of rows that would share one, all but the first get a hash of their source.
+
+    The first of a name is found by a minimum that combines before the shuffle, so a name that many rows share is no task's load.
+    """
     base = F.concat_ws("__", T.file_part(F.col("id")), F.coalesce(F.nullif(T.file_part(T.stem(F.col("source"))), F.lit("")), F.lit("image")), F.lit("annotated"))
-    nth = F.row_number().over(Window.partitionBy("__base").orderBy(ORD))
-    out = rows.withColumn("__base", base).withColumn("__nth", nth)
-    name = F.when(F.col("__nth") == 1, F.col("__base")).otherwise(F.concat_ws("__", "__base", F.substring(F.sha1("source"), 1, 8)))
-    return out.withColumn("name", F.concat(name, F.lit(".png"))).drop("__base", "__nth")
+    based = rows.withColumn("__base", base)
+    first = based.groupBy("__base").agg(F.min(ORD).alias("__first"))
+    out = based.join(first, "__base")
+    name = F.when(F.col(ORD) == F.col("__first"), F.col("__base")).otherwise(F.concat_ws("__", "__base", F.substring(F.sha1("source"), 1, 8)))
+    return out.withColumn("name", F.concat(name, F.lit(".png"))).drop("__base", "__first")
 
 
 def vocab_equality(left: DataFrame, right: DataFrame, by: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions import text as T
+from tessera.operators import kernels
+from tessera.workers import ship
 
 USABLE = "array<struct<text:string,box:array<int>>>"
 
@@ -60,24 +62,33 @@ def greedy(pred: Column, ref: Column) -> Column:
     return T.let(F.aggregate(found, start, add), rest)
 
 
+#: Pairs of a sample up to which its matching is an expression; beyond that it is numpy's.
+LARGE = 10_000
+
+
+def one_to_one(pred: Column, ref: Column) -> Column:
+    """``greedy`` for samples of any size: small ones stay in the JVM, where Python gets nulls for them; large ones are
+    matched in the Python worker of their task, in memory in proportion to their elements."""
+    ship(SparkSession.active())
+    large = F.size(pred) * F.size(ref).cast("long") > LARGE
+    kernel = F.udf(_matched, "struct<tp:int,iou_sum:double,boxes:int>", useArrow=True)
+    return F.coalesce(F.when(~large, greedy(pred, ref)), kernel(F.when(large, pred), F.when(large, ref)))
+
+
+def _matched(pred, ref):
+    return None if pred is None else dict(zip(("tp", "iou_sum", "boxes"), kernels.greedy(pred, ref)))
+
+
 def by_similarity(refs: Column, candidates: Column, threshold: float) -> Column:
     """For each reference name in turn the most similar unused candidate: array of struct(ref, best, similarity, matched).
 
-    best and similarity are reported also below the threshold; equal similarities go to the earlier candidate.
+    best and similarity are reported also below the threshold; equal similarities go to the earlier candidate. Names are
+    normalised in the JVM and compared by numpy, a name with all distinct candidates at once; null arrays give null.
     """
-    none = F.array().cast("array<int>")
-    row = "array<struct<ref:string,best:string,similarity:double,matched:boolean>>"
-    start = F.struct(none.alias("used"), F.array().cast(row).alias("rows"))
-
-    def add(a: Column, name: Column) -> Column:
-        scored = F.transform(candidates, lambda c, i: F.struct((-T.name_similarity(name, c)).alias("v"), i.alias("i"), c.alias("c")))
-        free = F.filter(scored, lambda s: ~F.array_contains(a["used"], s["i"]))
-
-        def take(best: Column) -> Column:
-            hit = F.coalesce(-best["v"] >= threshold, F.lit(False))
-            new = F.struct(name.alias("ref"), best["c"].alias("best"), F.coalesce(-best["v"], F.lit(0.0)).alias("similarity"), hit.alias("matched"))
-            return F.struct(F.when(hit, F.array_append(a["used"], best["i"])).otherwise(a["used"]).alias("used"), F.array_append(a["rows"], new).alias("rows"))
+    ship(SparkSession.active())
 
-        return T.let(F.array_min(free), take)
+    def matched(refs, candidates, own_refs, own_candidates):
+        return None if refs is None or candidates is None else list(kernels.by_similarity(refs, candidates, own_refs, own_candidates, threshold))
 
-    return F.aggregate(refs, start, add, lambda a: a["rows"])
+    rows = F.udf(matched, "array<struct<ref:string,best:string,similarity:double,matched:boolean>>", useArrow=True)
+    return rows(refs, candidates, F.transform(refs, T.strong_normalize), F.transform(candidates, T.strong_normalize))

@@ -62,7 +62,7 @@ def score_samples(pred: DataFrame, ref: DataFrame) -> DataFrame:
     j = j.select("key_kind", "key", F.col("pred.id").isNull().alias("missing_prediction"), F.col("ref.id").isNull().alias("missing_reference"),
                  match.usable(F.col("pred.elements")).alias("p"), match.usable(F.col("ref.elements")).alias("r"),
                  F.coalesce(F.col("pred.copies") - 1, F.lit(0)).alias("pred_repeats"), F.coalesce(F.col("ref.copies") - 1, F.lit(0)).alias("ref_repeats"))
-    j = j.withColumn("m", match.greedy(F.col("p"), F.col("r"))).withColumn("np", F.size("p")).withColumn("nr", F.size("r"))
+    j = j.withColumn("m", match.one_to_one(F.col("p"), F.col("r"))).withColumn("np", F.size("p")).withColumn("nr", F.size("r"))
     tp, np_, nr = F.col("m.tp"), F.col("np"), F.col("nr")
     both = (np_ == 0) & (nr == 0)
     precision, recall = F.when(both, 1.0).otherwise(ratio(tp, np_, 0.0)), F.when(both, 1.0).otherwise(ratio(tp, nr, 0.0))
@@ -286,3 +286,33 @@ def inventory(rows: DataFrame, group: Column, size: str = "numel") -> DataFrame:
     """Entries, total size, first and last name by group."""
     return rows.select(group.alias("group"), "name", size).groupBy("group").agg(
         F.count("*").alias("entries"), F.sum(size).alias("total_size"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+
+
+def role_delta(rows: DataFrame, value: str, left: object, right: object, role: str = "role", by: str | None = None) -> DataFrame:
+    """(by, delta): mean of a value in one role less that in another; null where either role has none."""
+    mean = lambda r: F.avg(F.when(F.col(role) == r, F.col(value)))
+    groups = rows.groupBy(by) if by else rows.groupBy()
+    return groups.agg((mean(left) - mean(right)).alias("delta"))
+
+
+def masked_loss(rows: DataFrame, loss: str, weight: str, by: str | None = None) -> DataFrame:
+    """(by, loss): weighted mean of token losses over all shards, the divisor at least 1; null losses and weights count nothing."""
+    groups = rows.groupBy(by) if by else rows.groupBy()
+    total = F.coalesce(F.sum(F.col(loss) * F.col(weight)), F.lit(0.0))
+    count = F.coalesce(F.sum(F.when(F.col(loss).isNotNull(), F.col(weight))).cast("double"), F.lit(0.0))
+    return groups.agg((total / F.greatest(count, F.lit(1.0))).alias("loss"))
+
+
+def gradient_norms(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, tensors, missing, norm): tensors with and without a gradient, and the root of the sum of squares of those with."""
+    v = F.col(value)
+    return rows.groupBy(group).agg(F.count(v).alias("tensors"), F.count_if(v.isNull()).alias("missing"), F.sqrt(F.coalesce(F.sum(v * v), F.lit(0.0))).alias("norm"))
+
+
+def image_group_stats(elements: DataFrame, group: str, image: str) -> DataFrame:
+    """(group, images, elements, focused, invalid) of element rows (bbox_norm, focused); an image belongs to one group.
+
+    Rows are summed up by image first, so nothing distinct is shuffled; null groups are one, null focus is none.
+    """
+    per = elements.groupBy(group, image).agg(F.count("*").alias("n"), F.count_if(F.coalesce("focused", F.lit(False))).alias("f"), F.count_if(~G.valid(F.col("bbox_norm"))).alias("bad"))
+    return per.groupBy(group).agg(F.count("*").alias("images"), F.sum("n").alias("elements"), F.sum("f").alias("focused"), F.sum("bad").alias("invalid"))
