@@ -45,6 +45,20 @@ def evaluate_counts(spark, sf_dir):
     return metrics.evaluation_counts(metrics.score_samples(V.pred(spark, sf_dir), V.ref(spark, sf_dir)))
 
 
+def by_supplier(elements):
+    """Elements as label rows of one large sample a supplier, in the order of order and place."""
+    es = F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "idx", "text", "bbox_norm", "focused"))), lambda e: F.struct(e["text"].alias("text"), e["bbox_norm"].alias("bbox_norm"), e["focused"].alias("focused")))
+    rows = elements.groupBy("l_suppkey").agg(es.alias("elements"))
+    return rows.select(F.concat(F.lit("s-"), F.col("l_suppkey").cast("string")).alias("id"), F.lit("").alias("image"), "elements", F.col("l_suppkey").alias(align.ORD))
+
+
+@query("evaluate_large", "J9 W4 O8", None)
+def evaluate_large(spark, sf_dir):
+    """Scores of samples of some 600 elements a side, beyond what is matched by an expression."""
+    s = metrics.score_samples(by_supplier(V.el_pred(spark, sf_dir)), by_supplier(V.el_ref(spark, sf_dir)))
+    return s.select("key", "prediction_element_count", "reference_element_count", "element_tp", "matched_bbox_count", F.round("bbox_iou", R).alias("bbox_iou"))
+
+
 @query("experiment_rollup", "A16 S9", f"""WITH {V.SCORE_SQL}, rr AS (SELECT count(DISTINCT sample_id) AS images, count(*) AS n, count(*) FILTER (WHERE ok) AS boxed FROM r)
 SELECT 'reference' AS experiment, images AS image_count, n AS reference_element_count, n AS prediction_element_count, n AS element_tp, CAST(0 AS BIGINT) AS element_fp, CAST(0 AS BIGINT) AS element_fn,
   1.0::DOUBLE AS element_precision, 1.0::DOUBLE AS element_recall, round(CAST(boxed AS DOUBLE) / n, 6) AS bbox_iou, boxed AS matched_bbox_count FROM rr
@@ -144,6 +158,17 @@ def isolation(spark, sf_dir):
     return align.isolation(d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 5 = 0"), ["doc_id", "content"])
 
 
+@query("isolation_examples", "A18 V10 U5", """WITH d AS (SELECT doc_id, sha256(text) AS content, source || '/' || lang AS image, doc_id % 5 <> 0 AS train FROM documents),
+v AS (SELECT 'content' AS field, content AS value, doc_id, train FROM d UNION ALL SELECT 'image', image, doc_id, train FROM d),
+g AS (SELECT field, value, min(CAST(doc_id AS VARCHAR)) FILTER (WHERE train) AS train_id, min(CAST(doc_id AS VARCHAR)) FILTER (WHERE NOT train) AS validation_id FROM v GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS i FROM g WHERE train_id IS NOT NULL AND validation_id IS NOT NULL AND value IS NOT NULL)
+SELECT field, value, train_id, validation_id FROM n WHERE i <= 10""")
+def isolation_examples(spark, sf_dir):
+    """Up to ten values a field that both sets have; the limit is the feature."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"), F.concat("source", F.lit("/"), "lang").alias("image"))
+    return align.overlap_examples(d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 5 = 0"), ["content", "image"], id_col="doc_id")
+
+
 @query("content_hash_overlap", "V10 F56", f"""WITH {SPLIT_SQL} SELECT content, count(*) FILTER (WHERE train) AS in_train, count(*) FILTER (WHERE NOT train) AS in_validation FROM d GROUP BY 1
 HAVING count(*) FILTER (WHERE train) > 0 AND count(*) FILTER (WHERE NOT train) > 0""")
 def content_hash_overlap(spark, sf_dir):

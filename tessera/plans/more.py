@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import geometry as G
 from tessera.functions import logits as L
 from tessera.functions import text as T
-from tessera.operators import align, match, metrics
+from tessera.operators import align, match, metrics, references
 from tessera.plans import arrays, parsing  # noqa: F401  registers the SQL used here
 from tessera.plans import views as V
 from tessera.plans.catalogue import SQL, query
@@ -29,11 +28,11 @@ def shared_labels(spark, sf_dir):
     return j.groupBy("sample_id").agg(F.count("*").alias("shared"), F.round(F.avg((F.col("focused") == F.col("wanted")).cast("double")), R).alias("focused_accuracy"))
 
 
-@query("base_rows", "J6", "SELECT o_orderkey AS id, coalesce(l.n, 0) AS elements, l.n IS NULL AS from_sample FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey")
+@query("base_rows", "J6", "SELECT o_orderkey AS id, o_orderstatus AS status, coalesce(l.n, 0) AS elements, l.n IS NULL AS from_sample FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey")
 def base_rows(spark, sf_dir):
-    base = V.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
-    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    return o.join(base, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("elements"), F.col("n").isNull().alias("from_sample"))
+    base = V.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n")).withColumn(align.ORD, F.col("id"))
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return align.base_rows(o, base).select("id", "status", F.coalesce("n", F.lit(0)).alias("elements"), "from_sample")
 
 
 @query("attach_metrics", "J15 A13", f"""WITH {V.BASE_SQL}, q AS (SELECT p.sample_id, avg({V.iou_sql('p', 'r')}) FILTER (WHERE p.ok AND r.ok) AS iou FROM p JOIN r ON p.sample_id = r.sample_id AND p.idx = r.idx GROUP BY 1)
@@ -47,31 +46,32 @@ def attach_metrics(spark, sf_dir):
 
 @query("role_delta", "A15", "SELECT round(avg(value) FILTER (WHERE user_id % 2 = 0) - avg(value) FILTER (WHERE user_id % 2 = 1), 6) AS delta, event_type FROM events GROUP BY event_type")
 def role_delta(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").withColumn("role", F.col("user_id") % 2).groupBy("event_type").pivot("role", [0, 1]).agg(F.avg("value"))
-    return e.select("event_type", F.round(F.col("0") - F.col("1"), R).alias("delta"))
+    e = V.table(spark, sf_dir, "events").withColumn("role", F.col("user_id") % 2)
+    return metrics.role_delta(e, "value", 0, 1, by="event_type").select("event_type", F.round("delta", R).alias("delta"))
 
 
-@query("validation_loss", "A20 A21", "SELECT event_type, round(sum(value * (event_id % 3)) / greatest(sum(event_id % 3), 1.0), 6) AS loss FROM events GROUP BY 1")
+@query("validation_loss", "A20 A21", "SELECT event_type, round(coalesce(sum(value * (event_id % 3)) FILTER (WHERE event_id % 11 <> 0), 0) / greatest(coalesce(sum(event_id % 3) FILTER (WHERE event_id % 11 <> 0), 0), 1.0), 6) AS loss FROM events GROUP BY 1")
 def validation_loss(spark, sf_dir):
-    mask = F.col("event_id") % 3
-    return V.table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.sum(F.col("value") * mask) / F.greatest(F.sum(mask).cast("double"), F.lit(1.0)), R).alias("loss"))
+    """Token losses under a mask of weights 0 to 2; each eleventh loss is missing."""
+    e = V.table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("value"), (F.col("event_id") % 3).alias("mask"))
+    return metrics.masked_loss(e, "value", "mask", by="event_type").withColumn("loss", F.round("loss", R))
 
 
-@query("gradient_norms", "A25", "SELECT p_brand AS \"group\", count(*) AS tensors, round(sqrt(sum(p_retailprice * p_retailprice)), 4) AS norm FROM part GROUP BY 1")
+@query("gradient_norms", "A25", "SELECT p_brand, count(*) FILTER (WHERE p_partkey % 7 <> 0) AS tensors, count(*) FILTER (WHERE p_partkey % 7 = 0) AS missing, round(sqrt(coalesce(sum(p_retailprice * p_retailprice) FILTER (WHERE p_partkey % 7 <> 0), 0)), 4) AS norm FROM part GROUP BY 1")
 def gradient_norms(spark, sf_dir):
-    return V.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("group")).agg(F.count("*").alias("tensors"), F.round(F.sqrt(F.sum(F.col("p_retailprice") * F.col("p_retailprice"))), 4).alias("norm"))
+    """Each seventh tensor has no gradient."""
+    p = V.table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("grad"))
+    return metrics.gradient_norms(p, "p_brand", "grad").withColumn("norm", F.round("norm", 4))
 
 
 @query("image_group_stats", "A27", f"""WITH {V.BASE_SQL} SELECT l_orderkey % 10 AS grp, count(DISTINCT sample_id) AS images, count(*) AS elements, count(*) FILTER (WHERE focused) AS focused, count(*) FILTER (WHERE NOT ok) AS invalid FROM p GROUP BY 1""")
 def image_group_stats(spark, sf_dir):
-    # a sample is in one group, so samples count by their own rows and nothing distinct is shuffled
-    per = V.el_pred(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if("focused").alias("f"), F.count_if(~G.valid(F.col("bbox_norm"))).alias("bad"))
-    return per.groupBy((F.col("l_orderkey") % 10).alias("grp")).agg(F.count("*").alias("images"), F.sum("n").alias("elements"), F.sum("f").alias("focused"), F.sum("bad").alias("invalid"))
+    return metrics.image_group_stats(V.el_pred(spark, sf_dir).withColumn("grp", F.col("l_orderkey") % 10), "grp", "l_orderkey")
 
 
 @query("repeated_ids", "A30", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def repeated_ids(spark, sf_dir):
-    return V.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n > 1")
+    return align.repeated(V.table(spark, sf_dir, "orders"), "o_custkey")
 
 
 @query("unix_lines", "F16", "SELECT doc_id, md5(trim(replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS text FROM documents")
@@ -79,17 +79,27 @@ def unix_lines(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.unix_lines(F.replace("text", F.lit("\n"), F.lit("\r\n")))).alias("text"))
 
 
-@query("answer_tokens", "F46 L16", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 3 WHEN vec_id % 4 = 1 THEN 2 WHEN vec_id % 4 = 2 THEN 1 ELSE 0 END AS tokens FROM embeddings")
+@query("answer_tokens", "F46", """SELECT vec_id, CASE vec_id % 6 WHEN 0 THEN vec_id || ',1' WHEN 1 THEN vec_id || ',2' WHEN 2 THEN vec_id || ',3,' || label WHEN 3 THEN vec_id || ',4' WHEN 4 THEN vec_id || ',3,' || label ELSE '' END AS tokens,
+  CASE vec_id % 6 WHEN 0 THEN vec_id || ',1' WHEN 1 THEN vec_id || ',2' WHEN 2 THEN vec_id || ',3,' || label WHEN 4 THEN vec_id || ',3,' || label ELSE '' END AS strict FROM embeddings""")
 def answer_tokens(spark, sf_dir):
-    """Parsing rows take the cached ids, others the teacher's, then the generated ones; the answer follows its prompt."""
-    k = F.col("vec_id") % 4
-    e = V.table(spark, sf_dir, "embeddings").select("vec_id", k.alias("k"))
-    prompt = F.array(F.lit(7), F.lit(8))
-    cached = F.when(k == 0, F.array(*map(F.lit, (7, 8, 1, 2, 3))))
-    teacher = F.when(k == 1, F.array(*map(F.lit, (7, 8, 1, 2))))
-    made = F.when(k == 2, F.array(*map(F.lit, (7, 8, 1)))).otherwise(F.array(F.lit(9)))
-    tokens = F.coalesce(F.when(k == 0, cached), teacher, made)
-    return e.select("vec_id", F.coalesce(F.size(L.answer_span(tokens, prompt)), F.lit(0)).alias("tokens"))
+    """By vec_id % 6: cached beside teacher scores, beside switch scores, parsing rows without either, generated ids only,
+    a task that has no use for cached ones, and nothing."""
+    v, k = F.col("vec_id").cast("int"), F.col("vec_id") % 6
+    rows = V.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(k == 4, "vqa").otherwise(" parsing").alias("task"), F.when(k == 0, F.array(v, F.lit(1))).when(k == 4, F.array(v, F.lit(9))).alias("teacher_logits_answer_token_ids"),
+        F.when(k <= 1, F.array(F.array(v, F.lit(2)), F.array(F.lit(8)))).alias("switch_logits_answer_token_ids"), F.when(k.isin(0, 1, 2, 4), F.array(v, F.lit(3), F.col("label"))).alias("teacher_tokens"), F.when(k <= 3, F.array(F.array(v, F.lit(4)))).alias("teacher_generated_ids"))
+    both = references.answer_tokens(references.answer_tokens(rows), "strict", strict=True)
+    return both.select("vec_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("tokens", "strict")])
+
+
+@query("answer_spans", "L16", """SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN length(target) ELSE -1 END AS tokens FROM (SELECT conv_id, turn, text, role, lead(text) OVER w AS target, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'""")
+def answer_spans(spark, sf_dir):
+    """Characters as tokens: prompt and answer in one sequence, which in each third turn does not begin with its prompt."""
+    q = V.qa_pairs(spark, sf_dir)
+    split = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    prompt = F.concat(F.array(F.lit("^")), split(F.col("prediction")))
+    full = F.concat(F.when(F.col("turn") % 3 == 0, F.array(F.lit("$"))).otherwise(F.array(F.lit("^"))), split(F.col("prediction")), split(F.col("target")))
+    return q.select("conv_id", "turn", F.coalesce(F.size(L.answer_span(full, prompt)), F.lit(-1)).cast("long").alias("tokens"))
 
 
 @query("loss_mix", "F59", "SELECT event_id, round(value + 0.5 * (event_id % 7) + 0.25 * (event_id % 5), 6) AS loss FROM events")
@@ -142,12 +152,23 @@ def flatten_roles(spark, sf_dir):
     return d.unionByName(V.table(spark, sf_dir, "labels").select(F.lit(1).alias("role_ord"), F.col("doc_id").alias("id")))
 
 
-@query("prepared_reference", "L12", "SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 3 = 0) AS remapped FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)")
+@query("prepared_reference", "L12 L10 L11", """WITH v AS (SELECT a.vec_id, a.embedding AS s, b.embedding AS r FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+t AS (SELECT vec_id, list_slice(list_sort(list_transform(range(64), lambda i: {'v': -CAST(r[i + 1] AS DOUBLE), 'i': i})), 1, 8) AS p0, list_slice(list_sort(list_transform(range(64), lambda i: {'v': -CAST(s[i + 1] AS DOUBLE), 'i': i})), 1, 8) AS p1, CASE WHEN vec_id % 3 = 0 THEN 48 ELSE 64 END AS top FROM v),
+c AS (SELECT *, list_filter(p0, lambda e: e.i < top) AS c0, list_filter(p1, lambda e: e.i < top) AS c1 FROM t)
+SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'remapped' WHEN 1 THEN 'same' ELSE 'skipped' END AS status, CASE WHEN vec_id % 3 = 2 THEN NULL WHEN vec_id % 2 = 0 THEN '0,0,' || len(c1) || ',0' ELSE len(c0) || ',' || len(c1) || ',0,0' END AS token_k,
+  CASE WHEN vec_id % 3 <> 2 THEN round(CASE WHEN vec_id % 2 = 1 THEN coalesce(-list_sum(list_transform(c0, lambda e: e.v)), 0) ELSE 0 END - coalesce(list_sum(list_transform(c1, lambda e: e.v)), 0), 6) END AS active,
+  CASE WHEN vec_id % 3 <> 2 THEN CASE WHEN vec_id % 2 = 0 THEN '0.0,0.0,0.25,0.0' ELSE '0.5,0.25,0.0,0.0' END END AS weights FROM c""")
 def prepared_reference(spark, sf_dir):
-    """Cached scores for a student vocabulary: the same size passes, a larger one is cut to the shared part."""
-    rows = V.logit_rows(spark, sf_dir).select("vec_id", L.top_k(F.col("reference"), 8).alias("t"), F.when(F.col("vec_id") % 3 == 0, 48).otherwise(64).alias("vocab"))
-    kept = F.when(F.col("vocab") < 64, L.remap(F.col("t"), 48)).otherwise(F.col("t"))
-    return rows.select("vocab", F.size(kept).alias("n")).agg(F.count("*").alias("rows"), F.count_if(F.col("vocab") == 48).alias("remapped"))
+    """Two positions of cached scores for a student's four: of its own vocabulary, of a larger one that is cut to the shared
+    part, and of unknown size; even rows have a prompt of one position that becomes one of two."""
+    k, even = F.col("vec_id") % 3, F.col("vec_id") % 2 == 0
+    rows = V.logit_rows(spark, sf_dir).select(
+        "vec_id", F.array(L.top_k(F.col("reference"), 8), L.top_k(F.col("student"), 8)).alias("scores"), F.when(k != 2, 64).alias("vocab_size"), F.when(k == 0, 50).otherwise(64).alias("student_vocab"),
+        F.lit(4).alias("length"), F.when(even, 1).alias("prompt_len"), F.lit(2).alias("student_prompt_len"), F.array(F.lit(0.5), F.lit(0.25)).alias("token_weight"))
+    out = references.prepared(rows, shared=48)
+    total = F.aggregate(F.flatten("positions"), F.lit(0.0), lambda a, e: a + F.when(e["val"] > references.INACTIVE, e["val"]).otherwise(0.0))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("vec_id", "status", text("token_k").alias("token_k"), F.round(total, R).alias("active"), text("weights").alias("weights"))
 
 
 @query("role_match", "J4", """WITH r AS (SELECT unnest(['base', 'tuned']) AS role)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import jsonparse as J
+from tessera.functions import modelparse as M
 from tessera.functions import text as T
-from tessera.operators import align, metrics, split
+from tessera.operators import align, collate, digest, metrics, split
 from tessera.plans import views as V
 from tessera.plans.catalogue import query
 from tessera.scratch import scratch_path
-from tessera.sources import io
-from tessera.streaming import stream
+from tessera.sources import io, jsonl, sidecars
+from tessera.streaming import ledger, stream
 
 
 def raw_answers(spark, sf_dir):
@@ -31,25 +32,61 @@ def json_props(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("parse_answer", "F30 F31 F32 F33 F34 F35 P10 P11 F53", None)
+def short_error(error):
+    """A parse error without the positions that a failed ladder names."""
+    return F.when(error.startswith("direct JSON parse"), "direct JSON parse").otherwise(error)
+
+
+@query("parse_answer", "F30 F31 F32 F33 F34 F35 P10 P11 F53", f"WITH {V.answer_sql()} SELECT * FROM answers")
 def parse_answer(spark, sf_dir):
     r = J.parse_answers(raw_answers(spark, sf_dir), "raw", "p")
-    return r.select("id", "how", "p.parse_ok", "p.usable", "p.element_count", "p.salvaged", "p.salvage_reason", "p.parse_error")
+    return r.select("id", F.col("how").cast("int").alias("how"), "p.parse_ok", "p.usable", "p.element_count", "p.salvaged", "p.salvage_reason", short_error(F.col("p.parse_error")).alias("parse_error"))
+
 
+@query("answer_paths", "F30 F31 F32 F33", f"WITH {V.BASE_SQL} SELECT l_orderkey % 6 AS how, count(*) AS rows, CASE WHEN l_orderkey % 6 IN (0, 1, 5) THEN count(*) ELSE 0 END AS native FROM (SELECT DISTINCT l_orderkey FROM el_pred) GROUP BY 1")
+def answer_paths(spark, sf_dir):
+    """How many answers of each damage are parsed without a Python worker: the intact, fenced and embedded ones."""
+    r = raw_answers(spark, sf_dir).select("how", J.native_answer(F.col("raw")).isNotNull().alias("native"))
+    return r.groupBy("how").agg(F.count("*").alias("rows"), F.count_if("native").alias("native"))
 
-@query("parse_histogram", "A10", None)
+
+@query("parse_histogram", "A10", f"WITH {V.answer_sql()} SELECT CAST(how AS VARCHAR) AS role, coalesce(regexp_replace(parse_error, '[0-9]+', 'N', 'g'), 'none') AS parse_error, count(*) AS rows, sum(element_count) AS elements FROM answers GROUP BY 1, 2")
 def parse_histogram(spark, sf_dir):
     r = J.parse_answers(raw_answers(spark, sf_dir), "raw", "p")
-    error = F.regexp_replace(F.col("p.parse_error"), r"\d+", "N")
+    error = F.regexp_replace(short_error(F.col("p.parse_error")), r"\d+", "N")
     return metrics.parse_histogram(r.select(F.col("how").cast("string").alias("role"), error.alias("parse_error"), F.col("p.element_count").alias("element_count")))
 
 
-@query("serialize_label", "F36 F37 F47", f"""WITH {V.BASE_SQL} SELECT sample_id AS id, '{{"coordinate_system":"normalized_0_1000","elements":[' ||
+@query("serialize_label", "F36", f"""WITH {V.BASE_SQL} SELECT sample_id AS id, '{{"coordinate_system":"normalized_0_1000","elements":[' ||
   string_agg('{{"bbox_norm":[' || bx1 || ',' || by1 || ',' || bx2 || ',' || by2 || '],"focused":' || focused || ',"text":"' || text || '"}}', ',' ORDER BY idx) || ']}}' AS label FROM el_pred GROUP BY 1""")
 def serialize_label(spark, sf_dir):
     return V.pred(spark, sf_dir).select("id", J.serialized(F.col("elements")).alias("label"))
 
 
+@query("lenient_answers", "P11", f"""WITH {V.BASE_SQL}, n AS (SELECT sample_id AS id, l_orderkey % 6 AS how, count(*) AS n, sum(bx1) AS x FROM el_pred GROUP BY 1, 2)
+SELECT id, CASE WHEN how IN (0, 1, 5) THEN n ELSE 0 END AS elements, CASE WHEN how IN (0, 1, 5) THEN CAST(x AS DOUBLE) END AS x1_sum, CASE WHEN how IN (0, 1, 5) THEN 2 ELSE 0 END AS skipped, CASE WHEN how NOT IN (0, 1, 5) THEN 'no JSON object' END AS error FROM n""")
+def lenient_answers(spark, sf_dir):
+    """Answers with other field names, and two elements more that lack something: strict parsing keeps none of them."""
+    raw = F.replace(F.replace(F.col("raw"), F.lit('"bbox_norm"'), F.lit('"bbox"')), F.lit('"text"'), F.lit('"name"'))
+    raw = F.replace(raw, F.lit("}]}"), F.lit('},{"name":" ","bbox":[1,2,3,4]},{"label":"x","bbox":[1,"z",3,4]}]}'))
+    r = J.lenient_elements(raw_answers(spark, sf_dir).withColumn("raw", raw), "raw", "p")
+    total = F.aggregate("p.elements", F.lit(0.0), lambda a, e: a + e["bbox_norm"][0])
+    return r.select("id", F.size("p.elements").cast("long").alias("elements"), F.when(F.size("p.elements") > 0, total).alias("x1_sum"), F.size("p.skipped").alias("skipped"), "p.error")
+
+
+@query("expected_json", "F41 F40", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"elements":[' || event_id || ']}' WHEN 1 THEN '{"detections":[{"bbox":[1,2,3,' || event_id || '],"t":1}]}' WHEN 2 THEN '{"objects":[{"box":[1,2,3,4]},{"box":[5,6,7,' || event_id || '],"t":1}]}' END AS value,
+  CASE event_id % 5 WHEN 1 THEN 'both brackets: 1' WHEN 2 THEN 'opening bracket: 1,closing bracket: 1' ELSE '' END AS notes, event_id % 5 = 3 AS truncated FROM events""")
+def expected_json(spark, sf_dir):
+    """Values in prose: a bare list behind an object of other keys, boxes without brackets, a value that is cut, and none."""
+    n, how = F.col("event_id").cast("string"), F.col("event_id") % 5
+    raw = (
+        F.when(how == 0, F.concat(F.lit('So {"note":1} or ['), n, F.lit("] it is"))).when(how == 1, F.concat(F.lit('{"detections":[{"bbox":1,2,3,'), n, F.lit(',"t":1}]} done')))
+        .when(how == 2, F.concat(F.lit('{"objects":[{"box":1,2,3,4]},{"box":[5,6,7,'), n, F.lit(',"t":1}]}'))).when(how == 3, F.concat(F.lit('{"elements":[{"t":'), n)).otherwise(F.concat(F.lit('{"other":'), n, F.lit("}")))
+    )
+    r = M.expected_values(V.table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw", "p")
+    return r.select("event_id", "p.value", F.array_join("p.notes", ",").alias("notes"), F.contains(F.coalesce("p.error", F.lit("")), F.lit("truncated")).alias("truncated"))
+
+
 @query("repair_bbox", "F40", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"bbox":[1,2,3,4],"t":' ELSE '{"bbox":[1,2,3,' || event_id || CASE WHEN event_id % 4 = 1 THEN '],"t":' WHEN event_id % 4 = 2 THEN ' ],"t":' ELSE '],"t":' END END || event_id || '}' AS fixed,
   CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS repairs FROM events""")
 def repair_bbox(spark, sf_dir):
@@ -91,10 +128,35 @@ def profile_log(spark, sf_dir):
     return g.select("event_id", F.col("g.index").alias("gpu"), F.col("g.used").alias("used"))
 
 
-@query("sidecar_report", "A9 S6", None)
+REPORT_SQL = "count(*) AS total_files, count(*) FILTER (WHERE parse_ok) AS parse_ok, count(*) FILTER (WHERE NOT parse_ok) AS parse_failed, coalesce(sum(element_count) FILTER (WHERE parse_ok), 0) AS total_elements"
+
+
+def sidecar_store(spark, sf_dir):
+    """Documents of all answers; then a run whose manifest lacks each fourth sample and which repairs each other fourth one."""
+    store = sidecars.Sidecars(spark, scratch_path(spark, "sidecars"))
+    raw = raw_answers(spark, sf_dir).withColumn("of", F.substring_index("id", "-", -1).cast("long") % 4)
+
+    def documents(rows, text):
+        r = J.parse_answers(rows.withColumn("raw_model_output", text), "raw_model_output", "p")
+        return r.select(F.lit("teacher").alias("role"), "id", "raw_model_output", "p.parse_ok", "p.parse_error", "p.element_count")
+
+    store.write(documents(raw, F.col("raw")))
+    store.write(documents(raw.filter("of = 1"), F.col("j")), manifest=raw.filter("of <> 0").select("id"))
+    return store
+
+
+SIDECAR_SQL = V.answer_sql("CASE WHEN l_orderkey % 4 = 1 THEN 0 ELSE l_orderkey % 6 END", "l_orderkey % 4 <> 0")
+
+
+@query("sidecar_report", "A9 S6 S7", f"WITH {SIDECAR_SQL} SELECT 'teacher' AS role, {REPORT_SQL} FROM answers")
 def sidecar_report(spark, sf_dir):
-    r = J.parse_answers(raw_answers(spark, sf_dir), "raw", "p")
-    return io.sidecar_report(r.select("id", "p.parse_ok", "p.element_count"))
+    return sidecar_store(spark, sf_dir).report()
+
+
+@query("sidecar_failures", "A9 S6 S7 F13", f"""WITH {SIDECAR_SQL} SELECT 'teacher' AS role, id, parse_error, how = 4 AS table_like FROM answers WHERE NOT parse_ok""")
+def sidecar_failures(spark, sf_dir):
+    f = sidecar_store(spark, sf_dir).failures()
+    return f.select("role", "id", short_error(F.col("parse_error")).alias("parse_error"), (F.col("preview") == "a|button|1|2|3|4|true").alias("table_like"))
 
 
 @query("nested_shape", "F44 F48", "SELECT vec_id, '1,8,8' AS shape FROM embeddings")
@@ -121,8 +183,69 @@ def hashed_split(spark, sf_dir):
     return split.hashed_split(V.pred(spark, sf_dir), 0.1, 42).select("id", "is_validation")
 
 
-def _streamed(spark, sf_dir, build, mode):
-    """Runs a stream over the events, which arrive in three batches in order of time, and reads its result."""
+KEYED_SQL = f"""{V.BASE_SQL}, ids AS (SELECT sample_id AS id, CAST('0x' || substr(md5('42:' || sample_id), 1, 15) AS BIGINT) AS h FROM el_pred GROUP BY 1),
+parts AS (SELECT id, row_number() OVER (ORDER BY h, id) <= greatest(1, round_even((SELECT count(*) FROM ids) * 0.1, 0)) AS is_validation FROM ids)"""
+
+
+@query("exact_split", "V7 F58 P8", f"WITH {KEYED_SQL} SELECT id, is_validation FROM parts")
+def exact_split(spark, sf_dir):
+    return split.exact_split(V.pred(spark, sf_dir).withColumn("source_image", F.lit("x")), 0.1, 42).select("id", "is_validation")
+
+
+def tree_sql(source: str, depth: int) -> str:
+    """Levels of the digest tree of ``source`` (part, id)."""
+    levels = [f"l{depth} AS (SELECT part, substr(md5(id), 1, {depth}) AS node, count(*) AS rows, sha256(string_agg(id, chr(10) ORDER BY md5(id), id)) AS digest FROM {source} GROUP BY 1, 2)"]
+    for d in range(depth - 1, -1, -1):
+        levels.append(f"l{d} AS (SELECT part, substr(node, 1, {d}) AS node, sum(rows) AS rows, sha256(string_agg(node || ' ' || digest, chr(10) ORDER BY node)) AS digest FROM l{d + 1} GROUP BY 1, 2)")
+    return ", ".join(levels)
+
+
+@query("split_digest", "V8 F56", f"WITH {KEYED_SQL}, s AS (SELECT CASE WHEN is_validation THEN 'validation' ELSE 'train' END AS part, id FROM parts), {tree_sql('s', 2)} "
+       + " UNION ALL ".join(f"SELECT part, {d} AS level, node, rows, digest FROM l{d}" for d in range(3)))
+def split_digest(spark, sf_dir):
+    """Digest trees of the ids of either part; their roots are what the split's metadata holds."""
+    s = split.exact_split(V.pred(spark, sf_dir), 0.1, 42)
+    trees = [digest.tree(s.filter(c), depth=2).select(F.lit(part).alias("part"), "level", "node", "rows", "digest") for part, c in (("train", "not is_validation"), ("validation", "is_validation"))]
+    return trees[0].unionByName(trees[1])
+
+
+@query("split_reverified", "V8 F56", """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey = max(o_orderkey) OVER () AS gone FROM orders), g AS (SELECT md5(id) AS h FROM o WHERE gone), d AS (SELECT unnest([0, 1, 2]) AS level)
+SELECT level, substr(h, 1, level) AS node, count(*) AS left_rows, count(*) - 1 AS right_rows FROM d, g, o WHERE substr(md5(id), 1, level) = substr(h, 1, level) GROUP BY 1, 2""")
+def split_reverified(spark, sf_dir):
+    """The path to the one order that a later set of ids lacks."""
+    ids = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    last = ids.agg(F.max("id")).first()[0]
+    path = digest.first_difference(digest.tree(ids, depth=2), digest.tree(ids.filter(F.col("id") != last), depth=2))
+    return spark.createDataFrame([(p["level"], p["node"], p["left_rows"], p["right_rows"]) for p in path], "level int, node string, left_rows long, right_rows long")
+
+
+@query("numbered_lines", "S1 S2", "SELECT CASE WHEN event_id % 7 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 7 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 7 = 0 THEN '{\"event_id\": ' || event_id || ', broken' END AS bad FROM events")
+def numbered_lines(spark, sf_dir):
+    """Events as JSON Lines with blank lines among them, each seventh damaged, read again."""
+    path = scratch_path(spark, "lines")
+    e = V.table(spark, sf_dir, "events")
+    line = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", broken"))).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    e.select(F.concat(line, F.when(F.col("event_id") % 5 == 0, "\n \n").otherwise("")).alias("value")).write.text(path)
+    r = jsonl.read_jsonl(spark, path, "event_id long, event_type string", strict=False)
+    return r.select("event_id", "event_type", F.col("_bad").alias("bad"))
+
+
+@query("collated_batches", "L15 L16 A21", """WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS n FROM documents), c AS (SELECT *, greatest(1, CAST(ceil(n / 64.0) AS BIGINT)) AS class FROM d),
+b AS (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY doc_id) - 1) // greatest(1, 4096 // (class * 64)) AS batch FROM c)
+SELECT class, batch, count(*) AS rows, max(n) AS longest, sum(n) AS real_tokens, count(*) * max(n) AS places, sum(greatest(n - 8, 0)) AS trained FROM b GROUP BY 1, 2""")
+def collated_batches(spark, sf_dir):
+    """Documents as sequences of hashed words, the first eight of each a prompt, in batches of at most 4096 places."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \t\n\r]+"), F.lit(0))
+    rows = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.transform(words, lambda w: (F.crc32(w.cast("binary")) % 50_000).cast("int")).alias("input_ids"), F.lit(8).alias("prompt_token_len"))
+    b = collate.collated(rows, 4096)
+    places = F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, r: a + F.size(r))
+    trained = F.aggregate("labels", F.lit(0).cast("long"), lambda a, r: a + F.size(F.filter(r, lambda x: x != collate.IGNORED)))
+    return b.select("class", "batch", F.size("ids").alias("rows"), "longest", "real_tokens", places.alias("places"), trained.alias("trained"))
+
+
+def _streamed(spark, sf_dir, build, mode, each=None):
+    """Runs a stream over the events, which arrive in three batches in order of time, and reads its result; with ``each``
+    every batch and its number go there instead."""
     root = scratch_path(spark, "stream")
     e = V.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     (low, high), rows = e.agg(F.percentile_approx(F.unix_micros("ts"), [0.33, 0.67]), F.count("*")).first()
@@ -130,7 +253,8 @@ def _streamed(spark, sf_dir, build, mode):
     at = F.unix_micros("ts")
     for part in (at < low, (at >= low) & (at < high), at >= high):
         e.filter(part).repartition(files).write.mode("append").parquet(f"{root}/in")
-    return stream.run_once(build(stream.file_stream(spark, f"{root}/in", e.schema, files)), f"{root}/out", f"{root}/state", mode)
+    rows = build(stream.file_stream(spark, f"{root}/in", e.schema, files))
+    return stream.run_each(rows, f"{root}/state", each) if each else stream.run_once(rows, f"{root}/out", f"{root}/state", mode)
 
 
 @query("resume_stream", "T1 T2 S4", "SELECT user_id, count(*) AS ids FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
@@ -139,6 +263,18 @@ def resume_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, build, "append").groupBy("user_id").agg(F.count("*").alias("ids"))
 
 
+@query("resume_ledger", "T1 S4", "SELECT user_id, count(*) AS ids FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+def resume_ledger(spark, sf_dir):
+    """The same through a ledger of ids: bounded reads a batch, and nothing twice when a batch is replayed."""
+    done = ledger.Ledger(spark, scratch_path(spark, "ledger"))
+
+    def build(s):
+        return s.select(F.concat_ws("/", "user_id", "event_type").alias("id"), "user_id")
+
+    _streamed(spark, sf_dir, build, "append", each=done.append)
+    return done.rows().groupBy("user_id").agg(F.count("*").alias("ids"))
+
+
 @query("windowed_stream", "T2", """SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows, round(sum(value), 6) AS total FROM events GROUP BY 1, 2
 HAVING date_trunc('day', min(ts)) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)""")
 def windowed_stream(spark, sf_dir):

@@ -5,6 +5,7 @@ Backends are objects with ``answer(row: dict) -> str``; rows reach them in Arrow
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -68,7 +69,8 @@ def prompt(template: str) -> Column:
 
 
 def retry_prompt(text: Column) -> Column:
-    return F.concat(F.lit("Previous response was not valid JSON. Retry using the exact same instructions. Return valid JSON only.\n\n"), text)
+    """The prompt of a second try: what went wrong, then the prompt as it was."""
+    return F.concat(F.lit("The last answer could not be read as JSON. Follow the instructions below again, and answer with JSON alone.\n\n"), text)
 
 
 def mock_answers(rows: DataFrame) -> DataFrame:
@@ -78,10 +80,13 @@ def mock_answers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("raw", J.serialized(e))
 
 
-def generate(rows: DataFrame, backend: Backend | None = None) -> DataFrame:
-    """``rows`` with raw, the backend's answers; without a backend the mock's."""
+def generate(rows: DataFrame, backend: Backend | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``rows`` with raw, the backend's answers: of an object row by row, of a function for all rows at once; without a
+    backend the mock's."""
     if backend is None:
         return mock_answers(rows)
+    if not hasattr(backend, "answer"):
+        return backend(rows)
     ship(rows.sparkSession)
 
     def run(frames):
@@ -93,17 +98,35 @@ def generate(rows: DataFrame, backend: Backend | None = None) -> DataFrame:
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("raw", StringType())]))
 
 
-def existing_answer() -> Column:
-    """The serialised annotation of a row that has one, else its answer, else null: such rows need no backend."""
-    has = (F.col("task") == "parsing") & (F.size("elements") > 0)
-    return F.coalesce(F.when(has, J.serialized(F.col("elements"))), F.col("answer"))
+def existing_answer(rows: DataFrame) -> Column:
+    """The serialised annotation of a parsing row that has elements, else its answer if it says something, else null: such
+    rows need no backend. Columns that ``rows`` lacks count as null."""
+    own = F.lit(None).cast("string")
+    if "elements" in rows.columns:
+        own = F.when((F.trim(F.coalesce(F.col("task"), F.lit(""))) == "parsing") & (F.size("elements") > 0), J.serialized(F.col("elements")))
+    return F.coalesce(own, F.nullif("answer", F.lit(""))) if "answer" in rows.columns else own
 
 
-def label(manifest: DataFrame, done: DataFrame | None = None, backend: Backend | None = None) -> DataFrame:
-    """Strict label rows of the manifest rows that are not done and whose answers are usable."""
+def label(manifest: DataFrame, done: DataFrame | None = None, backend: Backend | Callable[[DataFrame], DataFrame] | None = None, retries: int = 0, template: str = "{query}") -> DataFrame:
+    """Strict label rows of the manifest rows that are not done and whose answers are usable.
+
+    Rows that hold an annotation or an answer are not asked about. The others go to the backend with their prompt; an
+    answer without a usable element is asked for again up to ``retries`` times, each time with the prompt that says so.
+    What a backend answered is written before it is judged, so no answer is paid for twice.
+    """
     todo = align.pending(manifest, done) if done is not None else manifest
-    parsed = J.parse_answers(generate(todo.select("id", "image", "task", "query"), backend), "raw")
-    return parsed.filter("parsed.usable").select("id", "image", "task", "query", "parsed.elements", F.lit(COORDINATE_SYSTEM).alias("coordinate_system"))
+    keys = ("id", "image", "task", "query")
+    todo = todo.select(*keys, existing_answer(todo).alias("own"))
+    out = J.parse_answers(todo.filter(F.col("own").isNotNull()).select(*keys, F.col("own").alias("raw")), "raw")
+    asked = todo.filter(F.col("own").isNull()).select(*keys).withColumn("prompt", prompt(template))
+    for left in range(retries, -1, -1):
+        parsed = J.parse_answers(generate(asked, backend).select(*keys, "prompt", "raw"), "raw")
+        if left or backend is not None:
+            parsed = written(parsed, "answers")
+        out = out.unionByName(parsed.drop("prompt"))
+        if left:
+            asked = parsed.filter(~F.col("parsed.usable")).select(*keys, retry_prompt(F.col("prompt")).alias("prompt"))
+    return out.filter("parsed.usable").select(*keys, "parsed.elements", F.lit(COORDINATE_SYSTEM).alias("coordinate_system"))
 
 
 def confident(rows: DataFrame, least: float, col: str = "teacher_confidence") -> DataFrame:

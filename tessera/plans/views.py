@@ -30,7 +30,7 @@ def el_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _elements(base: DataFrame, kept, text, shift) -> DataFrame:
     x1 = F.col("x1") + shift
     e = base.filter(kept).select(
-        "l_orderkey", "idx", text.alias("text"), F.array(x1, F.col("y1"), x1 + F.col("w"), F.col("y1") + F.col("h")).cast("array<int>").alias("bbox_norm"),
+        "l_orderkey", "l_suppkey", "idx", text.alias("text"), F.array(x1, F.col("y1"), x1 + F.col("w"), F.col("y1") + F.col("h")).cast("array<int>").alias("bbox_norm"),
         (F.col("l_linenumber") == 1).alias("focused"),
     )
     return e.withColumn("sample_id", F.concat(F.lit("parsing-"), F.col("l_orderkey").cast("string")))
@@ -77,6 +77,26 @@ def logit_rows(spark, sf_dir) -> DataFrame:
     return e.join(nxt, "vec_id")
 
 
+HEAD = '{"coordinate_system":"normalized_0_1000","elements":['
+#: Fixed value.
+NONE_LEFT = "No usable elements remained after normalization."
+
+
+def answer_sql(how: str = "l_orderkey % 6", kept: str = "true") -> str:
+    """What parsing gives for the answers of ``parsing.raw_answers``, from the damage: (id, how, parse_ok, usable, element_count,
+    salvaged, salvage_reason, parse_error). Of an answer cut at 70 % the elements that end before the cut are seen."""
+    return f"""{BASE_SQL},
+je AS (SELECT sample_id, {how} AS how, idx, ok, row_number() OVER w AS nth, length('{{"bbox_norm":[' || bx1 || ',' || by1 || ',' || bx2 || ',' || by2 || '],"focused":' || focused || ',"text":"' || text || '"}}') AS len
+    FROM p WHERE {kept} WINDOW w AS (PARTITION BY sample_id ORDER BY idx)),
+jc AS (SELECT *, {len(HEAD)} - 1 + sum(len + 1) OVER (PARTITION BY sample_id ORDER BY idx) AS end_at, CAST(floor(({len(HEAD)} + 1 + sum(len + 1) OVER (PARTITION BY sample_id)) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS cut FROM je),
+js AS (SELECT *, how IN (0, 1, 2, 5) OR (how = 3 AND end_at <= cut) AS seen FROM jc),
+an AS (SELECT sample_id AS id, how, count(*) FILTER (WHERE seen AND ok) AS kept, min(nth) FILTER (WHERE seen AND NOT ok) AS bad, count(*) FILTER (WHERE seen) AS n, max(cut) - max(end_at) FILTER (WHERE seen) AS behind FROM js GROUP BY 1, 2),
+answers AS (SELECT id, CAST(how AS INTEGER) AS how, kept > 0 AND bad IS NULL AS parse_ok, kept > 0 AS usable, kept AS element_count, how = 3 AND n > 0 AS salvaged,
+    CASE WHEN how = 3 AND n > 0 THEN CASE WHEN behind >= 2 THEN 'truncated_tail_element_dropped' ELSE 'truncated_elements_recovered' END END AS salvage_reason,
+    CASE WHEN n = 0 THEN 'direct JSON parse' WHEN how = 3 AND behind < 2 THEN CASE WHEN kept = 0 THEN '{NONE_LEFT}' END
+      WHEN bad IS NOT NULL THEN 'element_' || bad || ': invalid bbox_norm coordinates' WHEN kept = 0 THEN '{NONE_LEFT}' END AS parse_error FROM an)"""
+
+
 BASE_SQL = """
 el_base AS (SELECT *, 'parsing-' || l_orderkey AS sample_id,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS idx,
@@ -89,6 +109,11 @@ p AS (SELECT *, lower(trim(text)) AS t, bx1 >= 0 AND bx1 < bx2 AND bx2 <= 1000 A
 r AS (SELECT *, lower(trim(text)) AS t, bx1 >= 0 AND bx1 < bx2 AND bx2 <= 1000 AND by1 >= 0 AND by1 < by2 AND by2 <= 1000 AS ok FROM el_ref)"""
 
 
+#: labels_of: (id, ord, label), the serialised label of each predicted sample; goes behind BASE_SQL.
+LABEL_SQL = """labels_of AS (SELECT sample_id AS id, l_orderkey AS ord, '{"coordinate_system":"normalized_0_1000","elements":[' ||
+  string_agg('{"bbox_norm":[' || bx1 || ',' || by1 || ',' || bx2 || ',' || by2 || '],"focused":' || focused || ',"text":"' || text || '"}', ',' ORDER BY idx) || ']}' AS label FROM el_pred GROUP BY 1, 2)"""
+
+
 def iou_sql(a: str, b: str) -> str:
     w = f"greatest(0, least({a}.bx2, {b}.bx2) - greatest({a}.bx1, {b}.bx1))"
     h = f"greatest(0, least({a}.by2, {b}.by2) - greatest({a}.by1, {b}.by1))"

@@ -15,8 +15,8 @@ from tessera.functions import text as T
 from tessera.operators import align, match, metrics, series, split
 from tessera.plans import pipeline as P
 from tessera.schemas import ELEMENTS, LABEL
-from tessera.sources import config, io
-from tessera.streaming import stream
+from tessera.sources import config, io, sidecars
+from tessera.streaming import ledger
 
 
 def el(text, box, focused=False):
@@ -89,7 +89,7 @@ def test_outermost_values():
     assert list(J.outermost('a "b{" {"x":"}"} [1] ]')) == [(7, 16, False), (17, 20, False)]
     assert list(J.outermost('{"a":[1}')) == [(0, None, False)] and list(J.outermost('x [1, {"b":2}')) == [(2, None, True)]
     assert M.first_expected('x [1,"}"] {"elements":[]}') == {"elements": [1, "}"]}
-    assert M.first_expected('{"elements":[{"bbox":1,2,3,4,"t":1}]}') == {"elements": [{"bbox": [1, 2, 3, 4], "t": 1}], "json_repaired": True, "repairs": 1}
+    assert M.first_expected('{"elements":[{"bbox":1,2,3,4,"t":1}]}') == {"elements": [{"bbox": [1, 2, 3, 4], "t": 1}], "json_repaired": True, "repair_notes": ["both brackets: 1"]}
     for text in ("nothing", '{"k":1}', '{"a":[1,2} x', "{'a':1}"):
         with pytest.raises(ValueError, match="no valid"):
             M.first_expected(text)
@@ -97,7 +97,8 @@ def test_outermost_values():
 
 def test_repairs_are_the_same_on_both_sides(spark):
     for text in ('{"bbox":1,2,3,4,"t":1}', '{"box=1,2,3,4],"t":1}', '{"bbox":1,2,3,4 ]}', '{"bbox_2d":[1,2,3,4,"t":1}', "{}"):
-        assert J.repaired(text) == tuple(spark.range(1).select(J.repair_boxes(F.lit(text)), J.repair_notes(F.lit(text))).first())
+        new, kinds = J.repaired(text)
+        assert (new, len(kinds)) == tuple(spark.range(1).select(J.repair_boxes(F.lit(text)), J.repair_notes(F.lit(text))).first())
 
 
 def test_small_steps(spark):
@@ -111,9 +112,8 @@ def test_small_steps(spark):
         config.task_of("x/other.yaml")
     with pytest.raises(Exception, match="elements"):
         metrics.legacy_evaluation(spark.createDataFrame([("parsing", "x")], "task string, text string")).collect()
-    kept = P.existing_answer()
     rows = spark.createDataFrame([("parsing", [el("a", [1, 2, 3, 4])], "x"), ("parsing", [], "y"), ("vqa", [el("a", [1, 2, 3, 4])], None)], f"task string, elements {ELEMENTS}, answer string")
-    assert [r.v for r in rows.select(kept.alias("v")).collect()] == [J.serialize_label([el("a", [1, 2, 3, 4])]), "y", None]
+    assert [r.v for r in rows.select(P.existing_answer(rows).alias("v")).collect()] == [J.serialize_label([el("a", [1, 2, 3, 4])]), "y", None]
     assert value(spark, P.retry_prompt(F.lit("q"))).endswith("\n\nq") and value(spark, P.canonical_text(F.lit(" <|x|>a\r\nb "))) == "a\nb"
     config.ensure_distinct("a", "b")
     with pytest.raises(ValueError):
@@ -268,11 +268,10 @@ def test_images_sidecars_and_reports(spark, tmp_path):
     assert io.image_files(spark, f"{tmp_path}/img").count() == 1
     assert io.image_files(spark, f"{tmp_path}/img", recursive=True).count() == 2
     docs = spark.createDataFrame([("teacher", "1", True, 3, "raw", None), ("teacher", "2", False, 5, "bad " * 100, "e")], "role string, id string, parse_ok boolean, element_count int, raw_model_output string, parse_error string")
-    io.write_sidecars(docs, str(tmp_path))
-    r = io.sidecar_report(docs).first()
+    r = sidecars.report(docs).first()
     assert (r.total_files, r.parse_ok, r.parse_failed, r.total_elements) == (2, 1, 1, 3)
-    assert len(io.sidecar_failures(docs).first().preview) == 200
-    io.write_report(f"{tmp_path}/r.json", metrics=io.sidecar_report(docs), name="é")
+    assert len(sidecars.failures(docs).first().preview) == 200
+    io.write_report(f"{tmp_path}/r.json", metrics=sidecars.report(docs), name="é")
     assert json.load(open(tmp_path / "r.json", encoding="utf-8"))["metrics"]["total_files"] == 2
     io.write_summary(docs.select("id"), f"{tmp_path}/csv")
     assert spark.read.option("header", "true").csv(f"{tmp_path}/csv").count() == 2
@@ -313,9 +312,10 @@ def test_streams_equal_batches(spark, tmp_path):
     b = {r.event_type: r for r in catalogue.QUERIES["early_stop"](spark, "/root/testdata/sf0.001").collect()}
     assert {k: (round(v.best, 6), v.stopped_at) for k, v in s.items()} == {k: (v.best, v.stopped_at) for k, v in b.items()}
     df = spark.createDataFrame([(1,), (1,), (2,)], "id int")
-    stream.append_new(df, f"{tmp_path}/t")
-    stream.append_new(spark.createDataFrame([(2,), (3,)], "id int"), f"{tmp_path}/t")
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [1, 2, 3]
+    done = ledger.Ledger(spark, f"{tmp_path}/t")
+    done.append(df, 0)
+    done.append(spark.createDataFrame([(2,), (3,)], "id int"), 1)
+    assert sorted(r.id for r in done.rows().collect()) == [1, 2, 3]
 
 
 def test_by_role_last_row_wins_and_a_missing_one_matches_nothing(spark):
