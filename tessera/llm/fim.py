@@ -67,7 +67,8 @@ class Automaton:
         state = np.full(end - at, self.start, np.intp)
         for back in range(m, 0, -1):  # bytes before the text are as none: there the state stays that of the start
             lead = max(0, back - first)
-            state[lead:] = self.step[state[lead:] * self.n_classes + seen[first - back + lead : len(seen) - back]]
+            if lead < len(state):
+                state[lead:] = self.step[state[lead:] * self.n_classes + seen[first - back + lead : len(seen) - back]]
         return state * self.n_classes + seen[first:]
 
 

@@ -188,7 +188,7 @@ def variants(words: DataFrame, ratio: int = RATIO, group: int = GROUP, chunk: in
     words = written(words.select("word", "n"), "spelling-words")
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("word")))
     about = near(words, group, chunk).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    form = (-F.col("best.n")) >= ratio * F.col("n")
+    form = F.coalesce(-F.col("best.n") >= F.try_multiply(F.lit(ratio).cast("long"), "n"), F.lit(False))
     out = words.join(about, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(form, F.col("best.word")).alias("form"), F.when(form, -F.col("best.n")).alias("form_n"))
     out = written(out, "spelling-forms")
