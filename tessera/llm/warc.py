@@ -5,29 +5,33 @@ The digests that occur twice or more are joined with the records, by broadcast w
 digest, where Spark may split a hot one, as the other side is a written table. Each record becomes a WARC/1.1 response,
 or a revisit that refers to the response and holds no payload.
 
-Archives: each begins with a warcinfo record and closes before ``ARCHIVE_BYTES`` of average records. Every record is a
-gzip member of its own, followed by a member that holds its two closing line breaks. That second member is the row
-separator of Spark's text writer, so archives land in whatever store the path names, and it is what the reader splits
-at, so a large archive is read by many tasks, record by record. Files have the names that the writer gives them.
+Archives are named ``*.warc.gz``; each begins with a warcinfo record, and every record is one gzip member. A task packs its
+records into archives of at most ``ARCHIVE_BYTES``, counted as they are compressed, and hands each to Spark's writer as
+one row, so archives land in whatever store the path names. That writer ends a row with a separator; the last byte of a
+gzip member of less than 16 MiB is always zero, so this byte serves as one, and files hold nothing but members. Archives of
+other writers are read too: a task reads an archive as a stream, record by record, by the lengths that it states.
 """
 
 from __future__ import annotations
 
-import gzip
+import base64
+import datetime
 import hashlib
-import io
 import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.llm.common import map_arrow, scratch_path, table, written
 
 #: Payloads below so many bytes are stored again rather than referred to.
 LEAST_BYTES = 100
-#: Bytes of an archive before compression, about, and of the headers of a record.
-ARCHIVE_BYTES, HEAD_BYTES = 1 << 30, 600
+#: Most bytes of an archive, or one record; a task holds a few times as much.
+ARCHIVE_BYTES = 64 << 20
+#: A member of so many bytes before compression or more does not end in a zero byte.
+NO_ZERO = 1 << 24
 #: Up to so many repeated digests (about 200 bytes each) are broadcast.
 BROADCAST_DIGESTS = 100_000
 CRLF = "\r\n"
@@ -41,10 +45,6 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-#: What parts records: a member of their two closing line breaks, as a string of one character a byte.
-CLOSING = member((CRLF * 2).encode()).decode("latin-1")
-
-
 def originals(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """(digest, first: struct of page_id, url and date) of the payloads of (page_id, url, date, payload_bytes, digest)
     that occur more than once: the record with the smallest page id.
@@ -104,101 +104,196 @@ def record() -> Column:
     return F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
 
 
-def information(date: str) -> bytes:
+def information(date: str, kind: str = "warcinfo") -> bytes:
+    """A record about the archive, with its closing line breaks."""
     block = f"software: tessera{CRLF}format: WARC File Format 1.1{CRLF}".encode()
-    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
-    return CRLF.join(lines).encode() + block
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return CRLF.join(lines).encode() + block + (CRLF * 2).encode()
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", date_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes one record a row of ``pages`` (page_id, url, html) as WARC files under ``path``.
+def packed(records, most: int, date: str):
+    """Archives, each of at most ``most`` bytes or of one record, from the records (bytes) of a task in order.
+
+    An archive never ends in a record of 16 MiB or more: a small metadata record follows that one.
+    """
+    parts: list[bytes] = []
+    size = 0
+    for record in records:
+        made = member(record)
+        if len(record) >= NO_ZERO:
+            made += member(information(date, "metadata"))
+        if parts and size + len(made) > most and len(parts) > 1:
+            yield b"".join(parts)
+            parts, size = [], 0
+        if not parts:
+            parts = [member(information(date))]
+            size = len(parts[0])
+        parts.append(made)
+        size += len(made)
+    if parts:
+        yield b"".join(parts)
+
+
+def write_archives(pages: DataFrame, path: str, date: str | None = None, date_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes one record a row of ``pages`` (page_id, url, html) as WARC files under ``path``, a new folder that appears whole.
 
     Null html: an empty payload; null url: an empty target. Payloads under ``LEAST_BYTES`` are always responses. A row
     with a null page_id is a revisit where a page with an id has its payload, else a response. Dates are those of
-    ``date_col``, ISO strings, and ``date`` where null or without one. An empty table writes no records; extra columns
-    are ignored.
+    ``date_col``, ISO strings, and ``date`` where null or without one, by default the time of writing. An empty table
+    writes no archive; extra columns are ignored.
     """
+    spark = pages.sparkSession
+    if scratch.exists(spark, path):
+        raise ValueError(f"{path} exists")
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     when = F.lit(date) if date_col is None else F.coalesce(F.col(date_col), F.lit(date))
     html = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select("page_id", "url", when.alias("date"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("digest"))
-    mean = own.agg(F.avg("payload_bytes")).first()[0] or 0
-    each = max(1, int(archive_bytes / (mean + HEAD_BYTES)))
-    rows = resolved(own).select(record().alias("value"))
+    rows = resolved(own).select(F.concat(record(), F.lit(CRLF * 2)).alias("value"))
 
-    def members(batches):
+    def archives(batches):
         import pyarrow as pa
 
-        n = 0
-        for batch in batches:
-            out = []
-            for value in batch.column(0):
-                if n % each == 0:  # the writer begins a file after each + 1 rows of a task
-                    out.append(member(information(date)))
-                out.append(member(value.as_py().encode()))
+        records = (v.as_py().encode() for batch in batches for v in batch.column(0))
+        for data in packed(records, archive_bytes, date):
+            yield pa.RecordBatch.from_arrays([pa.array([memoryview(data)[:-1]], pa.binary())], names=["value"])  # the writer adds the zero
+
+    made = map_arrow(rows, archives, "value binary").select(F.col("value").cast("string").alias("value"))
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    made.write.option("lineSep", "\0").option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", 1).text(staging)
+    named(spark, staging)
+    scratch.move(spark, staging, path)
+
+
+def named(spark, folder: str) -> None:
+    """Gives the files of a folder the names of archives, and deletes empty ones; only names pass the driver."""
+    n = 0
+    for name, size in scratch.files(spark, folder):
+        if name.startswith("part-"):
+            if size:
+                scratch.move(spark, f"{folder}/{name}", f"{folder}/tessera-{n:08d}.warc.gz")
                 n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            else:
+                scratch.delete(spark, f"{folder}/{name}")
 
-    made = map_arrow(rows, members, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.option("lineSep", CLOSING).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", each + 1).text(path)
 
+def headers_of(text: bytes) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for line in text.split(b"\r\n"):
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        if not colon:
+            raise ValueError(f"no header of a record: {line[:60]!r}")
+        out[name.strip().lower()] = value.strip()
+    return out
 
-def parse(archive):
-    """(headers, block) of each record of an archive, read in order from a binary file object, one record at a time."""
-    while first := archive.readline():
-        if not first.startswith(b"WARC/"):
-            raise ValueError(f"no record where one should begin: {first[:60]!r}")
-        headers = {}
-        while (line := archive.readline()) != b"\r\n":
-            if not line.endswith(b"\r\n"):
-                raise ValueError("an archive ends inside a record's headers")
-            name, _, value = line[:-2].decode().partition(":")
-            headers[name] = value.strip()
-        size = int(headers["Content-Length"])
-        block = archive.read(size)
-        if len(block) != size or archive.read(4) != b"\r\n\r\n":
-            raise ValueError(f"record {headers.get('WARC-Record-ID')} is cut short")
-        yield headers, block
 
+BEGINS = b"\r\n\r\nWARC/1."
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
+def parse(pieces):
+    """(headers, block) of each record of an archive, from its bytes cut at ``BEGINS``, in order; names in lower case.
 
-def _number(urn: str) -> int | None:
-    """The page id of a record's name; null for a page without one."""
-    own = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if own.startswith("none:") else int(own)
+    Where a block holds that text itself, its length tells to read on. Line breaks behind a record are left out.
+    """
+    held, missing = [], 0
+    for nth, piece in enumerate(pieces):
+        if held:
+            held.append(piece)
+            missing -= len(BEGINS) + len(piece)
+            if missing > 0:
+                continue
+        record = BEGINS.join(held) if held else piece if nth == 0 else b"WARC/1." + piece
+        held = []
+        if not record.strip(b"\r\n"):
+            continue
+        head, _, rest = record.partition(b"\r\n\r\n")
+        first, _, lines = head.partition(b"\r\n")
+        if not first.startswith(b"WARC/1."):
+            raise ValueError(f"no record where one should begin: {record[:60]!r}")
+        headers = headers_of(lines)
+        size = int(headers["content-length"])
+        if len(rest) < size:
+            held, missing = [record], size - len(rest)
+            continue
+        if rest[size:].strip(b"\r\n"):
+            raise ValueError(f"record {headers.get('warc-record-id')} is longer than it says")
+        yield headers, rest[:size]
+    if held:
+        raise ValueError("an archive ends inside a record")
+
+
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, target_uri string, date string, refers_to_id string"
+
+
+def _number(urn: str | None) -> int | None:
+    """The page id of a record's name; null for a page without one, and for names of other writers."""
+    own = (urn or "").strip("<>").removeprefix("urn:page:")
+    return int(own) if own.removeprefix("-").isdigit() else None
+
+
+def agrees(payload: bytes, stated: str) -> bool:
+    """Whether a payload has the stated digest; kinds that are not known agree."""
+    kind, _, value = stated.partition(":")
+    if kind.lower() == "sha256":
+        return hashlib.sha256(payload).hexdigest() == value.lower()
+    if kind.lower() == "sha1":
+        own = hashlib.sha1(payload)
+        return value.upper() == base64.b32encode(own.digest()).decode() or value.lower() == own.hexdigest()
+    return True
+
+
+def row_of(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
+    """A row of ``READ`` from a response, resource or revisit record."""
+    kind, stated = headers["warc-type"], headers.get("warc-payload-digest", "")
+    http, has_head, payload = block.partition(b"\r\n\r\n")
+    if kind == "resource" or not headers.get("content-type", "application/http").startswith("application/http"):
+        http, payload = b"", block
+    lengths = [int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:") and x.split(b":", 1)[1].strip().isdigit()]
+    if kind == "revisit":
+        size, digest = lengths[-1] if lengths else None, stated.removeprefix("sha256:") or None
+    else:
+        own = bool(lengths) and (headers.get("warc-record-id") or "").startswith("<urn:page:")
+        if not agrees(payload, stated) or (own and lengths[-1] != len(payload)):
+            raise ValueError(f"payload of {headers.get('warc-record-id')} is damaged")
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    refers = headers.get("warc-refers-to") if kind == "revisit" else None
+    name = headers.get("warc-record-id")
+    return _number(name), size, digest, kind, _number(refers), payload if payloads and kind != "revisit" else None, name, headers.get("warc-target-uri"), headers.get("warc-date"), refers
 
 
 def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
-    """The records of the archives under ``path``; payload is null for revisits and unless asked for.
+    """The response, resource and revisit records of the archives ``*.warc.gz`` under ``path``, of this writer or of others.
 
-    A response's payload is digested again; one that differs from its header fails the read.
+    A payload is what follows the HTTP headers, as it stands; it is null for revisits and unless asked for. It is digested
+    by SHA-256; where the record states a digest that it does not have, the read fails. Records of other writers have no
+    page_id; the digest of a revisit is then the stated one, with the name of its kind unless that is SHA-256.
     """
-    raw = spark.read.option("lineSep", CLOSING).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("value"))
-    closing = (CRLF * 2).encode()
-
-    def row(headers: dict, block: bytes) -> tuple:
-        kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
-        http, _, payload = block.partition(closing)
-        size = int(http.rpartition(b"Content-Length: ")[2])
-        if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-            raise ValueError(f"payload of {headers['WARC-Record-ID']} is damaged")
-        refers = _number(headers["WARC-Refers-To"]) if kind == "revisit" else None
-        return _number(headers["WARC-Record-ID"]), size, digest, kind, refers, payload if payloads and kind == "response" else None
+    raw = spark.read.option("lineSep", BEGINS.decode()).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*.warc.gz").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
     def run(batches):
+        import itertools
+
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        for batch in batches:
-            rows = []
-            for value in batch.column(0):
-                for headers, block in parse(io.BytesIO(gzip.decompress(value.as_py()) + closing)):
-                    if headers["WARC-Type"] != "warcinfo":
-                        rows.append(row(headers, block))
-            columns = list(zip(*rows)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.string())
+        names = [c.split()[0] for c in READ.split(", ")]
+        pieces = ((f, v.as_py()) for batch in batches for f, v in zip(batch.column(0).to_pylist(), batch.column(1)))
+        rows, size = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+        for _, own in itertools.groupby(pieces, lambda x: x[0]):  # a compressed file is read by one task, in order
+            for headers, block in parse(v for _, v in own):
+                if headers.get("warc-type") in ("response", "resource", "revisit"):
+                    rows.append(row_of(headers, block, payloads))
+                    size += len(block) if payloads else 200
+                    if size > 8 << 20:
+                        yield out()
+                        rows, size = [], 0
+        if rows:
+            yield out()
 
     return map_arrow(raw, run, READ)
 
@@ -206,7 +301,7 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).drop("payload")
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = f"""

@@ -380,7 +380,15 @@ PAGES = [(5, "http://a/ b", LONG), (3, "http://a", LONG), (9, None, LONG), (1, "
 
 def records(folder):
     """(headers, block) of all records of the archives of a folder, by file."""
-    return {f.name: list(warc.parse(gzip.open(f))) for f in sorted(folder.iterdir()) if f.name.startswith("part")}
+    return {f.name: list(warc.parse(gzip.open(f).read().split(warc.BEGINS))) for f in sorted(folder.iterdir()) if f.name.endswith(".warc.gz")}
+
+
+def members(data):
+    while data:
+        d = zlib.decompressobj(31)
+        yield d.decompress(data)
+        assert d.eof
+        data = d.unused_data
 
 
 @pytest.mark.parametrize(("archive", "limit"), [(1 << 30, 100_000), (1, 0), (2500, 0)])
@@ -398,20 +406,18 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, archive, limit):
     assert all(hashlib.sha256(bytes(r.payload)).hexdigest() == r.payload_digest for r in rows if r.record_type == "response")
     files = records(tmp_path / "w")
     made = [h for rs in files.values() for h, _ in rs]
-    assert all(rs[0][0]["WARC-Type"] == "warcinfo" and sum(h["WARC-Type"] == "warcinfo" for h, _ in rs) == 1 for rs in files.values())
-    assert len({h["WARC-Record-ID"] for h in made}) == len(made) - 2  # pages 3 and 9 are there twice
-    revisits = [h for h in made if h["WARC-Type"] == "revisit"]
-    assert {(h["WARC-Refers-To"], h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"]) for h in revisits} == {("<urn:page:3>", "http://a", "2024-02-03T04:05:06Z")}
+    assert all(rs[0][0]["warc-type"] == "warcinfo" and sum(h["warc-type"] == "warcinfo" for h, _ in rs) == 1 for rs in files.values())
+    assert len({h["warc-record-id"] for h in made}) == len(made) - 2  # pages 3 and 9 are there twice
+    revisits = [h for h in made if h["warc-type"] == "revisit"]
+    assert {(h["warc-refers-to"], h["warc-refers-to-target-uri"], h["warc-refers-to-date"]) for h in revisits} == {("<urn:page:3>", "http://a", "2024-02-03T04:05:06Z")}
     if archive < 100:
         assert all(len(rs) == 2 for rs in files.values())
-    for f in (tmp_path / "w").iterdir():  # each record begins a member
-        if f.name.startswith("part"):
-            data, n = f.read_bytes(), 0
-            while data:
-                d = zlib.decompressobj(31)
-                text = d.decompress(data)
-                assert text.startswith(b"WARC/1.1\r\n") if n % 2 == 0 else text == b"\r\n\r\n"
-                data, n = d.unused_data, n + 1
+    for f in (tmp_path / "w").iterdir():  # each member is a whole record
+        if f.name.endswith(".warc.gz"):
+            texts = list(members(f.read_bytes()))
+            assert len(texts) == len(files[f.name]) and all(t.startswith(b"WARC/1.1\r\n") and t.endswith(b"\r\n\r\n") for t in texts)
+        else:
+            assert f.name.startswith(".") or f.name == "_SUCCESS"
 
 
 def test_warc_of_no_pages(spark, tmp_path):
@@ -421,7 +427,7 @@ def test_warc_of_no_pages(spark, tmp_path):
 
 def test_warc_archives_are_read_by_several_tasks(spark, tmp_path):
     pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("array_join(transform(sequence(1, 40), x -> sha2(concat(id, x), 256)), '')").alias("html")).coalesce(1)
-    warc.write_archives(pages, f"{tmp_path}/w")
+    warc.write_archives(pages, f"{tmp_path}/w", archive_bytes=37001)
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "37001")
@@ -434,13 +440,58 @@ def test_warc_archives_are_read_by_several_tasks(spark, tmp_path):
 
 def test_warc_damage_is_noticed(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(1, "u", "hello " * 40)], "page_id long, url string, html string"), f"{tmp_path}/w")
-    f = max((f for f in (tmp_path / "w").iterdir() if f.name.startswith("part")), key=lambda f: f.stat().st_size)
-    closing = warc.CLOSING.encode("latin-1")
-    f.write_bytes(b"".join(warc.member(gzip.decompress(r).replace(b"hello", b"jello", 1)) + closing for r in f.read_bytes().split(closing) if r))
-    for crc in (tmp_path / "w").glob(".*.crc"):
-        crc.unlink()
+    f = next(f for f in (tmp_path / "w").iterdir() if f.name.endswith(".warc.gz"))
+    whole = gzip.open(f).read()
+    for wrong, why in ((whole.replace(b"hello", b"jello", 1), "damaged"), (whole[:-30], "ends inside"), (whole.replace(b"response\r\nContent-Length: 3", b"response\r\nContent-Length: 2"), "longer than")):
+        f.write_bytes(gzip.compress(wrong))
+        for crc in (tmp_path / "w").glob(".*.crc"):
+            crc.unlink()
+        with pytest.raises(Exception, match=why):
+            warc.read_archives(spark, f"{tmp_path}/w").collect()
+    with pytest.raises(ValueError, match="exists"):
+        warc.write_archives(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), f"{tmp_path}/w")
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Twenty pages of a megabyte that hardly compress, before twenty thousand small ones, and one of 17 MiB."""
+    text = lambda n: F.expr(f"array_join(transform(sequence(1, {n}), x -> sha2(concat(id, x), 512)), '')")
+    pages = spark.range(20).select("id", text(8000).alias("html")).union(spark.range(20, 20_020).select("id", text(1))).union(spark.range(30_000, 30_001).select("id", F.repeat(F.lit("x"), 17 << 20)))
+    pages = pages.coalesce(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), "html")
+    warc.write_archives(pages, f"{tmp_path}/w", archive_bytes=1 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").iterdir() if f.name.endswith(".warc.gz")]
+    assert max(sizes) <= 1 << 20 and len(sizes) > 10 and sum(s > 1 << 19 for s in sizes) >= len(sizes) - 2
+    rows = warc.read_archives(spark, f"{tmp_path}/w").collect()
+    assert Counter(r.page_id for r in rows) == Counter([*range(20_020), 30_000]) and {r.payload_bytes for r in rows if r.page_id == 30_000} == {17 << 20}
+
+
+def test_foreign_archives_are_read(spark, tmp_path):
+    import base64
+
+    def made(kind, uri, block, **more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uri}>", "WARC-Date: 2020-01-01T00:00:00Z", f"WARC-Target-URI: http://{uri}/", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Length: {len(block)}", "", ""]
+        return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    odd = b"tricky\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\nWARC/1.1 end\r\n"
+    page = b"<html>\xe9 raw bytes</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    own = dict(Content_Type="application/http; msgtype=response")
+    all_of = [
+        made("warcinfo", "info", b"software: other\r\n"), made("request", "r", b"GET / HTTP/1.1\r\n\r\n"), made("response", "a", http + page, WARC_Payload_Digest=sha1(page), **own), made("response", "b", http + odd, **own),
+        made("resource", "c", odd, Content_Type="text/plain"), made("response", "d", http, **own), made("revisit", "e", b"", WARC_Payload_Digest=sha1(page), WARC_Refers_To="<urn:uuid:a>"), made("metadata", "m", odd), made("response", "f", http + odd * 300, **own),
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in all_of))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(b"".join(all_of)))
+    (tmp_path / "other.txt").write_text("no archive")
+    want = Counter({("a", "response", page): 2, ("b", "response", odd): 2, ("c", "resource", odd): 2, ("d", "response", b""): 2, ("e", "revisit", None): 2, ("f", "response", odd * 300): 2})
+    rows = warc.read_archives(spark, str(tmp_path), payloads=True).collect()
+    assert Counter((r.target_uri[7:-1], r.record_type, None if r.payload is None else bytes(r.payload)) for r in rows) == want
+    assert all(r.page_id is None and r.date == "2020-01-01T00:00:00Z" and r.record_id == f"<urn:uuid:{r.target_uri[7:-1]}>" for r in rows)
+    assert all(r.payload_digest == hashlib.sha256(bytes(r.payload)).hexdigest() for r in rows if r.payload is not None)
+    assert {(r.payload_digest, r.refers_to_id) for r in rows if r.record_type == "revisit"} == {(sha1(page), "<urn:uuid:a>")}
+    (tmp_path / "bad.warc.gz").write_bytes(gzip.compress(made("response", "z", http + page, WARC_Payload_Digest=sha1(b"other"), **own)))
     with pytest.raises(Exception, match="damaged"):
-        warc.read_archives(spark, f"{tmp_path}/w").collect()
+        warc.read_archives(spark, f"{tmp_path}/bad.warc.gz").collect()
 
 
 def test_pipeline_stage_by_stage(spark, sf001):
