@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import digest
-from tessera.operators.select import smallest
+from tessera.operators.select import BITS, keyed_hash, smallest
 from tessera.sources.versions import Versions
 
 #: Levels of the digest trees behind the metadata: 65,536 leaves, so one stays small up to some hundred million ids.
@@ -45,8 +45,7 @@ def seeded_split(rows: DataFrame, ratio: float, seed: int, id_col: str = "id", i
 
 def hashed_split(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> DataFrame:
     """``rows`` with is_validation by the hash of the key: one pass, any size, the same for a key wherever it occurs."""
-    top = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") / float(1 << 53)
-    return rows.withColumn("is_validation", top < ratio)
+    return rows.withColumn("is_validation", keyed_hash(F.col(key), seed) < int(ratio * (1 << BITS)))
 
 
 def exact_split(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> DataFrame:

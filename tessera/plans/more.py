@@ -110,14 +110,14 @@ def loss_mix(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", F.round(checked, R).alias("loss"))
 
 
-@query("mock_logits", "L14 L15", "SELECT n_nationkey AS id, length(n_name) AS positions, CAST(length(n_name) * (length(n_name) - 1) / 2 AS BIGINT) AS total FROM nation")
+@query("mock_logits", "L14", "SELECT p_partkey AS id, length(p_name) AS positions, CAST(length(p_name) * (length(p_name) - 1) / 2 AS BIGINT) AS total FROM part")
 def mock_logits(spark, sf_dir):
-    """Scores that follow from position and place, padded to 32 positions and masked again."""
-    n = V.table(spark, sf_dir, "nation").select("n_nationkey", F.length("n_name").alias("len"))
+    """Scores that follow from position and place, padded to 64 positions and masked again."""
+    n = V.table(spark, sf_dir, "part").select("p_partkey", F.length("p_name").alias("len"))
     values = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: i)
-    padded = L.padded(values, F.lit(32), -100)
+    padded = L.padded(values, F.lit(64), -100)
     kept = F.filter(padded, lambda x: x != -100)
-    return n.select(F.col("n_nationkey").alias("id"), F.size(kept).alias("positions"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return n.select(F.col("p_partkey").alias("id"), F.size(kept).alias("positions"), F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("first_rows", "O3", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100")

@@ -12,7 +12,7 @@ from tessera.plans import views as V
 from tessera.plans.catalogue import query
 from tessera.scratch import scratch_path
 from tessera.sources import io, jsonl, sidecars
-from tessera.streaming import ledger, stream
+from tessera.streaming import ledger, stopping, stream
 
 
 def raw_answers(spark, sf_dir):
@@ -50,7 +50,7 @@ def answer_paths(spark, sf_dir):
     return r.groupBy("how").agg(F.count("*").alias("rows"), F.count_if("native").alias("native"))
 
 
-@query("parse_histogram", "A10", f"WITH {V.answer_sql()} SELECT CAST(how AS VARCHAR) AS role, coalesce(regexp_replace(parse_error, '[0-9]+', 'N', 'g'), 'none') AS parse_error, count(*) AS rows, sum(element_count) AS elements FROM answers GROUP BY 1, 2")
+@query("parse_histogram", "A10", f"WITH {V.answer_sql()} SELECT CAST(how AS VARCHAR) AS role, coalesce(regexp_replace(parse_error, '[0-9]+', 'N', 'g'), 'none') AS parse_error, count(*) AS rows, CAST(sum(element_count) AS BIGINT) AS elements FROM answers GROUP BY 1, 2")
 def parse_histogram(spark, sf_dir):
     r = J.parse_answers(raw_answers(spark, sf_dir), "raw", "p")
     error = F.regexp_replace(short_error(F.col("p.parse_error")), r"\d+", "N")
@@ -128,7 +128,7 @@ def profile_log(spark, sf_dir):
     return g.select("event_id", F.col("g.index").alias("gpu"), F.col("g.used").alias("used"))
 
 
-REPORT_SQL = "count(*) AS total_files, count(*) FILTER (WHERE parse_ok) AS parse_ok, count(*) FILTER (WHERE NOT parse_ok) AS parse_failed, coalesce(sum(element_count) FILTER (WHERE parse_ok), 0) AS total_elements"
+REPORT_SQL = "count(*) AS total_files, count(*) FILTER (WHERE parse_ok) AS parse_ok, count(*) FILTER (WHERE NOT parse_ok) AS parse_failed, CAST(coalesce(sum(element_count) FILTER (WHERE parse_ok), 0) AS BIGINT) AS total_elements"
 
 
 def sidecar_store(spark, sf_dir):
@@ -159,9 +159,11 @@ def sidecar_failures(spark, sf_dir):
     return f.select("role", "id", short_error(F.col("parse_error")).alias("parse_error"), (F.col("preview") == "a|button|1|2|3|4|true").alias("table_like"))
 
 
-@query("nested_shape", "F44 F48", "SELECT vec_id, '1,8,8' AS shape FROM embeddings")
+@query("nested_shape", "F44 F48", """SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN '1,' || (vec_id % 8 + 1) || ',8' WHEN vec_id % 8 = 0 THEN '1,1,7' END AS shape FROM embeddings""")
 def nested_shape(spark, sf_dir):
-    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
+    """One to eight rows of eight scores; the last row of each fifth vector has seven, so more than one row is ragged."""
+    last = F.col("vec_id") % 8
+    rows = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.slice("embedding", (i * 8 + 1).cast("int"), F.when((i == last) & (F.col("vec_id") % 5 == 0), 7).otherwise(8)))
     return V.table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(J.nested_shape(F.array(rows), 3), ",").alias("shape"))
 
 
@@ -171,18 +173,6 @@ def seeded_split(spark, sf_dir):
     return t.select("id", F.lit("train").alias("part")).unionByName(v.select("id", F.lit("validation").alias("part")))
 
 
-@query("split_metadata", "V8 F56", None)
-def split_metadata(spark, sf_dir):
-    t, v = split.seeded_split(V.pred(spark, sf_dir), 0.1, 42)
-    m = split.metadata(t, v, 0.1, 42)
-    return spark.createDataFrame([tuple(str(x) for x in m.values())], ", ".join(f"{k} string" for k in m))
-
-
-@query("hashed_split", "V7", None)
-def hashed_split(spark, sf_dir):
-    return split.hashed_split(V.pred(spark, sf_dir), 0.1, 42).select("id", "is_validation")
-
-
 KEYED_SQL = f"""{V.BASE_SQL}, ids AS (SELECT sample_id AS id, CAST('0x' || substr(md5('42:' || sample_id), 1, 15) AS BIGINT) AS h FROM el_pred GROUP BY 1),
 parts AS (SELECT id, row_number() OVER (ORDER BY h, id) <= greatest(1, round_even((SELECT count(*) FROM ids) * 0.1, 0)) AS is_validation FROM ids)"""
 
@@ -196,10 +186,23 @@ def tree_sql(source: str, depth: int) -> str:
     """Levels of the digest tree of ``source`` (part, id)."""
     levels = [f"l{depth} AS (SELECT part, substr(md5(id), 1, {depth}) AS node, count(*) AS rows, sha256(string_agg(id, chr(10) ORDER BY md5(id), id)) AS digest FROM {source} GROUP BY 1, 2)"]
     for d in range(depth - 1, -1, -1):
-        levels.append(f"l{d} AS (SELECT part, substr(node, 1, {d}) AS node, sum(rows) AS rows, sha256(string_agg(node || ' ' || digest, chr(10) ORDER BY node)) AS digest FROM l{d + 1} GROUP BY 1, 2)")
+        levels.append(f"l{d} AS (SELECT part, substr(node, 1, {d}) AS node, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(node || ' ' || digest, chr(10) ORDER BY node)) AS digest FROM l{d + 1} GROUP BY 1, 2)")
     return ", ".join(levels)
 
 
+@query("hashed_split", "V7", f"WITH {KEYED_SQL} SELECT id, h < {int(0.1 * (1 << 60))} AS is_validation FROM ids")
+def hashed_split(spark, sf_dir):
+    return split.hashed_split(V.pred(spark, sf_dir), 0.1, 42).select("id", "is_validation")
+
+
+@query("split_metadata", "V8 F56", f"""WITH {KEYED_SQL}, s AS (SELECT CASE WHEN is_validation THEN 'validation' ELSE 'train' END AS part, id FROM parts), {tree_sql('s', split.DEPTH)}, t AS (SELECT * FROM l0 WHERE part = 'train'), v AS (SELECT * FROM l0 WHERE part = 'validation')
+SELECT '0.1' AS ratio, '42' AS seed, CAST(t.rows + v.rows AS VARCHAR) AS total_count, CAST(t.rows AS VARCHAR) AS training_count, CAST(v.rows AS VARCHAR) AS validation_count, t.digest AS training_ids_hash, v.digest AS validation_ids_hash FROM t, v""")
+def split_metadata(spark, sf_dir):
+    s = split.exact_split(V.pred(spark, sf_dir), 0.1, 42)
+    m = split.metadata(s.filter("not is_validation"), s.filter("is_validation"), 0.1, 42)
+    return spark.createDataFrame([tuple(str(x) for x in m.values())], ", ".join(f"{k} string" for k in m))
+
+
 @query("split_digest", "V8 F56", f"WITH {KEYED_SQL}, s AS (SELECT CASE WHEN is_validation THEN 'validation' ELSE 'train' END AS part, id FROM parts), {tree_sql('s', 2)} "
        + " UNION ALL ".join(f"SELECT part, {d} AS level, node, rows, digest FROM l{d}" for d in range(3)))
 def split_digest(spark, sf_dir):
@@ -232,7 +235,7 @@ def numbered_lines(spark, sf_dir):
 
 @query("collated_batches", "L15 L16 A21", """WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS n FROM documents), c AS (SELECT *, greatest(1, CAST(ceil(n / 64.0) AS BIGINT)) AS class FROM d),
 b AS (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY doc_id) - 1) // greatest(1, 4096 // (class * 64)) AS batch FROM c)
-SELECT class, batch, count(*) AS rows, max(n) AS longest, sum(n) AS real_tokens, count(*) * max(n) AS places, sum(greatest(n - 8, 0)) AS trained FROM b GROUP BY 1, 2""")
+SELECT class, batch, count(*) AS rows, max(n) AS longest, CAST(sum(n) AS BIGINT) AS real_tokens, count(*) * max(n) AS places, CAST(sum(greatest(n - 8, 0)) AS BIGINT) AS trained FROM b GROUP BY 1, 2""")
 def collated_batches(spark, sf_dir):
     """Documents as sequences of hashed words, the first eight of each a prompt, in batches of at most 4096 places."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \t\n\r]+"), F.lit(0))
@@ -289,5 +292,6 @@ f AS (SELECT event_type, CAST(1 AS BIGINT) AS n, value AS best, 0 AS bad, CAST(N
   CASE WHEN x.value >= f.best - 0.01 AND f.bad + 1 >= 40 THEN x.n END FROM f JOIN x ON x.event_type = f.event_type AND x.n = f.n + 1 WHERE f.stopped_at IS NULL)
 SELECT event_type AS key, round(arg_max(best, n), 6) AS best, CAST(max(n) AS INTEGER) AS steps, max(stopped_at) AS stopped_at FROM f GROUP BY 1""")
 def early_stop_stream(spark, sf_dir):
-    out = _streamed(spark, sf_dir, lambda s: stream.early_stops(s, "event_type", 40, 0.01), "update")
-    return out.groupBy("key").agg(F.round(F.max_by("best", "steps"), 6).alias("best"), F.max("steps").alias("steps"), F.max("stopped_at").alias("stopped_at"))
+    stopper = stopping.Stopper(spark, scratch_path(spark, "stopping"), "event_type", ["ts", "event_id"], "value", 40, 0.01)
+    _streamed(spark, sf_dir, lambda s: s, "append", each=stopper.append)
+    return stopper.states().select("key", F.round("best", 6).alias("best"), F.col("steps").cast("int").alias("steps"), "stopped_at")

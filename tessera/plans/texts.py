@@ -99,7 +99,7 @@ def mock_confidence(spark, sf_dir):
     return d.select("doc_id", T.mock_confidence(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("lang")).alias("confidence"))
 
 
-@query("manifest", "P1 W3 O1 S5", "SELECT printf('parsing-%06d', row_number() OVER (ORDER BY url)) AS id, url AS image, 'parsing' AS task, '' AS query FROM (SELECT DISTINCT url FROM pages)")
+@query("manifest", "P1 W3 O1", "SELECT printf('parsing-%06d', row_number() OVER (ORDER BY url)) AS id, url AS image, 'parsing' AS task, '' AS query FROM (SELECT DISTINCT url FROM pages)")
 def manifest(spark, sf_dir):
     return align.numbered_manifest(V.table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct())
 

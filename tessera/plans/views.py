@@ -91,7 +91,7 @@ je AS (SELECT sample_id, {how} AS how, idx, ok, row_number() OVER w AS nth, leng
 jc AS (SELECT *, {len(HEAD)} - 1 + sum(len + 1) OVER (PARTITION BY sample_id ORDER BY idx) AS end_at, CAST(floor(({len(HEAD)} + 1 + sum(len + 1) OVER (PARTITION BY sample_id)) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS cut FROM je),
 js AS (SELECT *, how IN (0, 1, 2, 5) OR (how = 3 AND end_at <= cut) AS seen FROM jc),
 an AS (SELECT sample_id AS id, how, count(*) FILTER (WHERE seen AND ok) AS kept, min(nth) FILTER (WHERE seen AND NOT ok) AS bad, count(*) FILTER (WHERE seen) AS n, max(cut) - max(end_at) FILTER (WHERE seen) AS behind FROM js GROUP BY 1, 2),
-answers AS (SELECT id, CAST(how AS INTEGER) AS how, kept > 0 AND bad IS NULL AS parse_ok, kept > 0 AS usable, kept AS element_count, how = 3 AND n > 0 AS salvaged,
+answers AS (SELECT id, CAST(how AS INTEGER) AS how, kept > 0 AND bad IS NULL AS parse_ok, kept > 0 AS usable, CAST(kept AS INTEGER) AS element_count, how = 3 AND n > 0 AS salvaged,
     CASE WHEN how = 3 AND n > 0 THEN CASE WHEN behind >= 2 THEN 'truncated_tail_element_dropped' ELSE 'truncated_elements_recovered' END END AS salvage_reason,
     CASE WHEN n = 0 THEN 'direct JSON parse' WHEN how = 3 AND behind < 2 THEN CASE WHEN kept = 0 THEN '{NONE_LEFT}' END
       WHEN bad IS NOT NULL THEN 'element_' || bad || ': invalid bbox_norm coordinates' WHEN kept = 0 THEN '{NONE_LEFT}' END AS parse_error FROM an)"""

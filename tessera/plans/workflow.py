@@ -74,7 +74,7 @@ def joined_prompts(spark, sf_dir):
     return q.select("conv_id", "turn", F.md5(references.joined(prompt, F.col("target"))).alias("text"))
 
 
-@query("legacy_convert", "P12 P6", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS teacher_answer FROM documents")
+@query("legacy_convert", "P12", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS teacher_answer FROM documents")
 def legacy_convert(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("teacher_answer"), F.col("source").alias("student_target"))
     return P.legacy_rows(d)

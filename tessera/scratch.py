@@ -57,6 +57,35 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the files of a folder, by name."""
+    store, target = _at(spark, folder)
+    return sorted((f.getPath().getName(), f.getLen()) for f in store.listStatus(target) if f.isFile())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, in any store that Spark writes; it replaces an old one whole, or not at all."""
+    store, target = _at(spark, path)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    part = fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = store.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    context = fs.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(store.makeQualified(part), store.makeQualified(target), how)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file or a folder within its store."""
+    store, target = _at(spark, old)
+    if not store.rename(target, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{old} cannot become {new}")
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes the tables behind results of ``written`` that nothing reads any more."""
     for df in frames:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
+from io import StringIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.align import ORD
 from tessera.schemas import LABEL
+from tessera.scratch import write_text
 from tessera.sources.jsonl import read_jsonl
 
 __all__ = ["append_jsonl", "content_hashes", "gpu_rows", "ids_hash", "image_files", "merge_shards", "read_jsonl", "write_jsonl", "write_report", "write_summary"]
@@ -49,15 +52,27 @@ def ids_hash(df: DataFrame, id_col: str = "id", order: str = ORD) -> tuple[int,
 
 
 def write_report(path: str, **parts) -> None:
-    """One indented JSON document on the driver, from small values and one-row frames."""
+    """One indented JSON document, from small values and one-row frames; an old one is replaced whole."""
     value = {k: (v.first().asDict(True) if isinstance(v, DataFrame) else v) for k, v in parts.items()}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, ensure_ascii=False, default=str)
+    write_text(SparkSession.active(), path, json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n")
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    """A CSV file with a header; a summary has one row an experiment."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+#: Most rows of a summary; it has one an experiment.
+SUMMARY_ROWS = 100_000
+
+
+def write_summary(df: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
+    """A CSV file with a header and the columns in the order given, empty where a row or ``df`` lacks one; an old one is
+    replaced whole. A summary has one row an experiment; more than ``SUMMARY_ROWS`` are refused."""
+    columns = columns or tuple(df.columns)
+    rows = df.select(*[F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]).limit(SUMMARY_ROWS + 1).collect()
+    if len(rows) > SUMMARY_ROWS:
+        raise ValueError(f"a summary has at most {SUMMARY_ROWS} rows")
+    out = StringIO()
+    table = csv.writer(out, lineterminator="\n")
+    table.writerow(columns)
+    table.writerows(["" if v is None else v for v in r] for r in rows)
+    write_text(df.sparkSession, path, out.getvalue())
 
 
 def gpu_rows(text: Column) -> Column:

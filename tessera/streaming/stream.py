@@ -1,9 +1,7 @@
-"""Structured Streaming forms: resume (with a ledger: see ``ledger``), append-only metrics, early stopping."""
+"""Structured Streaming forms: resume by state, event-time windows, runs. Resume by a ledger and early stopping are beside this."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,34 +13,6 @@ def resumed(stream: DataFrame, id_col: str = "id", event_time: str | None = None
     return stream.dropDuplicates([id_col])
 
 
-def early_stops(stream: DataFrame, key: str, patience: int, min_delta: float, order: tuple[str, ...] = ("ts", "event_id"), value: str = "value") -> DataFrame:
-    """(key, best, bad, steps, stopped_at) of each key that a micro-batch touches; rows of a batch go in ``order``.
-
-    State is four numbers a key, however many rows it gets.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, bad, steps, stopped = state.get if state.exists else (float("inf"), 0, 0, -1)
-        rows = pd.concat(list(frames)).sort_values(list(order))
-        for x in rows[value]:
-            if stopped >= 0:
-                break
-            steps += 1
-            if x < best - min_delta or steps == 1:
-                best, bad = float(x), 0
-            else:
-                bad += 1
-                if bad >= patience:
-                    stopped = steps
-        state.update((best, bad, steps, stopped))
-        yield pd.DataFrame({"key": [k[0]], "best": [best], "bad": [bad], "steps": [steps], "stopped_at": [stopped if stopped >= 0 else None]}).astype({"stopped_at": "Int64"})
-
-    return stream.groupBy(key).applyInPandasWithState(
-        fold, "key string, best double, bad int, steps int, stopped_at long", "best double, bad int, steps int, stopped long", "update", GroupStateTimeout.NoTimeout)
-
-
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Counts and sums by event-time window; rows later than the delay are left out."""
     return stream.withWatermark(time, delay).groupBy(F.window(time, width), by).agg(F.count("*").alias("rows"), F.sum("value").alias("total"))

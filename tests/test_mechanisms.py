@@ -15,7 +15,7 @@ from tessera.plans import catalogue, parsing
 from tessera.plans import views as V
 from tessera.schemas import ELEMENTS
 from tessera.sources import jsonl, sidecars, versions
-from tessera.streaming import ledger, stream
+from tessera.streaming import ledger, stopping, stream
 
 catalogue.load()
 
@@ -56,6 +56,15 @@ def test_exact_split_has_its_size_under_any_partitioning(spark, n, ratio):
     assert got == {r.id for r in split.exact_split(df.coalesce(1), ratio, 7).collect() if r.is_validation}
 
 
+def test_seeded_split_query_is_the_shuffle_of_all_rows(spark, sf):
+    rows = sorted((r.image, r._ord, r.id) for r in V.pred(spark, sf).select("image", "_ord", "id").collect())
+    ids = [i for *_, i in rows]
+    random.Random(42).shuffle(ids)
+    n = split.validation_count(len(ids), 0.1)
+    got = {r.id: r.part for r in parsing.seeded_split(spark, sf).collect()}
+    assert got == {i: "validation" if k < n else "train" for k, i in enumerate(ids)}
+
+
 def test_exact_split_refuses(spark):
     df = spark.createDataFrame([("a",), ("b",)], "id string")
     for bad in (df.union(df), df.limit(0), df.union(spark.createDataFrame([("",)], "id string")), df.union(spark.createDataFrame([(None,)], "id string"))):
@@ -220,6 +229,33 @@ def test_ledger_behind_a_stream(spark, tmp_path):
     assert Counter(int(r.id) for r in done.rows().collect()) == Counter(range(200)) and done.last() == 2
 
 
+@pytest.mark.parametrize("min_delta", [0.0, 0.3])
+def test_stopper_over_batches_is_the_fold(spark, tmp_path, min_delta):
+    draw, patience = random.Random(13), 4
+    rows = [(draw.choice(["a", "b", "c", None]), n, draw.choice([None, *(round(draw.random() * 5 / (1 + n / 60), 2) for _ in range(6))])) for n in range(240)]
+    stopper = stopping.Stopper(spark, f"{tmp_path}/s", "k", ["n"], "x", patience, min_delta)
+    assert stopper.states().count() == 0
+    for number in range(4):
+        part = rows[number * 60 : number * 60 + 60]
+        batch = spark.createDataFrame(draw.sample(part, len(part)), "k string, n int, x double")
+        stopper.append(batch, number)
+        stopper.append(batch, number)  # a replay
+        want = {}
+        for key in {r[0] for r in rows[: number * 60 + 60]}:
+            best, bad, steps, stopped = None, 0, 0, None
+            for k, _, x in rows[: number * 60 + 60]:
+                if k != key or stopped:
+                    continue
+                steps += 1
+                if x is not None and (best is None or x < best - min_delta):
+                    best, bad = x, 0
+                elif best is not None:
+                    bad += 1
+                    stopped = steps if bad >= patience else None
+            want[key] = (best, bad, steps, stopped)
+        assert {r.key: (r.best, r.bad, r.steps, r.stopped_at) for r in stopper.states().collect()} == want
+
+
 # ---- lines
 
 

@@ -35,11 +35,15 @@ def duck(sf):
     return c
 
 
+#: Queries beyond SQL, tested in test_mechanisms.py.
+PLAIN = {"seeded_split", "similarity_match", "evaluate_large"}
+
+
 @pytest.mark.parametrize("name", CORE)
 def test_query(spark, sf, duck, name):
     got = catalogue.QUERIES[name](spark, sf)
-    if name not in catalogue.SQL:
-        assert got.count() > 0
+    if name not in catalogue.SQL:  # held against plain Python over all rows elsewhere
+        assert name in PLAIN
         return
     names, rows = rows_of(got.toPandas())
     want_names, want = rows_of(duck.sql(catalogue.SQL[name]).df())
@@ -59,8 +63,8 @@ def test_names_match():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-#: Inventory ids without a query: sources, sinks and configuration (unit tests), driver-only and model-plane ids, and a few not built.
-ELSEWHERE = set("""F25 F41 F57 M1 M3 M4 M5 M6 M7 M8 M9 M10 S1 S2 S3 S7 S8 S10 S11 S12 S14 S16 V9 V11 V12 V13""".split())
+#: Inventory ids without a query: sources, sinks, rollback and configuration (unit tests), driver-only and model-plane ids, and a few not built.
+ELSEWHERE = set("""F25 F57 M1 M3 M4 M5 M6 M7 M8 M9 M10 S3 S5 S8 S10 S11 S12 S14 S16 V9 V11 V12 V13""".split())
 
 
 def test_inventory_is_covered():

@@ -273,8 +273,9 @@ def test_images_sidecars_and_reports(spark, tmp_path):
     assert len(sidecars.failures(docs).first().preview) == 200
     io.write_report(f"{tmp_path}/r.json", metrics=sidecars.report(docs), name="é")
     assert json.load(open(tmp_path / "r.json", encoding="utf-8"))["metrics"]["total_files"] == 2
-    io.write_summary(docs.select("id"), f"{tmp_path}/csv")
-    assert spark.read.option("header", "true").csv(f"{tmp_path}/csv").count() == 2
+    for _ in range(2):  # an old file is replaced
+        io.write_summary(docs.select("id", "parse_error"), f"{tmp_path}/s.csv", ("parse_error", "none", "id"))
+    assert sorted(open(f"{tmp_path}/s.csv", encoding="utf-8").read().splitlines()) == [",,1", "e,,2", "parse_error,none,id"]
 
 
 def test_config(tmp_path):
