@@ -6,15 +6,15 @@
    or more share one of these (prefix filter), whatever the counts in the sketch say. The members of a shingle, cut
    where sizes leave a gap no link can cross, form a bucket; equal buckets are one. The buckets whose smallest node,
    their lead, is the same go into one signature tree.
-3. Seeds. Each tree yields the pairs that may link of a set and the leads of the nodes above it, n log n at most. The
-   verified ones join nearly all large groups.
-4. Dual traversal. The trees of buckets that still hold several components yield all pairs of different components that
-   may link, and those are verified. Pairs inside a component need no check, as they change nothing.
+3. Trees. The dual traversal of each tree yields pairs that may link, each of which joins two parts of the tree, so
+   fewer than it has sets; they are verified. A tree whose pairs all are links is done: what it did not join cannot link.
+4. Trees again. Where a pair was none, and where a tree was cut into blocks, the traversal is repeated with the components
+   known by then, and yields all pairs of different ones that may link. Pairs inside a component need no check.
 5. Components by contraction: every node hooks onto its smallest neighbour until no edge is left. All tables stay
    distributed; the driver holds the sketch and counts only.
 
-Every candidate comes from a tree. A shingle that very many sets route, and a lead with very many sets, are cut into
-blocks: trees of blocks are seeded one by one, each with the lead, and traversed pair by pair.
+Every candidate comes from the traversal of a tree. A shingle that very many sets route, and a lead with very many or
+very long sets, are cut into blocks: blocks are traversed one by one, each with the lead, and then pair by pair.
 
 Verification is exact on 64-bit shingle hashes; a set is known by 128 bits. Tables between the steps are written to the
 shared folder and deleted when later ones replace them.
@@ -38,9 +38,9 @@ SLICES = 32
 #: Routed shingles to a task, about.
 TASK_TOKENS = 500_000
 BUFFER = 1 << 20
-#: A shingle that more sets than this hold beyond the usual, by the sketch, is dealt over all tasks; a lead's tree holds
-#: about so many sets, larger ones are cut into blocks.
-HOT_TOKEN, TREE_NODES = 1_000_000, 100_000
+#: A shingle that more sets than this hold beyond the usual, by the sketch, is dealt over all tasks; the sets of a lead's
+#: tree hold about so many shingles, of one to two bytes each in its bitmaps; larger trees are cut into blocks.
+HOT_TOKEN, TREE_SHINGLES = 1_000_000, 30_000_000
 #: Bits of a node's number; sets that share a number get others by their second signature.
 NODE_BITS = 64
 #: Rows to a file of the narrow tables between the steps, about.
@@ -272,18 +272,18 @@ def members(batches):
             yield _columns((*same, nodes, sizes.astype(np.int64)), MEMBERS)
 
 
-BITS = "node long, rough binary, bits binary"
+BITS = "node long, bits binary"
 SETS = "node long, tokens binary"
 
 
 def bits_maker(node_of):
     def bits_of(batches):
         from tessera.llm.shingles import shingles
-        from tessera.llm.signature_tree import FINE, ROUGH, bitmap
+        from tessera.llm.signature_tree import bitmap
 
         for batch in batches:
             sets = [shingles(text.as_py()) for text in batch.column(1)]
-            yield _columns(([node_of(s) for s in sets], [bitmap(s, ROUGH) for s in sets], [bitmap(s, FINE) for s in sets]), BITS)
+            yield _columns(([node_of(s) for s in sets], [bitmap(s) for s in sets]), BITS)
 
     return bits_of
 
@@ -316,29 +316,32 @@ def verify(batches):
         yield _columns(found, LINKS)
 
 
-def by_tree(batches, made):
+PAIRS = LINKS + ", lead long"
+
+
+def by_tree(batches, made, schema: str):
     """What ``made`` yields for the rows of each tree, (lead, one, two) in order; the rows of one tree are held at a time."""
+
+    def pairs(at, rows):
+        for a, b in made(at, rows):
+            if len(a):
+                yield _columns((a, b, [at[0]] * len(a))[: len(schema.split(", "))], schema)
+
     at, held = None, []
     for batch in batches:
         for lead, one, two, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if (lead, one, two) != at:
                 if held:
-                    yield from pairs_of(made, at, held)
+                    yield from pairs(at, held)
                 at, held = (lead, one, two), []
             held.append(tuple(row))
     if held:
-        yield from pairs_of(made, at, held)
-
+        yield from pairs(at, held)
 
-def pairs_of(made, at, rows):
-    for a, b in made(at, rows):
-        if len(a):
-            yield _columns((a, b), LINKS)
 
-
-def seed_pairs(batches):
-    """Pairs that may link, from the seeds of each tree; rows (lead, block, block, node, n, bits)."""
-    from tessera.llm.signature_tree import pair_may_link, seeds
+def forest_pairs(batches):
+    """Pairs that may link and join all that may in each tree; rows (lead, block, block, node, n, bits)."""
+    from tessera.llm.signature_tree import forest, pair_may_link
 
     def made(_, rows):
         if len(rows) == 2:  # the root of a tree of two sets has one pair below it
@@ -347,9 +350,9 @@ def seed_pairs(batches):
                 yield np.array([min(i, j)]), np.array([max(i, j)])
             return
         ids, sizes = (np.array([r[k] for r in rows], np.int64) for k in range(2))
-        yield from seeds(ids, sizes, [r[2] for r in rows], NUM, DEN)
+        yield from forest(ids, sizes, [r[2] for r in rows], NUM, DEN)
 
-    yield from by_tree(batches, made)
+    yield from by_tree(batches, made, PAIRS)
 
 
 def tree_pairs(batches):
@@ -371,18 +374,21 @@ def tree_pairs(batches):
         side = None if one == two else np.array([r[4] == two for r in rows], np.int64)
         yield from candidates(ids, sizes, [r[3] for r in rows], groups.astype(np.int64), NUM, DEN, side)
 
-    yield from by_tree(batches, made)
+    yield from by_tree(batches, made, LINKS)
+
+
+def large_leads(rows: DataFrame) -> DataFrame:
+    """(of, blocks): the leads whose sets hold more shingles than one tree does."""
+    large = rows.groupBy(F.col("lead").alias("of")).agg(F.ceil(F.sum("n") / TREE_SHINGLES).cast("int").alias("blocks"))
+    return written(large.filter("blocks > 1"), "near-large")
 
 
-def blocked(rows: DataFrame, pairs: bool) -> DataFrame:
-    """``rows`` (lead, node, ...) with one, two and block: the blocks of its lead, TREE_NODES sets each, in which a row
-    takes part. Blocks alone, each with the lead itself, or with ``pairs`` all pairs of blocks."""
-    large = rows.groupBy(F.col("lead").alias("of")).agg(F.count("*").alias("size")).filter(F.col("size") > TREE_NODES)
-    large = written(large.select("of", F.ceil(F.col("size") / TREE_NODES).cast("int").alias("blocks")), "near-large")
+def blocked(rows: DataFrame, large: DataFrame, pairs: bool) -> DataFrame:
+    """``rows`` (lead, node, ...) with one, two and block: the blocks of its lead in which a row takes part. Blocks alone,
+    each with the lead itself, or with ``pairs`` all pairs of blocks."""
     zero = F.lit(0).alias
     n_large = large.count()
     if not n_large:
-        drop(large)
         return rows.withColumns({"one": zero("one"), "two": zero("two"), "block": zero("block")})
     out = rows.join(F.broadcast(large) if n_large <= BROADCAST_IDS else large, F.col("lead") == F.col("of"), "left").drop("of").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -516,7 +522,8 @@ def grouped(texts: DataFrame, marked: bool = False) -> DataFrame:
         n_leads = leads.count()
         loose = loose.join(F.broadcast(leads) if n_leads <= BROADCAST_IDS else leads, F.col("bucket") == F.col("of"))
         inside = inside.unionByName(loose.select("bucket", "lead", "node", "n"))
-    inside = written(inside, "near-members")
+    # buckets of one lead mostly hold the same nodes and go into one tree; more nodes lose no pair
+    inside = written(inside.select("lead", "node", "n").distinct(), "near-members")
     drop(gathered)
 
     def made(wanted: DataFrame, run, schema: str, name: str) -> DataFrame:
@@ -539,31 +546,32 @@ def grouped(texts: DataFrame, marked: bool = False) -> DataFrame:
         drop(sets)
         return out
 
-    def treed(rows: DataFrame, what: str, run, pairs: bool) -> DataFrame:
-        """The distinct pairs that ``run`` finds in the trees of ``rows`` (lead, node, ...)."""
-        maps = bits.select(F.col("node").alias("of"), F.col(what).alias("bits"))
-        rows = blocked(rows, pairs).join(maps, F.col("node") == F.col("of")).drop("of")
+    def treed(rows: DataFrame, run, schema: str, pairs: bool) -> DataFrame:
+        """What ``run`` finds in the trees of ``rows`` (lead, node, ...)."""
+        rows = blocked(rows, large, pairs).join(bits.select(F.col("node").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of")
         last = ["component", "bits", "block"] if pairs else ["bits"]
         rows = rows.select("lead", "one", "two", "node", "n", *last)
         at = ["lead", "one", "two"]
-        return map_arrow(rows.repartition(*at).sortWithinPartitions(*at), run, LINKS).distinct()
+        return map_arrow(rows.repartition(*at).sortWithinPartitions(*at), run, schema)
 
     bits = made(inside.select("node").distinct(), bits_maker(node_of), BITS, "near-bits")
-    likely = written(treed(inside.select("lead", "node", "n").distinct(), "rough", seed_pairs, False), "near-pairs")
-    links = verified(likely)
+    large = large_leads(inside)
+    joining = written(treed(inside, forest_pairs, PAIRS, False), "near-joining")
+    links = verified(joining.select("a", "b").distinct())
     first = components(links, "near-first")
-    own = inside.join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "lead", "node", "n", F.coalesce("component", "node").alias("component"))
-    own = written(own.coalesce(files(inside.count())), "near-own")
-    drop(inside, links)
-    # buckets of one lead mostly hold the same nodes and go into one tree; more nodes lose no pair
-    mixed = written(own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("bucket").alias("open")), "near-open")
-    rest = written(own.join(mixed, F.col("bucket") == F.col("open"), "left_semi").select("lead", "node", "n", "component").distinct(), "near-rest")
-    drop(own, mixed)
-    more = treed(rest, "bits", tree_pairs, True)
-    more = more.join(likely.withColumnsRenamed({"a": "sa", "b": "sb"}), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti")
+    failed = joining.join(links.withColumnsRenamed({"a": "la", "b": "lb"}), (F.col("a") == F.col("la")) & (F.col("b") == F.col("lb")), "left_anti")
+    again = written(failed.select(F.col("lead").alias("again")).unionByName(large.select(F.col("of").alias("again"))).distinct(), "near-again")
+    few = again.count() <= BROADCAST_IDS
+    own = inside.join(F.broadcast(again) if few else again, F.col("lead") == F.col("again"), "left_semi")
+    own = own.join(first.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("lead", "node", "n", F.coalesce("component", "node").alias("component"))
+    own = written(own.coalesce(files(n_nodes)), "near-own")
+    open_leads = own.groupBy(F.col("lead").alias("open")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("open")
+    rest = written(own.join(open_leads, F.col("lead") == F.col("open"), "left_semi"), "near-rest")
+    more = treed(rest, tree_pairs, LINKS, True).distinct()
+    more = more.join(joining.select(F.col("a").alias("sa"), F.col("b").alias("sb")).distinct(), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")), "left_anti")
     more = written(more, "near-pairs")
     extra = verified(more)
-    drop(bits, rest, likely, more)
+    drop(inside, bits, large, joining, links, again, own, rest, more)
     # components of the components that the second links join
     lift = lambda e, c: e.join(first.select(F.col("node").alias("of"), F.col("component").alias("up")), F.col(c) == F.col("of"), "left").withColumn(c, F.coalesce("up", c)).drop("of", "up")
     second = components(lift(lift(extra, "a"), "b"), "near-second")

@@ -5,6 +5,10 @@ For x below node A and y below node B, every bit of x outside the common bits of
 lacks, so |x & y| <= |x| - (bits of x - common bits). With the size ranges this bounds the similarity of all pairs
 below two nodes; pairs of nodes whose bound is too low, and nodes whose members are all in one known component, are
 not opened. Nothing that could link is ever left out.
+
+Where all sets may be of one group, the traversal keeps a union-find of the pairs that it yields: nodes whose members it
+has joined are not opened against each other, so it yields fewer pairs than there are sets. If all of them prove to be
+links, the tree is done; if one does not, what it had joined must be looked at again.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ import numpy as np
 
 FANOUT = 16
 LEAST_BITS, MOST_BITS = 64, 1 << 18
-#: Bits a token: for a first look at a pair, and in trees, where half a per cent of similarity tells.
-ROUGH, FINE = 2, 8
+#: Bits a token, so that half a per cent of similarity tells.
+FINE = 8
 #: Pairs of nodes looked at together, and bytes of bitmaps.
 CHUNK, BYTES = 1 << 15, 1 << 22
 
@@ -121,22 +125,105 @@ def dual(s: Tree, t: Tree, num: int, den: int):
         stack.append((p - open_s, q - open_t, i, j))
 
 
-def near_leads(tree: Tree, num: int, den: int):
-    """Arrays (ids, ids) of the pairs that may link of a set and the first set of each node above it: n log n pairs at most.
+def closeness(a, b, i, j):
+    """The bound of ``may_link`` for pairs of sets (i of level 0 of a tree, j of another), as a similarity."""
+    wa, la, _, ca, _ = a
+    wb, lb, _, cb, _ = b
+    out = np.empty(len(i))
+    step = max(1, BYTES // (8 * wa.shape[1]))
+    for k in range(0, len(i), step):
+        x, y = i[k : k + step], j[k : k + step]
+        common = np.bitwise_count(wa[x] & wb[y]).sum(1).astype(np.int64)
+        most = np.minimum(la[x] - np.maximum(ca[x] - common, 0), lb[y] - np.maximum(cb[y] - common, 0))
+        out[k : k + step] = most / (la[x] + lb[y] - most)
+    return out
+
+
+class Joined:
+    """A union-find over positions from 0."""
+
+    def __init__(self, n: int):
+        self.up, self.label, self.changed = list(range(n)), np.arange(n), False
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        self.changed = True
+        return True
+
+    def labels(self):
+        """The root of every position."""
+        if self.changed:
+            self.label, self.changed = np.array(self.up), False
+            while not np.array_equal(self.label, above := self.label[self.label]):
+                self.label = above
+        return self.label
+
+
+def regroup(tree: Tree, labels) -> None:
+    """Gives the nodes of a tree over positions the label that all sets below them have, or -1."""
+    groups = labels[tree.ids]
+    for k, level in enumerate(tree.levels):
+        if k:
+            at = np.arange(0, len(groups), FANOUT)
+            first = groups[at]
+            same = np.logical_and.reduceat(groups == np.repeat(first, np.diff(np.append(at, len(groups)))), at)
+            groups = np.where(same, first, np.int64(-1))
+        tree.levels[k] = (*level[:4], groups)
+
+
+def spanning(s: Tree, t: Tree, joined: Joined, num: int, den: int):
+    """Arrays (positions, positions) of pairs that may link, each of which joins two parts; for s is t within one tree.
 
-    They join most of a large group, so that ``dual`` meets few pairs of different components afterwards.
+    What lies below one node is joined before nodes meet, the closest pairs of a chunk first.
     """
-    n = len(tree.ids)
-    at, before = np.arange(n), np.full(n, -1)
-    for height in range(1, tree.top() + 1):
-        lead = at // FANOUT**height * FANOUT**height
-        new = np.flatnonzero((lead != at) & (lead != before))
-        before = lead
-        for k in range(0, len(new), CHUNK):
-            i = new[k : k + CHUNK]
-            i = i[may_link(tree.levels[0], tree.levels[0], i, lead[i], num, den)]
-            if len(i):
-                yield tree.ids[i], tree.ids[lead[i]]
+    same = s is t
+    stack = [(s.top(), t.top(), np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stale = True
+    while stack:
+        p, q, i, j = stack.pop()
+        step = CHUNK if p == q == 0 else max(1, CHUNK // FANOUT**2)
+        if len(i) > step:
+            stack.append((p, q, i[step:], j[step:]))
+            i, j = i[:step], j[:step]
+        if stale or joined.changed:
+            labels, stale = joined.labels(), False
+            for tree in (s,) if same else (s, t):
+                regroup(tree, labels)
+        kept = may_link(s.levels[p], t.levels[q], i, j, num, den)
+        i, j = i[kept], j[kept]
+        if not len(i):
+            continue
+        if p == 0 and q == 0:
+            if same:
+                i, j = i[i != j], j[i != j]
+            order = np.argsort(-closeness(s.levels[0], t.levels[0], i, j), kind="stable")
+            a, b = s.ids[i[order]].tolist(), t.ids[j[order]].tolist()
+            made = [(x, y) for x, y in zip(a, b) if joined.join(x, y)]
+            if made:
+                yield tuple(np.array(x) for x in zip(*made))
+            continue
+        open_s, open_t = p >= q and p > 0, q >= p and q > 0
+        if open_s:
+            i, j = children(i, j, len(s.levels[p - 1][1]))
+        if open_t:
+            j, i = children(j, i, len(t.levels[q - 1][1]))
+        if same:
+            own = i == j
+            for part in (i < j, own):  # the last goes first
+                if part.any():
+                    stack.append((p - open_s, q - open_t, i[part], j[part]))
+        else:
+            stack.append((p - open_s, q - open_t, i, j))
 
 
 def children(parent, other, count: int):
@@ -164,18 +251,16 @@ def folded(parts: tuple, w: int) -> Tree:
     return Tree(ids, sizes, fold(words, w // 8), groups)
 
 
-def seeds(ids, sizes, maps: list[bytes], num: int = 80, den: int = 100):
-    """Pairs (smaller id, larger id) that may reach num / den, of each set with the leads of the nodes above it."""
-    parts = trees(ids, sizes, maps, ids)
+def forest(ids, sizes, maps: list[bytes], num: int = 80, den: int = 100):
+    """Pairs (smaller id, larger id) that may reach num / den, at most one fewer than there are sets: any two sets that
+    may link are joined by them."""
+    at, joined = np.arange(len(ids)), Joined(len(ids))
+    parts = trees(at, sizes, maps, at)
     for w, made in parts.items():
         tree = Tree(*made)
-        yield from ordered(near_leads(tree, num, den))
-        if 2 * w in parts:  # the sets of either width meet at the middle, where sizes are nearest
-            other = folded(parts[2 * w], w)
-            j = np.arange(len(other.ids))
-            i = np.full(len(j), len(tree.ids) - 1)
-            kept = may_link(tree.levels[0], other.levels[0], i, j, num, den)
-            yield from ordered([(tree.ids[i[kept]], other.ids[j[kept]])])
+        met = [(tree, tree)] + ([(tree, folded(parts[2 * w], w))] if 2 * w in parts else [])
+        for s, t in met:
+            yield from ordered((ids[a], ids[b]) for a, b in spanning(s, t, joined, num, den))
 
 
 def candidates(ids, sizes, maps: list[bytes], groups, num: int = 80, den: int = 100, side=None):

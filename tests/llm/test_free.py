@@ -251,7 +251,7 @@ def border():
     return docs, brute_groups(docs)
 
 
-@pytest.mark.parametrize("limits", [{}, {"HOT_TOKEN": 1, "TREE_NODES": 8, "NODE_BITS": 7}, {"TREE_NODES": 30, "BROADCAST_IDS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"HOT_TOKEN": 1, "TREE_SHINGLES": 400, "NODE_BITS": 7}, {"TREE_SHINGLES": 2000, "BROADCAST_IDS": 0}])
 def test_near_duplicates_at_the_border_and_in_large_groups(spark, monkeypatch, border, limits):
     """Also with every shingle dealt over all tasks, small blocks of trees, and sets that share their numbers."""
     for name, value in limits.items():
@@ -292,8 +292,31 @@ def test_blocks_of_a_tree_lose_no_link():
     assert all(side[x] != side[y] for x, y in found)
     near = {(x, y) for x in range(60) for y in range(x + 1, 60) if 100 * (n := len(np.intersect1d(sets[x], sets[y]))) >= 80 * (sizes[x] + sizes[y] - n)}
     assert near and {p for p in near if side[p[0]] != side[p[1]]} <= found
-    few = pairs(signature_tree.seeds(ids, sizes, maps))
-    assert len(few) <= 60 * 3 and few <= pairs(signature_tree.candidates(ids, sizes, maps, ids))
+
+
+def test_forest_joins_all_that_may_link():
+    rng = np.random.default_rng(4)
+    pairs = lambda made: [(x, y) for a, b in made for x, y in zip(a.tolist(), b.tolist())]
+    for n, spread in ((2, 0.1), (40, 0.3), (400, 0.1), (700, 0.25)):
+        base = [rng.integers(0, 2**63, rng.integers(5, 400)).astype(np.uint64) for _ in range(5)]
+        sets = []
+        for _ in range(n):
+            b = base[rng.integers(5)]
+            sets.append(np.unique(np.concatenate([b[rng.random(len(b)) > rng.random() * spread], rng.integers(0, 2**63, int(len(b) * rng.random() * spread) + 1).astype(np.uint64)])))
+        ids, sizes, maps = np.arange(n) * 7 - 50, np.array([len(s) for s in sets]), [signature_tree.bitmap(s) for s in sets]
+        every, few = set(pairs(signature_tree.candidates(ids, sizes, maps, ids))), pairs(signature_tree.forest(ids, sizes, maps))
+        assert len(few) < n and set(few) <= every and all(x < y for x, y in few)
+        up = {i: i for i in ids.tolist()}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in few:
+            assert root(x) != root(y)
+            up[root(x)] = root(y)
+        assert all(root(x) == root(y) for x, y in every)
 
 
 def test_shingles():
