@@ -138,3 +138,25 @@ def same_contract(a: dict, b: dict, keys: tuple[str, ...]) -> list[str]:
         return d
 
     return [k for k in keys if at(a, k) != at(b, k)]
+
+
+def training_problems(training: dict, student: dict | None = None) -> list[str]:
+    """What is wrong with the settings of a training run, all of it; settings that are left out have their defaults."""
+    t = {"validation_every_epochs": 1, "early_stopping_patience": 1, "early_stopping_min_delta": 0.0} | {k: v for k, v in training.items() if v is not None}
+    s, out = student or {}, []
+    rate = t.get("projector_learning_rate")
+    out += [f"{k} must be positive" for k in ("validation_every_epochs", "early_stopping_patience") if t[k] <= 0]
+    if t["early_stopping_min_delta"] < 0:
+        out.append("early_stopping_min_delta must not be negative")
+    if rate is not None and rate <= 0:
+        out.append("projector_learning_rate must be positive")
+    if rate is not None and (not s.get("train_multimodal_projector") or s.get("use_projector_lora")):
+        out.append("projector_learning_rate needs a projector that is trained as a whole")
+    if t.get("early_stopping_enabled") and not t.get("validation_enabled"):
+        out.append("early stopping needs validation")
+    if t.get("validation_enabled"):
+        if not 0 < t.get("validation_ratio", 0) < 1:
+            out.append("validation needs a validation_ratio between 0 and 1")
+        if not t.get("validation_label_path"):
+            out.append("validation needs a validation_label_path")
+    return out

@@ -290,6 +290,10 @@ def test_config(tmp_path):
     with pytest.raises(TypeError):
         config.load(tmp_path / "odd.json")
     assert config.remap_output("outputs/a", "/r/") == "/r/a" and config.format_prompt("{{x}} {query}", query="q") == "{x} q"
+    assert config.training_problems({}) == [] and config.training_problems({"validation_enabled": True, "validation_ratio": 0.1, "validation_label_path": "v", "early_stopping_enabled": True}) == []
+    assert config.training_problems({"projector_learning_rate": 0.1}, {"train_multimodal_projector": True}) == []
+    assert len(config.training_problems({"projector_learning_rate": -1, "early_stopping_patience": 0, "early_stopping_min_delta": -1, "early_stopping_enabled": True})) == 5
+    assert len(config.training_problems({"validation_enabled": True, "validation_every_epochs": 0})) == 3
     assert config.same_contract({"a": {"b": 1}}, {"a": {"b": 2}}, ("a.b",)) == ["a.b"]
 
 
