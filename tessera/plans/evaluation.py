@@ -204,13 +204,13 @@ def content_hash_overlap(spark, sf_dir):
 def uneven(rows):
     """Label rows by their order: without elements, without the key, with a schema word first, with all elements twice."""
     k, es = F.col(align.ORD) % 13, F.col("elements")
-    first = F.transform(es, lambda e, i: F.when(i == 0, e.withField("text", F.lit(" Button"))).otherwise(e))
+    first = F.transform(es, lambda e, i: F.when(i == 0, e.withField("text", F.lit(" Focused"))).otherwise(e))
     return rows.withColumn("elements", F.when(k == 0, F.filter(es, lambda e: F.lit(False))).when(k == 2, first).when(k == 3, F.concat(es, es)).when(k != 1, es))
 
 
-UNEVEN_SQL = f"""{V.BASE_SQL}, u AS (SELECT sample_id, l_orderkey % 13 AS k, ok, focused, CASE WHEN l_orderkey % 13 = 2 AND idx = min(idx) OVER (PARTITION BY sample_id) THEN 'button' ELSE t END AS t FROM p),
+UNEVEN_SQL = f"""{V.BASE_SQL}, u AS (SELECT sample_id, l_orderkey % 13 AS k, ok, focused, CASE WHEN l_orderkey % 13 = 2 AND idx = min(idx) OVER (PARTITION BY sample_id) THEN 'focused' ELSE t END AS t FROM p),
 per AS (SELECT sample_id, k, CASE WHEN k <= 1 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END AS x, count(*) FILTER (WHERE NOT ok) AS bad, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE ok AND focused) AS foc,
-  count(*) FILTER (WHERE ok AND t = 'button') AS word, count(DISTINCT t) FILTER (WHERE ok) AS kinds FROM u GROUP BY 1, 2)"""
+  count(*) FILTER (WHERE ok AND t = 'focused') AS word, count(DISTINCT t) FILTER (WHERE ok) AS kinds FROM u GROUP BY 1, 2)"""
 
 
 @query("label_stats", "A5 F12", f"""WITH {UNEVEN_SQL} SELECT count(*) AS total_samples, count(*) FILTER (WHERE x > 0) AS rows_with_elements, count(*) FILTER (WHERE x = 0) AS empty_element_rows, CAST(sum(x * good) AS BIGINT) AS total_elements,
