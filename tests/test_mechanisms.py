@@ -186,12 +186,12 @@ def test_foreign_sidecars_are_scanned(spark, tmp_path):
 
 
 def test_ledger_takes_each_id_once(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ledger, "MERGE_EVERY", 3)
+    monkeypatch.setattr(ledger, "MERGE_EVERY", 2)
     draw, done, seen = random.Random(2), ledger.Ledger(spark, f"{tmp_path}/l", buckets=4), set()
     assert done.last() == -1 and done.rows() is None and done.size().first().ids == 0
     done.append(spark.createDataFrame([], "id string, v int"), 0)
-    for number in range(1, 8):
-        ids = [str(draw.randrange(4000)) for _ in range(900)] + [None]
+    for number in range(1, 5):
+        ids = [str(draw.randrange(2500)) for _ in range(900)] + [None]
         batch = spark.createDataFrame([(i, number) for i in ids], "id string, v int")
         got = done.append(batch, number)
         new = set(ids) - seen
@@ -201,7 +201,7 @@ def test_ledger_takes_each_id_once(spark, tmp_path, monkeypatch):
         assert done.append(batch, number)["rows"] == 0  # a replay
     assert done.rows().filter("id is null").count() == 1
     size = done.size().first()
-    assert (size.batches, size.ids, size.filters) == (8, len(seen), 4)
+    assert (size.batches, size.ids, size.filters) == (5, len(seen), 4)
 
 
 def test_ledger_overwrites_what_a_stopped_batch_left(spark, tmp_path):
