@@ -243,7 +243,8 @@ def plain_score(model, text):
     return 1 / (1 + math.exp(-total))
 
 
-def test_compiled_rules_score_as_plain_ones(spark, sf001):
+def test_compiled_rules_score_as_plain_ones(spark, sf001, monkeypatch):
+    monkeypatch.setattr(rules, "TREES", 5)
     docs, labels = table(spark, sf001, "documents"), table(spark, sf001, "labels")
     model = rules.train(docs, labels)
     assert model.weights
@@ -262,7 +263,8 @@ def test_rules_on_held_out_labels(spark, sf001):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
-def test_held_out_labels_and_other_columns_are_never_read(spark, sf001):
+def test_held_out_labels_and_other_columns_are_never_read(spark, sf001, monkeypatch):
+    monkeypatch.setattr(rules, "TREES", 3)
     docs, labels = table(spark, sf001, "documents"), table(spark, sf001, "labels")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     wrong = labels.withColumn("quality", F.when(out, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -270,7 +272,8 @@ def test_held_out_labels_and_other_columns_are_never_read(spark, sf001):
     assert rules.train(docs, labels) == rules.train(other, wrong)
 
 
-def test_rules_odd(spark, odd, sf001):
+def test_rules_odd(spark, odd, monkeypatch):
+    monkeypatch.setattr(rules, "TREES", 3)
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, 1), (4, None), (99, 0)], "doc_id long, quality int")
     none = rules.train(odd, labels.limit(0))
     assert none.weights == ()
