@@ -40,6 +40,23 @@ def full_outer(pred: DataFrame, ref: DataFrame) -> DataFrame:
     return side(pred, "pred").join(side(ref, "ref"), ["key_kind", "key"], "full_outer")
 
 
+def aligned_elements(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``full_outer`` of the samples that element rows form: ``rows`` has ``key``, ``order``, and pred and ref, an element
+    of either side or null.
+
+    Rows are grouped once for both sides, where they are dealt by ``key`` already without another shuffle. A sample without
+    an element of a side is missing there, and one that has none at all is missing on both. Keys must differ as row keys, and not be empty.
+    """
+    g = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "pred", "ref"))).alias("__es"))
+    d = g.select(F.col(key).cast("string").alias("id"), F.lit("").alias("image"), "__es")
+
+    def side(name: str) -> Column:
+        own = F.transform(F.filter("__es", lambda e: e[name].isNotNull()), lambda e: e[name])
+        return T.let(own, lambda es: F.when(F.size(es) > 0, F.struct(F.col("id").alias("id"), es.alias("elements"), F.lit(1).cast("long").alias("copies")))).alias(name)
+
+    return row_key(d).select("key_kind", "key", side("pred"), side("ref"))
+
+
 def ordered_labels(elements: Column) -> Column:
     """Array of struct(key, label): distinct labels in order, by label key, the first label of a key kept."""
     named = F.filter(F.transform(elements, lambda e: F.trim(e["text"])), lambda t: t.isNotNull() & (t != ""))

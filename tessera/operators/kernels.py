@@ -16,14 +16,36 @@ def overlap(box, boxes):
     return np.where(union > 0, both / np.maximum(union, 1), 0.0)
 
 
+#: Pairs of boxes up to which all overlaps are computed at once, in some 12 MB.
+AT_ONCE = 1 << 18
+
+
+def all_overlaps(p_boxes, r_boxes):
+    """``best_overlaps`` of few boxes: the overlapping pairs in order, each taken if both of its boxes are free."""
+    import numpy as np
+
+    v = overlap(p_boxes.T[:, :, None], r_boxes)
+    ps, rs = np.nonzero(v > 0)
+    v = v[ps, rs]
+    order = np.lexsort((rs, ps, -v))
+    used_p, used_r = bytearray(len(p_boxes)), bytearray(len(r_boxes))
+    for x, i, j in zip(v[order].tolist(), ps[order].tolist(), rs[order].tolist()):
+        if not used_p[i] and not used_r[j]:
+            used_p[i] = used_r[j] = 1
+            yield x, i, j
+
+
 def best_overlaps(p_boxes, r_boxes):
     """(overlap, prediction, reference) of the pairs taken when the best overlap above 0 goes first, ties by position.
 
     Each prediction waits in a heap with its best free reference; one whose reference was taken looks again. So memory
-    is that of the elements, and no pair is stored.
+    is that of the elements, and no pair is stored. Up to ``AT_ONCE`` pairs are put in order instead, which is faster.
     """
     import numpy as np
 
+    if len(p_boxes) * len(r_boxes) <= AT_ONCE:
+        yield from all_overlaps(p_boxes, r_boxes)
+        return
     order = np.argsort(r_boxes[:, 0], kind="stable")  # by left edge: a box overlaps none that begins right of its end
     sorted_boxes, left = r_boxes[order], r_boxes[order, 0]
     free = np.ones(len(order), bool)

@@ -58,7 +58,11 @@ def score_samples(pred: DataFrame, ref: DataFrame) -> DataFrame:
     Each side is shuffled once, by the row key; deduplication, the outer join and the matching all use that
     partitioning, as matching happens inside the joined row.
     """
-    j = align.full_outer(pred, ref)
+    return score_aligned(align.full_outer(pred, ref))
+
+
+def score_aligned(j: DataFrame) -> DataFrame:
+    """``score_samples`` of samples whose sides are aligned: key_kind, key, structs pred and ref of id, elements and copies."""
     j = j.select("key_kind", "key", F.col("pred.id").isNull().alias("missing_prediction"), F.col("ref.id").isNull().alias("missing_reference"),
                  match.usable(F.col("pred.elements")).alias("p"), match.usable(F.col("ref.elements")).alias("r"),
                  F.coalesce(F.col("pred.copies") - 1, F.lit(0)).alias("pred_repeats"), F.coalesce(F.col("ref.copies") - 1, F.lit(0)).alias("ref_repeats"))

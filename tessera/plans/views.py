@@ -16,34 +16,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TOTAL = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def el_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*TOTAL)) - 1
-    return l.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", idx.alias("idx"),
+def _derived() -> list:
+    """What an element takes from its line: txt, x1, y1, w, h."""
+    return [
         F.concat_ws(" ", "l_returnflag", "l_linestatus", (F.col("l_linenumber") % 3).cast("string")).alias("txt"),
         (F.col("l_partkey") % 800).cast("int").alias("x1"), (F.col("l_suppkey") % 800).cast("int").alias("y1"),
         F.when(F.col("l_partkey") % 13 == 0, 0).otherwise(1 + F.col("l_quantity").cast("int")).alias("w"), (1 + 7 * F.col("l_linenumber")).alias("h"),
-    )
+    ]
 
 
-def _elements(base: DataFrame, kept, text, shift) -> DataFrame:
+def el_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*TOTAL)) - 1
+    return l.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", idx.alias("idx"), *_derived())
+
+
+def _box(shift):
     x1 = F.col("x1") + shift
-    e = base.filter(kept).select(
-        "l_orderkey", "l_suppkey", "idx", text.alias("text"), F.array(x1, F.col("y1"), x1 + F.col("w"), F.col("y1") + F.col("h")).cast("array<int>").alias("bbox_norm"),
-        (F.col("l_linenumber") == 1).alias("focused"),
-    )
-    return e.withColumn("sample_id", F.concat(F.lit("parsing-"), F.col("l_orderkey").cast("string")))
+    return F.array(x1, F.col("y1"), x1 + F.col("w"), F.col("y1") + F.col("h")).cast("array<int>")
 
 
-def el_pred(spark, sf_dir) -> DataFrame:
+def _pred() -> tuple:
+    """(kept, text, box) of a predicted element."""
     k = F.col("txt")
     text = F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit("  "), F.lower(k), F.lit(" "))).otherwise(k)
-    return _elements(el_base(spark, sf_dir), (F.col("l_partkey") % 11 != 0) & (F.col("l_orderkey") % 29 != 0), text, 3 * (F.col("l_linenumber") % 3))
+    return (F.col("l_partkey") % 11 != 0) & (F.col("l_orderkey") % 29 != 0), text, _box(3 * (F.col("l_linenumber") % 3))
+
+
+def _ref() -> tuple:
+    return (F.col("l_partkey") % 17 != 0) & (F.col("l_orderkey") % 31 != 0), F.col("txt"), _box(F.lit(0))
+
+
+def _elements(base: DataFrame, kept, text, box) -> DataFrame:
+    e = base.filter(kept).select("l_orderkey", "l_suppkey", "idx", text.alias("text"), box.alias("bbox_norm"), (F.col("l_linenumber") == 1).alias("focused"))
+    return e.withColumn("sample_id", F.concat(F.lit("parsing-"), F.col("l_orderkey").cast("string")))
+
+
+def el_pred(spark, sf_dir) -> DataFrame:
+    return _elements(el_base(spark, sf_dir), *_pred())
 
 
 def el_ref(spark, sf_dir) -> DataFrame:
-    return _elements(el_base(spark, sf_dir), (F.col("l_partkey") % 17 != 0) & (F.col("l_orderkey") % 31 != 0), F.col("txt"), F.lit(0))
+    return _elements(el_base(spark, sf_dir), *_ref())
+
+
+#: Columns of a line that tell its elements and, among lines of one order and supplier, those of one text apart.
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
+
+
+def el_both(spark: SparkSession, sf_dir: str, key) -> DataFrame:
+    """Lines dealt by ``key`` with sample, its value, and pred and ref, the element of either side (text, bbox_norm) or null.
+
+    Lines are shuffled as they are, once for both sides; elements are derived behind that. They have no idx, which is a
+    window over orders: in the order of ``LINE`` lines come as by idx, but for lines equal in order, number, part, supplier
+    and quantity, whose boxes are equal, so that it matters to no match.
+    """
+    l = table(spark, sf_dir, "lineitem").select(*LINE).filter(_pred()[0] | _ref()[0])  # noqa: E741
+    side = lambda kept, text, box: F.when(kept, F.struct(text.alias("text"), box.alias("bbox_norm")))
+    d = l.withColumn("sample", key).repartition("sample").select("sample", *LINE, *_derived())
+    return d.select("sample", *LINE, side(*_pred()).alias("pred"), side(*_ref()).alias("ref"))
 
 
 def samples(elements: DataFrame) -> DataFrame:

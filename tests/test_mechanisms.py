@@ -448,6 +448,32 @@ def test_evaluate_large_is_that_of_every_pair(spark, sf):
         assert (x.element_tp, x.matched_bbox_count) == (tp, boxes) and x.bbox_iou == pytest.approx(total / tp, abs=1e-6)
 
 
+def test_evaluate_large_shuffles_its_lines_once(spark, sf):
+    from tessera.plans.evaluation import R, by_supplier, evaluate_large
+
+    got = evaluate_large(spark, sf)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    s = metrics.score_samples(by_supplier(V.el_pred(spark, sf)), by_supplier(V.el_ref(spark, sf)))
+    s = s.withColumn("bbox_iou", F.round("bbox_iou", R)).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, s.collect()))
+
+
+def test_aligned_elements_of_one_side(spark):
+    rows = spark.createDataFrame([(1, 2, "b", None), (1, 1, "a", "c"), (2, 1, None, "d"), (3, 1, None, None)], "sample long, n int, pred string, ref string")
+    got = {r.key: (r.pred and r.pred.elements, r.ref and r.ref.elements) for r in align.aligned_elements(rows, "sample", ["n"]).collect()}
+    assert got == {"1": (["a", "b"], ["c"]), "2": (None, ["d"]), "3": (None, None)}
+
+
+def test_few_boxes_match_as_many_do(monkeypatch):
+    for seed in range(5):
+        draw = random.Random(seed)
+        p, r = (random_elements(draw, 120, ["a", "b"], 30 + 300 * (seed % 2)) for _ in range(2))
+        few = kernels.greedy(p, r)
+        monkeypatch.setattr(kernels, "AT_ONCE", 0)
+        assert kernels.greedy(p, r) == few
+        monkeypatch.undo()
+
+
 def plain_names(refs, candidates, threshold, similarity):
     free, out = list(range(len(candidates))), []
     for name in refs:
