@@ -234,19 +234,18 @@ BROADCAST_RANGES = 500_000
 def global_position(df: DataFrame, *order: str, ranges: int | None = None) -> DataFrame:
     """``df`` with position: 1-based rank by ``order``, ties in any order.
 
-    Rows are dealt to ranges by sampled split points of whole values, so a long common prefix does no harm, and written
-    with the number of their range; they are counted by range and ranked within it. The number of ranges follows from the
+    Rows are dealt to ranges by sampled split points of whole values, so a long common prefix does no harm, sorted there and
+    written with the number of their range and their place in it; then they are counted by range. The number of ranges follows from the
     number of rows. A range holds all rows of a value, so an order that tells rows apart keeps ranges even.
     """
     if ranges is None:
         ranges = max(8, df.count() // RANGE_ROWS + 1)
-    d = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
-    d = written(d, "positions")
+    d = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    d = written(d, "positions").withColumns({"__range": F.shiftright("__place", 33), "__n": F.col("__place").bitwiseAND((1 << 33) - 1) + 1})
     counts = d.groupBy("__range").count()
     before = counts.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ranked = d.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-    out = ranked.join(F.broadcast(before) if ranges <= BROADCAST_RANGES else before, "__range")
-    return out.withColumn("position", F.col("__before") + F.col("__n")).drop("__before", "__n", "__range")
+    out = d.join(F.broadcast(before) if ranges <= BROADCAST_RANGES else before, "__range")
+    return out.withColumn("position", F.col("__before") + F.col("__n")).drop("__before", "__n", "__range", "__place")
 
 
 def by_role(teacher: DataFrame, candidates: DataFrame, roles: Sequence[str]) -> DataFrame:

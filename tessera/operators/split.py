@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import digest
+from tessera.operators import digest, shuffle
+from tessera.operators.align import RANGE_ROWS, global_position
 from tessera.operators.select import BITS, keyed_hash, smallest
+from tessera.scratch import drop_since, made_so_far, written
 from tessera.sources.versions import Versions
 
 #: Levels of the digest trees behind the metadata: 65,536 leaves, so one stays small up to some hundred million ids.
 DEPTH = 4
-#: The seeded shuffle runs on the driver, over ids only.
-MOST_IDS = 5_000_000
+#: Up to so many rows the bits of the seeded shuffle are broadcast, some 16 bytes for 64 rows; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 50_000_000
 
 
 def validation_count(rows: int, ratio: float) -> int:
@@ -24,25 +24,40 @@ def validation_count(rows: int, ratio: float) -> int:
 
 
 def seeded_split(rows: DataFrame, ratio: float, seed: int, id_col: str = "id", image_col: str = "image", order: str = "_ord") -> tuple[DataFrame, DataFrame]:
-    """(training, validation) by the seeded Mersenne Twister shuffle of the rows sorted by image.
+    """(training, validation) by the seeded Mersenne Twister shuffle of the rows sorted by image, at any size.
 
-    The small form: the shuffle is sequential by definition, so the driver holds the ids; beyond ``MOST_IDS`` this is
-    refused, and exact_split, which keeps the count and needs no order, is the way.
+    The shuffle is sequential, but what it draws depends on the number of rows alone: the driver follows it with a bit a
+    row (125 MB for a thousand million) and no row. Rows get their position in the order from ranges and look up their bit
+    in words of 64; only the ids chosen for validation are written, and both parts are joins with them.
     """
     if not 0 < ratio < 1:
         raise ValueError("ratio must be above 0 and below 1")
-    count, distinct = rows.agg(F.count("*"), F.count_distinct(id_col)).first()
-    if count > MOST_IDS:
-        raise ValueError(f"{count} rows: the seeded shuffle takes at most {MOST_IDS}; use exact_split")
-    if not count or distinct != count:
+    # distinct hashes have distinct ids; only where some are equal the ids themselves are counted
+    count, filled, hashes = rows.agg(F.count("*"), F.count(id_col), F.count_distinct(F.xxhash64(id_col))).first()
+    if not count or filled != count or (hashes != count and rows.agg(F.count_distinct(id_col)).first()[0] != count):
         raise ValueError("rows must have unique non-empty ids")
-    ids = [r[0] for r in rows.select(id_col, F.coalesce(image_col, F.lit("")).alias("i"), order).orderBy("i", order).select(id_col).toLocalIterator()]
-    random.Random(seed).shuffle(ids)
-    chosen = rows.sparkSession.createDataFrame([(i,) for i in ids[: validation_count(count, ratio)]], rows.select(id_col).schema)
+    spark, mark = rows.sparkSession, made_so_far()
+    first = validation_count(count, ratio)
+    d = rows.select(id_col, F.coalesce(image_col, F.lit("")).alias("__image"), F.col(order).alias("__order"))
+    at = global_position(d, "__image", "__order", ranges=max(8, count // RANGE_ROWS + 1)).select(id_col, (F.col("position") - 1).alias("__at"))
+    words = first_words(spark, count, first, seed)
+    j = at.join(F.broadcast(words) if count <= BROADCAST_ROWS else words, F.shiftright("__at", 6) == F.col("__word"))
+    bit = F.expr("shiftright(__bits, cast(__at & 63 as int)) & 1")
+    chosen = written(j.filter(bit == 1).select(id_col), "chosen")
+    drop_since(mark, chosen)
     clean = rows.drop("source_image")
     return clean.join(chosen, id_col, "left_anti"), clean.join(chosen, id_col, "left_semi")
 
 
+def first_words(spark: SparkSession, rows: int, first: int, seed: int) -> DataFrame:
+    """(__word, __bits): the bits of ``shuffle.first_rows``, 64 rows a word."""
+    import numpy as np
+    import pandas as pd
+
+    bits = np.frombuffer(shuffle.first_rows(rows, first, seed), "<i8")
+    return spark.createDataFrame(pd.DataFrame({"__word": np.arange(len(bits)), "__bits": bits}), "__word long, __bits long")
+
+
 def hashed_split(rows: DataFrame, ratio: float, seed: int, key: str = "id") -> DataFrame:
     """``rows`` with is_validation by the hash of the key: one pass, any size, the same for a key wherever it occurs."""
     return rows.withColumn("is_validation", keyed_hash(F.col(key), seed) < int(ratio * (1 << BITS)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import jsonparse as J
 from tessera.functions import modelparse as M
-from tessera.operators import align, collate, digest, kernels, match, metrics, references, select, split
+from tessera.operators import align, collate, digest, kernels, match, metrics, references, select, shuffle, split
 from tessera.plans import catalogue, parsing
 from tessera.plans import views as V
 from tessera.schemas import ELEMENTS
@@ -65,6 +65,32 @@ def test_seeded_split_query_is_the_shuffle_of_all_rows(spark, sf):
     assert got == {i: "validation" if k < n else "train" for k, i in enumerate(ids)}
 
 
+def test_seeded_split_beyond_five_million_rows(spark):
+    n = 5_000_100
+    t, v = split.seeded_split(spark.range(n).select("id", F.lit(None).cast("string").alias("image"), F.col("id").alias("_ord")), 0.001, 3)
+    ids = list(range(n))
+    random.Random(3).shuffle(ids)
+    assert {r.id for r in v.collect()} == set(ids[: split.validation_count(n, 0.001)]) and t.count() == n - v.count()
+
+
+@pytest.mark.parametrize("n, ratio, seed", [(1, 0.5, 3), (2, 0.5, 0), (63, 0.9, 1), (64, 0.5, 2), (5000, 0.1, 42)])
+def test_seeded_split_by_small_blocks_and_a_shuffled_join(spark, monkeypatch, n, ratio, seed):
+    for name, value in (("BLOCK", 700), ("STEPS", 90)):
+        monkeypatch.setattr(shuffle, name, value)
+    monkeypatch.setattr(split, "BROADCAST_ROWS", 0)
+    t, v = split.seeded_split(spark.range(n).select(F.col("id").cast("string").alias("id"), F.format_string("%05d", F.col("id") % 77).alias("image"), F.col("id").alias("_ord")).repartition(3), ratio, seed)
+    ids = sorted(range(n), key=lambda i: (i % 77, i))
+    random.Random(seed).shuffle(ids)
+    first = split.validation_count(n, ratio)
+    assert {int(r.id) for r in v.collect()} == set(ids[:first]) and {int(r.id) for r in t.collect()} == set(ids[first:])
+
+
+def test_draws_are_those_of_random():
+    for seed, high in ((9, (1 << 32) + 500), (4, 1 << 20), (5, 3000)):
+        own, low = random.Random(seed), high - 400 if high != 1 << 20 else high
+        assert shuffle.draws(shuffle.generator(seed), high, low).tolist() == [own._randbelow(i + 1) for i in range(high, low - 1, -1)]
+
+
 def test_exact_split_refuses(spark):
     df = spark.createDataFrame([("a",), ("b",)], "id string")
     for bad in (df.union(df), df.limit(0), df.union(spark.createDataFrame([("",)], "id string")), df.union(spark.createDataFrame([(None,)], "id string"))):
