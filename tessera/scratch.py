@@ -6,9 +6,12 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -95,6 +98,18 @@ def drop(*frames: DataFrame) -> None:
             _made[:] = [x for x in _made if x[1] != path]
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Inside, each write deletes the shuffle files that it made when it ends; else they stay until the driver happens to
+    collect its garbage. For results that nothing computes again from the same plan."""
+    old = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, old) if old is not None else spark.conf.unset(FREED)
+
+
 def made_so_far() -> int:
     """A mark for ``drop_since``."""
     return len(_made)

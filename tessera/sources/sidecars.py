@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import raw_preview
-from tessera.scratch import drop, written
+from tessera.scratch import freed_shuffles
 from tessera.sources.versions import Versions
 
 
@@ -30,7 +30,7 @@ def failures(docs: DataFrame) -> DataFrame:
 
 
 class Sidecars:
-    """A store of documents (role, id, ...) as JSON lines by role. Each write is a version of three tables, documents,
+    """A store of documents (role, id, ...) as JSON lines by role, compressed by gzip. Each write is a version of three tables, documents,
     report and failures, which appear together or not at all."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -52,23 +52,37 @@ class Sidecars:
 
         With a manifest (id), documents of the written roles whose id it lacks are pruned, old and new; other roles stay
         as they are. Both are joins by id, so nothing but the changed set decides the result, and a rerun gives the same.
+
+        Documents are shuffled only where a decision needs it: for repeated ones if there are any, and once by id against
+        what changes. They are written once, and report and failures are made from the files.
         """
-        new = docs.dropDuplicates(["role", "id"])
-        if manifest is not None:
-            new = new.join(manifest.select("id").distinct(), "id", "left_semi")
-        if self.versions.current():
-            old = self.documents().join(new.select("role", "id"), ["role", "id"], "left_anti")
-            if manifest is not None:
-                roles = docs.select("role").distinct().withColumn("__written", F.lit(True))  # a row a role: AQE may broadcast it
-                known = manifest.select("id").distinct().withColumn("__known", F.lit(True))
-                old = old.join(roles, "role", "left").join(known, "id", "left").filter("__written is null or __known").drop("__written", "__known")
-            new = new.unionByName(old, allowMissingColumns=True)
-        new = written(new, "sidecars")
-        columns = [c for c in new.columns if c != "role"]
+        with freed_shuffles(self.versions.spark):
+            # a row a role, of which there are few: roles are folders
+            written_roles = docs.groupBy("role", "id").count().groupBy("role").agg(F.max("count").alias("most")).collect()
+            roles = [r.role for r in written_roles if r.role is not None]
+            new = docs.dropDuplicates(["role", "id"]) if any(r.most > 1 for r in written_roles) else docs
+            known = None if manifest is None else manifest.select("id").distinct()
+            if known is not None:
+                new = new.join(known, "id", "left_semi")
+            if self.versions.current():
+                changed = docs.select("id", "role", F.lit(False).alias("__known"))
+                if known is not None:
+                    changed = changed.unionByName(known.select("id", F.lit(None).cast("string").alias("role"), F.lit(True).alias("__known")))
+                changed = changed.groupBy("id").agg(F.collect_set("role").alias("__replaced"), F.max("__known").alias("__known"))
+                old = self.documents().join(changed, "id", "left").filter(~F.coalesce(F.array_contains("__replaced", F.col("role")), F.lit(False)))
+                if known is not None:
+                    old = old.filter(~F.coalesce(F.col("role").isin(roles), F.lit(False)) | F.coalesce("__known", F.lit(False)))
+                new = new.unionByName(old.drop("__replaced", "__known"), allowMissingColumns=True)
+            return self.versions.write({"documents": new.select(*[c for c in new.columns if c != "role"], "role")}, fmt="json", partition_by={"documents": ["role"]},
+                                       derived={"report": lambda made: self._by_role(made["documents"]), "failures": lambda made: self._failed(made["documents"])}, compression="gzip")
+
+    @staticmethod
+    def _by_role(docs: DataFrame) -> DataFrame:
         ok = F.coalesce("parse_ok", F.lit(False))
-        by_role = new.groupBy("role").agg(F.count("*").alias("total_files"), F.count_if(ok).alias("parse_ok"), F.count_if(~ok).alias("parse_failed"),
-                                          F.coalesce(F.sum(F.when(ok, F.col("element_count").cast("long"))), F.lit(0)).alias("total_elements"))
-        failed = new.filter(~ok).select("role", F.col("id").cast("string").alias("id"), "parse_error", raw_preview(F.col("raw_model_output")).alias("preview"))
-        entry = self.versions.write({"documents": new.select(*columns, "role"), "report": by_role, "failures": failed}, fmt="json", partition_by={"documents": ["role"]})
-        drop(new)
-        return entry
+        return docs.groupBy("role").agg(F.count("*").alias("total_files"), F.count_if(ok).alias("parse_ok"), F.count_if(~ok).alias("parse_failed"),
+                                        F.coalesce(F.sum(F.when(ok, F.col("element_count").cast("long"))), F.lit(0)).alias("total_elements"))
+
+    @staticmethod
+    def _failed(docs: DataFrame) -> DataFrame:
+        failed = docs.filter(~F.coalesce("parse_ok", F.lit(False)))
+        return failed.select("role", F.col("id").cast("string").alias("id"), "parse_error", raw_preview(F.col("raw_model_output")).alias("preview"))

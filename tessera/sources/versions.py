@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -37,15 +38,20 @@ class Versions:
         line.write.mode("append").text(f"{self.root}/_log")
         return entry
 
-    def write(self, tables: dict[str, DataFrame], version: str | None = None, fmt: str = "parquet", partition_by: dict[str, list[str]] | None = None) -> dict:
-        """Writes the tables and makes them current; a table may be derived from the version that it replaces."""
+    def write(self, tables: dict[str, DataFrame], version: str | None = None, fmt: str = "parquet", partition_by: dict[str, list[str]] | None = None,
+              derived: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None, compression: str | None = None) -> dict:
+        """Writes the tables and makes them current; a table may be derived from the version that it replaces, and the
+        ``derived`` ones are made from the tables of this version as they are read back."""
         now = self.current()
         number = now["number"] + 1 if now else 1
         version = version or f"{number:06d}-{uuid.uuid4().hex[:8]}"
-        schemas = {}
-        for name, df in tables.items():
-            df.write.format(fmt).option("ignoreNullFields", "false").partitionBy(*(partition_by or {}).get(name, [])).save(f"{self.root}/{version}/{name}")
+        schemas, made = {}, {}
+        for name, df in [*tables.items(), *(derived or {}).items()]:
+            df = df if name in tables else df(made)
+            out = df.write.format(fmt).option("ignoreNullFields", "false").partitionBy(*(partition_by or {}).get(name, []))
+            (out.option("compression", compression) if compression else out).save(f"{self.root}/{version}/{name}")
             schemas[name] = df.schema.jsonValue()
+            made[name] = self.spark.read.format(fmt).schema(df.schema).load(f"{self.root}/{version}/{name}")
         return self._append(number=number, version=version, format=fmt, tables=schemas, before=now["number"] if now else None)
 
     def rollback(self) -> dict:

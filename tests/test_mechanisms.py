@@ -3,11 +3,13 @@
 import hashlib
 import json
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions import jsonparse as J
 from tessera.functions import modelparse as M
 from tessera.operators import align, collate, digest, kernels, match, metrics, references, select, shuffle, split
@@ -198,6 +200,27 @@ def test_sidecars_are_replaced_pruned_and_reported(spark, tmp_path):
     assert store.documents().count() == 4
 
 
+def test_sidecars_leave_compressed_documents_and_no_shuffle_files(spark, tmp_path):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in [blocks.getAllFiles().apply(i) for i in range(blocks.getAllFiles().size())] if f.getName().startswith("shuffle_")}
+    store, before = sidecars.Sidecars(spark, f"{tmp_path}/s"), shuffled()
+    docs = spark.range(20_000).select(F.lit("t").alias("role"), F.col("id").cast("string").alias("id"), F.repeat(F.lit("answer "), 50).alias("raw_model_output"), (F.col("id") % 3 > 0).alias("parse_ok"), F.lit(None).cast("string").alias("parse_error"), F.lit(2).alias("element_count"))
+    ids = spark.range(15_000).select(F.col("id").cast("string").alias("id"))
+    store.write(docs)
+    store.write(docs.filter("id % 4 = 0").withColumn("parse_ok", F.lit(True)), manifest=ids)
+    for _ in range(50):  # files go behind the write
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert spark.conf.get(scratch.FREED, "false") == "false"
+    files = [f for f in (tmp_path / "s").rglob("part-*") if "documents" in f.parts]
+    assert files and all(f.name.endswith(".json.gz") for f in files) and sum(f.stat().st_size for f in files) < 1_000_000
+    failed = [i for i in range(15_000) if i % 3 == 0 and i % 4]
+    assert tuple(store.report().first()) == ("t", 15_000, 15_000 - len(failed), len(failed), 2 * (15_000 - len(failed)))
+    assert {int(r.id) for r in store.failures().collect()} == set(failed)
+
+
 def test_foreign_sidecars_are_scanned(spark, tmp_path):
     folder = tmp_path / "json" / "teacher"
     folder.mkdir(parents=True)
