@@ -28,7 +28,8 @@ def _derived() -> list:
 def el_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*TOTAL)) - 1
-    return l.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", idx.alias("idx"), *_derived())
+    # in a second step, or what is derived would be shuffled for the window beside what it derives from
+    return l.withColumn("idx", idx).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "idx", *_derived())
 
 
 def _box(shift):

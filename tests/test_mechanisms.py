@@ -221,6 +221,12 @@ def test_sidecars_leave_compressed_documents_and_no_shuffle_files(spark, tmp_pat
     assert {int(r.id) for r in store.failures().collect()} == set(failed)
 
 
+def test_answers_of_the_sidecars_are_derived_behind_their_shuffle(spark, sf):
+    plan = parsing.raw_answers(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning") :]
+    assert plan.count("Exchange hashpartitioning") == 1 and "l_shipdate" in below and "concat_ws" in plan and "concat_ws" not in below
+
+
 def test_foreign_sidecars_are_scanned(spark, tmp_path):
     folder = tmp_path / "json" / "teacher"
     folder.mkdir(parents=True)
