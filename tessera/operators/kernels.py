@@ -13,39 +13,43 @@ def overlap(box, boxes):
     h = np.maximum(0, np.minimum(box[3], boxes[:, 3]) - np.maximum(box[1], boxes[:, 1]))
     both = w * h
     union = (box[2] - box[0]) * (box[3] - box[1]) + (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) - both
-    return np.where(union > 0, both / np.maximum(union, 1), 0.0)
+    return both / np.where(union > 0, union, np.inf)
 
 
-#: Pairs of boxes up to which all overlaps are computed at once, in some 12 MB.
+#: Pairs of boxes of which overlaps are computed at once, in some 30 MB.
 AT_ONCE = 1 << 18
 
 
-def all_overlaps(p_boxes, r_boxes):
-    """``best_overlaps`` of few boxes: the overlapping pairs in order, each taken if both of its boxes are free."""
+def all_overlaps(p_boxes, r_boxes, p_own, r_own, of_text, starts):
+    """(overlaps, predictions, references) of few boxes: the overlapping pairs in order, each taken if both of its boxes are free.
+
+    ``p_own`` are the predictions to match and ``r_own`` the references with a box, by text; of each of ``p_own``, ``of_text``
+    counts the references of its text, which begin at ``starts``.
+    """
     import numpy as np
 
-    v = overlap(p_boxes.T[:, :, None], r_boxes)
-    ps, rs = np.nonzero(v > 0)
-    v = v[ps, rs]
+    ps = np.repeat(p_own, of_text)
+    rs = r_own[np.arange(len(ps)) + np.repeat(starts - (np.cumsum(of_text) - of_text), of_text)]
+    v = overlap(p_boxes[ps].T, r_boxes[rs])
+    some = np.flatnonzero(v > 0)
+    v, ps, rs = v[some], ps[some], rs[some]
     order = np.lexsort((rs, ps, -v))
-    used_p, used_r = bytearray(len(p_boxes)), bytearray(len(r_boxes))
-    for x, i, j in zip(v[order].tolist(), ps[order].tolist(), rs[order].tolist()):
+    used_p, used_r, kept = bytearray(len(p_boxes)), bytearray(len(r_boxes)), []
+    for k, i, j in zip(order.tolist(), ps[order].tolist(), rs[order].tolist()):
         if not used_p[i] and not used_r[j]:
             used_p[i] = used_r[j] = 1
-            yield x, i, j
+            kept.append(k)
+    return v[kept], ps[kept], rs[kept]
 
 
 def best_overlaps(p_boxes, r_boxes):
     """(overlap, prediction, reference) of the pairs taken when the best overlap above 0 goes first, ties by position.
 
     Each prediction waits in a heap with its best free reference; one whose reference was taken looks again. So memory
-    is that of the elements, and no pair is stored. Up to ``AT_ONCE`` pairs are put in order instead, which is faster.
+    is that of the elements, and no pair is stored.
     """
     import numpy as np
 
-    if len(p_boxes) * len(r_boxes) <= AT_ONCE:
-        yield from all_overlaps(p_boxes, r_boxes)
-        return
     order = np.argsort(r_boxes[:, 0], kind="stable")  # by left edge: a box overlaps none that begins right of its end
     sorted_boxes, left = r_boxes[order], r_boxes[order, 0]
     free = np.ones(len(order), bool)
@@ -81,37 +85,70 @@ def best_overlaps(p_boxes, r_boxes):
 
 
 def greedy(pred, ref):
-    """(tp, iou_sum, boxes) of two lists of usable elements (text, box): the same as the fold of ``match.greedy``.
+    """(tp, iou_sum, boxes) of two lists of usable elements (text, box): the same as the fold of ``match.greedy``."""
+    import numpy as np
+
+    number: dict[str, int] = {}
+    sides = []
+    for elements in (pred, ref):
+        texts = np.array([number.setdefault(e["text"], len(number)) for e in elements], np.int64)
+        sides += [texts, np.array([e["box"] or (0, 0, 0, 0) for e in elements], np.int64).reshape(-1, 4)]
+    return greedy_arrays(*sides)
+
+
+def greedy_arrays(p_text, p_boxes, r_text, r_boxes):
+    """``greedy`` of elements as arrays: the numbers of their texts, from 0, and their boxes in rows of four, zeros for none.
 
     Elements of one text may match; pairs that overlap are taken from the best on, the rest of a text pairs up by rank.
+    Texts of few pairs go together, ``AT_ONCE`` pairs at most; one of more is matched alone, without a list of its pairs.
     """
     import numpy as np
 
-    by_text: dict[str, tuple[list, list]] = {}
-    for side, elements in enumerate((pred, ref)):
-        for i, e in enumerate(elements):
-            by_text.setdefault(e["text"], ([], []))[side].append((i, e["box"]))
-    taken, tp, boxes = [], 0, 0
-    for ps, rs in by_text.values():
-        if not ps or not rs:
+    n = 1 + max(p_text.max(initial=-1), r_text.max(initial=-1))
+    by_text = lambda text, some: some[np.argsort(text[some], kind="stable")]
+    p_ok, r_ok = p_boxes[:, 2] > 0, r_boxes[:, 2] > 0
+    p_own, r_own = by_text(p_text, np.flatnonzero(p_ok)), by_text(r_text, np.flatnonzero(r_ok))
+    p_n, r_n = np.bincount(p_text[p_own], minlength=n), np.bincount(r_text[r_own], minlength=n)
+    p_end, r_end, pairs = np.cumsum(p_n), np.cumsum(r_n), p_n * r_n
+    taken = []
+
+    def together(texts):
+        own = p_own if len(texts) == n else np.concatenate([p_own[p_end[t] - p_n[t]:p_end[t]] for t in texts])
+        t = p_text[own]
+        taken.append(all_overlaps(p_boxes, r_boxes, own, r_own, r_n[t], r_end[t] - r_n[t]))
+
+    few, size = [], 0
+    for t, more in enumerate(pairs.tolist()):
+        if more > AT_ONCE:
+            ps, rs = p_own[p_end[t] - p_n[t]:p_end[t]], r_own[r_end[t] - r_n[t]:r_end[t]]
+            v, i, j = np.array(list(best_overlaps(p_boxes[ps], r_boxes[rs])), float).reshape(-1, 3).T
+            taken.append((v, ps[i.astype(np.int64)], rs[j.astype(np.int64)]))
             continue
-        p_own, r_own = ([k for k, (_, b) in enumerate(x) if b is not None] for x in (ps, rs))
-        used_p, used_r = set(), set()
-        if p_own and r_own:
-            arrays = [np.array([x[k][1] for k in own], np.int64) for x, own in ((ps, p_own), (rs, r_own))]
-            for v, i, j in best_overlaps(*arrays):
-                p, r = p_own[i], r_own[j]
-                used_p.add(p)
-                used_r.add(r)
-                taken.append((-v, ps[p][0], rs[r][0]))
-        rest_p = [b for k, (_, b) in enumerate(ps) if k not in used_p]
-        rest_r = [b for k, (_, b) in enumerate(rs) if k not in used_r]
-        tp += min(len(rest_p), len(rest_r))
-        boxes += sum(a is not None and b is not None for a, b in zip(rest_p, rest_r))
+        if size + more > AT_ONCE:
+            together(few)
+            few, size = [], 0
+        few.append(t)
+        size += more
+    if size:
+        together(few)
+    p_free, r_free = np.ones(len(p_text), bool), np.ones(len(r_text), bool)
     total = 0.0
-    for v, _, _ in sorted(taken):
-        total -= v
-    return tp + len(taken), total, boxes + len(taken)
+    if taken:
+        v, i, j = map(np.concatenate, zip(*taken))
+        p_free[i] = r_free[j] = False
+        if len(v):
+            total = float(np.cumsum(v[np.lexsort((j, i, -v))])[-1])  # one after the other, as the fold adds
+    p_rest, r_rest = by_text(p_text, np.flatnonzero(p_free)), by_text(r_text, np.flatnonzero(r_free))
+    p_n, r_n = np.bincount(p_text[p_rest], minlength=n), np.bincount(r_text[r_rest], minlength=n)
+
+    def ranked(text, rest, own, other):
+        """Those of the rest whose rank in their text is one of the other side too."""
+        t = text[rest]
+        return rest[np.arange(len(rest)) - (np.cumsum(own) - own)[t] < other[t]]
+
+    ps, rs = ranked(p_text, p_rest, p_n, r_n), ranked(r_text, r_rest, r_n, p_n)
+    matched = len(p_text) - int(p_free.sum())
+    return matched + len(ps), total, matched + int((p_ok[ps] & r_ok[rs]).sum())
 
 
 # ---- names

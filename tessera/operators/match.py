@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
@@ -79,6 +81,44 @@ def _matched(pred, ref):
     return None if pred is None else dict(zip(("tp", "iou_sum", "boxes"), kernels.greedy(pred, ref)))
 
 
+def by_sample(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``one_to_one`` of samples whose elements are rows with ``key``, ``order``, and pred and ref (text, bbox_norm) or null:
+    id (the key), np and nr (usable elements), tp, iou_sum, boxes, missing_prediction, missing_reference.
+
+    What is usable is told row by row in the JVM. Spark sorts the rows by ``key`` on disk if need be and hands a task one
+    sample at a time, as arrays; so neither the JVM nor the worker holds more than one sample, however many a task has.
+    """
+    ship(rows.sparkSession)
+
+    def side(name: str) -> list[Column]:
+        box = G.read(F.col(name)["bbox_norm"])
+        return [F.col(name).isNotNull().alias(f"{name}_has"), F.nullif(T.normalize(F.col(name)["text"]), F.lit("")).alias(f"{name}_text"),
+                *[F.coalesce(F.get(box, F.lit(i)), F.lit(0)).alias(f"{name}_{i}") for i in range(4)]]
+
+    flat = rows.select(F.col(key).alias("id"), *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)], *side("pred"), *side("ref"))
+    kind = flat.schema["id"].dataType.simpleString()
+    return flat.groupBy("id").applyInArrow(_sample, f"id {kind}, np int, nr int, tp int, iou_sum double, boxes int, missing_prediction boolean, missing_reference boolean")
+
+
+def _sample(key, rows):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    by = [(c, "ascending") for c in rows.column_names if c.startswith("order_")]
+    rows = rows.take(pc.sort_indices(rows, by, null_placement="at_start")) if by else rows
+    texts = pa.chunked_array([*rows["pred_text"].chunks, *rows["ref_text"].chunks]).combine_chunks().dictionary_encode()
+    texts = pc.fill_null(texts.indices, -1).to_numpy()
+    sides = []
+    for name, text in (("pred", texts[:len(rows)]), ("ref", texts[len(rows):])):
+        sides += [text[text >= 0], np.column_stack([rows[f"{name}_{i}"].to_numpy() for i in range(4)])[text >= 0]]
+    tp, total, boxes = kernels.greedy_arrays(*sides)
+    lacks = [not pc.any(rows[f"{name}_has"]).as_py() for name in ("pred", "ref")]
+    out = {"np": len(sides[0]), "nr": len(sides[2]), "tp": tp, "iou_sum": total, "boxes": boxes}
+    return pa.table({"id": pa.array([key[0].as_py()], key[0].type), **{k: pa.array([v], pa.float64() if k == "iou_sum" else pa.int32()) for k, v in out.items()},
+                     "missing_prediction": lacks[:1], "missing_reference": lacks[1:]})
+
+
 def by_similarity(refs: Column, candidates: Column, threshold: float) -> Column:
     """For each reference name in turn the most similar unused candidate: array of struct(ref, best, similarity, matched).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,24 @@ def score_aligned(j: DataFrame) -> DataFrame:
                  match.usable(F.col("pred.elements")).alias("p"), match.usable(F.col("ref.elements")).alias("r"),
                  F.coalesce(F.col("pred.copies") - 1, F.lit(0)).alias("pred_repeats"), F.coalesce(F.col("ref.copies") - 1, F.lit(0)).alias("ref_repeats"))
     j = j.withColumn("m", match.one_to_one(F.col("p"), F.col("r"))).withColumn("np", F.size("p")).withColumn("nr", F.size("r"))
+    return scored(j)
+
+
+def score_elements(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``score_samples`` of the samples that element rows form: ``rows`` has ``key``, ``order``, and pred and ref, an element of
+    either side or null, as for ``align.aligned_elements``.
+
+    A sample is never one row: its elements are rows, dealt and sorted by ``key``, and a task matches one sample after the
+    other, so it holds one sample's arrays at a time. ``order`` has to tell rows apart whose elements differ.
+    """
+    m = align.row_key(match.by_sample(rows, key, order).withColumn("image", F.lit("")))
+    none = F.lit(0).cast("long")
+    m = m.select("key_kind", "key", "missing_prediction", "missing_reference", F.struct("tp", "iou_sum", "boxes").alias("m"), "np", "nr", none.alias("pred_repeats"), none.alias("ref_repeats"))
+    return scored(m)
+
+
+def scored(j: DataFrame) -> DataFrame:
+    """The columns of ``score_samples`` from the matches m of a sample, its usable elements np and nr, and what it lacks or repeats."""
     tp, np_, nr = F.col("m.tp"), F.col("np"), F.col("nr")
     both = (np_ == 0) & (nr == 0)
     precision, recall = F.when(both, 1.0).otherwise(ratio(tp, np_, 0.0)), F.when(both, 1.0).otherwise(ratio(tp, nr, 0.0))

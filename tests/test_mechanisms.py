@@ -519,6 +519,48 @@ def test_aligned_elements_of_one_side(spark):
     assert got == {"1": (["a", "b"], ["c"]), "2": (None, ["d"]), "3": (None, None)}
 
 
+def test_evaluate_large_never_has_a_sample_as_a_row(spark, sf):
+    from tessera.plans.evaluation import evaluate_large
+
+    plan = evaluate_large(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan  # rows of elements, one sample after the other
+    assert not any(x in plan for x in ("collect_list", "ArrowEvalPython", "BatchEvalPython"))  # which hold all samples of a batch
+
+
+def test_scores_of_element_rows_are_those_of_samples(spark):
+    draw = random.Random(12)
+
+    def element():
+        x, y = float(draw.randrange(60)), float(draw.randrange(60))
+        box = draw.choice([None, [], [5.0, 5.0, 4.0, 9.0], [x, 2.0, 3.0], [x, float("nan"), 1001.0, 70.0], [x + 0.5, None, 70.0, 70.0]])
+        box = box if draw.random() < 0.2 else [x + draw.randrange(4) / 4, y, x + 1.0 + draw.randrange(30), y + 0.25 + draw.randrange(30)]
+        return draw.choice([None, "", " \n ", "A", " a", "a  b", "B", "b", "\u00c4"]), box
+
+    rows = []
+    for key in ("1", " 2", "three", "only pred", "only ref", "neither"):
+        for n in range(30):
+            p, r = element(), element()
+            pred = None if draw.random() < 0.2 or key in ("only ref", "neither") else p
+            rows.append((key, n // 2 if n else None, draw.choice("xy") + str(n), pred, None if draw.random() < 0.2 or key in ("only pred", "neither") else r))
+    e = "struct<text:string,bbox_norm:array<double>>"
+    df = spark.createDataFrame(rows, f"sample string, n int, part string, pred {e}, ref {e}").repartition(7)
+    got, want = metrics.score_elements(df, "sample", ["n", "part"]), metrics.score_aligned(align.aligned_elements(df, "sample", ["n", "part"]))
+    assert [c for c in got.dtypes if "repeats" not in c[0]] == [c for c in want.dtypes if "repeats" not in c[0]]
+    got, want = ({x.key: x.asDict() for x in d.collect()} for d in (got, want))
+    assert got == {k: x | {"bbox_iou": pytest.approx(x["bbox_iou"])} for k, x in want.items()} and len(got) == 6
+    assert sum(x["element_tp"] for x in got.values()) > 30
+
+
+def test_texts_matched_together_and_alone_agree(monkeypatch):
+    draw = random.Random(13)
+    p, r = (random_elements(draw, 300, "aaaaaaaabcdef", 60) for _ in range(2))
+    want = kernels.greedy(p, r)
+    assert (want[0], want[2]) == (lambda x: (x[0], x[2]))(plain_greedy(p, r))
+    for most in (1, 500, 1500, 10_000):
+        monkeypatch.setattr(kernels, "AT_ONCE", most)
+        assert kernels.greedy(p, r) == want
+
+
 def test_few_boxes_match_as_many_do(monkeypatch):
     for seed in range(5):
         draw = random.Random(seed)
